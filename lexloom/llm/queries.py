@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from lexloom.llm import line_dedup, url_filter
+from lexloom.llm import decontaminate, jaccard_join, line_dedup, source_mix, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op9_source_mix": source_mix.op9_source_mix,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
+    "op2_decontaminate": decontaminate.ORACLE,
+    "op4_jaccard_join": jaccard_join.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
 }

@@ -54,15 +54,28 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, pass
     before = by.rowsBetween(W.unboundedPreceding, -1)
     s = s.withColumn("used", F.coalesce(F.sum("limit").over(before), F.lit(0.0))).withColumn("others", F.sum("weight").over(by.rowsBetween(W.currentRow, W.unboundedFollowing)))
     s = s.withColumn("level", (F.col("total") - F.col("used")) / F.col("others"))
-    s = s.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.col("level"))).over(every))
+    s = s.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.col("level"))).over(every))
     return s.select("source", "source_size", "weight", F.coalesce(F.least("limit", F.col("level") * F.col("weight")), F.col("limit")).alias("target"))
 
 
+def let(value: Column, body) -> Column:
+    """body of value, which is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _ln_factorial(n: Column) -> Column:
     """ln n! by Stirling's series, from n + 8 downwards for small n."""
-    x = n.cast("double") + 9.0
-    series = (x - 0.5) * F.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, 5))
-    return series - F.log(reduce(lambda a, b: a * b, [n.cast("double") + k for k in range(1, 9)]))
+
+    def series(n: Column) -> Column:
+        x = n + 9.0
+        tail = 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+        return (x - 0.5) * F.log(x) - x + 0.9189385332046727 + tail - F.log(reduce(lambda a, b: a * b, [n + float(k) for k in range(1, 9)]))
+
+    return let(n.cast("double"), series)
+
+
+def _ln_choose(n: Column, k: Column) -> Column:
+    return _ln_factorial(n) - _ln_factorial(k) - _ln_factorial(n - k)
 
 
 def hypergeometric(good: Column, other: Column, drawn: Column, u: Column) -> Column:
@@ -70,28 +83,37 @@ def hypergeometric(good: Column, other: Column, drawn: Column, u: Column) -> Col
 
     Probabilities are summed over the mean and ten standard deviations either way (all of the support, if it is less).
     """
-    total = (good + other).cast("double")
-    low, high = F.greatest(F.lit(0).cast("long"), drawn - other), F.least(good, drawn)
-    mean = F.when(total > 0, drawn * good / total).otherwise(0.0)
-    spread = 10 * F.sqrt(F.greatest(F.lit(0.0), F.when(total > 1, mean * (other / total) * ((total - drawn) / (total - 1))).otherwise(0.0))) + 10
-    first, last = F.greatest(low, F.floor(mean - spread).cast("long")), F.least(high, F.ceil(mean + spread).cast("long"))
-    ln = lambda a, b: _ln_factorial(a) - _ln_factorial(b) - _ln_factorial(a - b)
-    start = F.exp(ln(good, first) + ln(other, drawn - first) - ln(good + other, drawn))
-    state = F.struct(start.alias("p"), start.alias("sum"), first.alias("k"))
 
-    def step(s: Column, k: Column) -> Column:
-        p = s.p * ((good - k + 1) * (drawn - k + 1)).cast("double") / (k * (other - drawn + k)).cast("double")
-        more = s["sum"] < u
-        return F.struct(F.when(more, p).otherwise(s.p).alias("p"), F.when(more, s["sum"] + p).otherwise(s["sum"]).alias("sum"), F.when(more, k).otherwise(s.k).alias("k"))
+    def support(a: Column) -> Column:
+        total = (a.good + a.other).cast("double")
+        mean = F.when(total > 0, a.drawn * a.good / total).otherwise(0.0)
+        part = F.when(total > 1, (a.other / total) * ((total - a.drawn) / (total - 1))).otherwise(0.0)
+        low, high = F.greatest(F.lit(0).cast("long"), a.drawn - a.other), F.least(a.good, a.drawn)
+        return let(F.struct(a.alias("a"), mean.alias("mean"), part.alias("part"), low.alias("low"), high.alias("high")), window)
 
-    steps = F.when(last > first, F.sequence(first + 1, last)).otherwise(F.array().cast("array<bigint>"))
-    return F.when(high <= low, low).otherwise(F.aggregate(steps, state, step, lambda s: s.k))
+    def window(m: Column) -> Column:
+        spread = 10 * F.sqrt(F.greatest(F.lit(0.0), m["mean"] * m.part)) + 10
+        first, last = F.greatest(m.low, F.floor(m["mean"] - spread).cast("long")), F.least(m.high, F.ceil(m["mean"] + spread).cast("long"))
+        return F.when(m.high <= m.low, m.low).otherwise(let(F.struct(m.a.alias("a"), first.alias("first"), last.alias("last")), invert))
+
+    def invert(w: Column) -> Column:
+        a = w.a
+        start = F.exp(_ln_choose(a.good, w.first) + _ln_choose(a.other, a.drawn - w.first) - _ln_choose(a.good + a.other, a.drawn))
+        steps = F.when(w.last > w.first, F.sequence(w.first + 1, w.last)).otherwise(F.array().cast("array<bigint>"))
+
+        def step(s: Column, k: Column) -> Column:
+            p = s.p * ((a.good - k + 1) * (a.drawn - k + 1)).cast("double") / (k * (a.other - a.drawn + k)).cast("double")
+            return F.when(s["sum"] < a.u, let(p, lambda p: F.struct(p.alias("p"), (s["sum"] + p).alias("sum"), k.alias("k")))).otherwise(s)
+
+        return let(start, lambda p: F.aggregate(steps, F.struct(p.alias("p"), p.alias("sum"), w.first.alias("k")), step, lambda s: s.k))
+
+    return let(F.struct(good.alias("good"), other.alias("other"), drawn.alias("drawn"), u.alias("u")), support)
 
 
 def _draw(*key: Column):
     def draw(s: Column, x: Column) -> Column:
         k = hypergeometric(x.blocks, s.rest - x.blocks, s.want, uniform(*key, F.col("node"), x.source_no))
-        return F.struct((s.rest - x.blocks).alias("rest"), (s.want - k).alias("want"), F.concat(s.left, F.array(k)).alias("left"))
+        return let(k, lambda k: F.struct((s.rest - x.blocks).alias("rest"), (s.want - k).alias("want"), F.concat(s.left, F.array(k)).alias("left")))
 
     return draw
 
@@ -209,17 +231,21 @@ def mix_words(docs: DataFrame, **params) -> DataFrame:
 def mixed(docs: DataFrame, **params) -> DataFrame:
     """The mix: the taken rows of docs, so often as they are taken, with shard and place (their order in it) added.
 
-    Texts are read once and not shuffled before the join; the order of a shard is that of `place`.
+    Texts are joined with what is taken of them by a key of id, source and text. Rows alike in all three share a key and
+    are drawn as rows of their own; any of them then stands for each draw.
     """
-    rows = _numbered(docs, ["doc_id", "source"])
+    key = F.xxhash64("doc_id", "source", "text")
+    rows = checkpointed(docs.select("doc_id", "source", key.alias("key"), n_words(F.col("text")).alias("size")).withColumn("row_id", F.monotonically_increasing_id()))
     taken, _ = draws(rows.select("row_id", "source", "size"), **params)
-    # rows with one doc_id and source are alike here: give each the sum of what was taken of them, in turn
-    own = taken.join(rows.select("row_id", "doc_id", "source"), "row_id")
-    n = F.row_number().over(W.partitionBy("doc_id", "source").orderBy("row_id"))
-    first = rows.select("row_id", "doc_id", "source").withColumn("nth", n).select("row_id", "nth")
-    own = own.join(first, "row_id").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "nth", "shard", "place")
-    left = docs.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id", "source").orderBy(F.xxhash64("text"))))
-    return left.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_nth") == F.col("nth"))).select(*[f"`{c}`" for c in docs.columns], "shard", "place")
+    alike = rows.groupBy("key").agg(F.count("*").alias("alike")).where("alike > 1")
+    taken = checkpointed(taken.join(rows.select("row_id", "key"), "row_id").join(alike, "key", "left").select(F.col("key").alias("_key"), "shard", "place", F.col("alike").isNotNull().alias("_alike")))
+    own = [*[f"`{c}`" for c in docs.columns if c not in ("shard", "place")], "shard", "place"]
+    keyed = docs.drop("shard", "place").withColumn("_key", key)
+    single = keyed.join(taken.where("not _alike"), "_key").select(*own)
+    if not taken.where("_alike").isEmpty():
+        few = keyed.join(alike.select(F.col("key").alias("_key")), "_key", "left_semi").dropDuplicates(["_key"])
+        single = single.union(few.join(taken.where("_alike"), "_key").select(*own))
+    return single
 
 
 def op9_source_mix(spark, sf_dir: str) -> DataFrame:
