@@ -29,6 +29,8 @@ SHINGLE, PERCENT = 4, 85
 #: Tokens that a task keeps counters for, documents from which a token counts as frequent, and frequent tokens at most.
 #: They shape the first order only: how well it prunes, never what is found.
 COUNTERS, FREQUENT, MOST_FREQUENT = 1 << 16, 16, 1 << 18
+#: Ids up to which a list of documents is broadcast (8 bytes each); beyond, it is joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Seeds of the random orders.
 ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
@@ -187,18 +189,28 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     ided = sizes.where("doc_id is not null and digest is not null")
     classes = checkpointed(ided.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    prefixes = docs.where("doc_id is not null").mapInArrow(_prefixes(known), "doc_id long, n long, rare long, prefix array<long>")
-    prefixes = checkpointed(prefixes.where("n > 0").join(reps, "doc_id", "left_semi"))
-    postings = prefixes.select("doc_id", "n", "rare", F.posexplode("prefix").alias("pos", "token"))
-    lead = postings.groupBy("token").agg(F.count("*").alias("of"), F.min(F.struct("rare", "doc_id", "n", "pos")).alias("lead")).where("of > 1")
-    shared = checkpointed(
-        postings.join(lead, "token").select("token", "doc_id", "n", "pos", F.col("lead.doc_id").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos"))
-    )
-    near = shared.where(100 * F.col("n") >= 0).select("doc_id").distinct()
-    sets = checkpointed(docs.where("doc_id is not null").join(near, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, tokens array<long>"))
-
-    first = shared.where("doc_id <> lead").where(_bounds("pos", "n", "lead_pos", "lead_n")).select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
+    known_ids = docs.where("doc_id is not null")
+    schema = "doc_id long, n long, rare long, prefix array<long>"
+    # a document whose every row has the set of a smaller id is a copy
+    copies = ided.join(classes, "digest").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("rep")).cast("int")).alias("own")).where("own = 0").select("doc_id")
+    copies = checkpointed(copies)
+    if copies.count() <= BROADCAST_IDS:
+        prefixes = known_ids.join(F.broadcast(copies), "doc_id", "left_anti").mapInArrow(_prefixes(known), schema)
+    else:
+        prefixes = known_ids.mapInArrow(_prefixes(known), schema).join(copies, "doc_id", "left_anti")
+    prefixes = checkpointed(prefixes.where("n > 0"))
+    # n and place in one long, to keep the rows that are shuffled small
+    postings = prefixes.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "doc_id", (F.shiftleft("n", 32) + F.col("pos")).alias("n_pos"))
+    again = prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("of")).where("of > 1").select("token")
+    shared = postings.join(again, "token").join(prefixes.select("doc_id", "rare"), "doc_id")
+    shared = checkpointed(shared.select("token", "doc_id", F.shiftright("n_pos", 32).alias("n"), F.col("n_pos").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), "rare"))
+    lead = shared.groupBy("token").agg(F.min(F.struct("rare", "doc_id", "n", "pos")).alias("lead"))
+    led = shared.join(lead, "token").select("doc_id", "n", "pos", F.col("lead.doc_id").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos"))
+    near = checkpointed(shared.select("doc_id").distinct())
+    near = F.broadcast(near) if near.count() <= BROADCAST_IDS else near
+    sets = checkpointed(known_ids.join(near, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, tokens array<long>"))
+
+    first = led.where("doc_id <> lead").where(_bounds("pos", "n", "lead_pos", "lead_n")).select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
     links = checkpointed(_linked(first, sets))
     at = components(links)
     placed = shared.select("token", "doc_id", "n", "pos").join(at.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
