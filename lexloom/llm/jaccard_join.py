@@ -28,7 +28,7 @@ from lexloom.llm.components import components
 SHINGLE, PERCENT = 4, 85
 #: Tokens that a task keeps counters for, documents from which a token counts as frequent, and frequent tokens at most.
 #: They shape the first order only: how well it prunes, never what is found.
-COUNTERS, FREQUENT, MOST_FREQUENT = 1 << 16, 16, 1 << 18
+COUNTERS, FREQUENT, MOST_FREQUENT = 1 << 16, 4, 1 << 18
 #: Ids up to which a list of documents is broadcast (8 bytes each); beyond, it is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Seeds of the random orders.
@@ -154,11 +154,15 @@ def _verify(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[keep, ["a", "b"]]
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of representatives those that link; sets: (doc_id, tokens)."""
+def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of representatives those that link. Only documents of pairs are read into sets again."""
+    pairs = checkpointed(pairs)
+    near = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    near = F.broadcast(near) if near.count() <= BROADCAST_IDS else near
+    sets = checkpointed(docs.join(near, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, tokens array<long>"))
     a = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("tokens_a"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tokens_b"))
-    return pairs.join(a, "a").join(b, "b").mapInPandas(_verify, "a long, b long")
+    return checkpointed(pairs.join(a, "a").join(b, "b").mapInPandas(_verify, "a long, b long"))
 
 
 def _bounds(pos_a: str, n_a: str, pos_b: str, n_b: str):
@@ -206,12 +210,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     shared = checkpointed(shared.select("token", "doc_id", F.shiftright("n_pos", 32).alias("n"), F.col("n_pos").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), "rare"))
     lead = shared.groupBy("token").agg(F.min(F.struct("rare", "doc_id", "n", "pos")).alias("lead"))
     led = shared.join(lead, "token").select("doc_id", "n", "pos", F.col("lead.doc_id").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos"))
-    near = checkpointed(shared.select("doc_id").distinct())
-    near = F.broadcast(near) if near.count() <= BROADCAST_IDS else near
-    sets = checkpointed(known_ids.join(near, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, tokens array<long>"))
-
     first = led.where("doc_id <> lead").where(_bounds("pos", "n", "lead_pos", "lead_n")).select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
-    links = checkpointed(_linked(first, sets))
+    links = _linked(first, known_ids)
     at = components(links)
     placed = shared.select("token", "doc_id", "n", "pos").join(at.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     by = placed.groupBy("token", "component").agg(F.count("*").alias("of"))
@@ -221,7 +221,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     whole = mixed.select("token", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("component").alias("component_b"), "main")
     apart = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main")) | (F.col("a") < F.col("b")))
     second = other.join(whole, "token").where(apart & _bounds("pos_a", "n_a", "pos_b", "n_b")).select("a", "b").distinct()
-    links = links.union(checkpointed(_linked(second, sets)))
+    links = links.union(_linked(second, known_ids))
 
     # copies of one id with different texts hold together through the id
     doubles = ided.join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
