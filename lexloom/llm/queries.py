@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from lexloom.llm import decontaminate, jaccard_join, line_dedup, source_mix, toxicity, url_filter
+from lexloom.llm import decontaminate, gated_lm, jaccard_join, line_dedup, prefix_forest, quality, source_mix, token_planes, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_quality": quality.op3_quality,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
+    "op5_lm_score": gated_lm.op5_lm_score,
+    "op6_token_ids": token_planes.op6_token_ids,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_prefix_forest": prefix_forest.op8_prefix_forest,
     "op9_source_mix": source_mix.op9_source_mix,
     "op10_toxicity": toxicity.op10_toxicity,
 }

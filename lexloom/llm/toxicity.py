@@ -22,8 +22,8 @@ from lexloom.llm.common import ALNUM, UPPER, Words, checkpointed, lists, pieces,
 #: Labelled rows of each class from which words are mined, and rows with posteriors to which the classifier is fitted
 #: (all toxic-looking patterns among them); the rows of smallest hash of their id are taken.
 MINE_ROWS, FIT_ROWS = 12_000, 20_000
-#: Mined words and word beginnings, and how many documents must have one.
-MINED, MINED_DOCS = 512, 3
+#: Mined words and word beginnings, how many documents must have one, and the log of how much oftener toxic ones do.
+MINED, MINED_DOCS, MINED_LIFT = 512, 4, 2.5
 #: Beginnings of words that are mined, in code points.
 STEMS = (4, 5, 6, 7)
 VOTERS, MINED_VOTERS = 16, 8
@@ -71,7 +71,7 @@ def mined_keys(docs: DataFrame, learn: DataFrame, rows: int = MINE_ROWS) -> list
     counts = counts.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") >= MINED_DOCS)
     t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
     lift = F.log(t / (of[1] + 1)) - F.log(c / (of[0] + 1))
-    strong = counts.withColumn("z", lift / F.sqrt(1 / t + 1 / c)).where(lift > 1.5).orderBy(F.desc("z"), "key").limit(MINED)
+    strong = counts.withColumn("z", lift / F.sqrt(1 / t + 1 / c)).where(lift > MINED_LIFT).orderBy(F.desc("z"), "key").limit(MINED)
     return [r["key"] for r in strong.collect()]
 
 
@@ -94,15 +94,20 @@ class Lexicon:
         self.size = len(voter)
 
 
-#: Pattern features: share of words in capitals, loud punctuation, masked words, repeated letters (each a voter), log length.
-PATTERNS = 5
+#: A document is dense in marked words from this share of its words, and this number.
+DENSE_SHARE, DENSE_WORDS = 0.008, 2
+#: Pattern features: all in capitals, loud punctuation, masked words, dense in marked words (each a voter); share and log
+#: number of marked words, log length.
+PATTERNS = 7
 
 
-def _patterns(texts: list[str | None]) -> np.ndarray:
+def _patterns(texts: list[str | None], marked: np.ndarray, words: np.ndarray) -> np.ndarray:
     out = np.zeros((len(texts), PATTERNS), np.float32)
+    share = marked / np.maximum(1, words)
     for i, t in enumerate(texts):
         if t:
-            out[i] = [t.isupper(), min(1.0, len(VERY_LOUD.findall(t)) / 3), min(1.0, len(MASKED.findall(t)) / 3), 0.0, np.log1p(len(t)) / 10]
+            dense = share[i] >= DENSE_SHARE and marked[i] >= DENSE_WORDS
+            out[i] = [t.isupper(), min(1.0, len(VERY_LOUD.findall(t)) / 3), min(1.0, len(MASKED.findall(t)) / 3), dense, min(3.0, 60 * share[i]), np.log1p(marked[i]), np.log1p(len(t)) / 10]
     return out
 
 
@@ -110,7 +115,6 @@ def _features(lexicon: Lexicon):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             words = Words(batch["text"], ALNUM)
-            found: list[list[int]] = []
             some = np.zeros(len(words.distinct), bool)
             place: dict[int, list[int]] = {}
             for w, name in enumerate(words.distinct.to_pylist()):
@@ -121,7 +125,8 @@ def _features(lexicon: Lexicon):
             found = [set() for _ in range(batch.num_rows)]
             for d, w in set(zip(np.searchsorted(words.firsts, hit, side="right") - 1, words.codes[hit], strict=True)):
                 found[d].update(place[w])
-            patterns = _patterns(batch["text"].to_pylist())
+            marked = np.bincount(np.searchsorted(words.firsts, hit, side="right") - 1, minlength=batch.num_rows)
+            patterns = _patterns(batch["text"].to_pylist(), marked, words.counts)
             votes = np.zeros(batch.num_rows, np.int64)
             for d, own in enumerate(found):
                 for f in own:
@@ -142,9 +147,8 @@ class LabelModel:
         self.prior, self.parent = prior, np.full(VOTERS, -1)
 
     def fit(self, votes: np.ndarray, counts: np.ndarray, rounds: int = 40) -> LabelModel:
-        """votes: (combinations, voters) of 0 and 1; begins with: toxic is what a list found."""
-        lists_only = votes[:, : VOTERS - 4].sum(1)
-        post = np.where(lists_only >= 2, 0.95, np.where(lists_only == 1, 0.6, 0.02))
+        """votes: (combinations, voters) of 0 and 1; begins with: toxic is what is dense in marked words."""
+        post = np.where(votes[:, -1] == 1, 0.95, np.where(votes[:, : VOTERS - 4].any(1), 0.05, 0.01))
         for k in range(rounds):
             if k in (0, 10):
                 self.parent = self._tree(votes, counts, post) if k else self.parent
