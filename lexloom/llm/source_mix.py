@@ -12,6 +12,7 @@ Everything is DataFrame operations; draws come from hashes, so reruns agree.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,8 +25,8 @@ from lexloom.llm.common import checkpointed, table
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
 #: Documents of a block; rows of a source that are ranked in one sort.
 BLOCK_DOCS, BIN_ROWS = 32, 4096
-#: Levels of the splitting tree; it has 2 ** LEVELS shards.
-LEVELS = 4
+#: Words of an output shard; the splitting tree has as many levels as that takes, and LEVELS at least.
+SHARD_WORDS, LEVELS = 1 << 26, 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -145,7 +146,7 @@ def split_quotas(quotas: DataFrame, levels: int = LEVELS, seed: int = 0) -> Data
     return leaves.withColumn("first", first)
 
 
-def draws(sized: DataFrame, seed: int = 0, levels: int = LEVELS, **params) -> tuple[DataFrame, DataFrame]:
+def draws(sized: DataFrame, seed: int = 0, levels: int | None = None, **params) -> tuple[DataFrame, DataFrame]:
     """What the mix takes: (row_id, shard, place), a row for each time, and the sources' (source, source_size, target).
 
     sized: (row_id unique, source, size). Documents without words have no part in the order and are never taken.
@@ -191,6 +192,8 @@ def draws(sized: DataFrame, seed: int = 0, levels: int = LEVELS, **params) -> tu
     )
     fits = ranked.join(F.broadcast(last) if targets.count() <= 100_000 else last, ["source_no", "block"]).groupBy("source_no", "block").agg(fold.alias("ids")).select(F.explode("ids").alias("fit"))
 
+    if levels is None:
+        levels = max(LEVELS, math.ceil(math.log2(1 + (targets.agg(F.sum("target")).head()[0] or 0) / SHARD_WORDS)))
     quotas = given.groupBy("source_no").agg(F.count("*").alias("blocks"))
     shards = split_quotas(quotas, levels, seed)
     # a block's place in its source's random order of given blocks, by bins as above

@@ -187,7 +187,7 @@ def _chunks(path: str, end: int, planes: int, block: int, chunk_ids: int):
             doc_ids = pa.concat_arrays([h[0] for h in held])
             sizes = np.concatenate([h[1] for h in held])
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard]), pa.array([chunk]), pa.array([first]), pa.array([n]), pa.ListArray.from_arrays([0, len(doc_ids)], doc_ids), lists(sizes, [len(sizes)]), pa.array([pack(ids, planes, block)], pa.binary())],
+                [pa.array([shard], pa.int32()), pa.array([chunk], pa.int32()), pa.array([first]), pa.array([n]), pa.ListArray.from_arrays([0, len(doc_ids)], doc_ids), lists(sizes, [len(sizes)]), pa.array([pack(ids, planes, block)], pa.binary())],
                 names=["shard", "chunk", "first", "n_ids", "doc_ids", "sizes", "payload"],
             )
 
