@@ -132,37 +132,66 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], lists(_signed(values), sizes)], names=["doc_id", "tokens"])
 
 
+def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, sketch): the low 24 bits of each token, ascending, three bytes each."""
+    for batch in pieces(batches):
+        values, sizes = shingle_sets(batch["text"])
+        ends = np.cumsum(sizes)
+        own = [np.sort((values[e - s : e] & np.uint64(0xFFFFFF)).astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :3].tobytes() for s, e in zip(sizes, ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(own, pa.binary())], names=["doc_id", "sketch"])
+
+
+def _opened(sketch: bytes) -> np.ndarray:
+    out = np.zeros((len(sketch) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(sketch, np.uint8).reshape(-1, 3)
+    return out.reshape(-1).view("<u4")
+
+
 def _random_prefix(tokens: np.ndarray, seed: int) -> np.ndarray:
     k = prefix_size(len(tokens))
-    order = mix(tokens.view(np.uint64) ^ np.uint64(seed))
+    order = mix(tokens.astype(np.uint64) ^ np.uint64(seed))
     return np.partition(order, k - 1)[:k] if k < len(order) else order
 
 
-def _verify(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs that pass the random orders and the exact count."""
-    for pdf in batches:
-        keep = np.zeros(len(pdf), bool)
-        kept: dict[int, tuple] = {}
-        for k, (b, x, y) in enumerate(zip(pdf["b"], pdf["tokens_a"], pdf["tokens_b"], strict=True)):
-            if b not in kept:
-                if len(kept) > 64:
-                    kept.clear()
-                kept[b] = tuple(_random_prefix(y, s) for s in ORDERS)
-            if all(len(np.intersect1d(_random_prefix(x, s), p, assume_unique=True)) for s, p in zip(ORDERS, kept[b], strict=True)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[k] = 100 * both >= PERCENT * (len(x) + len(y) - both)
-        yield pdf.loc[keep, ["a", "b"]]
+def _may_link(x: np.ndarray, y: np.ndarray) -> bool:
+    """Equal tokens have equal low bits: the prefixes of linked sets share some, and no overlap is larger than theirs."""
+    if not all(len(np.intersect1d(_random_prefix(x, s), _random_prefix(y, s))) for s in ORDERS):
+        return False
+    values, times = np.unique(x, return_counts=True)
+    others, of_others = np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(values, others, assume_unique=True, return_indices=True)
+    most = int(np.minimum(times[i], of_others[j]).sum())
+    return (100 + PERCENT) * most >= PERCENT * (len(x) + len(y))
 
 
-def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of representatives those that link. Only documents of pairs are read into sets again."""
-    pairs = checkpointed(pairs)
+def _links(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
+def _kept(test, opened):
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keep = [test(opened(x), opened(y)) for x, y in zip(pdf["own_a"], pdf["own_b"], strict=True)]
+            yield pdf.loc[keep, ["a", "b"]]
+
+    return run
+
+
+def _checked(pairs: DataFrame, docs: DataFrame, read, schema: str, test, opened) -> DataFrame:
+    """The pairs (a, b) whose documents pass the test. Only documents of pairs are read again."""
     near = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     near = F.broadcast(near) if near.count() <= BROADCAST_IDS else near
-    sets = checkpointed(docs.join(near, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, tokens array<long>"))
-    a = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("tokens_a"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tokens_b"))
-    return checkpointed(pairs.join(a, "a").join(b, "b").mapInPandas(_verify, "a long, b long"))
+    own = checkpointed(docs.join(near, "doc_id", "left_semi").mapInArrow(read, schema).toDF("doc_id", "own"))
+    a = own.select(F.col("doc_id").alias("a"), F.col("own").alias("own_a"))
+    b = own.select(F.col("doc_id").alias("b"), F.col("own").alias("own_b"))
+    return checkpointed(pairs.join(a, "a").join(b, "b").mapInPandas(_kept(test, opened), "a long, b long").distinct())
+
+
+def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of representatives those that link: by sketches first, then exactly."""
+    possible = _checked(checkpointed(pairs), docs, _sketches, "doc_id long, sketch binary", _may_link, _opened)
+    return _checked(possible, docs, _sets, "doc_id long, tokens array<long>", _links, np.asarray)
 
 
 def _bounds(pos_a: str, n_a: str, pos_b: str, n_b: str):
