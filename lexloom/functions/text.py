@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import vocabulary as V
@@ -14,6 +14,17 @@ WS = "\t-\r\x1c-\x1f \x85\xa0  -     　"
 PIECE = f"[^{V.ENDERS}\r\n]*(?:[{V.ENDERS}][{V.CLOSERS}]*|[\r\n]|\\z)"
 
 
+def let(value: Column, body) -> Column:
+    """body of value, computed once (a column inside a lambda would be computed for each element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row: later filters and field accesses do not copy their expressions."""
+    kept = [f"`{c}`" for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def comparison_text(text: Column) -> Column:
     """White space runs as one space, none at the ends; for comparing only."""
     return F.btrim(F.regexp_replace(text, f"[{WS}]+", " "))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexloom.functions import text as X
+
 
 def _quoted(x: Column) -> Column:
     return F.coalesce(F.concat(F.lit("'"), x, F.lit("'")), F.lit("None"))
@@ -29,23 +31,22 @@ def align(text: Column, tokens: Column, teacher: str, offsets: bool = True) -> C
             F.when(surface.isNull() | (surface == ""), "empty_surface")
             .when(given & (a.isNull() | b.isNull()), "invalid_teacher_offsets")
             .when(given & (a != cursor), "non_monotonic_offset")
-            .when(given & (held != surface), "surface_offset_mismatch")
-            .when(held != surface, "surface_mismatch")
+            .when(held != surface, F.when(given, "surface_offset_mismatch").otherwise("surface_mismatch"))
         )
         shown = lambda x: F.coalesce(x.cast("string"), F.lit("None"))
-        detail = (
-            F.when(reason == "empty_surface", _quoted(surface))
-            .when(reason == "invalid_teacher_offsets", F.concat(F.lit("("), shown(a), F.lit(", "), shown(b), F.lit(")")))
-            .when(reason == "non_monotonic_offset", F.concat(F.lit("expected "), cursor.cast("string"), F.lit(", got "), shown(a)))
-            .when(reason == "surface_offset_mismatch", _quoted(surface))
-            .when(reason == "surface_mismatch", F.concat(F.lit("at raw offset "), cursor.cast("string"), F.lit(": "), _quoted(surface)))
-        )
-        new = F.struct(
-            F.when(reason.isNull(), end).otherwise(cursor).cast("int").alias("cursor"), F.when(reason.isNull(), s["index"] + 1).otherwise(s["index"]).alias("index"),
-            reason.alias("reason"), detail.alias("detail"),
-            F.when(reason.isNull(), F.concat(s["spans"], F.array(F.struct(cursor.cast("int").alias("start"), end.cast("int").alias("end"))))).otherwise(s["spans"]).alias("spans"),
-        )
-        return F.when(s["reason"].isNotNull(), s).otherwise(new)
+
+        def failed(why: Column) -> Column:
+            detail = (
+                F.when(why.isin("empty_surface", "surface_offset_mismatch"), _quoted(surface))
+                .when(why == "invalid_teacher_offsets", F.concat(F.lit("("), shown(a), F.lit(", "), shown(b), F.lit(")")))
+                .when(why == "non_monotonic_offset", F.concat(F.lit("expected "), cursor.cast("string"), F.lit(", got "), shown(a)))
+                .otherwise(F.concat(F.lit("at raw offset "), cursor.cast("string"), F.lit(": "), _quoted(surface)))
+            )
+            return F.struct(cursor.alias("cursor"), s["index"].alias("index"), why.alias("reason"), detail.alias("detail"), s["spans"].alias("spans"))
+
+        span = F.struct(cursor.cast("int").alias("start"), end.cast("int").alias("end"))
+        good = F.struct(end.cast("int").alias("cursor"), (s["index"] + 1).alias("index"), none.alias("reason"), none.alias("detail"), F.concat(s["spans"], F.array(span)).alias("spans"))
+        return F.when(s["reason"].isNotNull(), s).otherwise(X.let(reason, lambda why: F.when(why.isNull(), good).otherwise(failed(why))))
 
     def close(s: Column) -> Column:
         short = s["reason"].isNull() & (s["cursor"] != F.length(text))

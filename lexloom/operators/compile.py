@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import labels as L
+from lexloom.functions import text as X
 from lexloom.functions import vocabulary as V
 from lexloom.operators.align import align
 from lexloom.operators.spans import endpoints, first_missing_level, sorted_unique
@@ -46,17 +47,19 @@ def compile_records(raw: DataFrame, least: int = 4, most: int = 128) -> DataFram
     n = F.length("text")
     df = raw
     checks = [F.when(F.col("text").isNull() | ~n.between(least, most), F.struct(F.lit("length_out_of_range").alias("reason"), F.lit("raw").alias("teacher"), F.concat(F.lit("length="), F.coalesce(n, F.lit(0)).cast("string")).alias("detail")))]
+    df = X.computed(df, **{f"_{t}": align(F.col("text"), F.col(t), t) for t in TEACHERS})
     for t in TEACHERS:
-        df = df.withColumn(f"_{t}", align(F.col("text"), F.col(t), t))
         a = F.col(f"_{t}")
         checks.append(F.when(F.col(t).isNull(), F.struct(F.lit("teacher_missing").alias("reason"), F.lit(t).alias("teacher"), F.lit("").alias("detail"))))
         checks.append(F.when(a["reason"].isNotNull(), F.struct(a["reason"].alias("reason"), F.lit(t).alias("teacher"), a["detail"].alias("detail"))))
-    df = df.withColumn("_early", F.coalesce(*checks))
-    df = df.withColumn("_a", _labelled(F.col("sudachi_a"), F.col("_sudachi_a.spans"), _atom)).withColumn("_b", F.col("_sudachi_b.spans")).withColumn("_c", _labelled(F.col("ginza_bunsetsu"), F.col("_ginza_bunsetsu.spans"), _chunk))
+    df = X.computed(
+        df, _early=F.coalesce(*checks), _a=_labelled(F.col("sudachi_a"), F.col("_sudachi_a.spans"), _atom), _b=F.col("_sudachi_b.spans"),
+        _c=_labelled(F.col("ginza_bunsetsu"), F.col("_ginza_bunsetsu.spans"), _chunk),
+    )
     ends = {"a": endpoints(F.col("_a")), "b": endpoints(F.col("_b")), "bunsetsu": endpoints(F.col("_c")), "clause": sorted_unique(F.coalesce("clause_boundaries", F.array(n))), "sentence": F.array(n)}
     sorted_ends = F.struct(*[sorted_unique(ends[level]).alias(level) for level in V.LEVELS])
-    df = df.withColumn("_bounds", F.when(F.col("_early").isNull(), sorted_ends)).withColumn("_nest", F.when(F.col("_early").isNull(), first_missing_level(ends)))
-    df = df.withColumn("_codes", F.when(F.col("_early").isNull() & F.col("_nest").isNull(), violations(F.col("text"), F.col("_bounds"), F.col("_a"), F.col("_b"), F.col("_c"))))
+    df = X.computed(df, _bounds=F.when(F.col("_early").isNull(), sorted_ends), _nest=F.when(F.col("_early").isNull(), first_missing_level(ends)))
+    df = X.computed(df, _codes=F.when(F.col("_early").isNull() & F.col("_nest").isNull(), violations(F.col("text"), F.col("_bounds"), F.col("_a"), F.col("_b"), F.col("_c"))))
     nested = F.when(F.col("_nest").isNotNull(), F.struct(F.lit("teacher_boundary_disagreement").alias("reason"), F.lit("cross_teacher").alias("teacher"), F.col("_nest").alias("detail")))
     broken = F.when(F.size("_codes") > 0, F.struct(F.lit("canonical_invariant_failure").alias("reason"), F.lit("compiler").alias("teacher"), F.array_join("_codes", ";").alias("detail")))
     why = F.coalesce(F.col("_early"), nested, broken)
@@ -70,7 +73,8 @@ def compile_records(raw: DataFrame, least: int = 4, most: int = 128) -> DataFram
     )
     failure = F.struct("source", "document_id", "text", F.col("_why.reason").alias("reason"), F.col("_why.teacher").alias("teacher"), F.col("_why.detail").alias("detail"))
     df = df.withColumn("_why", why)
-    return df.select(*raw.columns, F.when(F.col("_why").isNull(), record).alias("record"), F.when(F.col("_why").isNotNull(), failure).alias("failure"))
+    out = X.computed(df, record=F.when(F.col("_why").isNull(), record), failure=F.when(F.col("_why").isNotNull(), failure))
+    return out.select(*raw.columns, "record", "failure")
 
 
 def records(compiled: DataFrame) -> DataFrame:

@@ -20,9 +20,11 @@ _SPACE = re.compile(f"[{X.WS}]+")
 
 def grams(text: Column, n: int = GRAM) -> Column:
     """Sliding n-grams of the comparison text; the whole of a shorter one; none of an empty one."""
-    t = X.comparison_text(text)
-    whole = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - n + 1)), lambda i: F.substring(t, i, F.lit(n)))
-    return F.when(F.length(t) > 0, whole).otherwise(F.array().cast("array<string>"))
+
+    def slide(c: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(c) - n)), lambda i: F.array_join(F.slice(c, i + 1, n), ""))
+
+    return X.let(X.chars(X.comparison_text(text)), lambda c: F.when(F.size(c) > 0, slide(c)).otherwise(F.array().cast("array<string>")))
 
 
 def _votes(text: str) -> int:

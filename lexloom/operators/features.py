@@ -30,8 +30,8 @@ def feature_columns(ch: Column, prev: Column) -> dict[str, Column]:
 
 def categorical(text: Column) -> Column:
     """Array of the features of each character."""
-    ch = X.chars(text)
-    return F.transform(ch, lambda c, i: F.array(*feature_columns(c, F.when(i > 0, F.get(ch, i - 1))).values()))
+    each = lambda ch: F.transform(ch, lambda c, i: F.array(*feature_columns(c, F.when(i > 0, F.get(ch, i - 1))).values()))
+    return X.let(X.chars(text), each)
 
 
 def codepoint_buckets(rows: DataFrame, buckets: int = 8192) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import labels as L
+from lexloom.functions import text as X
 from lexloom.functions import vocabulary as V
 from lexloom.operators.spans import endpoints
 from lexloom.operators.validate import violations
@@ -32,7 +33,7 @@ def _finished(df: DataFrame, source: Column, document: Column) -> DataFrame:
     """Records with their violations; df has text, spans, b_spans, bunsetsu, covers and what `document` needs."""
     n = F.array(F.length("text"))
     bounds = F.struct(endpoints(F.col("spans")).alias("a"), endpoints(F.col("b_spans")).alias("b"), endpoints(F.col("bunsetsu")).alias("bunsetsu"), n.alias("clause"), n.alias("sentence"))
-    out = df.withColumn("boundaries", bounds)
+    out = X.computed(df, boundaries=bounds)
     codes = F.when(~F.col("covers"), F.array(F.lit("tokens_do_not_cover_text"))).otherwise(violations(F.col("text"), F.col("boundaries"), F.col("spans"), F.col("b_spans"), F.col("bunsetsu")))
     return out.select(F.lit(V.SCHEMA_VERSION).alias("schema_version"), "text", source.alias("source"), document.alias("document_id"), "sentence_id", "boundaries", "spans", "b_spans", "bunsetsu", codes.alias("errors"))
 
@@ -54,17 +55,17 @@ def ud_records(sentences: DataFrame, source: str = "ud-ja-gsd") -> DataFrame:
         function = F.when(atom(t) == "PARTICLE", F.coalesce(L.look_up(V.UD_FUNCTION, f(t, 1)), F.lit("UNKNOWN")))
         return F.struct(start.alias("start"), (start + F.get("_len", i)).alias("end"), atom(t).alias("atom_type"), function.alias("function"), flags(t).cast(_FLAGS).alias("inflections"))
 
-    df = df.withColumn("spans", F.transform("tokens", span))
+    df = X.computed(df, spans=F.transform("tokens", span))
     marked = lambda label: F.filter(F.transform("tokens", lambda t, i: F.when(F.array_contains(F.split(f(t, 9), r"\|"), f"{label}=B"), i)), lambda i: i.isNotNull())
     cut = lambda g, make: F.transform(g, lambda x: make(F.get("spans", x["i"])["start"], F.get("spans", x["j"] - 1)["end"], F.slice("tokens", x["i"] + 1, x["j"] - x["i"])))
-    df = df.withColumn("b_spans", cut(_groups(marked("LUWBILabel"), F.col("_n")), lambda a, b, _: F.struct(a.alias("start"), b.alias("end"))))
+    df = X.computed(df, b_spans=cut(_groups(marked("LUWBILabel"), F.col("_n")), lambda a, b, _: F.struct(a.alias("start"), b.alias("end"))))
 
     def chunk(a: Column, b: Column, own: Column) -> Column:
         head = F.coalesce(F.get(F.filter(own, lambda t: F.lower(f(t, 7)) == "root"), F.lit(0)), F.get(own, F.lit(0)))
         topic = F.exists(own, lambda t: f(t, 1).isin("は", "も"))
         return F.struct(a.alias("start"), b.alias("end"), L.bunsetsu_role(f(head, 7), F.when(topic, "TOPIC"), f(head, 3).isin("VERB", "ADJ")).alias("role"))
 
-    df = df.withColumn("bunsetsu", cut(_groups(marked("BunsetuBILabel"), F.col("_n")), chunk)).withColumn("sentence_id", F.try_element_at("comments", F.lit("sent_id")))
+    df = X.computed(df, bunsetsu=cut(_groups(marked("BunsetuBILabel"), F.col("_n")), chunk)).withColumn("sentence_id", F.try_element_at("comments", F.lit("sent_id")))
     return _finished(df, F.lit(source), F.coalesce(F.try_element_at("comments", F.lit("newdoc id")), "sentence_id", F.lit("")))
 
 
@@ -83,9 +84,9 @@ def knp_records(sentences: DataFrame) -> DataFrame:
         function = F.when(t["pos"] == "助詞", F.coalesce(L.look_up(V.KNP_FUNCTION, t["surface"]), F.lit("UNKNOWN")))
         return F.struct(start.alias("start"), (start + F.get("_len", i)).alias("end"), F.coalesce(L.look_up(V.KNP_ATOM, t["pos"]), F.lit("OTHER")).alias("atom_type"), function.alias("function"), flags(t).cast(_FLAGS).alias("inflections"))
 
-    df = df.withColumn("spans", F.transform("tokens", span))
+    df = X.computed(df, spans=F.transform("tokens", span))
     cut = lambda g, make: F.transform(g, lambda x: make(F.get("spans", x["i"])["start"], F.get("spans", x["j"] - 1)["end"], F.slice("tokens", x["i"] + 1, x["j"] - x["i"])))
-    df = df.withColumn("b_spans", cut(_groups(F.col("b_starts"), F.col("_n")), lambda a, b, _: F.struct(a.alias("start"), b.alias("end"))))
+    df = X.computed(df, b_spans=cut(_groups(F.col("b_starts"), F.col("_n")), lambda a, b, _: F.struct(a.alias("start"), b.alias("end"))))
 
     def chunk(a: Column, b: Column, own: Column) -> Column:
         any_pos = lambda *p: F.exists(own, lambda t: t["pos"].isin(*p))
@@ -95,5 +96,5 @@ def knp_records(sentences: DataFrame) -> DataFrame:
         )
         return F.struct(a.alias("start"), b.alias("end"), role.alias("role"))
 
-    df = df.withColumn("bunsetsu", cut(_groups(F.col("bunsetsu_starts"), F.col("_n")), chunk))
+    df = X.computed(df, bunsetsu=cut(_groups(F.col("bunsetsu_starts"), F.col("_n")), chunk))
     return _finished(df, F.lit("kwdlc"), F.col("document_id"))

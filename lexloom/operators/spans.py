@@ -33,7 +33,8 @@ def partition(start: Column, end: Column, points: Column) -> Column:
     """Spans (start, end) from start to end, cut at the points between."""
     own = F.filter(sorted_unique(points), lambda x: (x > start) & (x < end))
     cuts = F.concat(own, F.when(end > start, F.array(end)).otherwise(F.array().cast("array<int>")))
-    return F.transform(cuts, lambda p, i: F.struct(F.when(i == 0, start).otherwise(F.get(cuts, i - 1)).cast("int").alias("start"), p.cast("int").alias("end")))
+    each = lambda cuts: F.transform(cuts, lambda p, i: F.struct(F.when(i == 0, start).otherwise(F.get(cuts, i - 1)).cast("int").alias("start"), p.cast("int").alias("end")))
+    return X.let(cuts, each)
 
 
 def first_missing_level(levels: dict[str, Column]) -> Column:
@@ -60,8 +61,8 @@ def positive_labels(logits: Column, labels: list[str]) -> Column:
 
 def softmax_confidence(logits: Column) -> Column:
     """The softmax probability of the largest value."""
-    most = F.array_max(logits)
-    return 1 / F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - most.cast("double")))
+    total = lambda most: F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - most))
+    return 1 / X.let(F.array_max(logits).cast("double"), total)
 
 
 def inside(spans: Column, parent: Column) -> Column:
@@ -101,15 +102,14 @@ def inside_parent(parents: Column, child: Column) -> Column:
 def surrogate_boundaries(sentences: DataFrame) -> DataFrame:
     """sentences with boundaries that stand in for an analyser's: runs of one script, runs with the white space after
     them, groups that end in punctuation. Nested by construction; not linguistic."""
-    s = sentences.withColumn("_ch", X.chars(F.col("text"))).withColumn("_s", F.transform("_ch", X.script)).withColumn("_n", F.length("text"))
-    every = F.sequence(F.lit(1), F.col("_n"))
-    at = lambda i: F.get("_s", i)
-    s = s.withColumn("_a", F.filter(every, lambda i: (i == F.col("_n")) | (at(i - 1) != at(i))))
-    s = s.withColumn("_b", F.filter("_a", lambda i: (i == F.col("_n")) | (at(i) != "WHITESPACE")))
-    s = s.withColumn("_c", F.filter("_b", lambda i: (i == F.col("_n")) | (at(i - 1) == "PUNCT") | ((at(i - 1) == "WHITESPACE") & (at(i - 2) == "PUNCT"))))
-    n = F.array("_n")
-    own = F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"), F.col("_c").alias("bunsetsu"), n.alias("clause"), n.alias("sentence"))
-    return s.withColumn("boundaries", own).drop("_ch", "_n", "_a", "_b", "_c").withColumnRenamed("_s", "scripts")
+    s = X.computed(sentences, scripts=F.transform(X.chars(F.col("text")), X.script))
+    n = F.length("text")
+    at = lambda i: F.get("scripts", i)
+    s = X.computed(s, _a=F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (at(i - 1) != at(i))))
+    s = X.computed(s, _b=F.filter("_a", lambda i: (i == n) | (at(i) != "WHITESPACE")))
+    c = F.filter("_b", lambda i: (i == n) | (at(i - 1) == "PUNCT") | ((at(i - 1) == "WHITESPACE") & (at(i - 2) == "PUNCT")))
+    own = F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"), c.alias("bunsetsu"), F.array(n).alias("clause"), F.array(n).alias("sentence"))
+    return X.computed(s, boundaries=own).drop("_a", "_b")
 
 
 def surrogate_atom(kind: Column, p: Column) -> Column:
@@ -128,4 +128,4 @@ def surrogate_records(sentences: DataFrame) -> DataFrame:
     s = surrogate_boundaries(sentences)
     cut = lambda level: partition(F.lit(0), F.length("text"), F.col(f"boundaries.{level}"))
     label = lambda make: lambda p: make(F.get("scripts", p["end"] - 1), p)
-    return s.withColumn("spans", F.transform(cut("a"), label(surrogate_atom))).withColumn("b_spans", cut("b")).withColumn("bunsetsu", F.transform(cut("bunsetsu"), label(surrogate_role)))
+    return X.computed(s, spans=F.transform(cut("a"), label(surrogate_atom)), b_spans=cut("b"), bunsetsu=F.transform(cut("bunsetsu"), label(surrogate_role)))

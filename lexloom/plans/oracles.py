@@ -21,9 +21,9 @@ def _sentences(name: str, source: str) -> str:
 {name}_d AS ({source}),
 {name}_p AS (SELECT source, document_id, unnest(regexp_extract_all(text, '{PIECE}')) AS piece, generate_subscripts(regexp_extract_all(text, '{PIECE}'), 1) AS pos
   FROM {name}_d WHERE length(text) > 0 AND length(source) > 0 AND length(document_id) > 0),
-{name}_q AS (SELECT source, document_id, pos, sum(length(piece)) OVER (PARTITION BY source, document_id ORDER BY pos) - length(piece) + length(piece) - length(regexp_replace(piece, '^[{WS}]+', '')) AS at,
+{name}_q AS (SELECT source, document_id, pos, sum(length(piece)) OVER (PARTITION BY source, document_id ORDER BY pos) - length(piece) + length(piece) - length(regexp_replace(piece, '^[{WS}]+', '')) AS spot,
   regexp_replace(regexp_replace(piece, '^[{WS}]+', ''), '[{WS}]+$', '') AS text FROM {name}_p),
-{name} AS (SELECT text, source, document_id, (row_number() OVER (PARTITION BY source, document_id ORDER BY pos) - 1)::INT AS sentence_index, at::INT AS document_start, (at + length(text))::INT AS document_end,
+{name} AS (SELECT text, source, document_id, (row_number() OVER (PARTITION BY source, document_id ORDER BY pos) - 1)::INT AS sentence_index, spot::INT AS document_start, (spot + length(text))::INT AS document_end,
   sha256(trim(regexp_replace(text, '[{WS}]+', ' ', 'g'))) AS dedup_key FROM {name}_q WHERE length(text) BETWEEN 4 AND 128)"""
 
 
@@ -98,8 +98,8 @@ def _names(names: list[str]) -> str:
 
 
 def _label_scores(label, names: list[str], gold: str, pred: str) -> str:
-    return f"""{R}, i AS (SELECT sc, {gold} AS g, {pred} AS p, unnest(range(1, n + 1)) AS at FROM r),
-e AS (SELECT {label("sc[list_filter(g, lambda x: x >= at)[1]]")} AS e, {label("sc[list_filter(p, lambda x: x >= at)[1]]")} AS a FROM i),
+    return f"""{R}, i AS (SELECT sc, {gold} AS g, {pred} AS p, unnest(range(1, n + 1)) AS spot FROM r),
+e AS (SELECT {label("sc[list_filter(g, lambda x: x >= spot)[1]]")} AS e, {label("sc[list_filter(p, lambda x: x >= spot)[1]]")} AS a FROM i),
 f AS (SELECT e, a, count(*) AS k FROM e GROUP BY ALL),
 t AS (SELECT label, coalesce(sum(k) FILTER (e = label AND a = label), 0) AS tp, coalesce(sum(k) FILTER (e <> label AND a = label), 0) AS fp, coalesce(sum(k) FILTER (e = label AND a <> label), 0) AS fn
   FROM {_names(names)} LEFT JOIN f ON e = label OR a = label GROUP BY label),

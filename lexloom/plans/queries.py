@@ -195,7 +195,7 @@ def _perturbed(spark, d):
     """Surrogate records without the endpoints (but the last) that leave 3 when divided by 7."""
     drop = lambda c: F.filter(c, lambda x: (x == F.length("text")) | (x % 7 != 3))
     own = [drop(F.col(f"boundaries.{level}")).alias(level) for level in ("a", "b", "bunsetsu")]
-    return _records(spark, d).withColumn("boundaries", F.struct(*own, "boundaries.clause", "boundaries.sentence"))
+    return X.computed(_records(spark, d), boundaries=F.struct(*own, F.col("boundaries.clause").alias("clause"), F.col("boundaries.sentence").alias("sentence")))
 
 
 def _relabelled(records: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def _relabelled(records: DataFrame) -> DataFrame:
     atom = lambda p: spans.surrogate_atom(F.get("scripts", p["end"] - 1), p)
     role = lambda p: spans.surrogate_role(F.get("scripts", p["end"] - 1), p)
     cut = lambda level: spans.partition(F.lit(0), n, F.col(f"boundaries.{level}"))
-    return records.withColumn("spans", F.transform(cut("a"), atom)).withColumn("b_spans", cut("b")).withColumn("bunsetsu", F.transform(cut("bunsetsu"), role))
+    return X.computed(records, spans=F.transform(cut("a"), atom), b_spans=cut("b"), bunsetsu=F.transform(cut("bunsetsu"), role))
 
 
 def _pairs(spark, d):
