@@ -7,13 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions import text as X
 from lexloom.functions import vocabulary as V
 from lexloom.operators.features import last_covering
 
 
 def paired(gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
     """(key, gold, pred) structs; a record on one side only is an error."""
-    pack = lambda df, name: df.select(key, F.struct(*df.columns).alias(name))
+    pack = lambda df, name: X.computed(df, **{name: F.struct(*df.columns)}).select(key, name)
     out = pack(gold, "gold").join(pack(predicted, "pred"), key, "full")
     return out.where(F.when(F.col("gold").isNull() | F.col("pred").isNull(), F.raise_error(F.lit("gold/prediction lengths differ"))).otherwise(F.lit(True)))
 
@@ -68,7 +69,7 @@ def char_inflections(side: str) -> Column:
 def confusion(pairs: DataFrame, labels) -> DataFrame:
     """(expected, actual, n) of characters; labels: a column of each side's labels. Characters without gold go."""
     both = F.arrays_zip(labels("gold").alias("expected"), labels("pred").alias("actual"))
-    return pairs.select(F.explode(both).alias("x")).select("x.expected", "x.actual").where("expected is not null").groupBy("expected", "actual").agg(F.count("*").alias("n"))
+    return X.computed(pairs, both=both).select(F.explode("both").alias("x")).select("x.expected", "x.actual").where("expected is not null").groupBy("expected", "actual").agg(F.count("*").alias("n"))
 
 
 def label_scores(counted: DataFrame, labels: list[str]) -> DataFrame:
@@ -91,7 +92,7 @@ def multilabel_scores(pairs: DataFrame, labels: list[str] = V.INFLECTIONS) -> Da
     """(label, tp, fp, fn, ...) of sets of labels by character; a missing prediction is the empty set."""
     none = F.array().cast("array<string>")
     both = F.arrays_zip(char_inflections("gold").alias("expected"), char_inflections("pred").alias("actual"))
-    rows = pairs.select(F.explode(both).alias("x")).select(F.array_distinct("x.expected").alias("e"), F.array_distinct(F.coalesce("x.actual", none)).alias("a")).where("e is not null")
+    rows = X.computed(pairs, both=both).select(F.explode("both").alias("x")).select(F.array_distinct("x.expected").alias("e"), F.array_distinct(F.coalesce("x.actual", none)).alias("a")).where("e is not null")
     rows = rows.groupBy("e", "a").agg(F.count("*").alias("n"))
     each = [F.struct(F.lit(x).alias("label"), F.array_contains("e", x).alias("e"), F.array_contains("a", x).alias("a")) for x in labels]
     x = rows.select("n", F.explode(F.array(*each)).alias("x"))

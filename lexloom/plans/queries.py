@@ -246,7 +246,7 @@ def _literal_pairs(spark):
     rec = C.records(C.compile_records(literals.raw(spark))).withColumn("id", F.col("document_id"))
     flip = F.transform("spans", lambda s: s.withField("inflections", F.when(s["atom_type"] == "AUXILIARY", F.array(F.lit("NEGATIVE"))).otherwise(s["inflections"])).withField("function", F.when(s["function"] == "OBJECT", "TOPIC").otherwise(s["function"])))
     keep = ["id", "text", "boundaries", "spans", "b_spans", "bunsetsu"]
-    return score.paired(rec.select(*keep), rec.withColumn("spans", flip).select(*keep), "id")
+    return score.paired(rec.select(*keep), X.computed(rec, spans=flip).select(*keep), "id")
 
 
 def inflection_multilabel(spark, d):
