@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexloom.functions import text as X
 
@@ -32,8 +34,6 @@ def _votes(text: str) -> int:
     value = _SPACE.sub(" ", text).strip(" ")
     if not value:
         return 0
-    import numpy as np
-
     counted: dict[str, int] = {}
     for i in range(max(1, len(value) - GRAM + 1)):
         g = value[i : i + GRAM]
@@ -45,7 +45,7 @@ def _votes(text: str) -> int:
     return int(np.packbits(up).view(">i8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def simhash64(text: pd.Series) -> pd.Series:
     """Fingerprints by blake2b, which Spark lacks; signed, null of null."""
     return pd.Series([None if t is None else _votes(t) for t in text], dtype="Int64")
@@ -74,11 +74,21 @@ def near_pairs(docs: DataFrame, distance: int = DISTANCE, width: int = BAND_BITS
     gives as many pairs as it has members.
     """
     first = docs.groupBy("fp").agg(F.min("seq").alias("seq"))
-    same = docs.join(first.withColumnRenamed("seq", "a"), "fp").where("seq <> a").select("a", F.col("seq").alias("b"))
+    return first_pairs(first, distance, width, bits).union(copies(docs).select(F.col("first").alias("a"), F.col("seq").alias("b")))
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """(seq, first) of documents (seq, fp) that are not the first of their fingerprint."""
+    first = docs.groupBy("fp").agg(F.min("seq").alias("first"))
+    return docs.join(first, "fp").where("seq <> first").select("seq", "first")
+
+
+def first_pairs(first: DataFrame, distance: int, width: int, bits: int) -> DataFrame:
+    """(a, b) with a before b, of documents (seq, fp) of distinct fingerprints."""
     banded = first.select("seq", "fp", F.explode(bands(F.col("fp"), width, bits)).alias("k")).select("seq", "fp", "k.band", "k.value")
     other = banded.withColumnsRenamed({"seq": "b", "fp": "fp_b"})
     close = banded.join(other, ["band", "value"]).where((F.col("seq") < F.col("b")) & (X.hamming_distance(F.col("fp"), F.col("fp_b")) <= distance))
-    return close.select(F.col("seq").alias("a"), "b").distinct().union(same)
+    return close.select(F.col("seq").alias("a"), "b").distinct()
 
 
 def _kept_rows(frame: DataFrame) -> DataFrame:
@@ -125,7 +135,10 @@ def dispositions(docs: DataFrame, least: int = MIN_CHARS, distance: int = DISTAN
     keyed = _kept_rows(first_copies(ok).select("seq", "document_key", "is_first", "text"))
     distinct = keyed.where("is_first").select("seq", "document_key", F.when(F.length("text") >= least, F.col("text")).alias("long"))
     prints = _kept_rows(distinct.where(F.col("long").isNotNull()).select("seq", simhash64("long").alias("fp")))
-    kept = greedy_keep(distinct, near_pairs(prints, distance)).withColumn("kept", F.lit(True))
+    # whatever becomes of the first of a fingerprint, its later copies are near it or near what dropped it
+    later = _kept_rows(copies(prints))
+    first = prints.join(later, "seq", "left_anti")
+    kept = greedy_keep(distinct.join(later, "seq", "left_anti"), first_pairs(first, distance, BAND_BITS, 64)).withColumn("kept", F.lit(True))
     by_key = distinct.join(kept, "seq", "left").select("document_key", F.coalesce("kept", F.lit(False)).alias("text_kept"))
     told = keyed.join(by_key, "document_key").select("seq", F.when(~F.col("text_kept"), "near").when(F.col("is_first"), "kept").otherwise("exact").alias("disposition"))
     return docs.join(told, "seq", "left").withColumn("disposition", F.coalesce("disposition", F.lit("invalid")))

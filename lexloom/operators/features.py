@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,13 +54,9 @@ def encode_text(rows: DataFrame, codepoints: int = 8192, bigrams: int = 8192) ->
 
     Hashes are taken of whole arrays at once, in Arrow batches; all else is built in.
     """
-    import pandas as pd
-
     def hashed(n: int):
         @F.pandas_udf("array<int>")
         def run(v: pd.Series) -> pd.Series:
-            import numpy as np
-
             sizes = [len(x) for x in v]
             flat = np.concatenate([np.asarray(x, np.int64) for x in v]) if len(v) else np.zeros(0, np.int64)
             own = (X.mix64(flat) & np.uint64(n - 1)).astype(np.int32)
