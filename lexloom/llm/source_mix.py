@@ -25,6 +25,8 @@ from lexloom.llm.common import checkpointed, table
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
 #: Documents of a block; rows of a source that are ranked in one sort.
 BLOCK_DOCS, BIN_ROWS = 32, 4096
+#: Sources up to which a table of one row a source is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 #: Words of an output shard; the splitting tree has as many levels as that takes, and LEVELS at least.
 SHARD_WORDS, LEVELS = 1 << 26, 4
 WORD = r"[^\x20\x09-\x0D]+"
@@ -158,7 +160,7 @@ def draws(sized: DataFrame, seed: int = 0, levels: int | None = None, **params)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0).cast("long")
     targets = targets.withColumn("passes", passes).withColumn("rest", F.greatest(F.lit(0), F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long")))
     targets = checkpointed(targets.join(known.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
-    plan = F.broadcast(targets) if targets.count() <= 100_000 else targets
+    plan = F.broadcast(targets) if targets.count() <= BROADCAST_SOURCES else targets
     u = F.xxhash64(F.lit(seed), F.lit("order"), "row_id")
     rows = sized.where("size > 0").join(plan.select(F.col("source").alias("s"), "source_no", "n", "passes", "rest"), F.col("source").eqNullSafe(F.col("s")))
     bins = F.floor(F.shiftrightunsigned(u, 12) / float(1 << 52) * F.ceil(F.col("n") / BIN_ROWS)).cast("long")
@@ -190,7 +192,7 @@ def draws(sized: DataFrame, seed: int = 0, levels: int | None = None, **params)
         lambda s, x: F.when(x["size"] <= s.left, F.struct((s.left - x["size"]).alias("left"), F.concat(s.ids, F.array(x.row_id)).alias("ids"))).otherwise(s),
         lambda s: s.ids,
     )
-    fits = ranked.join(F.broadcast(last) if targets.count() <= 100_000 else last, ["source_no", "block"]).groupBy("source_no", "block").agg(fold.alias("ids")).select(F.explode("ids").alias("fit"))
+    fits = ranked.join(F.broadcast(last) if targets.count() <= BROADCAST_SOURCES else last, ["source_no", "block"]).groupBy("source_no", "block").agg(fold.alias("ids")).select(F.explode("ids").alias("fit"))
 
     if levels is None:
         levels = max(LEVELS, math.ceil(math.log2(1 + (targets.agg(F.sum("target")).head()[0] or 0) / SHARD_WORDS)))
@@ -198,13 +200,15 @@ def draws(sized: DataFrame, seed: int = 0, levels: int | None = None, **params)
     shards = split_quotas(quotas, levels, seed)
     # a block's place in its source's random order of given blocks, by bins as above
     v = F.xxhash64(F.lit(seed), F.lit("deal"), "source_no", "block", "pass")
-    given = given.join(F.broadcast(quotas) if targets.count() <= 100_000 else quotas, "source_no")
+    given = given.join(F.broadcast(quotas) if targets.count() <= BROADCAST_SOURCES else quotas, "source_no")
     given = checkpointed(given.select("source_no", "block", "pass", (F.col("part") < F.col("words")).alias("cut"), v.alias("v"), F.floor(F.shiftrightunsigned(v, 12) / float(1 << 52) * F.ceil(F.col("blocks") / BIN_ROWS)).cast("long").alias("bin")))
     base = given.groupBy("source_no", "bin").agg(F.count("*").alias("rows")).select("source_no", "bin", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rows_before"))
     dealt = given.withColumn("k", F.row_number().over(W.partitionBy("source_no", "bin").orderBy("v", "block", "pass")) - 1).join(base, ["source_no", "bin"]).withColumn("k", F.col("k") + F.col("rows_before"))
-    by_source = shards.groupBy("source_no").agg(F.array_sort(F.collect_list(F.struct("first", "n", "shard"))).alias("parts"))
-    own = F.filter("parts", lambda p: (F.col("k") >= p.first) & (F.col("k") < p.first + p.n))
-    dealt = dealt.join(F.broadcast(by_source) if targets.count() <= 10_000 else by_source, "source_no").select("source_no", "block", "pass", "cut", own[0].shard.alias("shard"))
+    # the shards' ranges of places, met by stretches of BIN_ROWS places
+    stretch = lambda place: F.floor(place / BIN_ROWS).cast("long")
+    ranges = shards.select(F.col("source_no").alias("s"), "shard", "first", "n", F.explode(F.sequence(stretch(F.col("first")), stretch(F.col("first") + F.col("n") - 1))).alias("stretch"))
+    inside = (F.col("source_no") == F.col("s")) & (stretch(F.col("k")) == F.col("stretch")) & (F.col("k") >= F.col("first")) & (F.col("k") < F.col("first") + F.col("n"))
+    dealt = dealt.join(ranges, inside).select("source_no", "block", "pass", "cut", "shard")
 
     taken = ranked.select("row_id", "source_no", "block").join(dealt, ["source_no", "block"]).join(fits, F.col("row_id") == F.col("fit"), "left").where("not cut or fit is not null")
     place = F.xxhash64(F.lit(seed), F.lit("local"), "shard", "pass", "row_id")
@@ -225,7 +229,9 @@ def mix_words(docs: DataFrame, **params) -> DataFrame:
     rows = _numbered(docs, ["doc_id", "source"])
     taken, targets = draws(rows.select("row_id", "source", "size"), **params)
     times = taken.groupBy("row_id").agg(F.count("*").alias("times"))
-    t = F.broadcast(targets.withColumnRenamed("source", "s"))
+    few = targets.count() <= BROADCAST_SOURCES
+    t = targets.withColumnRenamed("source", "s")
+    t = F.broadcast(t) if few else t
     return rows.join(times, "row_id", "left").join(t, F.col("source").eqNullSafe(F.col("s"))).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("times", F.lit(0))).alias("taken")
     )
