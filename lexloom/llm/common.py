@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text of one numpy step, in bytes; a longer document is a step of its own.
-PIECE_BYTES = 6 << 20
+PIECE_BYTES = 2 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER_BYTES = np.arange(256, dtype=np.uint8)
@@ -62,6 +64,20 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
+def tidy(run: Callable) -> Callable:
+    """run (batches to batches); at its end freed memory goes back to the system, for workers outlive their tasks."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, one after another, and the offsets of the texts; null is empty."""
     texts = pc.fill_null(texts, "")

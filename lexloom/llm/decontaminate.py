@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.common import ALNUM, Words, hashes, lists, pieces, ragged, table
+from lexloom.llm.common import ALNUM, Words, hashes, lists, pieces, ragged, table, tidy
 
 #: Words of a test phrase; text of test items that one pass over the documents searches for (and broadcasts).
 WINDOW, BLOCK_CHARS = 10, 16 << 20
@@ -170,6 +170,7 @@ def _spans(marks: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _search(phrases, keep: list[str], cut: bool):
     """Adds what one block of items hits to what earlier blocks hit (`spans`: word numbers, `items`)."""
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = phrases.value
         for batch in pieces(batches):

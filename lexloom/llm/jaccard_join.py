@@ -17,12 +17,11 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import NOT_SPACE, Words, checkpointed, hashes, lists, mix, pieces, ragged, table
+from lexloom.llm.common import NOT_SPACE, Words, checkpointed, hashes, lists, mix, pieces, table, tidy
 from lexloom.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
@@ -81,6 +80,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+@tidy
 def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, n, digest) of documents, and rows (token, count) of tokens that look frequent to this task."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.string()), ("token", pa.int64()), ("count", pa.int64())])
@@ -110,6 +110,7 @@ def first_order(values: np.ndarray, keys: np.ndarray, ranks: np.ndarray) -> tupl
 
 
 def _prefixes(known):
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ranks = known.value
         for batch in pieces(batches):
@@ -126,12 +127,14 @@ def _prefixes(known):
     return run
 
 
+@tidy
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         values, sizes = shingle_sets(batch["text"])
         yield pa.RecordBatch.from_arrays([batch["doc_id"], lists(_signed(values), sizes)], names=["doc_id", "tokens"])
 
 
+@tidy
 def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, sketch): the low 24 bits of each token, ascending, three bytes each."""
     for batch in pieces(batches):
@@ -141,9 +144,10 @@ def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(own, pa.binary())], names=["doc_id", "sketch"])
 
 
-def _opened(sketch: bytes) -> np.ndarray:
-    out = np.zeros((len(sketch) // 3, 4), np.uint8)
-    out[:, :3] = np.frombuffer(sketch, np.uint8).reshape(-1, 3)
+def _opened(sketch: pa.BinaryScalar) -> np.ndarray:
+    low = np.frombuffer(sketch.as_buffer(), np.uint8).reshape(-1, 3)
+    out = np.zeros((len(low), 4), np.uint8)
+    out[:, :3] = low
     return out.reshape(-1).view("<u4")
 
 
@@ -170,10 +174,11 @@ def _links(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _kept(test, opened):
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keep = [test(opened(x), opened(y)) for x, y in zip(pdf["own_a"], pdf["own_b"], strict=True)]
-            yield pdf.loc[keep, ["a", "b"]]
+    @tidy
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [test(opened(x), opened(y)) for x, y in zip(batch["own_a"], batch["own_b"], strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -185,13 +190,13 @@ def _checked(pairs: DataFrame, docs: DataFrame, read, schema: str, test, opened)
     own = checkpointed(docs.join(near, "doc_id", "left_semi").mapInArrow(read, schema).toDF("doc_id", "own"))
     a = own.select(F.col("doc_id").alias("a"), F.col("own").alias("own_a"))
     b = own.select(F.col("doc_id").alias("b"), F.col("own").alias("own_b"))
-    return checkpointed(pairs.join(a, "a").join(b, "b").mapInPandas(_kept(test, opened), "a long, b long").distinct())
+    return checkpointed(pairs.join(a, "a").join(b, "b").mapInArrow(_kept(test, opened), "a long, b long").distinct())
 
 
 def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (a, b) of representatives those that link: by sketches first, then exactly."""
     possible = _checked(checkpointed(pairs), docs, _sketches, "doc_id long, sketch binary", _may_link, _opened)
-    return _checked(possible, docs, _sets, "doc_id long, tokens array<long>", _links, np.asarray)
+    return _checked(possible, docs, _sets, "doc_id long, tokens array<long>", _links, lambda tokens: tokens.values.to_numpy())
 
 
 def _bounds(pos_a: str, n_a: str, pos_b: str, n_b: str):

@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import lists, pieces, ragged, shared_folder, table, text_bytes
+from lexloom.llm.common import lists, pieces, ragged, shared_folder, table, text_bytes, tidy
 
 END_ID, BLOCK_IDS, CHUNK_IDS, LEVEL = 2, 1 << 15, 1 << 18, 3
 HEAD = struct.Struct("<4sBBHIQI")
 #: Segments whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Shards up to which the table of their first ids (16 bytes each) is broadcast.
 BROADCAST_SHARDS = 100_000
 
@@ -177,6 +177,7 @@ def _with_ends(ids: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
 
 
 def _chunks(path: str, end: int, planes: int, block: int, chunk_ids: int):
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, chunk, first = Encoder.of(path), TaskContext.get().partitionId(), 0, 0
         held: list[tuple] = []

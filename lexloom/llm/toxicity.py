@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import ALNUM, UPPER, Words, checkpointed, lists, pieces, remainder, table
+from lexloom.llm.common import ALNUM, UPPER, Words, checkpointed, lists, pieces, remainder, table, tidy
 
 #: Labelled rows of each class from which words are mined, and rows with posteriors to which the classifier is fitted
 #: (all toxic-looking patterns among them); the rows of smallest hash of their id are taken.
@@ -44,6 +44,7 @@ def _keys(word: str) -> list[str]:
     return [word, *(word[:k] + "~" for k in STEMS if len(word) > k)]
 
 
+@tidy
 def _mine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, toxic, clean): in how many documents of each class a word or beginning is."""
     counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -112,6 +113,7 @@ def _patterns(texts: list[str | None], marked: np.ndarray, words: np.ndarray) ->
 
 
 def _features(lexicon: Lexicon):
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             words = Words(batch["text"], ALNUM)
