@@ -3,13 +3,14 @@
 Words are counted over all training documents. The most frequent are words of the model, in classes of equal size by
 frequency; each other word belongs to a kind, a class that its spelling gives (beyond-ASCII letter, ending, length).
 The model gives P(class | state) and, within a class of its words, P(word | class, state); within a kind, words have
-their smoothed share of the kind. It is trained by truncated backpropagation in numpy: in each round every task trains
-on its share of a fixed fraction of the training documents, then the tasks' weights are averaged. A document's score
-carries the state through the whole document, window by window.
+their smoothed share of the kind. It is trained by truncated backpropagation in numpy on every training document, once:
+each document belongs to one round, in each round every task trains on its documents block by block, then the tasks'
+weights are averaged. A document's score carries the state through the whole document, window by window.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,14 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import NOT_SPACE, Words, checkpointed, hashes, lists, pieces, remainder, table, text_bytes
+from lexloom.llm.common import NOT_SPACE, Words, checkpointed, hashes, lists, pieces, remainder, table, text_bytes, tidy
 
 #: Words of the model, words of a class, size of the state and of word vectors.
 MODEL_WORDS, CLASS_WORDS, STATE, VECTOR = 2000, 50, 32, 16
 #: Words whose counts are broadcast (16 bytes each); counts of rarer words are joined by a shuffle.
 KNOWN_WORDS = 400_000
-#: One training document in EVERY trains the weights, in ROUNDS parts; lanes and steps of a window of backpropagation.
-EVERY, ROUNDS, LANES, STEPS, RATE = 8, 6, 32, 24, 0.008
+#: The training documents are dealt to ROUNDS; lanes and steps of a window of backpropagation.
+ROUNDS, LANES, STEPS, RATE = 6, 32, 24, 0.008
+#: A task's later blocks have WIDE lanes; a block is WINDOWS windows, all that a task holds of its documents at once.
+WIDE, WINDOWS = 256, 64
+#: Rows of the output layer that training works on at once.
+ROWS = 2048
 #: Tokens that a task scores at once.
 SCORED_TOKENS = 3_000_000
 SMOOTH = 0.1
@@ -213,71 +218,113 @@ class Model:
         """Gradients over one window (lanes, steps) and the state after it. An input of 0 begins a document."""
         g = Model(self.v, np.zeros_like(self.flat))
         lanes, steps = inputs.shape
-        k, e = STATE, self.e[inputs]
-        x = e @ self.wx + self.b
-        kept = []
+        k, read = STATE, inputs.T.reshape(-1)
+        x = (self.e @ self.wx + self.b)[read].reshape(steps, lanes, 3 * k)
+        going = (inputs.T != 0).astype(x.dtype)[:, :, None]
+        before, n, after = (np.empty((steps, lanes, k), x.dtype) for _ in range(3))
+        a, gates = np.empty_like(x), np.empty((steps, lanes, 2 * k), x.dtype)
         for t in range(steps):
-            h = h * (inputs[:, t] != 0)[:, None]
-            a = h @ self.u
-            gates = _sigmoid(x[:, t, : 2 * k] + a[:, : 2 * k])
-            z, r = gates[:, :k], gates[:, k:]
-            n = np.tanh(x[:, t, 2 * k :] + r * a[:, 2 * k :])
-            kept.append((h, a, z, r, n))
-            h = n + z * (h - n)
-        after = np.stack([*(s[0] for s in kept[1:]), h], 1)
-        # states before a document's begin were reset: take what each step gave
-        for t in range(steps - 1):
-            p, _, z, _, n = kept[t]
-            after[:, t] = n + z * (p - n)
-        s, target = after.reshape(-1, k), targets.reshape(-1)
-        c = self.v.class_of[target]
-        logits = s @ self.wc + self.bc
-        d = np.exp(logits - logits.max(1, keepdims=True))
-        d /= d.sum(1, keepdims=True)
-        d[np.arange(len(c)), c] -= 1
-        d /= len(c)
-        g.wc[:], g.bc[:] = s.T @ d, d.sum(0)
-        ds = d @ self.wc.T
-        for rows, words in self.words_of(c):
-            within = s[rows] @ self.wo[words].T + self.bo[words]
-            d = np.exp(within - within.max(1, keepdims=True))
-            d /= d.sum(1, keepdims=True)
-            d[np.arange(len(rows)), target[rows] - words[0]] -= 1
-            d /= len(c)
-            g.wo[words], g.bo[words] = d.T @ s[rows], d.sum(0)
-            ds[rows] += d @ self.wo[words]
-        ds = ds.reshape(lanes, steps, k)
-        dx, carry = np.empty_like(x), np.zeros_like(h)
+            h = np.multiply(h, going[t], out=before[t])
+            np.matmul(h, self.u, out=a[t])
+            gates[t] = _sigmoid(x[t, :, : 2 * k] + a[t, :, : 2 * k])
+            np.tanh(x[t, :, 2 * k :] + gates[t, :, k:] * a[t, :, 2 * k :], out=n[t])
+            h = np.add(n[t], gates[t, :, :k] * (h - n[t]), out=after[t])
+        ds = self._output_gradient(g, after.reshape(-1, k), targets.T.reshape(-1)).reshape(steps, lanes, k)
+        z, r = gates[:, :, :k], gates[:, :, k:]
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), a[:, :, 2 * k :] * r * (1 - r)
+        dx, da, carry, back = np.empty_like(x), np.empty_like(x), np.zeros_like(h), np.ascontiguousarray(self.u.T)
         for t in range(steps - 1, -1, -1):
-            p, a, z, r, n = kept[t]
-            dh = ds[:, t] + carry
-            dn = dh * (1 - z) * (1 - n * n)
-            dz, dr = dh * (p - n) * z * (1 - z), dn * a[:, 2 * k :] * r * (1 - r)
-            da = np.concatenate([dz, dr, dn * r], 1)
-            dx[:, t] = np.concatenate([dz, dr, dn], 1)
-            g.u += p.T @ da
-            carry = (dh * z + da @ self.u.T) * (inputs[:, t] != 0)[:, None]
+            dh = ds[t] + carry
+            dn = np.multiply(dh, to_n[t], out=dx[t, :, 2 * k :])
+            np.multiply(dh, to_z[t], out=dx[t, :, :k])
+            np.multiply(dn, to_r[t], out=dx[t, :, k : 2 * k])
+            da[t, :, : 2 * k] = dx[t, :, : 2 * k]
+            np.multiply(dn, r[t], out=da[t, :, 2 * k :])
+            carry = (dh * z[t] + da[t] @ back) * going[t]
+        g.u[:] = before.reshape(-1, k).T @ da.reshape(-1, 3 * k)
         flat = dx.reshape(-1, 3 * k)
-        g.wx[:], g.b[:] = e.reshape(-1, VECTOR).T @ flat, flat.sum(0)
-        np.add.at(g.e, inputs.reshape(-1), flat @ self.wx.T)
+        g.wx[:], g.b[:] = self.e[read].T @ flat, flat.sum(0)
+        order = np.argsort(read, kind="stable")
+        first = np.flatnonzero(np.diff(read[order], prepend=-1))
+        g.e[read[order][first]] = np.add.reduceat((flat @ self.wx.T)[order], first, axis=0)
         return g.flat, h
 
-    def train(self, stream: np.ndarray, rate: float) -> int:
-        """Adam over the stream (documents, each with its end), cut into lanes; the tokens trained on."""
-        lanes = max(1, min(LANES, len(stream) // STEPS))
-        length = len(stream) // lanes
-        if not length:
-            return 0
-        targets = stream[: lanes * length].reshape(lanes, length)
-        before = np.concatenate([[0], stream])[: lanes * length].reshape(lanes, length)
-        h, m, v = np.zeros((lanes, STATE), np.float32), np.zeros_like(self.flat), np.zeros_like(self.flat)
-        for i, t in enumerate(range(0, length, STEPS), 1):
-            gradient, h = self.window(before[:, t : t + STEPS], targets[:, t : t + STEPS], h)
-            gradient *= min(1.0, 5.0 / (np.linalg.norm(gradient) + 1e-9))
-            m += 0.1 * (gradient - m)
-            v += 0.01 * (gradient * gradient - v)
-            self.flat -= rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-6)
-        return lanes * length
+    def _output_gradient(self, g: Model, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """The gradient by states of the mean loss of targets; those of the output's weights go into g."""
+        order = np.argsort(self.v.class_of[targets], kind="stable")
+        s, target = states[order], targets[order]
+        c, ds, each = self.v.class_of[target], np.empty_like(states), 1 / len(targets)
+
+        def errors(logits: np.ndarray, right: np.ndarray) -> np.ndarray:
+            logits -= logits.max(1, keepdims=True)
+            np.exp(logits, out=logits)
+            logits *= (each / (logits @ np.ones(logits.shape[1], logits.dtype)))[:, None].astype(logits.dtype)
+            logits[np.arange(len(right)), right] -= each
+            return logits
+
+        for at in range(0, len(c), ROWS):
+            part = slice(at, at + ROWS)
+            d = errors(s[part] @ self.wc + self.bc, c[part])
+            g.wc += s[part].T @ d
+            g.bc += d.sum(0)
+            np.matmul(d, self.wc.T, out=ds[part])
+        bounds = np.searchsorted(c, np.arange(1, self.v.classes + 1))
+        for i in range(1, self.v.classes):
+            rows, words = slice(bounds[i - 1], bounds[i]), self.v.in_class[i]
+            if bounds[i - 1] < bounds[i]:
+                own = slice(words[0], words[-1] + 1)
+                d = errors(s[rows] @ self.wo[own].T + self.bo[own], target[rows] - words[0])
+                g.wo[own], g.bo[own] = d.T @ s[rows], d.sum(0)
+                ds[rows] += d @ self.wo[own]
+        out = np.empty_like(ds)
+        out[order] = ds
+        return out
+
+    def train(self, streams: Iterable[np.ndarray], rate: float) -> int:
+        """Adam over the streams (documents, each with its end), block by block, each cut into lanes; the tokens trained
+        on, which are all."""
+        m, v = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        i = total = 0
+        for before, targets, lanes in _blocks(streams):
+            h = np.zeros((len(targets), STATE), np.float32)
+            for t in range(0, targets.shape[1], STEPS):
+                own = targets[:, t : t + STEPS]
+                gradient, h = self.window(before[:, t : t + STEPS], own, h)
+                # the last windows are small; each token weighs the same
+                gradient *= min(1.0, 5.0 / (np.linalg.norm(gradient) + 1e-9)) * own.size / (lanes * STEPS)
+                i += 1
+                m *= 0.9
+                m += 0.1 * gradient
+                v *= 0.99
+                gradient *= gradient
+                v += np.multiply(gradient, 0.01, out=gradient)
+                by = np.sqrt(np.multiply(v, 1 / (1 - 0.99**i), out=gradient), out=gradient)
+                by += 1e-6
+                self.flat -= np.divide(m, by, out=by) * (rate / (1 - 0.9**i))
+            total += targets.size
+        return total
+
+
+def _blocks(streams: Iterable[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(inputs, targets, lanes of a whole block) of the tokens of all streams, each token a target once. A task's first
+    block is narrow, so that little data still gives many steps."""
+    lanes, last, held = LANES, 0, np.zeros(0, np.int32)
+
+    def cut(most: int) -> tuple[np.ndarray, np.ndarray, int]:
+        nonlocal last, held
+        own = max(1, min(lanes, most // STEPS))
+        n = most // own * own
+        block, before = held[:n], np.concatenate([[last], held[: n - 1]])
+        last, held = held[n - 1], held[n:]
+        return before.reshape(own, -1), block.reshape(own, -1), lanes
+
+    for stream in streams:
+        held = np.concatenate([held, stream])
+        while len(held) >= lanes * STEPS * WINDOWS:
+            yield cut(lanes * STEPS * WINDOWS)
+            lanes = WIDE
+    while len(held):
+        yield cut(len(held))
 
 
 def _sequences(vocabulary):
@@ -285,18 +332,25 @@ def _sequences(vocabulary):
         for batch in pieces(batches):
             words = Words(batch["text"], NOT_SPACE)
             codes = _with_end(vocabulary.value.look_up(words)[2][words.codes], words.counts)
-            yield pa.RecordBatch.from_arrays([batch["part"], lists(codes, words.counts + 1)], names=["part", "codes"])
+            yield pa.RecordBatch.from_arrays([batch["part"], lists(codes.astype(np.int16), words.counts + 1)], names=["part", "codes"])
 
     return run
 
 
+def hold_memory() -> None:
+    """From now on freed arrays of a window are used again, not given back to the system each time."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:
+        mallopt(-3, 32 << 20)  # arrays up to this size are of the heap
+        mallopt(-1, 64 << 20)  # free memory at the heap's end that is kept
+
+
 def _train(vocabulary, weights, rate: float):
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        streams = [np.asarray(b["codes"].flatten()) for b in batches if b.num_rows]
-        if not streams:
-            return
+        hold_memory()
         model = Model(vocabulary.value, weights.value)
-        n = model.train(np.concatenate(streams), rate)
+        n = model.train((np.asarray(b["codes"].flatten()) for b in batches if b.num_rows), rate)
         if n:
             rows = [(model.flat[a : a + PART] * n).astype(np.float64) for a in range(0, len(model.flat), PART)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([n] * len(rows)), lists(np.concatenate(rows), [len(r) for r in rows])], names=["place", "n", "sums"])
@@ -363,16 +417,16 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
     return Vocabulary(best["word"].to_numpy(np.int64).view(np.uint64), best["kind"].to_numpy(np.int64), best["count"].to_numpy(np.int64), ends, total, distinct, by_kind)
 
 
-def trained(docs: DataFrame, vocabulary, every: int = EVERY, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after rounds of local training and averaging over one document in `every`."""
+def trained(docs: DataFrame, vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights after rounds of local training and averaging; each document is in one round."""
     sc = docs.sparkSession.sparkContext
     order = F.xxhash64(F.lit("train"), "doc_id", "text")
-    some = docs.where(F.pmod(order, F.lit(every)) == 0).select("text", F.pmod(F.shiftright(order, 8), F.lit(rounds)).cast("int").alias("part"))
-    some = checkpointed(some.mapInArrow(_sequences(vocabulary), "part int, codes array<int>"))
+    parts = docs.select("text", F.pmod(F.shiftright(order, 8), F.lit(rounds)).cast("int").alias("part"))
+    parts = checkpointed(parts.mapInArrow(_sequences(vocabulary), "part int, codes array<smallint>"))
     flat = Model(vocabulary.value).flat
     for k in range(rounds):
         weights = sc.broadcast(flat)
-        own = some.where(F.col("part") == k).mapInArrow(_train(vocabulary, weights, RATE * (1 - 0.8 * k / rounds)), "place int, n long, sums array<double>")
+        own = parts.where(F.col("part") == k).mapInArrow(_train(vocabulary, weights, RATE * (1 - 0.8 * k / rounds)), "place int, n long, sums array<double>")
         sums = own.groupBy("place").applyInPandas(_add, "place int, n long, sums array<double>").toPandas().sort_values("place")
         if len(sums):
             flat = (np.concatenate(sums["sums"].tolist()) / sums["n"].iloc[0]).astype(np.float32)

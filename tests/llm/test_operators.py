@@ -358,6 +358,34 @@ def test_lm_gradient():
         assert abs((up - down) / 2e-3 - g[k]) < 2e-3 + 0.05 * abs(g[k])
 
 
+def test_lm_trains_on_every_document(spark):
+    """Each token of each training document, its end included, is a target of the weights once, whatever the block sizes."""
+    rng = np.random.default_rng(2)
+    for sizes in ([], [1], [gated_lm.LANES * gated_lm.STEPS * gated_lm.WINDOWS + 7, 30, 5], rng.integers(1, 90_000, 12)):
+        stream = np.arange(sum(sizes), dtype=np.int32)
+        blocks = list(gated_lm._blocks(np.split(stream, np.cumsum(sizes)[:-1].astype(int)) if len(sizes) else []))
+        targets = np.concatenate([np.zeros(0, np.int32), *(t.reshape(-1) for _, t, _ in blocks)])
+        assert np.array_equal(targets, stream) and all((b == np.maximum(t - 1, 0)).all() for b, t, _ in blocks)
+    docs = spark.createDataFrame([(i, f"w{i}", "en", "s", 1) for i in range(300)], DOC)
+    held, seen = gated_lm._sequences, spark.sparkContext.accumulator(0)
+
+    def counted(vocabulary):
+        def run(batches):
+            for b in held(vocabulary)(batches):
+                seen.add(b.num_rows)
+                yield b
+
+        return run
+
+    counts = docs.select("text").mapInArrow(gated_lm._count, "word long, kind int, count long").groupBy("word", "kind").sum("count").toDF("word", "kind", "count")
+    gated_lm._sequences = counted
+    try:
+        gated_lm.trained(docs, spark.sparkContext.broadcast(gated_lm.vocabulary_of(counts)))
+    finally:
+        gated_lm._sequences = held
+    assert seen.value == 300
+
+
 def test_lm_carries_state_and_sums_to_one():
     m = _model()
     rng = np.random.default_rng(3)
