@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -29,6 +30,11 @@ def grams(text: Column, n: int = GRAM) -> Column:
     return X.let(X.chars(X.comparison_text(text)), lambda c: F.when(F.size(c) > 0, slide(c)).otherwise(F.array().cast("array<string>")))
 
 
+@functools.lru_cache(1 << 17)
+def _digest(gram: str) -> bytes:
+    return hashlib.blake2b(gram.encode(), digest_size=8, person=PERSON).digest()
+
+
 def _votes(text: str) -> int:
     """The 64-bit fingerprint: of each bit, whether at least half of the grams' hashes have it; 0 of an empty text."""
     value = _SPACE.sub(" ", text).strip(" ")
@@ -38,7 +44,7 @@ def _votes(text: str) -> int:
     for i in range(max(1, len(value) - GRAM + 1)):
         g = value[i : i + GRAM]
         counted[g] = counted.get(g, 0) + 1
-    digests = b"".join(hashlib.blake2b(g.encode(), digest_size=8, person=PERSON).digest() for g in counted)
+    digests = b"".join(map(_digest, counted))
     bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
     times = np.fromiter(counted.values(), np.int64, len(counted))
     up = 2 * (times @ bits) >= times.sum()

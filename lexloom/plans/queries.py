@@ -100,12 +100,20 @@ def simhash_md5(spark, d):
 
 
 def near_dup_pairs(spark, d):
+    """The part that SQL can repeat: md5 prints of 32 bits, at most one bit apart. near_dup_pairs64 is the whole job."""
     fp = documents(spark, d).where(F.length("text") >= dedup.MIN_CHARS).select("document_id", "text")
     prints = dedup.simhash_md5(fp).select(F.col("document_id").cast("long").alias("seq"), "fp")
     pairs = dedup.near_pairs(prints, distance=1, width=16, bits=32)
     return pairs.select("a", "b")
 
 
+def near_dup_pairs64(spark, d):
+    """Pairs of at most three bits of 64, by blake2b prints, of all documents of MIN_CHARS or more."""
+    long = documents(spark, d).where(F.length("text") >= dedup.MIN_CHARS)
+    prints = dedup._kept_rows(long.select(F.col("doc_id").alias("seq"), dedup.simhash64("text").alias("fp")))
+    return dedup.near_pairs(prints).select("a", "b")
+
+
 def simhash_bands(spark, d):
     prints = dedup.simhash_md5(documents(spark, d))
     return prints.select("document_id", F.explode(dedup.bands(F.col("fp"), 16, 32)).alias("k")).select("document_id", "k.band", "k.value")
@@ -384,7 +392,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sentences_extract, sentences_dedup, sentences_quota_sample, sentences_quota_shortfall, quota_unknown_sources, docs_split_98_1_1, docs_split_85_10_5, lemma_split_80_10_10, split_counts,
-        split_leakage, docs_top_hash, docs_exact_dedup, simhash_md5, simhash_bands, near_dup_pairs, near_dup_dispositions, build_report, holdout_anti_join, shards_manifest, shards_reconcile,
+        split_leakage, docs_top_hash, docs_exact_dedup, simhash_md5, simhash_bands, near_dup_pairs, near_dup_pairs64, near_dup_dispositions, build_report, holdout_anti_join, shards_manifest, shards_reconcile,
         script_distribution, char_class_distribution, script_transitions, codepoint_buckets, bigram_buckets, categorical_features, length_histogram, length_buckets, padded_batches, char_ngrams_top,
         boundary_f1, atom_f1, atom_macro_f1, role_f1, tree_exact, score_report, inflection_multilabel, function_f1, corpus_stats, endpoint_hierarchy, nested_boundaries, partition_spans, tree_edges,
         teacher_agreement, argmax_decode, softmax_confidence, align_surfaces, map_labels, validate_codes, compile_records, compile_failures, compile_summary, synthetic_paradigms, synthetic_unsupported,

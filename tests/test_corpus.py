@@ -111,6 +111,20 @@ def test_near_duplicates_as_a_scan(spark):
     assert got == dict(enumerate(want)) and want.count("near") > 5
 
 
+def test_near_duplicate_pairs_query(spark, tmp_path):
+    """near_dup_pairs64 finds each pair of up to three bits, also those of two and three, against brute force."""
+    texts = [*corpus(), None]
+    spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    prints = {i: simhash(t) for i, t in enumerate(texts) if t is not None and len(t) >= 80}
+    first = {}
+    for i, p in prints.items():
+        first.setdefault(p, i)
+    far = {(a, b): (p ^ q).bit_count() for p, a in first.items() for q, b in first.items() if a < b and (p ^ q).bit_count() <= 3}
+    want = sorted([*far, *((first[p], i) for i, p in prints.items() if first[p] != i)])
+    got = queries.QUERIES["near_dup_pairs64"](spark, str(tmp_path)).collect()
+    assert sorted((r.a, r.b) for r in got) == want and {2, 3} <= set(far.values())
+
+
 def test_fingerprints(spark):
     texts = ["昨日は 晴れた。" * 10, "昨日は\n　晴れた。" * 10, "", None, "ab"]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(dedup.simhash64("t")).collect()]
