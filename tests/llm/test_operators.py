@@ -422,5 +422,43 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert out and all(r.n_tokens > 0 for r in out)
 
 
+def test_pipeline_run_against_brute_force(spark, tmp_path):
+    """run(): each source's taken words after the mix, and each row's start, size and crc32 of ids."""
+    pytest.importorskip("public_tokenizers")
+    from glob import glob
+
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from lexloom.llm.common import shared_folder
+
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(60)), "en", f"s{i % 2}", 1) for i in range(60)]
+    words = {i: t.split() for i, t, *_ in rows}
+    passage, words[3] = words[3][5:25], words[3][:5] + words[3][25:]
+    rows += [(60, rows[0][1], "en", "s0", 1)] + [(61 + k, " ".join(["idiot", "scum", "moron"] + prose(rng, 40).split()), "en", "s1", 1) for k in range(20)]
+    spark.createDataFrame(rows, DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i > 60)) for i in range(81)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    top = shared_folder(spark).removeprefix("file:") + "/pipeline_*"
+    before = set(glob(top))
+    out = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    (folder,) = set(glob(top)) - before
+    mixed = spark.read.parquet(f"{folder}/3_source_mix").collect()
+    assert all(r.text.split() == words[r.doc_id] and r.source == f"s{r.doc_id % 2}" for r in mixed)
+    times = Counter(r.doc_id for r in mixed)
+    size = {k: sum(len(w) for i, w in words.items() if i % 2 == k) for k in (0, 1)}
+    # 1.5 times all words by weights 3 and 1, at most each document twice: s0 reaches that, s1 has the rest
+    target = {0: 2 * size[0], 1: 1.5 * (size[0] + size[1]) - 2 * size[0]}
+    assert 1.5 * (size[0] + size[1]) * 3 / 4 > target[0] and target[1] < 2 * size[1] and max(times.values()) <= 2
+    assert all(times[i] == 2 for i in words if i % 2 == 0)
+    assert abs(sum(n * len(words[i]) for i, n in times.items() if i % 2) - target[1]) <= 60
+    tokenizer, start = Tokenizer.from_file(token_planes.default_tokenizer()), 0
+    for r, g in zip(sorted(mixed, key=lambda r: (r.doc_id, r.text)), out, strict=True):
+        ids = [*tokenizer.encode(r.text, add_special_tokens=False).ids, 2]
+        assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32) == (r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_sha256_of_no_items():
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
