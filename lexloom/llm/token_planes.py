@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -31,8 +32,8 @@ from lexloom.llm.common import lists, pieces, ragged, shared_folder, table, text
 
 END_ID, BLOCK_IDS, CHUNK_IDS, LEVEL = 2, 1 << 15, 1 << 18, 3
 HEAD = struct.Struct("<4sBBHIQI")
-#: Segments whose ids a worker remembers.
-REMEMBERED = 100_000
+#: Segments whose ids a worker remembers between pieces (those used most), segments encoded in one call, text of a piece.
+REMEMBERED, GROUP, ENCODED_BYTES = 1_000_000, 2000, 8 << 20
 #: Shards up to which the table of their first ids (16 bytes each) is broadcast.
 BROADCAST_SHARDS = 100_000
 
@@ -113,25 +114,33 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.sizes, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def _learn(self, new: list[str]) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.used, self.sizes, self.starts, self.flat = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _keep(self, most: int) -> None:
+        """Forget all but the `most` segments that were in most pieces."""
+        if len(self.used) > most:
+            at = np.sort(np.argpartition(-self.used, most)[:most])
+            self.known, self.used, sizes = self.known.take(pa.array(at)), self.used[at], self.sizes[at]
+            self.flat = self.flat[ragged(self.starts[at], sizes)]
+            self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+
+    def _learn(self, new: pa.Array) -> None:
         """Encode segments: many at once where each begins with a space, so that the tokenizer splits there."""
-        groups, group = [], []
-        for s in new:
-            if group and (len(group) == 2000 or s[0] != " " or not (" " < group[-1][-1] < "\x7f" or "\xc0" <= group[-1][-1] <= "\xff")):
-                groups.append(group)
-                group = []
-            group.append(s)
-        if group:
-            groups.append(group)
-        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)]
-        ids = np.concatenate(found)
-        ends = np.cumsum([len(s.encode()) for s in new])
-        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
+        data, offsets = text_bytes(new)
+        first, last = data[offsets[:-1]], data[offsets[1:] - 1]
+        letter = (last >= 0x80) & (data[np.maximum(0, offsets[1:] - 2)] == 0xC3)
+        begin = np.zeros(len(new), bool)
+        begin[::GROUP] = True
+        begin[1:] |= (first[1:] != 0x20) | ~((last > 0x20) & (last < 0x7F) | letter)[:-1]
+        bounds = offsets[np.append(np.flatnonzero(begin), len(new))].tolist()
+        text = data.tobytes()
+        encoded = self.tokenizer.encode_batch_fast([text[a:b].decode() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in encoded])
+        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), offsets[1:]) + 1
         starts = np.concatenate([[0], ends[:-1]])
-        self.place.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+        self.known = pa.concat_arrays([self.known, new])
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int32)])
         self.starts = np.concatenate([self.starts, starts + len(self.flat)])
         self.sizes = np.concatenate([self.sizes, ends - starts])
         self.flat = np.concatenate([self.flat, ids])
@@ -157,13 +166,18 @@ class Encoder:
         cut[firsts] = True
         at = np.append(np.flatnonzero(cut), len(data))
         coded = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-        names, codes = coded.dictionary.to_pylist(), np.asarray(coded.indices)
-        if len(self.place) > REMEMBERED:
-            self._forget()
-        new = [s for s in names if s not in self.place]
-        if new:
+        names, codes = coded.dictionary, np.asarray(coded.indices)
+        if len(self.known) > REMEMBERED:
+            self._keep(REMEMBERED // 2)
+        place = pc.index_in(names, value_set=self.known)
+        if place.null_count:
+            new = names.filter(pc.is_null(place))
+            place = np.array(pc.fill_null(place, -1), np.int64)
+            place[place < 0] = np.arange(len(self.known), len(self.known) + len(new))
             self._learn(new)
-        which = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))[codes]
+        place = np.asarray(place, np.int64)
+        self.used[place] += 1
+        which = place[codes]
         sizes = self.sizes[which]
         ids = self.flat[ragged(self.starts[which], sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -192,7 +206,7 @@ def _chunks(path: str, end: int, planes: int, block: int, chunk_ids: int):
                 names=["shard", "chunk", "first", "n_ids", "doc_ids", "sizes", "payload"],
             )
 
-        for batch in pieces(batches, limit=4 << 20):
+        for batch in pieces(batches, limit=ENCODED_BYTES):
             ids, sizes = encoder.encode(batch["text"])
             ids, sizes = _with_ends(ids, sizes, end), sizes + 1
             ends, at = np.cumsum(sizes), 0
