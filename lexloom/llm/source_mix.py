@@ -7,7 +7,8 @@ that the sources give are then split down a binary tree: each node deals half of
 of each source as a multivariate hypergeometric draw says. The leaves are the output shards; a shard takes its
 numbers of the sources' permuted blocks, no two shards the same, and orders its documents at random.
 
-Everything is DataFrame operations; draws come from hashes, so reruns agree.
+Everything is DataFrame operations. Draws come from hashes of what a row holds (and, of rows alike, its number among
+them), so they agree however the input is partitioned.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexloom.llm.common import checkpointed, table
 
 #: Weights by the rank of the source, repeating; words of the mix as a share of all words; most passes over a source.
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
-#: Documents of a block; rows of a source that are ranked in one sort.
-BLOCK_DOCS, BIN_ROWS = 32, 4096
+#: Documents of a block; rows of a source that are ranked in one sort; blocks whose words are summed in one sort; rows
+#: alike that one row of numbers stands for.
+BLOCK_DOCS, BIN_ROWS, RUN_BLOCKS, NUMBERS = 32, 4096, 128, 1 << 16
 #: Sources up to which a table of one row a source is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 #: Words of an output shard; the splitting tree has as many levels as that takes, and LEVELS at least.
@@ -151,7 +154,7 @@ def split_quotas(quotas: DataFrame, levels: int = LEVELS, seed: int = 0) -> Data
 def draws(sized: DataFrame, seed: int = 0, levels: int | None = None, **params) -> tuple[DataFrame, DataFrame]:
     """What the mix takes: (row_id, shard, place), a row for each time, and the sources' (source, source_size, target).
 
-    sized: (row_id unique, source, size). Documents without words have no part in the order and are never taken.
+    sized: (row_id, source, size); row_id, unique and of any type that has an order, decides the draws. Documents without words have no part in the order and are never taken.
     """
     known = checkpointed(sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("n")))
     targets = source_targets(known.select("source", "source_size"), **params)
@@ -174,7 +177,7 @@ def draws(sized: DataFrame, seed: int = 0, levels: int | None = None, **params)
 
     blocks = ranked.groupBy("source_no", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
     # words of the blocks before: sums of runs of blocks, then sums within a run
-    blocks = checkpointed(blocks.withColumn("run", F.floor(F.col("block") / 1024)))
+    blocks = checkpointed(blocks.withColumn("run", F.floor(F.col("block") / RUN_BLOCKS)))
     runs = blocks.groupBy("source_no", "run").agg(F.sum("words").alias("words"))
     runs = runs.select("source_no", "run", F.coalesce(F.sum("words").over(W.partitionBy("source_no").orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("runs_before"))
     within = F.coalesce(F.sum("words").over(W.partitionBy("source_no", "run").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -188,7 +191,7 @@ def draws(sized: DataFrame, seed: int = 0, levels: int | None = None, **params)
     last = given.where("part < words").select("source_no", "block", "part")
     fold = F.aggregate(
         F.reverse(F.array_sort(F.collect_list(F.struct("size", "u", "row_id")))),
-        F.struct(F.first("part").alias("left"), F.array().cast("array<bigint>").alias("ids")),
+        F.struct(F.first("part").alias("left"), F.array().cast(T.ArrayType(sized.schema["row_id"].dataType)).alias("ids")),
         lambda s, x: F.when(x["size"] <= s.left, F.struct((s.left - x["size"]).alias("left"), F.concat(s.ids, F.array(x.row_id)).alias("ids"))).otherwise(s),
         lambda s: s.ids,
     )
@@ -215,46 +218,56 @@ def draws(sized: DataFrame, seed: int = 0, levels: int | None = None, **params)
     return taken.select("row_id", "shard", place.alias("place"), "pass"), targets.select("source", "source_size", "target")
 
 
-def _numbered(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The rows with sizes, each with a number of its own; kept in the shared folder, so that numbers hold."""
-    return checkpointed(docs.select(*[f"`{c}`" for c in keep], n_words(F.col("text")).alias("size")).withColumn("row_id", F.monotonically_increasing_id()))
+def _key() -> Column:
+    """What tells rows apart that share a doc_id: a hash of it, the source and the text, and of which of them are null."""
+    return F.xxhash64("doc_id", "source", "text", *[F.col(c).isNull() for c in ("doc_id", "source", "text")])
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(row_id, source, size) of the rows of docs; row_id: id (0 for null), key, and a number among rows alike."""
+    known = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), _key().alias("key"), "source", F.col("doc_id").isNull().alias("no_id"), n_words(F.col("text")).alias("size"))
+    known = known.groupBy("id", "key", "no_id", "source", "size").agg(F.count("*").alias("alike"))
+    # numbers 0, 1, ... of rows alike, a stretch at a time
+    runs = known.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("alike") - 1) / NUMBERS))))
+    number = F.explode(F.sequence(F.col("run") * NUMBERS, F.least(F.col("alike"), (F.col("run") + 1) * NUMBERS) - 1))
+    return checkpointed(runs.withColumn("number", number).select(F.struct("id", "key", "number").alias("row_id"), "no_id", "source", "size"))
 
 
 def mix_words(docs: DataFrame, **params) -> DataFrame:
     """For each row of docs: doc_id, size, source_size, target of its source, and the words that the mix takes of it.
 
     A null source is a source of its own, after all others; a null or empty text has size 0 and is never taken; rows
-    that repeat a doc_id are rows of their own. A source without words has target 0.
+    that repeat a doc_id are rows of their own. A source without words has target 0. The result is the same for every
+    order and partitioning of docs.
     """
-    rows = _numbered(docs, ["doc_id", "source"])
+    rows = _numbered(docs)
     taken, targets = draws(rows.select("row_id", "source", "size"), **params)
     times = taken.groupBy("row_id").agg(F.count("*").alias("times"))
     few = targets.count() <= BROADCAST_SOURCES
     t = targets.withColumnRenamed("source", "s")
     t = F.broadcast(t) if few else t
+    doc_id = F.when(~F.col("no_id"), F.col("row_id.id")).alias("doc_id")
     return rows.join(times, "row_id", "left").join(t, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("times", F.lit(0))).alias("taken")
+        doc_id, "size", "source_size", "target", (F.col("size") * F.coalesce("times", F.lit(0))).alias("taken")
     )
 
 
 def mixed(docs: DataFrame, **params) -> DataFrame:
     """The mix: the taken rows of docs, so often as they are taken, with shard and place (their order in it) added.
 
-    Texts are joined with what is taken of them by a key of id, source and text. Rows alike in all three share a key and
-    are drawn as rows of their own; any of them then stands for each draw.
+    Texts are joined with what is taken of them by id and a key of id, source and text. Rows alike in all three are drawn
+    as rows of their own; any of them then stands for each draw. Columns of docs named shard or place are replaced.
     """
-    key = F.xxhash64("doc_id", "source", "text")
-    rows = checkpointed(docs.select("doc_id", "source", key.alias("key"), n_words(F.col("text")).alias("size")).withColumn("row_id", F.monotonically_increasing_id()))
+    rows = _numbered(docs)
     taken, _ = draws(rows.select("row_id", "source", "size"), **params)
-    alike = rows.groupBy("key").agg(F.count("*").alias("alike")).where("alike > 1")
-    taken = checkpointed(taken.join(rows.select("row_id", "key"), "row_id").join(alike, "key", "left").select(F.col("key").alias("_key"), "shard", "place", F.col("alike").isNotNull().alias("_alike")))
-    own = [*[f"`{c}`" for c in docs.columns if c not in ("shard", "place")], "shard", "place"]
-    keyed = docs.drop("shard", "place").withColumn("_key", key)
-    single = keyed.join(taken.where("not _alike"), "_key").select(*own)
-    if not taken.where("_alike").isEmpty():
-        few = keyed.join(alike.select(F.col("key").alias("_key")), "_key", "left_semi").dropDuplicates(["_key"])
-        single = single.union(few.join(taken.where("_alike"), "_key").select(*own))
-    return single
+    taken = checkpointed(taken.select("row_id.id", "row_id.key", "shard", "place"))
+    own = [c for c in docs.columns if c not in ("shard", "place")]
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), _key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"))
+    alike = checkpointed(rows.where("row_id.number = 1").select("row_id.id", "row_id.key"))
+    if alike.isEmpty():
+        return keyed.join(taken, ["id", "key"]).select("row.*", "shard", "place")
+    single = keyed.join(alike, ["id", "key"], "left_anti").unionByName(keyed.join(alike, ["id", "key"], "left_semi").groupBy("id", "key").agg(F.any_value("row").alias("row")))
+    return single.join(taken, ["id", "key"]).select("row.*", "shard", "place")
 
 
 def op9_source_mix(spark, sf_dir: str) -> DataFrame:
