@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Text of one numpy step, in bytes; a longer document is a step of its own.
 PIECE_BYTES = 2 << 20
+#: Tasks whose sums are added in the first of two steps.
+TASKS_OF_A_SUM = 64
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER_BYTES = np.arange(256, dtype=np.uint8)
@@ -44,6 +46,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def array_sums(rows: DataFrame, key: str, *values: str) -> DataFrame:
+    """The rows (key int, values array<double>, from many tasks) with the arrays summed by key.
+
+    Sums are made in two steps, so that no group holds a row of every task.
+    """
+    import pandas as pd
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({key: group[key].iloc[:1].to_numpy(), **{v: [np.sum(np.stack(group[v]), 0)] for v in values}})
+
+    schema = f"{key} int, " + ", ".join(f"{v} array<double>" for v in values)
+    some = rows.withColumn("part", F.floor(F.spark_partition_id() / TASKS_OF_A_SUM)).groupBy(key, "part").applyInPandas(add, schema)
+    return some.groupBy(key).applyInPandas(add, schema)
+
+
 def remainder(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo: what decides which rows are held out."""
     return F.crc32(F.col(doc_id).cast("string")) % F.lit(modulus)

@@ -3,7 +3,8 @@
 Sixteen voters look at each document: lists of insults, lists of words and word beginnings that the labelled rows mark,
 and patterns. A generative label model, fitted by expectation-maximization to the counts of all vote combinations
 (2 ** 16 at most, whatever the corpus), estimates each voter's accuracy and, by a tree of the strongest dependences in
-each class, their correlations. A linear classifier learns the model's posteriors from lexicon and pattern features.
+each class, their correlations. A linear classifier learns the model's posteriors of all documents from lexicon and
+pattern features, by Newton steps whose sums each partition makes.
 """
 
 from __future__ import annotations
@@ -14,14 +15,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import ALNUM, UPPER, Words, checkpointed, lists, pieces, remainder, table, tidy
+from lexloom.llm.common import ALNUM, Words, array_sums, checkpointed, lists, pieces, remainder, table, tidy
 
-#: Labelled rows of each class from which words are mined, and rows with posteriors to which the classifier is fitted
-#: (all toxic-looking patterns among them); the rows of smallest hash of their id are taken.
-MINE_ROWS, FIT_ROWS = 12_000, 20_000
+#: Labelled rows of each class from which words are mined, about: those whose hash of the id is under a threshold.
+MINE_ROWS = 12_000
+#: Ridge, Newton steps at most, the largest change of a weight that ends them, rows of one step in numpy.
+RIDGE, ROUNDS, CLOSE, ROWS = 1.0, 10, 1e-2, 2048
 #: Mined words and word beginnings, how many documents must have one, and the log of how much oftener toxic ones do.
 MINED, MINED_DOCS, MINED_LIFT = 512, 4, 2.5
 #: Beginnings of words that are mined, in code points.
@@ -62,9 +64,9 @@ def _mine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def mined_keys(docs: DataFrame, learn: DataFrame, rows: int = MINE_ROWS) -> list[str]:
     """Words and beginnings that mark toxic rows of `learn` (doc_id, toxic), strongest first."""
-    order = F.xxhash64(F.lit("mine"), "doc_id")
-    some = learn.where("toxic = 1").orderBy(order).limit(rows).union(learn.where("toxic = 0").orderBy(order).limit(rows))
-    some = checkpointed(some)
+    there = {r["toxic"]: r["count"] for r in learn.groupBy("toxic").count().collect()}
+    place = F.pmod(F.xxhash64(F.lit("mine"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    some = checkpointed(learn.where(place < F.when(F.col("toxic") == 1, rows / there.get(1, 1)).otherwise(rows / there.get(0, 1))))
     of = {r["toxic"]: r["count"] for r in some.groupBy("toxic").count().collect()}
     if not of.get(0) or not of.get(1):
         return []
@@ -137,7 +139,7 @@ def _features(lexicon: Lexicon):
                 votes |= (patterns[:, p] > 0).astype(np.int64) << (VOTERS - 4 + p)
             sizes = np.array([len(f) for f in found], np.int64)
             flat = np.array([f for own in found for f in sorted(own)], np.int32)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(votes), lists(flat, sizes), lists(patterns.ravel(), np.full(batch.num_rows, PATTERNS))], names=["doc_id", "votes", "found", "patterns"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], pa.array(votes), lists(flat, sizes), lists(patterns.ravel(), np.full(batch.num_rows, PATTERNS))], names=["doc_id", "text_key", "votes", "found", "patterns"])
 
     return run
 
@@ -203,72 +205,106 @@ def _bits(votes: np.ndarray) -> np.ndarray:
     return (votes[:, None] >> np.arange(VOTERS)) & 1
 
 
-def _inputs(found: list, patterns: list, size: int) -> np.ndarray:
-    x = np.zeros((len(found), size + PATTERNS + 2), np.float32)
-    for i, own in enumerate(found):
-        x[i, own] = 1
-        x[i, size + PATTERNS] = np.log1p(len(own))
-    x[:, size : size + PATTERNS] = np.stack(patterns) if len(patterns) else 0
-    x[:, -1] = 1
-    return x
-
-
-def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
-    """Logistic regression on probabilities y, by Newton steps."""
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        s = weight * p * (1 - p) + 1e-6
-        step = np.linalg.solve((x * s[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (y - p)) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-4:
+def _opened(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of features: the sizes of the found lists, their places, and the dense features with the constant."""
+    sizes, flat = np.diff(np.asarray(batch["found"].offsets)), np.asarray(batch["found"].flatten())
+    patterns = np.asarray(batch["patterns"].flatten()).reshape(-1, PATTERNS)
+    return sizes, flat, np.concatenate([patterns, np.log1p(sizes)[:, None], np.ones((len(sizes), 1))], 1).astype(float)
+
+
+def _logits(sizes: np.ndarray, flat: np.ndarray, dense: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    own = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights[flat], len(sizes)) if len(flat) else np.zeros(len(sizes))
+    return np.clip(own + dense @ weights[-dense.shape[1] :], -30, 30)
+
+
+def _newton_sums(size: int, weights: np.ndarray, posteriors):
+    """(row, sums): this task's part of each row of [Hessian | gradient] of the log loss on the posteriors."""
+
+    @tidy
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(weights)
+        total, any_ = np.zeros((n, n + 1)), False
+        combinations, of = posteriors.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch, any_ = whole.slice(at, ROWS), True
+                sizes, flat, dense = _opened(batch, size)
+                y = of[np.searchsorted(combinations, np.asarray(batch["votes"]))]
+                p = 1 / (1 + np.exp(-_logits(sizes, flat, dense, weights)))
+                s = p * (1 - p) + 1e-6
+                total[size:, size:n] += (dense * s[:, None]).T @ dense
+                total[size:, n] += dense.T @ (y - p)
+                with_words = np.flatnonzero(sizes)
+                x = np.zeros((len(with_words), size))
+                x[np.repeat(np.arange(len(with_words)), sizes[with_words]), flat] = 1
+                weighted = x * s[with_words][:, None]
+                total[:size, :size] += weighted.T @ x
+                total[:size, size:n] += weighted.T @ dense[with_words]
+                total[:size, n] += x.T @ (y - p)[with_words]
+        if any_:
+            total[size:, :size] = total[:size, size:n].T
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), lists(total.ravel(), np.full(n, n + 1))], names=["row", "sums"])
+
+    return run
+
+
+def fit_linear(features: DataFrame, size: int, votes: np.ndarray, posterior: np.ndarray) -> np.ndarray:
+    """Logistic regression of all rows on the posteriors of their votes, by Newton steps; a step is one pass."""
+    sc = features.sparkSession.sparkContext
+    order = np.argsort(votes)
+    known = sc.broadcast((votes[order], posterior[order]))
+    # as many sums as the cluster runs tasks at once, however many partitions there are
+    rows = features.select("votes", "found", "patterns").coalesce(2 * sc.defaultParallelism)
+    weights = np.zeros(size + PATTERNS + 2)
+    for _ in range(ROUNDS):
+        sums = array_sums(rows.mapInArrow(_newton_sums(size, weights, known), "row int, sums array<double>"), "row", "sums").toPandas().sort_values("row")
+        total = np.stack(sums["sums"])
+        step = np.linalg.solve(total[:, :-1] + RIDGE * np.eye(len(weights)), total[:, -1] - RIDGE * weights)
+        weights = weights + step
+        if np.abs(step).max() < CLOSE:
             break
-    return w
+    return weights
 
 
 def _scores(size: int, weights: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, flat = np.diff(np.asarray(batch["found"].offsets)), np.asarray(batch["found"].flatten())
-            patterns = np.asarray(batch["patterns"].flatten()).reshape(-1, PATTERNS)
-            z = patterns @ weights[size : size + PATTERNS] + np.log1p(sizes) * weights[size + PATTERNS] + weights[-1]
-            z += np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights[flat], len(sizes))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
+            z = _logits(*_opened(batch, size), weights)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], pa.array(1 / (1 + np.exp(-z)))], names=["doc_id", "text_key", "score"])
 
     return run
 
 
-def toxicity(docs: DataFrame, learn: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, score) for each row of docs (doc_id, text): the probability that it is toxic.
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def toxicity(docs: DataFrame, learn: DataFrame) -> DataFrame:
+    """(doc_id, text_key, score) for each row of docs (doc_id, text): the probability that it is toxic.
+
+    text_key is a hash of the text, which tells rows apart that share a doc_id or have none.
 
     learn: (doc_id, toxic); rows with nulls or other values are ignored. They choose the mined words and the prior; the
     classifier itself learns the label model's posteriors. Without toxic and clean rows to learn from, the lists of
     insults alone vote and the prior is 0.05. A null or empty text has no votes. Rows with a null or repeated doc_id
     are scored by their own text.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", _text_key().alias("text_key"))
     learn = checkpointed(learn.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     share = learn.agg(F.avg("toxic")).head()[0]
     lexicon = Lexicon(mined_keys(docs, learn))
-    features = checkpointed(docs.mapInArrow(_features(lexicon), "doc_id long, votes long, found array<int>, patterns array<float>"))
+    features = checkpointed(docs.mapInArrow(_features(lexicon), "doc_id long, text_key long, votes long, found array<int>, patterns array<float>"))
     seen = features.groupBy("votes").count().toPandas()
     if not len(seen):
-        return features.select("doc_id", F.lit(0.0).alias("score"))
+        return features.select("doc_id", "text_key", F.lit(0.0).alias("score"))
     votes, counts = _bits(seen["votes"].to_numpy()), seen["count"].to_numpy(float)
     model = LabelModel(min(0.5, max(0.005, 0.05 if share is None else share))).fit(votes, counts)
-    order = F.xxhash64(F.lit("fit"), "doc_id")
-    # half of the rows fitted are rows that some list marks: they are rare, and weigh less for it
-    marked = (F.col("votes").bitwiseAND(F.lit((1 << (VOTERS - 4)) - 1)) != 0).cast("int")
-    of = {r["marked"]: r["count"] for r in features.groupBy(marked.alias("marked")).count().collect()}
-    some = [features.where(marked == m).orderBy(order, "votes").limit(fit_rows // 2).toPandas().assign(weight=max(1.0, of.get(m, 0) / (fit_rows // 2))) for m in (0, 1) if of.get(m)]
-    x = np.concatenate([_inputs(p["found"].tolist(), p["patterns"].tolist(), lexicon.size) for p in some])
-    y = np.concatenate([model.posterior(_bits(p["votes"].to_numpy())) for p in some])
-    weights = fit_linear(x, y, np.concatenate([p["weight"].to_numpy() for p in some]))
-    return features.mapInArrow(_scores(lexicon.size, weights), "doc_id long, score double")
+    weights = fit_linear(features, lexicon.size, seen["votes"].to_numpy(), model.posterior(votes))
+    return features.mapInArrow(_scores(lexicon.size, weights), "doc_id long, text_key long, score double")
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, score) by the labels whose rows may be learned from."""
+    """(doc_id, text_key, score) by the labels whose rows may be learned from."""
     learn = labels.where(remainder("doc_id", 5) != 0).select("doc_id", "toxic")
     return toxicity(docs, learn)
 
@@ -279,6 +315,7 @@ def op10_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those scored 0.5 or more; rows without doc_id stay only if they have nothing to be judged by."""
-    gone = scored(docs, labels).where("score >= 0.5").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """docs without the rows that score 0.5 or more, each by its own text, also where ids are null or repeat."""
+    gone = scored(docs, labels).where("score >= 0.5").select(F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), "text_key", F.col("doc_id").isNull().alias("no_id")).distinct()
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), _text_key().alias("text_key"), F.col("doc_id").isNull().alias("no_id"))
+    return own.join(gone, ["id", "text_key", "no_id"], "left_anti").select("row.*")
