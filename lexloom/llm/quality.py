@@ -9,12 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import NOT_SPACE, Words, checkpointed, pieces, remainder, table
+from lexloom.llm.common import NOT_SPACE, Words, array_sums, checkpointed, pieces, remainder, table
 
 #: Random features, their seed, the ridge, and the width of the bins (of raw scores) that calibration counts.
 FEATURES, SEED, RIDGE, BIN = 256, 7, 0.3, 0.002
@@ -108,10 +107,6 @@ def _normal_equations(kernel: Kernel):
     return run
 
 
-def _add(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"row": rows["row"].iloc[:1], "sums": [np.sum(np.stack(rows["sums"]), 0)]})
-
-
 def _raw(kernel: Kernel, weights: np.ndarray, keep: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,8 +143,8 @@ def quality(docs: DataFrame, learn: DataFrame) -> DataFrame:
     kernel = Kernel(np.array([about[f"mean_{c}"] for c in STATISTICS]), np.array([about[f"spread_{c}"] or 1.0 for c in STATISTICS]))
     both = about.n0 in (0, about.n)
     fit = rows if both else rows.where("fold = 0")
-    sums = fit.mapInArrow(_normal_equations(kernel), "row int, sums array<double>").groupBy("row").applyInPandas(_add, "row int, sums array<double>")
-    total = np.stack(sums.toPandas().sort_values("row")["sums"])
+    sums = fit.mapInArrow(_normal_equations(kernel), "row int, sums array<double>")
+    total = np.stack(array_sums(sums, "row", "sums").toPandas().sort_values("row")["sums"])
     weights = np.linalg.solve(total[:, :-1] + RIDGE * np.eye(len(total)), total[:, -1])
     bins = (rows if both else rows.where("fold = 1")).mapInArrow(_raw(kernel, weights, ["quality"]), "quality int, raw double")
     bins = bins.groupBy(F.floor(F.greatest(F.lit(-2.0), F.least(F.lit(3.0), "raw")) / BIN).alias("bin")).agg(F.avg("raw").alias("at"), F.sum("quality").alias("ones"), F.count("*").alias("n")).orderBy("bin").toPandas()
