@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import NOT_SPACE, Words, checkpointed, hashes, lists, mix, pieces, table, tidy
+from lexloom.llm.common import NOT_SPACE, Words, array_sums, checkpointed, hashes, lists, mix, pieces, ragged, table, tidy
 from lexloom.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
-#: Tokens that a task keeps counters for, documents from which a token counts as frequent, and frequent tokens at most.
-#: They shape the first order only: how well it prunes, never what is found.
-COUNTERS, FREQUENT, MOST_FREQUENT = 1 << 16, 4, 1 << 18
+#: What shapes the first order (how well it prunes, never what is found): tokens that a task keeps counters for, documents
+#: from which a token counts as frequent, and frequent tokens at most; and cells in which all tokens are counted by hash,
+#: with the standard deviations over the mean from which all tokens of a cell count as frequent.
+COUNTERS, FREQUENT, MOST_FREQUENT, CELLS, CELL_PART, HOT = 1 << 16, 4, 1 << 18, 1 << 18, 1 << 12, 8
 #: Ids up to which a list of documents is broadcast (8 bytes each); beyond, it is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Seeds of the random orders.
@@ -80,48 +81,61 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+def _cell(tokens: np.ndarray) -> np.ndarray:
+    return (mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(CELLS)).astype(np.int64)
+
+
+MEASURES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.string()), ("token", pa.int64()), ("count", pa.int64()), ("part", pa.int32()), ("cells", pa.list_(pa.float64()))])
+
+
 @tidy
 def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, n, digest) of documents, and rows (token, count) of tokens that look frequent to this task."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.string()), ("token", pa.int64()), ("count", pa.int64())])
-    seen = Frequent()
+    """Rows (doc_id, n, digest) of documents, rows (token, count) of tokens that repeat within a piece of this task, and
+    rows (part, cells) with the counts of all its tokens by cell."""
+    seen, cells = Frequent(), np.zeros(CELLS, np.int64)
+
+    def rows(k: int, /, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(k, f.type)) for f in MEASURES], schema=MEASURES)
+
     for batch in pieces(batches):
         values, sizes = shingle_sets(batch["text"])
         ends = np.cumsum(sizes)
         digests = [hashlib.blake2b(values[e - s : e].tobytes(), digest_size=16).hexdigest() if s else None for s, e in zip(sizes, ends, strict=True)]
         seen.add(values)
-        none = pa.nulls(len(sizes), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes), pa.array(digests, pa.string()), none, none], schema=schema)
-    k = len(seen.keys)
-    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.array(_signed(seen.keys)), pa.array(seen.counts)], schema=schema)
+        cells += np.bincount(_cell(values), minlength=CELLS)
+        yield rows(len(sizes), doc_id=batch["doc_id"], n=pa.array(sizes), digest=pa.array(digests, pa.string()))
+    yield rows(len(seen.keys), token=pa.array(_signed(seen.keys)), count=pa.array(seen.counts))
+    if cells.any():
+        parts = CELLS // CELL_PART
+        yield rows(parts, part=pa.array(range(parts), pa.int32()), cells=lists(cells.astype(float), np.full(parts, CELL_PART)))
 
 
 def prefix_size(n, percent: int = PERCENT):
     return n + (-percent * n) // 100 + 1
 
 
-def first_order(values: np.ndarray, keys: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, int]:
-    """The set in the first order (rare tokens by hash, then frequent ones by rank) and its number of rare tokens."""
-    if not len(keys):
-        return values, len(values)
-    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-    rank = np.where(keys[at] == values, ranks[at], 0)
-    return values[np.argsort(rank, kind="stable")], int((rank == 0).sum())
+def ranked(values: np.ndarray, keys: np.ndarray, counts: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """The rank of each token in the first order: 0 for rare ones, a count for frequent ones (of the token, or what its
+    cell has over the mean)."""
+    rank = cells[_cell(values)]
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+        rank = np.maximum(rank, np.where(keys[at] == values, counts[at], 0))
+    return rank
 
 
 def _prefixes(known):
     @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ranks = known.value
         for batch in pieces(batches):
             values, sizes = shingle_sets(batch["text"])
-            ends, rare, out = np.cumsum(sizes), np.zeros(len(sizes), np.int64), []
-            for d, (s, e) in enumerate(zip(sizes, ends, strict=True)):
-                if s:
-                    ordered, rare[d] = first_order(values[e - s : e], keys, ranks)
-                    out.append(ordered[: prefix_size(int(s))])
-            flat = np.concatenate(out) if out else np.zeros(0, np.uint64)
+            rank = ranked(values, *known.value)
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            # each set by rank, and by hash among equals
+            order = np.lexsort((values, rank, of))
             own = np.where(sizes > 0, prefix_size(sizes), 0)
+            flat = values[order][ragged(np.cumsum(sizes) - sizes, own)]
+            rare = np.bincount(of[rank == 0], minlength=len(sizes))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes), pa.array(rare), lists(_signed(flat), own)], names=["doc_id", "n", "rare", "prefix"])
 
     return run
@@ -186,8 +200,12 @@ def _kept(test, opened):
 def _checked(pairs: DataFrame, docs: DataFrame, read, schema: str, test, opened) -> DataFrame:
     """The pairs (a, b) whose documents pass the test. Only documents of pairs are read again."""
     near = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    near = F.broadcast(near) if near.count() <= BROADCAST_IDS else near
-    own = checkpointed(docs.join(near, "doc_id", "left_semi").mapInArrow(read, schema).toDF("doc_id", "own"))
+    few = near.count() <= BROADCAST_IDS
+    if few:
+        own = docs.join(F.broadcast(near), "doc_id", "left_semi").mapInArrow(read, schema).toDF("doc_id", "own")
+    else:  # what is read of the texts is shuffled, not the texts
+        own = docs.mapInArrow(read, schema).toDF("doc_id", "own").join(near, "doc_id", "left_semi")
+    own = checkpointed(own)
     a = own.select(F.col("doc_id").alias("a"), F.col("own").alias("own_a"))
     b = own.select(F.col("doc_id").alias("b"), F.col("own").alias("own_b"))
     return checkpointed(pairs.join(a, "a").join(b, "b").mapInArrow(_kept(test, opened), "a long, b long").distinct())
@@ -206,6 +224,30 @@ def _bounds(pos_a: str, n_a: str, pos_b: str, n_b: str):
     return close & ((100 + PERCENT) * left >= PERCENT * (F.col(n_a) + F.col(n_b)))
 
 
+def _frequent(seen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frequent tokens, ascending, their counts, and what each cell has over the mean (0 where that may be chance).
+
+    As many of the most frequent tokens are taken as whole classes of counts allow, MOST_FREQUENT at most, so what
+    reaches the driver is bounded.
+    """
+    counts = checkpointed(seen.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= FREQUENT))
+    size, total, least = F.floor(8 * F.log2("count")), 0, None
+    for r in counts.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():
+        total += r["count"]
+        if total > MOST_FREQUENT:
+            break
+        least = r["size"]
+    top = (counts.where(size >= least) if least is not None else counts.limit(0)).toPandas()
+    keys = top["token"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    cells = np.zeros(CELLS)
+    for r in array_sums(seen.where("part is not null").select("part", "cells"), "part", "cells").collect():
+        cells[r["part"] * CELL_PART : (r["part"] + 1) * CELL_PART] = r["cells"]
+    over = cells - np.median(cells)
+    over[over < HOT * np.sqrt(np.median(cells)) + FREQUENT] = 0
+    return keys[order], top["count"].to_numpy().astype(np.int64)[order], over.astype(np.int64)
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
 
@@ -216,14 +258,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = checkpointed(docs.mapInArrow(_measure, "doc_id long, n long, digest string, token long, count long"))
-    sizes = seen.where("token is null").select("doc_id", "n", "digest")
-    frequent = seen.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= FREQUENT)
-    top = frequent.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).toPandas()
-    top = top.assign(rank=range(len(top), 0, -1))
-    top["token"] = top["token"].to_numpy().astype(np.int64).view(np.uint64)
-    top = top.sort_values("token")
-    known = spark.sparkContext.broadcast((top["token"].to_numpy(np.uint64), top["rank"].to_numpy(np.int32)[:]))
+    measures = "doc_id long, n long, digest string, token long, count long, part int, cells array<double>"
+    seen = checkpointed(docs.mapInArrow(_measure, measures))
+    sizes = seen.where("token is null and part is null").select("doc_id", "n", "digest")
+    known = spark.sparkContext.broadcast(_frequent(seen))
 
     ided = sizes.where("doc_id is not null and digest is not null")
     classes = checkpointed(ided.groupBy("digest").agg(F.min("doc_id").alias("rep")))
