@@ -1,11 +1,12 @@
 """LM scoring by a gated recurrent language model with class-factored output.
 
-Words are counted over all training documents. The most frequent are words of the model, in classes of equal size by
-frequency; each other word belongs to a kind, a class that its spelling gives (beyond-ASCII letter, ending, length).
-The model gives P(class | state) and, within a class of its words, P(word | class, state); within a kind, words have
-their smoothed share of the kind. It is trained by truncated backpropagation in numpy on every training document, once:
-each document belongs to one round, in each round every task trains on its documents block by block, then the tasks'
-weights are averaged. A document's score carries the state through the whole document, window by window.
+Words are counted over all training documents. The most frequent are outputs of the model; each other word belongs to a
+kind, an output that its spelling gives (beyond-ASCII letter, ending, length). Outputs are in classes of equal mass of
+the square root of frequency, so that frequent ones have small classes. The model gives P(class | state) and P(output |
+class, state); within a kind, words have their smoothed share of the kind. The state is a gated mean of what it was and
+of a candidate. It is trained by truncated backpropagation in numpy on every training document, once: each document
+belongs to one round, in each round every task trains on its documents block by block, then the tasks' weights are
+averaged. A document's score carries the state through the whole document, window by window.
 """
 
 from __future__ import annotations
@@ -19,20 +20,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import NOT_SPACE, Words, checkpointed, hashes, lists, pieces, remainder, table, text_bytes, tidy
+from lexloom.llm.common import NOT_SPACE, Words, array_sums, checkpointed, hashes, lists, pieces, remainder, table, text_bytes, tidy
 
-#: Words of the model, words of a class, size of the state and of word vectors.
-MODEL_WORDS, CLASS_WORDS, STATE, VECTOR = 2000, 50, 32, 16
+#: Words of the model, classes, size of the state and of word vectors.
+MODEL_WORDS, CLASSES, STATE, VECTOR = 2000, 12, 24, 16
 #: Words whose counts are broadcast (16 bytes each); counts of rarer words are joined by a shuffle.
 KNOWN_WORDS = 400_000
 #: The training documents are dealt to ROUNDS; lanes and steps of a window of backpropagation.
 ROUNDS, LANES, STEPS, RATE = 6, 32, 24, 0.008
-#: A task's later blocks have WIDE lanes; a block is WINDOWS windows, all that a task holds of its documents at once.
-WIDE, WINDOWS = 256, 64
+#: Blocks after a task's first of the first round have WIDE lanes; a block is WINDOWS windows, all that a task holds of its
+#: documents at once.
+WIDE, WINDOWS = 512, 32
 #: Rows of the output layer that training works on at once.
 ROWS = 2048
-#: Tokens that a task scores at once.
-SCORED_TOKENS = 3_000_000
+#: Tokens that a task scores at once, and documents that run side by side.
+SCORED_TOKENS, SIDE_BY_SIDE = 3_000_000, 512
+#: Logits are at most this, so that none overflows.
+TOP = 60.0
 SMOOTH = 0.1
 KINDS = 9 * 4 * 4
 #: Part of a weight vector that is one row while tasks' weights are averaged.
@@ -82,27 +86,35 @@ def _counts(words: np.ndarray, kind: np.ndarray, counts: np.ndarray) -> pa.Recor
 
 
 class Vocabulary:
-    """Words of the model (0 is the end), counts of known words, and what is left to each kind."""
+    """Outputs of the model (0 is the end, then words and kinds, frequent ones first), counts of known words, and what is
+    left to each kind."""
 
     def __init__(self, words: np.ndarray, kind: np.ndarray, counts: np.ndarray, ends: int, total: int, distinct: int, by_kind: dict[int, tuple[int, int]]):
         order = np.argsort(words)
         self.words, self.kind, self.counts = words[order], kind[order], counts[order]
         self.ends, self.total, self.distinct = ends, total, distinct
         best = np.lexsort((self.words, -self.counts))[: MODEL_WORDS - 1]
-        self.code = np.full(len(self.words), -1, np.int32)
-        self.code[best] = np.arange(1, len(best) + 1)
         self.size = len(best) + 1
-        self.model_counts = np.concatenate([[ends], self.counts[best]])
         self.kind_total, self.kind_distinct = np.zeros(KINDS), np.zeros(KINDS)
         for k, (n, v) in by_kind.items():
             self.kind_total[k], self.kind_distinct[k] = n, v
         np.subtract.at(self.kind_total, self.kind[best], self.counts[best])
         np.subtract.at(self.kind_distinct, self.kind[best], 1)
-        # class 0 is the end; then classes of words; then kinds
-        self.classes = 1 + -(-(self.size - 1) // CLASS_WORDS)
-        ranks = np.arange(self.size - 1)
-        self.class_of = np.concatenate([[0], 1 + ranks // CLASS_WORDS, self.classes + np.arange(KINDS)]).astype(np.int64)
-        self.in_class = [np.arange(1 + (c - 1) * CLASS_WORDS, min(self.size, 1 + c * CLASS_WORDS)) if c else np.zeros(1, np.int64) for c in range(self.classes)]
+        self.code = np.full(len(self.words), -1, np.int32)
+        mass = np.concatenate([self.counts[best], self.kind_total])
+        place = np.empty(len(mass), np.int32)
+        place[np.argsort(-mass, kind="stable")] = np.arange(1, len(mass) + 1)
+        self.code[best], self.kind_code = place[: len(best)], place[len(best) :]
+        self.is_kind = np.zeros(self.size + KINDS, bool)
+        self.is_kind[self.kind_code] = True
+        self.model_counts = np.concatenate([[ends], np.sort(mass)[::-1]])
+        # class 0 is the end
+        root = np.sqrt(self.model_counts[1:] + 1)
+        cut = np.floor((np.cumsum(root) - root / 2) / root.sum() * (CLASSES - 1)).astype(np.int64)
+        self.class_of = np.concatenate([[0], 1 + np.unique(cut, return_inverse=True)[1]])
+        self.classes = int(self.class_of[-1]) + 1
+        #: where each class begins among the outputs, and their number
+        self.bounds = np.searchsorted(self.class_of, np.arange(self.classes + 1))
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((np.maximum(0, counts) + SMOOTH) / (self.total + SMOOTH * (self.distinct + 1)))
@@ -111,13 +123,13 @@ class Vocabulary:
         return np.log10((np.maximum(0, counts) + SMOOTH) / (self.kind_total[kind] + SMOOTH * (self.kind_distinct[kind] + 1)))
 
     def look_up(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the distinct words: hash, kind, code (model word, or size + kind) and count (-1: not known here)."""
+        """Of the distinct words: hash, kind, code (output of the word or its kind) and count (-1: not known here)."""
         h, kind = hashes(words.distinct), kinds(words.distinct)
         if not len(self.words):
-            return h, kind, (self.size + kind).astype(np.int32), np.full(len(h), -1)
+            return h, kind, self.kind_code[kind], np.full(len(h), -1)
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         known = self.words[at] == h
-        code = np.where(known & (self.code[at] > 0), self.code[at], self.size + kind).astype(np.int32)
+        code = np.where(known & (self.code[at] > 0), self.code[at], self.kind_code[kind])
         return h, kind, code, np.where(known, self.counts[at], -1)
 
 
@@ -127,18 +139,14 @@ def _with_end(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
-
-
 class Model:
     """The weights: one flat vector and views of it by name."""
 
     def __init__(self, vocabulary: Vocabulary, flat: np.ndarray | None = None):
         v, h, d = vocabulary, STATE, VECTOR
-        inputs, classes = v.size + KINDS, v.classes + KINDS
+        outputs = v.size + KINDS
         self.v = v
-        self.shapes = {"e": (inputs, d), "wx": (d, 3 * h), "b": (3 * h,), "u": (h, 3 * h), "wc": (h, classes), "bc": (classes,), "wo": (v.size, h), "bo": (v.size,)}
+        self.shapes = {"e": (outputs, d), "wx": (d, 2 * h), "b": (2 * h,), "u": (h, 2 * h), "wc": (h, v.classes), "bc": (v.classes,), "wo": (outputs, h), "bo": (outputs,)}
         n = sum(int(np.prod(s)) for s in self.shapes.values())
         self.flat = np.zeros(n, np.float32) if flat is None else flat.astype(np.float32)
         at = 0
@@ -150,50 +158,67 @@ class Model:
             self.e[:] = rng.normal(0, 0.3, self.e.shape)
             self.wx[:], self.u[:] = rng.normal(0, d**-0.5, self.wx.shape), rng.normal(0, h**-0.5, self.u.shape)
             # at first the model is the unigram model
-            mass = np.concatenate([np.bincount(v.class_of[: v.size], v.model_counts, v.classes), v.kind_total])
+            mass = np.bincount(v.class_of, v.model_counts, v.classes)
             self.bc[:] = np.log((mass + 1) / (mass.sum() + len(mass)))
             self.bo[:] = np.log(v.model_counts + 0.5)
 
-    def words_of(self, classes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For targets' classes: rows whose class has words to choose from, and the words, class by class."""
-        order = np.argsort(classes, kind="stable")
-        bounds = np.searchsorted(classes[order], np.arange(1, self.v.classes + 1))
+    def in_classes(self, classes: np.ndarray) -> Iterator[tuple[slice, slice]]:
+        """For ascending classes of targets: rows whose class has outputs to choose from, and the outputs, by class."""
+        rows = np.searchsorted(classes, np.arange(self.v.classes + 1)).tolist()
+        outputs = self.v.bounds.tolist()
         for c in range(1, self.v.classes):
-            if bounds[c - 1] < bounds[c]:
-                yield order[bounds[c - 1] : bounds[c]], self.v.in_class[c]
+            if rows[c] < rows[c + 1] and outputs[c + 1] - outputs[c] > 1:
+                yield slice(rows[c], rows[c + 1]), slice(outputs[c], outputs[c + 1])
 
     def step(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
-        a, k = h @ self.u, STATE
-        gates = _sigmoid(x[:, : 2 * k] + a[:, : 2 * k])
-        z, n = gates[:, :k], np.tanh(x[:, 2 * k :] + gates[:, k:] * a[:, 2 * k :])
-        return n + z * (h - n)
+        """The state after h: the first half of the units opens (1 + tanh) / 2 of the way to the candidate, the second."""
+        t = h @ self.u
+        t += x
+        np.tanh(t, out=t)
+        change = t[:, STATE:] - h
+        change *= 0.5
+        change += change * t[:, :STATE]
+        change += h
+        return change
 
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """log P(target | state): of the word for words of the model, of the kind for others."""
         out = np.empty(len(targets), np.float32)
         for a in range(0, len(targets), 8192):
-            s, t = states[a : a + 8192], targets[a : a + 8192]
+            t = targets[a : a + 8192]
+            order = np.argsort(self.v.class_of[t], kind="stable")
+            s, t = states[a : a + 8192][order], t[order]
             c = self.v.class_of[t]
-            logits = s @ self.wc + self.bc
-            own = logits[np.arange(len(t)), c] - np.log(np.exp(logits, out=logits).sum(1))
-            for rows, words in self.words_of(c):
-                within = s[rows] @ self.wo[words].T + self.bo[words]
-                own[rows] += within[np.arange(len(rows)), t[rows] - words[0]]
-                within -= (most := within.max(1, keepdims=True))
-                own[rows] -= np.log(np.exp(within, out=within).sum(1)) + most[:, 0]
-            out[a : a + 8192] = own
+            logits = s @ self.wc
+            logits += self.bc
+            np.minimum(logits, TOP, out=logits)
+            own = logits[np.arange(len(t)), c]
+            np.exp(logits, out=logits)
+            own -= np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+            for rows, outputs in self.in_classes(c):
+                within = s[rows] @ self.wo[outputs].T
+                within += self.bo[outputs]
+                np.minimum(within, TOP, out=within)
+                own[rows] += within[np.arange(len(within)), t[rows] - outputs.start]
+                np.exp(within, out=within)
+                own[rows] -= np.log(within @ np.ones(within.shape[1], within.dtype))
+            out[a : a + 8192][order] = own
         return out
 
     def score(self, codes: np.ndarray, sizes: np.ndarray, steps: int = 16) -> np.ndarray:
-        """log P of each document (its end included). Documents run side by side, longest first, so that those still
-        running are always the first rows; the state goes on from window to window."""
-        order = np.argsort(-sizes, kind="stable")
-        lengths, starts = sizes[order], (np.cumsum(sizes) - sizes)[order]
-        x = self.e @ self.wx + self.b
-        h = np.zeros((len(sizes), STATE), np.float32)
-        total = np.zeros(len(sizes))
-        running = len(sizes)
-        longest = int(lengths[0]) if len(lengths) else 0
+        """log P of each document (its end included): SIDE_BY_SIDE documents at a time, the longest first."""
+        order, out = np.argsort(-sizes, kind="stable"), np.empty(len(sizes))
+        starts, x = np.cumsum(sizes) - sizes, self.e @ self.wx + self.b
+        for at in range(0, len(order), SIDE_BY_SIDE):
+            own = order[at : at + SIDE_BY_SIDE]
+            out[own] = self._score(x, codes, starts[own], sizes[own], steps)
+        return out
+
+    def _score(self, x: np.ndarray, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, steps: int) -> np.ndarray:
+        """log P of documents, longest first, so that those still running are always the first rows; the state goes on
+        from window to window."""
+        h = np.zeros((len(lengths), STATE), np.float32)
+        total, running, longest = np.zeros(len(lengths)), len(lengths), int(lengths[0])
         for t0 in range(0, longest, steps):
             states, targets, who = [], [], []
             for t in range(t0, min(t0 + steps, longest)):
@@ -210,43 +235,50 @@ class Model:
             for n in who:
                 total[:n] += own[a : a + n]
                 a += n
-        out = np.empty(len(sizes))
-        out[order] = total
-        return out
+        return total
 
     def window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradients over one window (lanes, steps) and the state after it. An input of 0 begins a document."""
         g = Model(self.v, np.zeros_like(self.flat))
         lanes, steps = inputs.shape
         k, read = STATE, inputs.T.reshape(-1)
-        x = (self.e @ self.wx + self.b)[read].reshape(steps, lanes, 3 * k)
+        x = (self.e @ self.wx + self.b)[read].reshape(steps, lanes, 2 * k)
         going = (inputs.T != 0).astype(x.dtype)[:, :, None]
-        before, n, after = (np.empty((steps, lanes, k), x.dtype) for _ in range(3))
-        a, gates = np.empty_like(x), np.empty((steps, lanes, 2 * k), x.dtype)
+        before, after = (np.empty((steps, lanes, k), x.dtype) for _ in range(2))
         for t in range(steps):
             h = np.multiply(h, going[t], out=before[t])
-            np.matmul(h, self.u, out=a[t])
-            gates[t] = _sigmoid(x[t, :, : 2 * k] + a[t, :, : 2 * k])
-            np.tanh(x[t, :, 2 * k :] + gates[t, :, k:] * a[t, :, 2 * k :], out=n[t])
-            h = np.add(n[t], gates[t, :, :k] * (h - n[t]), out=after[t])
+            own = x[t]
+            own += h @ self.u
+            np.tanh(own, out=own)
+            change = np.subtract(own[:, k:], h, out=after[t])
+            change *= 0.5
+            change += change * own[:, :k]
+            h = np.add(change, h, out=change)
         ds = self._output_gradient(g, after.reshape(-1, k), targets.T.reshape(-1)).reshape(steps, lanes, k)
-        z, r = gates[:, :, :k], gates[:, :, k:]
-        to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), a[:, :, 2 * k :] * r * (1 - r)
-        dx, da, carry, back = np.empty_like(x), np.empty_like(x), np.zeros_like(h), np.ascontiguousarray(self.u.T)
+        # half of the gate times half of what the candidate differs by; x holds tanh of both
+        gate, candidate = x[:, :, :k], x[:, :, k:]
+        to_gate = candidate - before
+        to_gate *= 0.5 - 0.5 * gate * gate
+        opened = 0.5 + 0.5 * gate
+        to_candidate = 1 - candidate * candidate
+        to_candidate *= opened
+        kept = np.subtract(1, opened, out=opened)
+        kept *= going
+        dx, carry, back = np.empty_like(x), np.zeros_like(h), np.ascontiguousarray(self.u.T)
         for t in range(steps - 1, -1, -1):
-            dh = ds[t] + carry
-            dn = np.multiply(dh, to_n[t], out=dx[t, :, 2 * k :])
-            np.multiply(dh, to_z[t], out=dx[t, :, :k])
-            np.multiply(dn, to_r[t], out=dx[t, :, k : 2 * k])
-            da[t, :, : 2 * k] = dx[t, :, : 2 * k]
-            np.multiply(dn, r[t], out=da[t, :, 2 * k :])
-            carry = (dh * z[t] + da[t] @ back) * going[t]
-        g.u[:] = before.reshape(-1, k).T @ da.reshape(-1, 3 * k)
-        flat = dx.reshape(-1, 3 * k)
-        g.wx[:], g.b[:] = self.e[read].T @ flat, flat.sum(0)
+            dh = ds[t]
+            dh += carry
+            np.multiply(dh, to_gate[t], out=dx[t, :, :k])
+            np.multiply(dh, to_candidate[t], out=dx[t, :, k:])
+            np.matmul(dx[t], back, out=carry)
+            carry *= going[t]
+            carry += np.multiply(dh, kept[t], out=dh)
+        flat = dx.reshape(-1, 2 * k)
+        g.u[:] = before.reshape(-1, k).T @ flat
+        g.wx[:], g.b[:] = self.e[read].T @ flat, np.ones(len(flat), flat.dtype) @ flat
         order = np.argsort(read, kind="stable")
         first = np.flatnonzero(np.diff(read[order], prepend=-1))
-        g.e[read[order][first]] = np.add.reduceat((flat @ self.wx.T)[order], first, axis=0)
+        g.e[read[order][first]] = np.add.reduceat(np.ascontiguousarray((flat @ self.wx.T)[order].T), first, axis=1).T
         return g.flat, h
 
     def _output_gradient(self, g: Model, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -256,7 +288,6 @@ class Model:
         c, ds, each = self.v.class_of[target], np.empty_like(states), 1 / len(targets)
 
         def errors(logits: np.ndarray, right: np.ndarray) -> np.ndarray:
-            logits -= logits.max(1, keepdims=True)
             np.exp(logits, out=logits)
             logits *= (each / (logits @ np.ones(logits.shape[1], logits.dtype)))[:, None].astype(logits.dtype)
             logits[np.arange(len(right)), right] -= each
@@ -266,32 +297,33 @@ class Model:
             part = slice(at, at + ROWS)
             d = errors(s[part] @ self.wc + self.bc, c[part])
             g.wc += s[part].T @ d
-            g.bc += d.sum(0)
+            g.bc += np.ones(len(d), d.dtype) @ d
             np.matmul(d, self.wc.T, out=ds[part])
-        bounds = np.searchsorted(c, np.arange(1, self.v.classes + 1))
-        for i in range(1, self.v.classes):
-            rows, words = slice(bounds[i - 1], bounds[i]), self.v.in_class[i]
-            if bounds[i - 1] < bounds[i]:
-                own = slice(words[0], words[-1] + 1)
-                d = errors(s[rows] @ self.wo[own].T + self.bo[own], target[rows] - words[0])
-                g.wo[own], g.bo[own] = d.T @ s[rows], d.sum(0)
-                ds[rows] += d @ self.wo[own]
+        for rows, outputs in self.in_classes(c):
+            own, words = s[rows], self.wo[outputs]
+            d = errors(own @ words.T + self.bo[outputs], target[rows] - outputs.start)
+            np.matmul(d.T, own, out=g.wo[outputs])
+            np.matmul(np.ones(len(d), d.dtype), d, out=g.bo[outputs])
+            ds[rows] += d @ words
         out = np.empty_like(ds)
         out[order] = ds
         return out
 
-    def train(self, streams: Iterable[np.ndarray], rate: float) -> int:
+    def train(self, streams: Iterable[np.ndarray], rate: float, lanes: int = LANES) -> int:
         """Adam over the streams (documents, each with its end), block by block, each cut into lanes; the tokens trained
         on, which are all."""
         m, v = np.zeros_like(self.flat), np.zeros_like(self.flat)
         i = total = 0
-        for before, targets, lanes in _blocks(streams):
+        for before, targets, lanes in _blocks(streams, lanes):
             h = np.zeros((len(targets), STATE), np.float32)
             for t in range(0, targets.shape[1], STEPS):
                 own = targets[:, t : t + STEPS]
                 gradient, h = self.window(before[:, t : t + STEPS], own, h)
                 # the last windows are small; each token weighs the same
-                gradient *= min(1.0, 5.0 / (np.linalg.norm(gradient) + 1e-9)) * own.size / (lanes * STEPS)
+                size = float(np.linalg.norm(gradient))
+                if not np.isfinite(size):
+                    continue
+                gradient *= min(1.0, 5.0 / (size + 1e-9)) * own.size / (lanes * STEPS)
                 i += 1
                 m *= 0.9
                 m += 0.1 * gradient
@@ -305,10 +337,10 @@ class Model:
         return total
 
 
-def _blocks(streams: Iterable[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(inputs, targets, lanes of a whole block) of the tokens of all streams, each token a target once. A task's first
-    block is narrow, so that little data still gives many steps."""
-    lanes, last, held = LANES, 0, np.zeros(0, np.int32)
+def _blocks(streams: Iterable[np.ndarray], lanes: int = LANES) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(inputs, targets, lanes of a whole block) of the tokens of all streams, each token a target once. The first block
+    has `lanes`: few, where the weights are new, so that little data still gives many steps."""
+    last, held = 0, np.zeros(0, np.int32)
 
     def cut(most: int) -> tuple[np.ndarray, np.ndarray, int]:
         nonlocal last, held
@@ -345,23 +377,20 @@ def hold_memory() -> None:
         mallopt(-1, 64 << 20)  # free memory at the heap's end that is kept
 
 
-def _train(vocabulary, weights, rate: float):
+def _train(vocabulary, weights, rate: float, lanes: int):
     @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold_memory()
         model = Model(vocabulary.value, weights.value)
-        n = model.train((np.asarray(b["codes"].flatten()) for b in batches if b.num_rows), rate)
+        n = model.train((np.asarray(b["codes"].flatten()) for b in batches if b.num_rows), rate, lanes)
         if n:
-            rows = [(model.flat[a : a + PART] * n).astype(np.float64) for a in range(0, len(model.flat), PART)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([n] * len(rows)), lists(np.concatenate(rows), [len(r) for r in rows])], names=["place", "n", "sums"])
+            flat = np.append(model.flat.astype(np.float64) * n, n)
+            sizes = np.diff(np.append(np.arange(0, len(flat), PART), len(flat)))
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(sizes)), pa.int32()), lists(flat, sizes)], names=["place", "sums"])
 
     return run
 
 
-def _add(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"place": rows["place"].iloc[:1], "n": [rows["n"].sum()], "sums": [np.sum(np.stack(rows["sums"]), 0)]})
-
-
 def _score(vocabulary, weights):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
@@ -383,7 +412,7 @@ def _score(vocabulary, weights):
             h, kind, code, count = v.look_up(words)
             n, of, w = batch.num_rows, words.of(), words.codes
             here = count[w] >= 0
-            of_kind = here & (code[w] >= v.size)
+            of_kind = here & v.is_kind[code[w]]
             base = np.bincount(of[here], v.base(count)[w[here]], n) + v.base(np.array([v.ends]))[0]
             inner = np.bincount(of[of_kind], v.in_kind(count, kind)[w[of_kind]], n)
             known = np.bincount(of[here], minlength=n) + (v.ends > 0)
@@ -426,10 +455,11 @@ def trained(docs: DataFrame, vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     flat = Model(vocabulary.value).flat
     for k in range(rounds):
         weights = sc.broadcast(flat)
-        own = parts.where(F.col("part") == k).mapInArrow(_train(vocabulary, weights, RATE * (1 - 0.8 * k / rounds)), "place int, n long, sums array<double>")
-        sums = own.groupBy("place").applyInPandas(_add, "place int, n long, sums array<double>").toPandas().sort_values("place")
+        run = _train(vocabulary, weights, RATE * (1 - 0.8 * k / rounds), WIDE if k else LANES)
+        sums = array_sums(parts.where(F.col("part") == k).mapInArrow(run, "place int, sums array<double>"), "place", "sums").toPandas().sort_values("place")
         if len(sums):
-            flat = (np.concatenate(sums["sums"].tolist()) / sums["n"].iloc[0]).astype(np.float32)
+            total = np.concatenate(sums["sums"].tolist())
+            flat = (total[:-1] / total[-1]).astype(np.float32)
     return flat
 
 
