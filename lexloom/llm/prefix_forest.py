@@ -81,8 +81,8 @@ def _pack(rows: pd.DataFrame) -> pd.DataFrame:
     """One row of packed ids and vectors; rows alike in both count once."""
     x = np.stack(rows["v"]).astype(np.float64)
     ids = rows["vec_id"].to_numpy(np.int64)
-    both = np.unique(np.concatenate([ids[:, None].astype(np.float64), x], 1), axis=0, return_index=True)[1]
-    both = both[np.argsort(ids[both], kind="stable")]
+    same = np.unique(x, axis=0, return_inverse=True)[1].reshape(-1)
+    both = np.unique(np.stack([ids, same], 1), axis=0, return_index=True)[1]
     return pd.DataFrame({"dim": rows["dim"].iloc[:1].to_numpy(), "part": rows["part"].iloc[:1].to_numpy(), "ids": [ids[both].tobytes()], "vectors": [x[both].tobytes()]})
 
 
