@@ -9,8 +9,6 @@ walking to a sampled position and merged into removal spans.
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,10 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.common import ALNUM, Words, hashes, lists, pieces, ragged, table, tidy
+from lexloom.llm.common import ALNUM, Words, hashes, lists, pieces, ragged, table, tidy, unused
 
-#: Words of a test phrase; text of test items that one pass over the documents searches for (and broadcasts).
-WINDOW, BLOCK_CHARS = 10, 16 << 20
+#: Words of a test phrase; text of test items that one pass over the documents searches for. A word has a byte and a
+#: separator, so a block has 2 M windows at most and its broadcast some 120 MB; of prose, a sixth of that.
+WINDOW, BLOCK_CHARS = 10, 4 << 20
 #: Every SAMPLE-th suffix position is kept, and each that follows a separator.
 SAMPLE = 16
 
@@ -117,19 +116,21 @@ class Phrases:
         known, code = np.unique(hashes(words.distinct), return_inverse=True)
         self.alphabet = known
         of = code[words.codes] + 1 if len(words.codes) else np.zeros(0, np.int64)
-        at: dict[tuple, set] = defaultdict(set)
-        for i, (a, b) in enumerate(zip(words.firsts[:-1], words.firsts[1:], strict=True)):
-            own = of[a:b].tolist()
-            for k in range(max(1, len(own) - window + 1) if own else 0):
-                at[tuple(own[k : k + window])].add(ids[i])
-        by: dict[int, list] = defaultdict(list)
-        for phrase in at:
-            by[len(phrase)].append(phrase)
-        self.groups = [(np.array(p, np.int64), [sorted(at[x]) for x in p]) for p in by.values()]
-        self.shortest = min(by, default=0)
-
-    def occurrences(self, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, int, list]]:
-        """(phrase number, first word, words of the phrase, items of each phrase) of all occurrences in these texts."""
+        counts, id_of = words.counts, np.array(ids, np.int64)
+        #: by length: phrases (a row each), where the items of each begin, and the items
+        self.groups = []
+        for size in np.unique(np.minimum(counts[counts > 0], window)).tolist():
+            own = np.flatnonzero(np.minimum(counts, window) == size)
+            per = counts[own] - size + 1
+            rows = of[ragged(words.firsts[own], per)[:, None] + np.arange(size)].astype(np.int32)
+            phrases, which = np.unique(rows, axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([which.reshape(-1), np.repeat(id_of[own], per)], 1), axis=0)
+            self.groups.append((phrases, np.searchsorted(pairs[:, 0], np.arange(len(phrases) + 1)), pairs[:, 1]))
+        self.shortest = min((p.shape[1] for p, *_ in self.groups), default=0)
+
+    def occurrences(self, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]:
+        """(phrase number, first word, words of the phrase, where each phrase's items begin, items) of all occurrences
+        in these texts."""
         if not self.groups or not len(words.codes):
             return
         h = hashes(words.distinct)
@@ -151,11 +152,11 @@ class Phrases:
         own = symbol[np.minimum(place, len(symbol) - 1)]
         own[last] = 0
         index = FmIndex(own)
-        for phrases, items in self.groups:
+        for phrases, begin, items in self.groups:
             low, high = index.search(phrases)
             rows = ragged(low, high - low)
             if len(rows):
-                yield np.repeat(np.arange(len(phrases)), high - low), place[index.locate(rows)], phrases.shape[1], items
+                yield np.repeat(np.arange(len(phrases)), high - low), place[index.locate(rows)], phrases.shape[1], begin, items
 
 
 def _spans(marks: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,8 +168,10 @@ def _spans(marks: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(begin), np.flatnonzero(end) + 1
 
 
-def _search(phrases, keep: list[str], cut: bool):
-    """Adds what one block of items hits to what earlier blocks hit (`spans`: word numbers, `items`)."""
+def _search(phrases, keep: list[str], cut: bool, names: list[str]):
+    """Adds what one block of items hits to what earlier blocks hit. names: of the columns for the number of words, the
+    spans (word numbers) and the items."""
+    n_words, all_spans, all_items = names
 
     @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,17 +179,18 @@ def _search(phrases, keep: list[str], cut: bool):
         for batch in pieces(batches):
             words = Words(batch["text"], ALNUM)
             marks = np.zeros(len(words.codes) + 1, np.int32)
-            items: list[set] = [set(x) for x in batch["_items"].to_pylist()]
-            for d, spans in enumerate(batch["_spans"].to_pylist()):
+            items: list[set] = [set(x) for x in batch[all_items].to_pylist()]
+            for d, spans in enumerate(batch[all_spans].to_pylist()):
                 for a, b in zip(spans[::2], spans[1::2], strict=True):
                     marks[words.firsts[d] + a] += 1
                     marks[words.firsts[d] + b] -= 1
-            for phrase, at, size, of in own.occurrences(words):
+            for phrase, at, size, begin, of in own.occurrences(words):
                 np.add.at(marks, at, 1)
                 np.add.at(marks, at + size, -1)
                 doc = np.searchsorted(words.firsts, at, side="right") - 1
-                for d, p in set(zip(doc.tolist(), phrase.tolist(), strict=True)):
-                    items[d].update(of[p])
+                pairs = np.unique(np.stack([doc, phrase], 1), axis=0)
+                for d, p in pairs.tolist():
+                    items[d].update(of[begin[p] : begin[p + 1]].tolist())
             hit = np.cumsum(marks)[:-1] > 0
             starts, ends = _spans(hit, words.firsts[:-1][words.firsts[:-1] < len(hit)]) if len(hit) else (np.zeros(0, np.int64),) * 2
             doc = np.searchsorted(words.firsts, starts, side="right") - 1
@@ -195,9 +199,9 @@ def _search(phrases, keep: list[str], cut: bool):
             columns = {c: batch[c] for c in keep}
             if cut:
                 columns["text"] = pa.array(_cut(batch["text"].to_pylist(), words, starts, ends, doc), pa.string())
-            columns["_words"] = pa.array(words.counts.astype(np.int64))
-            columns["_spans"] = lists(flat.astype(np.int64), 2 * per)
-            columns["_items"] = pa.array([sorted(x) for x in items], pa.list_(pa.int64()))
+            columns[n_words] = pa.array(words.counts.astype(np.int64))
+            columns[all_spans] = lists(flat.astype(np.int64), 2 * per)
+            columns[all_items] = pa.array([sorted(x) for x in items], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
@@ -214,23 +218,25 @@ def _cut(texts: list, words: Words, starts: np.ndarray, ends: np.ndarray, doc: n
     return texts
 
 
-def _searched(docs: DataFrame, benchmark: DataFrame, cut: bool) -> DataFrame:
+def _searched(docs: DataFrame, benchmark: DataFrame, cut: bool) -> tuple[DataFrame, list[str]]:
+    """docs with three columns more, and the names of those: number of words, spans, items."""
     spark = docs.sparkSession
+    names = unused(docs.columns, "words", "spans", "items")
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     chars = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
     none = F.array().cast("array<bigint>")
     keep = docs.columns if cut else [c for c in docs.columns if c in ("doc_id", "text")]
-    out = docs.select(*[f"`{c}`" for c in keep]).withColumns({"_words": F.lit(0).cast("long"), "_spans": none, "_items": none})
+    out = docs.select(*[f"`{c}`" for c in keep]).withColumns(dict(zip(names, (F.lit(0).cast("long"), none, none), strict=True)))
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()
         phrases = spark.sparkContext.broadcast(Phrases([r.item_id for r in own], [r.text for r in own]))
         last = b == blocks - 1
         held = keep if cut or not last else [c for c in keep if c != "text"]
         fields = [docs.schema[c] for c in held]
-        schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], T.StructField("_words", T.LongType()), T.StructField("_spans", T.ArrayType(T.LongType())), T.StructField("_items", T.ArrayType(T.LongType()))])
-        out = out.mapInArrow(_search(phrases, held, cut and last), schema)
-    return out
+        schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], T.StructField(names[0], T.LongType()), *[T.StructField(n, T.ArrayType(T.LongType())) for n in names[1:]]])
+        out = out.mapInArrow(_search(phrases, held, cut and last, names), schema)
+    return out, names
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -238,16 +244,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     spans: pairs of word numbers, from and up to, that occurrences of test windows cover, merged; items: the test items
     they are of. A window is 10 consecutive words of an item, or the whole item if it has fewer. Null or wordless texts
-    have no words; items that are null or have no words match nothing; of items with one id all texts count.
+    have no words; items that are null or have no words match nothing; of items with one id all texts count. Item ids
+    are integers. Documents of any length are searched whole; rows with a null or repeated doc_id each by their own text.
     """
-    out = _searched(docs, benchmark, cut=False)
-    return out.select("doc_id", F.col("_words").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items"))
+    out, (n_words, spans, items) = _searched(docs, benchmark, cut=False)
+    return out.select("doc_id", F.col(n_words).alias("n_words"), F.col(spans).alias("spans"), F.col(items).alias("items"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with the covered spans cut out of their texts (and n_chars counted anew, if there); rows without hits stay."""
-    hit = F.size("_spans") > 0
-    out = _searched(docs, benchmark, cut=True)
+    """docs with the covered spans cut out of their texts (and n_chars counted anew, if there); rows without hits, null
+    and empty texts and all other columns, whatever their names, stay as they are."""
+    out, (_, spans, _) = _searched(docs, benchmark, cut=True)
+    hit = F.size(spans) > 0
     own = [F.when(hit, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*own)
 
