@@ -12,10 +12,12 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import UPPER, checkpointed, table
+from lexloom.llm.common import UPPER, checkpointed, table, unused
 
-#: Keys with fewer code points are never dropped.
-MIN_CHARS = 10
+#: Keys with fewer code points are never dropped. Lines with more copies than HOT_LINES in a batch meet their documents
+#: by a broadcast, if such keys are BROADCAST_KEYS (32 bytes each) at most.
+MIN_CHARS, HOT_LINES, BROADCAST_KEYS = 10, 1 << 20, 1 << 20
+#: Stands for a null doc_id, after all others; a real id of this value counts as null.
 LAST = (1 << 63) - 1
 
 
@@ -61,12 +63,13 @@ class LineRuns:
             self.spark.sql(f"DROP TABLE {t} PURGE")
 
 
-def dropped_lines(docs: DataFrame, batches: int = 4, buckets: int | None = None, fanout: int = 2, min_chars: int = MIN_CHARS) -> DataFrame:
+def dropped_lines(docs: DataFrame, batches: int = 4, buckets: int | None = None, fanout: int = 2, min_chars: int = MIN_CHARS, hot_lines: int = HOT_LINES) -> DataFrame:
     """(doc_id, positions): of each document that loses lines, their places, ascending.
 
     A line goes if its key has at least min_chars code points and a smaller doc_id holds the key too. A null doc_id
     counts as one document, after all others; rows that repeat a doc_id are one document. batches, buckets and fanout
-    change how the work is cut, never the result; there are as many buckets as shuffle partitions unless given.
+    change how the work is cut, never the result; there are as many buckets as shuffle partitions unless given. Null and
+    empty texts are one empty line, which is never dropped.
     """
     spark = docs.sparkSession
     ids = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("line"))
@@ -83,14 +86,18 @@ def dropped_lines(docs: DataFrame, batches: int = 4, buckets: int | None = None,
     try:
         for b in range(batches):
             own = lines.where(F.col("batch") == b)
-            keys = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+            keys = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("copies"))
             for k, run in enumerate(runs.tables()):
                 keys = keys.join(run.withColumn(f"in{k}", F.lit(1)), ["h1", "h2"], "left")
             seen = F.coalesce(*[f"in{k}" for k in range(len(runs.tables()))], F.lit(0)) if runs.tables() else F.lit(0)
-            keys = checkpointed(keys.select("h1", "h2", "first", "last", seen.alias("seen")))
+            keys = checkpointed(keys.select("h1", "h2", "first", "last", "copies", seen.alias("seen")))
             runs.add(keys.where("seen = 0").select("h1", "h2"))
-            again = keys.where("seen = 1 or last > first").select("h1", "h2", F.when(F.col("seen") == 0, F.col("first")).alias("keeper"))
-            gone.append(checkpointed(own.join(again, ["h1", "h2"]).where("keeper is null or doc_id > keeper").select("doc_id", "pos")))
+            again = keys.where("seen = 1 or last > first").select("h1", "h2", F.when(F.col("seen") == 0, F.col("first")).alias("keeper"), "copies")
+            hot = again.where(F.col("copies") > hot_lines)
+            met = own.join(again, ["h1", "h2"])
+            if 0 < hot.count() <= BROADCAST_KEYS:
+                met = own.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(again.where(F.col("copies") <= hot_lines), ["h1", "h2"]).unionByName(own.join(F.broadcast(hot), ["h1", "h2"]))
+            gone.append(checkpointed(met.where("keeper is null or doc_id > keeper").select("doc_id", "pos")))
     finally:
         runs.close()
     union = gone[0]
@@ -100,19 +107,19 @@ def dropped_lines(docs: DataFrame, batches: int = 4, buckets: int | None = None,
 
 
 def dedup_lines(docs: DataFrame, **params) -> DataFrame:
-    """docs with kept_text, n_lines and n_dropped added; other columns, and rows with a null or repeated id, stay."""
-    cols = [F.col(f"d.`{c}`") for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
-    gone = dropped_lines(docs, **params).withColumnRenamed("doc_id", "_id").alias("g")
-    joined = docs.alias("d").join(gone, F.coalesce("d.doc_id", F.lit(LAST)) == F.col("g._id"), "left")
-    line = F.split(F.coalesce("d.text", F.lit("")), "\n", -1)
-    joined = joined.select(*cols, line.alias("_line"), F.coalesce("positions", F.array().cast("array<int>")).alias("_gone"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_line") - 1), "_gone")
-    own = [f"`{c}`" for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
+    """docs with kept_text, n_lines and n_dropped added (columns of these names are replaced); all other columns, whatever
+    their names, and rows with a null or repeated id, stay."""
+    own = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
+    id_, line, gone, at = unused(docs.columns, "id", "line", "gone", "at")
+    lost = dropped_lines(docs, **params).toDF(id_, at)
+    joined = docs.join(lost, F.coalesce("doc_id", F.lit(LAST)) == F.col(id_), "left")
+    joined = joined.select(*[f"`{c}`" for c in own], F.split(F.coalesce("text", F.lit("")), "\n", -1).alias(line), F.coalesce(at, F.array().cast("array<int>")).alias(gone))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(line) - 1), gone)
     return joined.select(
-        *own,
-        F.array_join(F.transform(kept, lambda i: F.col("_line")[i]), "\n").alias("kept_text"),
-        F.size("_line").cast("long").alias("n_lines"),
-        F.size("_gone").cast("long").alias("n_dropped"),
+        *[f"`{c}`" for c in own],
+        F.array_join(F.transform(kept, lambda i: F.col(line)[i]), "\n").alias("kept_text"),
+        F.size(line).cast("long").alias("n_lines"),
+        F.size(gone).cast("long").alias("n_dropped"),
     )
 
 
