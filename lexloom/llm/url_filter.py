@@ -10,13 +10,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexloom.llm.common import UPPER, table
+from lexloom.llm.common import UPPER, table, unused
 
 #: 512 bits, eight longs, make a block; a key sets PROBES bits of one block.
 BLOCK_BITS, PROBES, BITS_PER_KEY = 512, 6, 16
 #: Up to this many entries the list and its filter (2 bytes an entry) are broadcast; beyond, both joins shuffle.
 BROADCAST_ENTRIES = 100_000
+#: Parts into which the pages of one (host, path) are dealt.
+SALTS = 32
 
 #: The rules of op1: entry and verdict.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -63,7 +66,8 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, unlisted: str = "allow", br
 
     rules: entry, verdict; entries are host + path with a path, null entries are ignored, of repeated ones the smallest
     verdict stays. Among entries that cover a url the longest wins, of equals the one with the longer host. Null urls
-    and urls without :// have an empty host and path and no rule. Rows stay as they are, repeated ones too.
+    and urls without :// have an empty host and path and no rule. Rows stay as they are, repeated ones too. Pages of one
+    (host, path) are dealt to SALTS parts by their numbers, pages without host or path meet no join.
     """
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     pages = pages.select(*[f"`{c}`" for c in own], url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
@@ -78,22 +82,27 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, unlisted: str = "allow", br
     # null where there is nothing to look up, so that such a page meets no join
     suffixes = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))
     prefixes = F.array(*[F.when(F.length("path") >= s, F.substring("path", 1, s)) for s in about.sizes])
+    numbers = [F.col(f"`{f.name}`") for f in pages.schema.fields if isinstance(f.dataType, T.NumericType)]
+    (salt,) = unused(pages.columns, "salt")
+    pages = pages.withColumn(salt, F.pmod(F.xxhash64(*numbers), F.lit(SALTS)) if numbers else F.lit(0).cast("long"))
+    listable = (F.col("host") != "") & (F.col("path") != "")
     asked = (
-        pages.select("host", "path").where("host <> '' and path <> ''").distinct()
+        pages.where(listable).select("host", "path", salt).distinct()
         .withColumn("labels", labels)
-        .select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes"))
-        .select("host", "path", "suffix", F.explode(F.array_compact("prefixes")).alias("prefix"))
-        .select("host", "path", F.length("suffix").alias("host_chars"), F.concat("suffix", "prefix").alias("entry"))
+        .select("host", "path", salt, F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes"))
+        .select("host", "path", salt, "suffix", F.explode(F.array_compact("prefixes")).alias("prefix"))
+        .select("host", "path", salt, F.length("suffix").alias("host_chars"), F.concat("suffix", "prefix").alias("entry"))
         .withColumn("block", _block(F.col("entry"), blocks))
     )
-    possible = asked.join(small(bloom_filter(listed, blocks)), "block").where(_may_hold("words", "entry")).select("host", "path", "host_chars", "entry")
+    possible = asked.join(small(bloom_filter(listed, blocks)), "block").where(_may_hold("words", "entry")).select("host", "path", salt, "host_chars", "entry")
     best = (
         possible.join(small(listed.select("entry", "entry_verdict")), "entry")
-        .groupBy("host", "path")
+        .groupBy("host", "path", salt)
         .agg(F.max(F.struct(F.length("entry"), "host_chars", "entry", "entry_verdict")).alias("best"))
-        .select("host", "path", F.col("best.entry").alias("rule"), F.col("best.entry_verdict").alias("verdict"))
+        .select("host", "path", salt, F.col("best.entry").alias("rule"), F.col("best.entry_verdict").alias("verdict"))
     )
-    return pages.join(best, ["host", "path"], "left").select(*[f"`{c}`" for c in own], "host", "path", "rule", F.coalesce("verdict", F.lit(unlisted)).alias("verdict"))
+    judged = pages.where(listable).join(best, ["host", "path", salt], "left").unionByName(pages.where(~listable), allowMissingColumns=True)
+    return judged.select(*[f"`{c}`" for c in own], "host", "path", "rule", F.coalesce("verdict", F.lit(unlisted)).alias("verdict"))
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
