@@ -127,7 +127,9 @@ def greedy_keep(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def first_copies(docs: DataFrame) -> DataFrame:
     """docs (seq, text) with document_key and whether the row is the first of its text."""
     keyed = docs.withColumn("document_key", X.stable_hash(F.col("text")))
-    return keyed.withColumn("is_first", F.row_number().over(W.partitionBy("document_key").orderBy("seq")) == 1)
+    # firsts are found before the shuffle as well and joined by seq, so copies of one text meet in no task
+    first = keyed.groupBy("document_key").agg(F.min("seq").alias("_first")).select("_first")
+    return keyed.join(first, F.col("seq") == F.col("_first"), "left").withColumn("is_first", F.col("_first").isNotNull()).drop("_first")
 
 
 def dispositions(docs: DataFrame, least: int = MIN_CHARS, distance: int = DISTANCE) -> DataFrame:

@@ -37,8 +37,13 @@ def extract_sentences(docs: DataFrame, least: int = MIN_CHARS, most: int = MAX_C
 
 
 def first_of_each_sentence(sentences: DataFrame, *precedence: Column) -> DataFrame:
-    """Of sentences with one dedup_key the first by precedence, across sources."""
-    return sentences.withColumn("_n", F.row_number().over(W.partitionBy("dedup_key").orderBy(*precedence))).where("_n = 1").drop("_n")
+    """Of sentences with one dedup_key the first by precedence, across sources.
+
+    Copies are compared before the shuffle as well, so a sentence with very many copies is no large group.
+    """
+    own = F.struct(*[F.col(f"`{c}`") for c in sentences.columns])
+    order = F.struct(*[p.alias(f"p{k}") for k, p in enumerate(precedence)])
+    return sentences.groupBy(F.col("dedup_key").alias("_of")).agg(F.min_by(own, order).alias("_first")).select("_first.*")
 
 
 def invalid_documents(docs: DataFrame) -> DataFrame:

@@ -49,9 +49,10 @@ def first_missing_level(levels: dict[str, Column]) -> Column:
 
 
 def argmax_label(logits: Column, labels: list[str] | None = None) -> Column:
-    """The label (or index) of the first largest value."""
+    """The label (or index) of the first largest value; null without logits."""
     at = F.array_position(logits, F.array_max(logits)).cast("int")
-    return F.element_at(F.array(*map(F.lit, labels)), at) if labels else at - 1
+    # element_at of labels counts as never null, also where its place is null
+    return F.when(at.isNotNull(), F.element_at(F.array(*map(F.lit, labels)), at)) if labels else at - 1
 
 
 def positive_labels(logits: Column, labels: list[str]) -> Column:
@@ -70,15 +71,19 @@ def inside(spans: Column, parent: Column) -> Column:
 
 
 def tree(text: Column, a: Column, b: Column, bunsetsu: Column, clause: Column, sentence: Column) -> Column:
-    """Sentences of clauses of bunsetsu of B of A, of array columns of spans; a bunsetsu without B holds its A in one."""
+    """Sentences of clauses of bunsetsu of B of A, of array columns of spans. Nodes have the fields of their spans, their
+    text and, but for A, children; a bunsetsu without B holds its A in one B of its own extent."""
 
-    def node(s: Column, children: Column | None = None) -> Column:
-        own = [s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text")]
+    def node(s: Column, children: Column | None = None, fields: tuple[str, ...] = ()) -> Column:
+        own = [s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text"), *(s[f].alias(f) for f in fields)]
         return F.struct(*own, *([children.alias("children")] if children is not None else []))
 
+    def leaves(s: Column) -> Column:
+        return F.transform(inside(a, s), lambda x: node(x, fields=("atom_type", "function", "inflections")))
+
     def chunk(s: Column) -> Column:
-        bs = F.transform(inside(b, s), lambda x: node(x, F.transform(inside(a, x), node)))
-        return node(s, F.when(F.size(bs) > 0, bs).otherwise(F.array(node(s, F.transform(inside(a, s), node)))))
+        bs = F.transform(inside(b, s), lambda x: node(x, leaves(x)))
+        return node(s, F.when(F.size(bs) > 0, bs).otherwise(F.array(node(s, leaves(s)))), ("role",))
 
     return F.transform(sentence, lambda s: node(s, F.transform(inside(clause, s), lambda c: node(c, F.transform(inside(bunsetsu, c), chunk)))))
 

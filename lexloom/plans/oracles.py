@@ -106,6 +106,27 @@ t AS (SELECT label, coalesce(sum(k) FILTER (e = label AND a = label), 0) AS tp,
 x AS (SELECT label, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, CASE WHEN tp > 0 THEN round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 9) ELSE 0.0 END AS f1 FROM t)"""
 
 
+def _decoded() -> str:
+    """Labels of spans that end where a level's modulus, or a coarser one's, divides a character's code point."""
+    ends = {}
+    moduli = {"a": [2, 5, 11, 31, 101], "b": [5, 11, 31, 101], "bunsetsu": [11, 31, 101], "clause": [31, 101], "sentence": [101]}
+    for level, own in moduli.items():
+        ends[level] = "list_filter(range(1, n + 1), lambda i: i = n OR " + " OR ".join(f"cp[i] % {m} = 0" for m in own) + ")"
+    name = lambda words, at: "[" + ", ".join(f"'{w}'" for w in words) + f"][{at}]"
+    inflections = "concat_ws('+', " + ", ".join(f"CASE WHEN cp[i] % {k + 2} = 0 THEN '{w}' END" for k, w in enumerate(V.INFLECTIONS)) + ")"
+    kind = name(V.ATOM_TYPES, "cp[i] % 12 + 1")
+    function = f"CASE WHEN {kind} = 'PARTICLE' THEN {name(V.PARTICLE_FUNCTIONS, '(cp[i] // 3) % 12 + 1')} ELSE '-' END"
+    atom = f"i::VARCHAR || ':' || {kind} || ':' || {function} || ':' || CASE WHEN {kind} IN ('VERB_STEM', 'AUXILIARY', 'COPULA', 'ADJECTIVE') THEN {inflections} ELSE '' END"
+    told = lambda level, body: f"array_to_string(list_transform({level}, lambda i: {body}), ' ')"
+    number = "i::VARCHAR"
+    return f"""WITH {S}, c AS (SELECT document_id, sentence_index, text, length(text) AS n, list_transform(range(1, length(text) + 1), lambda i: unicode(substr(text, i::INT, 1))) AS cp FROM s),
+e AS (SELECT *, {", ".join(f"{x} AS e_{level}" for level, x in ends.items())} FROM c)
+SELECT document_id, sentence_index, {told("e_a", atom)} AS atoms, {told("e_b", number)} AS b, {told("e_bunsetsu", "i::VARCHAR || ':' || " + name(V.BUNSETSU_ROLES, "cp[i] % 9 + 1"))} AS bunsetsu,
+  {told("e_clause", number)} AS clauses, {told("e_sentence", number)} AS sentences, CASE WHEN len(e_sentence) = 1 THEN 'SENTENCE' ELSE 'DOCUMENT' END AS root,
+  array_to_string(list_transform(range(1, len(e_a) + 1), lambda k: substr(text, (CASE WHEN k = 1 THEN 1 ELSE e_a[k - 1] + 1 END)::INT, (e_a[k] - CASE WHEN k = 1 THEN 0 ELSE e_a[k - 1] END)::INT)), '|') AS leaves
+FROM e"""
+
+
 def _values(cols: list[str], rows: list[tuple]) -> str:
     def lit(x):
         return "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + _q(x) + "'"
@@ -186,6 +207,7 @@ ORACLES = {
  w AS (SELECT document_id, sentence_index, level, y, unnest(list_concat([0], x[:-2])) AS s, unnest(x) AS e FROM v)
  SELECT document_id, sentence_index, level, s::INT AS "start", e::INT AS "end", coalesce(list_max(list_filter(y, lambda k: k < e)), 0)::INT AS parent_start, list_min(list_filter(y, lambda k: k >= e))::INT AS parent_end FROM w""",
     "teacher_agreement": f"WITH {R} SELECT 'aligned' AS reason, count(*) AS n, sum(len(a))::BIGINT AS tokens FROM r",
+    "decode_records": _decoded(),
     "argmax_decode": "SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INT AS best FROM embeddings",
     "softmax_confidence": "SELECT vec_id, round(1 / list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE))), 9) AS confidence FROM embeddings",
     "web_parquet_scan": "SELECT doc_id::VARCHAR AS document_id, CASE WHEN length(text) > 0 THEN lang ELSE 'invalid' END AS language, CASE WHEN length(text) > 0 THEN length(text) ELSE 0 END::INT AS chars FROM documents",

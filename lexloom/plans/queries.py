@@ -10,11 +10,13 @@ from lexloom.functions import text as X
 from lexloom.functions import vocabulary as V
 from lexloom.operators import align as A
 from lexloom.operators import compile as C
-from lexloom.operators import dedup, extract, features, gold, infer, sample, score, spans, stats, synth, validate
+from lexloom.operators import decode, dedup, extract, features, gold, infer, sample, score, spans, stats, synth, validate
 from lexloom.plans import literals
 from lexloom.sources import readers
 
 QUOTA, TOP, SHARDS, BATCH = 100, 50, 7, 64
+#: By level, from a to sentence: characters whose code point this divides end a span of decode_records.
+DECODE_MODULI = [2, 5, 11, 31, 101]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -374,6 +376,28 @@ def infer_seeded(spark, d):
     return infer.predict(features.encode_text(s, 4096, 4096), infer.seeded_weights("50k"), "id").select("id", "n", F.round(F.col("boundaries")[0], 4).alias("first_boundary"))
 
 
+def decode_records(spark, d):
+    """Constructed logits of all sentences, decoded: what the code points of their characters say, level by level."""
+    s = sentences(spark, d).select("document_id", "sentence_index", "text")
+    cp = X.computed(s, cp=F.transform(X.chars(F.col("text")), lambda c: F.ascii(c)))
+    flat = lambda width, of: F.flatten(F.transform("cp", lambda c: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: of(c, k))))
+    moduli = F.array(*map(F.lit, DECODE_MODULI))
+    logits = X.computed(
+        cp, boundaries=flat(5, lambda c, k: F.when(c % F.get(moduli, k) == 0, 0.5).otherwise(-0.5)),
+        atom=flat(12, lambda c, k: (c % 12 == k).cast("double")), function=flat(12, lambda c, k: (F.floor(c / 3) % 12 == k).cast("double")),
+        inflection=flat(10, lambda c, k: F.when(c % (k + 2) == 0, 1.0).otherwise(-1.0)), role=flat(9, lambda c, k: (c % 9 == k).cast("double")),
+    )
+    out = decode.decoded(logits)
+    told = lambda x: F.concat_ws(":", x["end"].cast("string"), x["atom_type"], F.coalesce(x["function"], F.lit("-")), F.array_join(x["inflections"], "+"))
+    ends = lambda c: F.array_join(F.transform(c, lambda x: x["end"].cast("string")), " ")
+    leaves = F.flatten(F.flatten(F.flatten(F.transform("tree", lambda s: F.transform(s["children"], lambda c: F.flatten(F.transform(c["children"], lambda b: F.transform(b["children"], lambda x: x["children"]))))))))
+    return out.select(
+        "document_id", "sentence_index", F.array_join(F.transform("spans", told), " ").alias("atoms"), ends(F.col("b_spans")).alias("b"),
+        F.array_join(F.transform("bunsetsu", lambda x: F.concat_ws(":", x["end"].cast("string"), x["role"])), " ").alias("bunsetsu"), ends(F.col("clauses")).alias("clauses"), ends(F.col("sentences")).alias("sentences"),
+        "root", F.array_join(F.transform(leaves, lambda x: x["text"]), "|").alias("leaves"),
+    )
+
+
 def target_arrays(spark, d):
     """Class numbers by character of the literal records."""
     r = features.targets(C.records(C.compile_records(literals.raw(spark))))
@@ -396,6 +420,6 @@ QUERIES = {
         script_distribution, char_class_distribution, script_transitions, codepoint_buckets, bigram_buckets, categorical_features, length_histogram, length_buckets, padded_batches, char_ngrams_top,
         boundary_f1, atom_f1, atom_macro_f1, role_f1, tree_exact, score_report, inflection_multilabel, function_f1, corpus_stats, endpoint_hierarchy, nested_boundaries, partition_spans, tree_edges,
         teacher_agreement, argmax_decode, softmax_confidence, align_surfaces, map_labels, validate_codes, compile_records, compile_failures, compile_summary, synthetic_paradigms, synthetic_unsupported,
-        ud_gold, knp_gold, model_params, infer_seeded, target_arrays, web_parquet_scan,
+        ud_gold, knp_gold, model_params, infer_seeded, decode_records, target_arrays, web_parquet_scan,
     )
 }

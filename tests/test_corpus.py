@@ -249,3 +249,47 @@ def test_stream_resumes(spark, tmp_path):
 
 def test_every_oracle_has_a_query():
     assert set(oracles.ORACLES) <= set(queries.QUERIES)
+
+
+def test_analyze_texts(spark):
+    """Spans and trees of texts by seeded weights, against a plain reading of the logits; what is rejected and why."""
+    from lexloom.operators import decode
+
+    w = infer.seeded_weights("50k", 3)
+    texts = spark.createDataFrame([(1, "東京へ行った。Yes!"), (2, "a"), (3, ""), (4, None), (5, "x" * 129), (6, "一二三 四五六\nabc")], "id int, text string")
+    good, bad = decode.analyze(texts, w, "id")
+    assert {(r.id, r.reason[:14]) for r in bad.collect()} == {(3, "text must be n"), (4, "text must be n"), (5, "text exceeds 1")}
+    rows = good.collect()
+    assert {r.id for r in rows} == {1, 2, 6}
+    for r in rows:
+        n = len(r.text)
+        logits = {h: np.array(r[h]).reshape(n, k) for h, k in V.HEADS.items()}
+        ends, level = {n}, {}
+        for k in range(4, -1, -1):
+            ends = ends | {i + 1 for i in range(n) if logits["boundaries"][i, k] >= 0}
+            level[V.LEVELS[k]] = sorted(ends)
+        assert r.levels.asDict() == level
+        for s, a, b in zip(r.spans, [0, *level["a"]], level["a"], strict=False):
+            kind = V.ATOM_TYPES[logits["atom"][b - 1].argmax()]
+            want = [x for x, v in zip(V.INFLECTIONS, logits["inflection"][b - 1], strict=True) if v >= 0] if kind in decode.INFLECTED else []
+            assert (s.start, s.end, s.atom_type, s.inflections) == (a, b, kind, want)
+            assert s.function == (V.PARTICLE_FUNCTIONS[logits["function"][b - 1].argmax()] if kind == "PARTICLE" else None)
+        assert r.root == ("SENTENCE" if len(level["sentence"]) == 1 else "DOCUMENT")
+        leaves = [x for s in r.tree for c in s.children for k in c.children for g in k.children for x in g.children]
+        assert "".join(x.text for x in leaves) == r.text and [x.atom_type for x in leaves] == [s.atom_type for s in r.spans]
+    none = spark.createDataFrame([("ab", None, None, None, None, None)], "text string, boundaries array<double>, atom array<double>, function array<double>, inflection array<double>, role array<double>")
+    (r,) = decode.decoded(none).collect()
+    assert [(s.end, s.atom_type, s.function, s.inflections) for s in r.spans] == [(2, "OTHER", None, [])] and [c.role for c in r.bunsetsu] == ["UNKNOWN"]
+    assert decode.equal_length_batch(["ab", "cd"]) == 2
+    for wrong in ([], ["a"] * 65, ["a", "bc"], [""], ["x" * 129]):
+        with pytest.raises(ValueError):
+            decode.equal_length_batch(wrong)
+
+
+def test_firsts_of_many_copies(spark):
+    from lexloom.operators import dedup, extract
+
+    s = spark.createDataFrame([("k", d, i) for d in range(50) for i in range(3)] + [("m", 9, 1)], "dedup_key string, document_id int, sentence_index int").repartition(5)
+    assert {tuple(r) for r in extract.first_of_each_sentence(s, F.col("document_id"), F.col("sentence_index")).collect()} == {("k", 0, 0), ("m", 9, 1)}
+    d = spark.createDataFrame([(i, "same") for i in range(20)] + [(30, "other")], "seq int, text string").repartition(4)
+    assert {r.seq for r in dedup.first_copies(d).where("is_first").collect()} == {0, 30}
