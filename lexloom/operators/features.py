@@ -7,10 +7,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexloom.functions import text as X
 from lexloom.functions import vocabulary as V
 
+#: Arrays of a training row, one value a character.
+ARRAYS = [
+    "codepoints", "bigrams", "categorical", "boundary_targets", "atom_targets", "function_targets", "inflection_targets", "role_targets", "function_mask", "inflection_mask",
+]
 FEATURE_NAMES = [*(f"script:{s}" for s in V.SCRIPTS), "script_transition", "small_kana", "prolonged_mark", "iteration_mark", *(f"punct:{p}" for p in V.PUNCT_CLASSES), *(f"digit:{d}" for d in V.DIGIT_CLASSES)]
 
 
@@ -105,6 +110,20 @@ def padded(rows: DataFrame, values: str, by: list[str], zero=0) -> DataFrame:
     return df.withColumn("mask", mask).withColumn(values, F.concat(F.col(values), F.array_repeat(F.lit(zero), gap))).drop("_most")
 
 
+def _zero(of: T.DataType, like: Column) -> Column:
+    """The padding of one place: zero or false, in arrays as wide as `like`."""
+    if isinstance(of, T.ArrayType):
+        return F.transform(like, lambda x: _zero(of.elementType, x))
+    return F.lit(False) if isinstance(of, T.BooleanType) else F.lit(0).cast(of)
+
+
+def padded_to_bucket(rows: DataFrame, *arrays: str) -> DataFrame:
+    """rows (bucket, text) with the named arrays, one value a character, padded to the bucket, and `mask`."""
+    places = F.sequence(F.lit(1), "bucket")
+    wide = {c: F.concat(F.col(c), F.array_repeat(_zero(rows.schema[c].dataType.elementType, F.get(c, F.lit(0))), F.col("bucket") - F.size(c))) for c in arrays}
+    return rows.withColumns(wide | {"mask": F.transform(places, lambda i: i <= F.length("text"))})
+
+
 def bucketed(rows: DataFrame) -> DataFrame:
     """rows with split (85, 10, 5) and length bucket; texts beyond the last bucket go."""
     df = rows.withColumn("split", X.document_split(F.col("source"), F.col("document_id"))).withColumn("bucket", X.length_bucket(F.length("text")))

@@ -2,18 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
 
+#: Rows a bin should hold, and bins at most; lines of a block of a shard's digest.
+BIN_ROWS, MOST_BINS, BLOCK = 10_000, 10_000, 1024
+
+
+def _placed(binned: DataFrame, by: list[str], order: list[str | Column], keep: Column | None = None) -> DataFrame:
+    """binned rows with `_rank` (from 0 within the group `by`) and `_size` (of the group), by counts of bins and ranks
+    within a bin, so that no task sorts a whole group. `_bin` must rise along `order`; keep is a filter of bins."""
+    w = W.partitionBy(*by)
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bins = binned.groupBy(*by, "_bin").agg(F.count("*").alias("_n")).select(*by, "_bin", before.alias("_before"), F.sum("_n").over(w).alias("_size"))
+    bins = (bins if keep is None else bins.where(keep)).withColumnsRenamed({c: f"_of_{c}" for c in (*by, "_bin")})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*by, "_bin")]
+    rank = F.row_number().over(W.partitionBy(*by, "_bin").orderBy(*order)) - 1 + F.col("_before")
+    return binned.join(bins, same).withColumn("_rank", rank.cast("long")).drop("_bin", "_before", *(f"_of_{c}" for c in (*by, "_bin")))
+
+
+def _ranked(rows: DataFrame, by: list[str], *order: str) -> DataFrame:
+    """rows with `_rank` and `_size` in groups `by`; the first of `order` is a number, of which quantiles bound the bins
+    (rows without it come last)."""
+    n = min(MOST_BINS, rows.count() // BIN_ROWS + 1)
+    edges = rows.approxQuantile(order[0], [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
+    splits = [-float("inf"), *(sorted(set(edges)) or [0.0]), float("inf")]
+    cut = Bucketizer(splits=splits, inputCol=order[0], outputCol="_bin", handleInvalid="keep").transform(rows)
+    return _placed(cut.withColumn("_bin", F.coalesce("_bin", F.lit(float(len(splits))))), by, list(order))
+
+
+def _by_hash(rows: DataFrame, by: list[str], key: str, keep: Column | None = None) -> DataFrame:
+    """rows with `_rank` and `_size` in groups `by`, in the order of a hexadecimal hash; its first digits are the bins."""
+    return _placed(rows.withColumn("_bin", F.coalesce(F.substring(key, 1, 3), F.lit(""))), by, [key], keep)
+
 
 def quota_sample(sentences: DataFrame, quotas: DataFrame) -> DataFrame:
     """Of each source the `quota` sentences of smallest sample key. quotas: (source, quota)."""
     keyed = sentences.join(F.broadcast(quotas), "source").withColumn("sample_key", X.sample_key(F.col("source"), F.col("document_id"), F.col("sentence_index")))
-    rank = F.row_number().over(W.partitionBy("source").orderBy("sample_key"))
-    return keyed.withColumn("rank", rank).where(F.col("rank") <= F.col("quota")).drop("quota")
+    placed = _by_hash(keyed, ["source", "quota"], "sample_key", F.col("_before") < F.col("quota"))
+    return placed.withColumn("rank", (F.col("_rank") + 1).cast("int")).where(F.col("rank") <= F.col("quota")).drop("quota", "_rank", "_size")
 
 
 def quota_shortfall(sentences: DataFrame, quotas: DataFrame) -> DataFrame:
@@ -34,37 +65,45 @@ def top_by_hash(docs: DataFrame, k: int) -> DataFrame:
 
 
 def shards(rows: DataFrame, order: str, n: int) -> DataFrame:
-    """rows with `shard` (0 to n - 1): contiguous runs in `order`; the first shards get one row more.
-
-    Ranks come from counts of bins of `order` and ranks within a bin, so that no task sorts all rows.
-    """
-    about = rows.agg(F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).head()
-    width = max(1, ((about.hi or 0) - (about.lo or 0)) // max(1, about.n // 10_000) + 1)
-    binned = rows.withColumn("_bin", F.floor((F.col(order) - F.lit(about.lo or 0)) / width))
-    before = binned.groupBy("_bin").count().select("_bin", F.coalesce(F.sum("count").over(W.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    k = F.row_number().over(W.partitionBy("_bin").orderBy(order)) - 1 + F.col("_before")
-    size, extra = divmod(about.n, n)
-    line = binned.join(F.broadcast(before), "_bin").withColumn("line", k.cast("long"))
+    """rows with `line` and `shard` (0 to n - 1): contiguous runs in `order`, a number; rows without it come last. The
+    first shards get one row more."""
+    line = _ranked(rows, [], order).withColumnRenamed("_rank", "line")
+    size, extra = F.floor(F.col("_size") / n), F.col("_size") % n
     long = extra * (size + 1)
-    shard = F.when(F.col("line") < long, F.floor(F.col("line") / (size + 1))).otherwise(extra + F.floor((F.col("line") - long) / max(1, size)))
-    return line.withColumn("shard", shard.cast("int")).drop("_bin", "_before")
+    shard = F.when(F.col("line") < long, F.floor(F.col("line") / (size + 1))).otherwise(extra + F.floor((F.col("line") - long) / F.greatest(size, F.lit(1))))
+    return line.withColumn("shard", shard.cast("int")).drop("_size")
+
+
+def _sha256(c: Column | str) -> Column:
+    return F.sha2(F.encode(c, "UTF-8"), 256)
 
 
 def shard_manifest(sharded: DataFrame, text: str = "text") -> DataFrame:
-    """(shard, start_line, end_line, lines, digest): digest sums the lines' hashes, so it needs no shard in one task."""
-    h = F.conv(F.substring(F.sha2(F.encode(F.col(text), "UTF-8"), 256), 1, 8), 16, 10).cast("long")
-    return sharded.groupBy("shard").agg(F.min("line").alias("start_line"), (F.max("line") + 1).alias("end_line"), F.count("*").alias("lines"), F.sum(h).alias("digest"))
+    """(shard, start_line, end_line, lines, sha256). The hash is of the blocks' hashes in order, a block's of its lines'
+    hashes in order, so order counts and no task holds the texts of a shard; a null text counts as empty."""
+    joined = lambda c: _sha256(F.concat_ws("", F.transform(F.array_sort(F.collect_list(c)), lambda x: x["h"])))
+    lines = sharded.select("shard", "line", F.floor(F.col("line") / BLOCK).alias("block"), _sha256(F.coalesce(text, F.lit(""))).alias("h"))
+    blocks = lines.groupBy("shard", "block").agg(F.min("line").alias("start"), F.max("line").alias("end"), F.count("*").alias("n"), joined(F.struct("line", "h")).alias("h"))
+    return blocks.groupBy("shard").agg(F.min("start").alias("start_line"), (F.max("end") + 1).alias("end_line"), F.sum("n").alias("lines"), joined(F.struct("block", "h")).alias("sha256"))
 
 
 def reconcile(manifest: DataFrame, successes: DataFrame, failures: DataFrame) -> DataFrame:
-    """Per shard of the manifest: lines, successes, failures, and whether they add up."""
+    """Per shard of the manifest or its parts: lines, successes, failures, and whether they add up."""
     ok = successes.groupBy("shard").agg(F.count("*").alias("successes"))
     bad = failures.groupBy("shard").agg(F.count("*").alias("failures"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    out = manifest.select("shard", "lines").join(ok, "shard", "left").join(bad, "shard", "left").select("shard", "lines", zero("successes"), zero("failures"))
+    out = manifest.select("shard", "lines").join(ok, "shard", "full").join(bad, "shard", "full").select("shard", zero("lines"), zero("successes"), zero("failures"))
     return out.withColumn("reconciled", F.col("lines") == F.col("successes") + F.col("failures"))
 
 
+def merged(manifest: DataFrame, successes: DataFrame, failures: DataFrame) -> DataFrame:
+    """The successes of all shards in order of shard and line; an error if any shard's rows do not add up."""
+    wrong = reconcile(manifest, successes, failures).where("not reconciled").orderBy("shard").head(10)
+    if wrong:
+        raise ValueError("shards that do not add up (the first ten): " + "; ".join(f"{r.shard}: {r.lines} lines, {r.successes} successes, {r.failures} failures" for r in wrong))
+    return successes.orderBy("shard", "line")
+
+
 def without_holdout(sentences: DataFrame, holdout: DataFrame) -> DataFrame:
     """Sentences whose dedup_key no holdout text has."""
     return sentences.join(holdout.select("dedup_key").distinct(), "dedup_key", "left_anti")
@@ -76,7 +115,14 @@ def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def batches(rows: DataFrame, size: int, *order: str) -> DataFrame:
-    """rows (split, bucket) with batch and position; buckets' last batches go if not full."""
-    w = W.partitionBy("split", "bucket")
-    n = rows.withColumn("position", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
-    return n.withColumn("batch", F.floor(F.col("position") / size)).where((F.col("batch") + 1) * size <= F.col("_n")).drop("_n")
+    """rows (split, bucket) with batch and position; buckets' last batches go if not full. The first of order is a number."""
+    placed = _ranked(rows, ["split", "bucket"], *order).withColumnRenamed("_rank", "position")
+    return placed.withColumn("batch", F.floor(F.col("position") / size)).where((F.col("batch") + 1) * size <= F.col("_size")).drop("_size")
+
+
+def batch_schedule(batched: DataFrame, seed: int) -> DataFrame:
+    """(split, bucket, batch, place): the batches of each split in an order that the seed decides, place from 0. Rows of
+    one batch stay together, so every batch has one length bucket."""
+    key = _sha256(F.concat_ws(":", F.lit(str(seed)), "split", "bucket", "batch"))
+    own = batched.select("split", "bucket", "batch").distinct().withColumn("_key", key)
+    return _by_hash(own, ["split"], "_key").select("split", "bucket", "batch", F.col("_rank").alias("place"))

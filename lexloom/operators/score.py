@@ -125,6 +125,12 @@ def score_corpus(pairs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [*parts, exact])
 
 
+def common_rows(systems: dict[str, DataFrame], *key: str) -> dict[str, DataFrame]:
+    """Of each system's successes those that every system has, so that all are scored on the same rows."""
+    both = reduce(lambda a, b: a.join(b, [*key], "left_semi"), [s.select(*key) for s in systems.values()]).distinct()
+    return {name: s.join(both, [*key], "left_semi") for name, s in systems.items()}
+
+
 def combined_prediction(tokens: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
     """Records of which a, b and spans come from one analyser and bunsetsu, clauses and sentences from another."""
     c = chunks.select(key, F.col("boundaries").alias("_b"), F.col("bunsetsu").alias("_c"))

@@ -35,8 +35,9 @@ def summary(compiled: DataFrame) -> DataFrame:
     return compiled.agg(total.alias("total_sentences"), ok.alias("successfully_aligned"), (total - ok).alias("dropped"), F.when(total > 0, 100.0 * (total - ok) / total).otherwise(0.0).alias("drop_percentage"))
 
 
-def build_report(documents: DataFrame, sentences: DataFrame, unique: DataFrame, selected: DataFrame) -> DataFrame:
-    """Per source: documents by disposition, candidate sentences, duplicates, selected.
+def build_report(documents: DataFrame, sentences: DataFrame, unique: DataFrame, selected: DataFrame, quotas: DataFrame) -> DataFrame:
+    """Per source, also those with a quota alone: documents by disposition, candidate sentences, duplicates, selected, and
+    what was requested (null without a quota) and not found.
 
     documents: (source, document_id, text, disposition). A kept document with an empty id or text counts as a document
     and as invalid.
@@ -49,8 +50,9 @@ def build_report(documents: DataFrame, sentences: DataFrame, unique: DataFrame,
     )
     size = lambda rows, name: rows.groupBy("source").agg(F.count("*").alias(name))
     out = d.join(size(sentences, "candidate_sentences"), "source", "left").join(size(unique, "_unique"), "source", "left").join(size(selected, "selected"), "source", "left")
-    out = out.fillna(0, ["candidate_sentences", "_unique", "selected"])
-    return out.withColumn("duplicates", F.col("candidate_sentences") - F.col("_unique")).drop("_unique")
+    out = out.join(quotas.select("source", F.col("quota").cast("long").alias("requested")), "source", "full")
+    out = out.fillna(0, [c for c in out.columns if c not in ("source", "requested")])
+    return out.withColumn("duplicates", F.col("candidate_sentences") - F.col("_unique")).withColumn("shortfall", F.col("requested") - F.col("selected")).drop("_unique")
 
 
 def split_counts(docs: DataFrame) -> DataFrame:

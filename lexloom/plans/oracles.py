@@ -163,7 +163,9 @@ ORACLES = {
  SELECT o.seq AS a, f.seq AS b FROM f JOIN o USING (fp) WHERE f.seq <> o.seq UNION ALL
  SELECT DISTINCT x.seq AS a, y.seq AS b FROM o x JOIN o y ON x.seq < y.seq AND bit_count(xor(x.fp, y.fp)) <= 1 AND (x.fp & 65535 = y.fp & 65535 OR x.fp >> 16 = y.fp >> 16)""",
     "holdout_anti_join": f"WITH {S}, {_sentences('t', "SELECT 'benchmark' AS source, item_id::VARCHAR AS document_id, text FROM benchmark")} SELECT source, count(*) AS sentences FROM s WHERE dedup_key NOT IN (SELECT dedup_key FROM t) GROUP BY source",
-    "shards_manifest": f"WITH {SHARD} SELECT shard, min(line) AS start_line, max(line) + 1 AS end_line, count(*) AS lines, sum(('0x' || substr(sha256(text), 1, 8))::BIGINT)::BIGINT AS digest FROM n GROUP BY shard",
+    "shards_manifest": f"""WITH {SHARD}, b AS (SELECT shard, line // 1024 AS block, min(line) AS s, max(line) AS e, count(*) AS k, sha256(string_agg(sha256(coalesce(text, '')), '' ORDER BY line)) AS h FROM n GROUP BY ALL)
+ SELECT shard, min(s) AS start_line, max(e) + 1 AS end_line, sum(k)::BIGINT AS lines, sha256(string_agg(h, '' ORDER BY block)) AS sha256 FROM b GROUP BY shard""",
+    "shards_merged": f"WITH {SHARD} SELECT shard, line, doc_id::VARCHAR AS document_id FROM n WHERE length(text) >= 80",
     "shards_reconcile": f"WITH {SHARD} SELECT shard, count(*) AS lines, count(*) FILTER (length(text) >= 80) AS successes, count(*) FILTER (length(text) < 80) AS failures, true AS reconciled FROM n GROUP BY shard",
     "script_distribution": f"WITH {_chars('documents')}, d AS (SELECT ch, count(*) AS n FROM c GROUP BY ch) SELECT {_script('ch')} AS script, sum(n)::BIGINT AS n FROM d GROUP BY 1",
     "char_class_distribution": f"""WITH {_chars('documents')}, d AS (SELECT ch, count(*) AS n FROM c GROUP BY ch)
@@ -184,6 +186,12 @@ ORACLES = {
     "padded_batches": f"""WITH {S}, b AS (SELECT {_split(DOC_KEY, 85, 10)} AS split, CASE WHEN length(text) <= 32 THEN 32 WHEN length(text) <= 64 THEN 64 ELSE 128 END AS bucket, document_id::BIGINT AS doc, sentence_index, length(text) AS k FROM s),
  p AS (SELECT *, ((row_number() OVER (PARTITION BY split, bucket ORDER BY doc, sentence_index) - 1) // 64)::BIGINT AS batch, count(*) OVER (PARTITION BY split, bucket) AS n FROM b)
  SELECT split, bucket, batch, max(k)::INT AS longest, sum(k)::BIGINT AS chars FROM p WHERE (batch + 1) * 64 <= n GROUP BY ALL""",
+    "batch_schedule": f"""WITH {S}, b AS (SELECT {_split(DOC_KEY, 85, 10)} AS split, CASE WHEN length(text) <= 32 THEN 32 WHEN length(text) <= 64 THEN 64 ELSE 128 END AS bucket, count(*) AS n FROM s GROUP BY ALL),
+ p AS (SELECT split, bucket, unnest(range(n // 64)) AS batch FROM b)
+ SELECT split, bucket, batch, (row_number() OVER (PARTITION BY split ORDER BY sha256('1:' || split || ':' || bucket || ':' || batch)) - 1)::BIGINT AS place FROM p""",
+    "padded_codepoints": f"""WITH {S}, b AS (SELECT {_split(DOC_KEY, 85, 10)} AS split, CASE WHEN length(text) <= 32 THEN 32 WHEN length(text) <= 64 THEN 64 ELSE 128 END AS bucket, text FROM s)
+ SELECT split, bucket, count(*) AS n, sum(bucket)::BIGINT AS places, sum(length(text))::BIGINT AS filled, sum(list_sum(list_transform(range(1, length(text) + 1), lambda i: unicode(substr(text, i, 1)))))::BIGINT AS points FROM b GROUP BY ALL""",
+    "common_rows": f"WITH {S} SELECT document_id, sentence_index FROM s WHERE length(text) % 5 <> 0 AND length(text) % 7 <> 0",
     "char_ngrams_top": f"""WITH g AS (SELECT trim(regexp_replace(text, '[{WS}]+', ' ', 'g')) AS t FROM documents), n AS (SELECT unnest(list_transform(range(1, greatest(length(t) - 1, 2)), lambda i: substr(t, i, 3))) AS gram FROM g WHERE length(t) > 0)
  SELECT gram, count(*) AS n FROM n GROUP BY gram ORDER BY n DESC, gram LIMIT 50""",
     "boundary_f1": f"""WITH {R}, x AS (SELECT 'a' AS level, a AS g, pa AS p FROM r UNION ALL SELECT 'b', b, pb FROM r UNION ALL SELECT 'bunsetsu', c, pc FROM r UNION ALL SELECT 'clause', [n], [n] FROM r UNION ALL SELECT 'sentence', [n], [n] FROM r),

@@ -14,7 +14,7 @@ from lexloom.operators import decode, dedup, extract, features, gold, infer, sam
 from lexloom.plans import literals
 from lexloom.sources import readers
 
-QUOTA, TOP, SHARDS, BATCH = 100, 50, 7, 64
+QUOTA, TOP, SHARDS, BATCH, SEED = 100, 50, 7, 64, 1
 #: By level, from a to sentence: characters whose code point this divides end a span of decode_records.
 DECODE_MODULI = [2, 5, 11, 31, 101]
 
@@ -130,7 +130,7 @@ def build_report(spark, d):
     docs = dedup.dispositions(documents(spark, d).withColumn("seq", F.col("doc_id")))
     s = extract.extract_sentences(docs.where("disposition = 'kept'"))
     unique = extract.first_of_each_sentence(s, F.col("document_id").cast("long"), F.col("sentence_index"))
-    return stats.build_report(docs, s, unique, sample.quota_sample(unique, _quotas(spark, d)))
+    return stats.build_report(docs, s, unique, sample.quota_sample(unique, _quotas(spark, d)), _quotas(spark, d))
 
 
 def holdout_anti_join(spark, d):
@@ -147,6 +147,12 @@ def shards_reconcile(spark, d):
     return sample.reconcile(sample.shard_manifest(cut), cut.where(F.length("text") >= 80), cut.where(F.length("text") < 80))
 
 
+def shards_merged(spark, d):
+    cut = sample.shards(documents(spark, d), "doc_id", SHARDS)
+    parts = [cut.where(F.length("text") >= 80), cut.where(F.length("text") < 80)]
+    return sample.merged(sample.shard_manifest(cut), *parts).select("shard", "line", "document_id")
+
+
 def script_distribution(spark, d):
     return features.characters(documents(spark, d)).groupBy(X.script(F.col("ch")).alias("script")).agg(F.count("*").alias("n"))
 
@@ -188,8 +194,30 @@ def length_buckets(spark, d):
 
 
 def padded_batches(spark, d):
+    return _batched(spark, d).groupBy("split", "bucket", "batch").agg(F.max(F.length("text")).alias("longest"), F.sum(F.length("text")).alias("chars"))
+
+
+def _batched(spark, d):
     rows = features.bucketed(sentences(spark, d).drop("split")).withColumn("doc", F.col("document_id").cast("long"))
-    return sample.batches(rows, BATCH, "doc", "sentence_index").groupBy("split", "bucket", "batch").agg(F.max(F.length("text")).alias("longest"), F.sum(F.length("text")).alias("chars"))
+    return sample.batches(rows, BATCH, "doc", "sentence_index")
+
+
+def batch_schedule(spark, d):
+    return sample.batch_schedule(_batched(spark, d), SEED)
+
+
+def padded_codepoints(spark, d):
+    """By split and bucket: rows, places after padding, places of text, and the sum of code points over all places."""
+    rows = features.bucketed(sentences(spark, d).drop("split")).withColumn("points", F.transform(X.chars(F.col("text")), F.ascii))
+    p = features.padded_to_bucket(rows.select("split", "bucket", "text", "points"), "points")
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+    return p.groupBy("split", "bucket").agg(F.count("*").alias("n"), F.sum(F.size("points")).alias("places"), F.sum(add(F.col("mask"))).alias("filled"), F.sum(add(F.col("points"))).alias("points"))
+
+
+def common_rows(spark, d):
+    """Sentences that two systems handle, of which one fails where the length divides by 5 and one where by 7."""
+    systems = {str(k): sentences(spark, d).where(F.length("text") % k != 0) for k in (5, 7)}
+    return score.common_rows(systems, "document_id", "sentence_index")["5"].select("document_id", "sentence_index")
 
 
 def char_ngrams_top(spark, d):
@@ -416,8 +444,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         sentences_extract, sentences_dedup, sentences_quota_sample, sentences_quota_shortfall, quota_unknown_sources, docs_split_98_1_1, docs_split_85_10_5, lemma_split_80_10_10, split_counts,
-        split_leakage, docs_top_hash, docs_exact_dedup, simhash_md5, simhash_bands, near_dup_pairs, near_dup_pairs64, near_dup_dispositions, build_report, holdout_anti_join, shards_manifest, shards_reconcile,
-        script_distribution, char_class_distribution, script_transitions, codepoint_buckets, bigram_buckets, categorical_features, length_histogram, length_buckets, padded_batches, char_ngrams_top,
+        split_leakage, docs_top_hash, docs_exact_dedup, simhash_md5, simhash_bands, near_dup_pairs, near_dup_pairs64, near_dup_dispositions, build_report, holdout_anti_join, shards_manifest, shards_reconcile, shards_merged,
+        script_distribution, char_class_distribution, script_transitions, codepoint_buckets, bigram_buckets, categorical_features, length_histogram, length_buckets, padded_batches, batch_schedule, padded_codepoints, common_rows, char_ngrams_top,
         boundary_f1, atom_f1, atom_macro_f1, role_f1, tree_exact, score_report, inflection_multilabel, function_f1, corpus_stats, endpoint_hierarchy, nested_boundaries, partition_spans, tree_edges,
         teacher_agreement, argmax_decode, softmax_confidence, align_surfaces, map_labels, validate_codes, compile_records, compile_failures, compile_summary, synthetic_paradigms, synthetic_unsupported,
         ud_gold, knp_gold, model_params, infer_seeded, decode_records, target_arrays, web_parquet_scan,

@@ -82,3 +82,17 @@ def knp(spark: SparkSession, path: str, ids: DataFrame | None = None) -> tuple[D
 def line_numbers(lines: DataFrame, *order: str) -> DataFrame:
     """lines with `line` from 0, within each file (`file`)."""
     return lines.withColumn("line", F.row_number().over(W.partitionBy("file").orderBy(*order)) - 1)
+
+
+def training_arrays(spark: SparkSession, path: str, split: str, *arrays: str) -> DataFrame:
+    """Padded training rows of a split (bucket, mask and the named arrays, else all); other splits and columns stay unread."""
+    df = spark.read.parquet(path).where(F.col("split") == split)
+    return df.select("bucket", "mask", *arrays) if arrays else df.drop("split")
+
+
+def named_input(value: str) -> tuple[str, str]:
+    """The name and path of SOURCE=PATH; the path may hold more equals signs."""
+    source, _, path = value.partition("=")
+    if not source or not path:
+        raise ValueError(f"expected SOURCE=PATH, found {value!r}")
+    return source, path

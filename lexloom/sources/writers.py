@@ -34,15 +34,16 @@ def good_and_bad(compiled: DataFrame, good: str, bad: str) -> None:
 def sharded_jsonl(rows: DataFrame, order: str, n: int, path: str, expected: int | None = None) -> DataFrame:
     """Write contiguous shards and return their manifest; a wrong total is an error."""
     cut = sample.shards(rows, order, n)
-    if expected is not None and (have := rows.count()) != expected:
+    if expected is not None and (have := cut.count()) != expected:
         raise ValueError(f"expected {expected} lines, found {have}")
     cut.repartitionByRange(n, "shard").sortWithinPartitions("shard", "line").write.mode("overwrite").partitionBy("shard").json(path)
     return sample.shard_manifest(cut)
 
 
 def training_arrays(records: DataFrame, path: str, codepoints: int = 8192, bigrams: int = 8192) -> None:
-    """Features and targets, padded to their bucket, as Parquet by split and bucket."""
+    """Features and targets, padded to their bucket, as Parquet by split and bucket. `mask` tells text from padding."""
     df = features.targets(features.encode_text(features.bucketed(records), codepoints, bigrams))
+    df = features.padded_to_bucket(df, *features.ARRAYS).select("split", "bucket", "mask", *features.ARRAYS)
     df.write.mode("overwrite").partitionBy("split", "bucket").parquet(path)
 
 

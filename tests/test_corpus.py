@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
 from lexloom.functions import vocabulary as V
+from lexloom.operators import annotate
 from lexloom.operators import compile as C
 from lexloom.operators import dedup, extract, features, infer, sample, score, spans, stats
 from lexloom.plans import literals, oracles, queries
@@ -293,3 +294,74 @@ def test_firsts_of_many_copies(spark):
     assert {tuple(r) for r in extract.first_of_each_sentence(s, F.col("document_id"), F.col("sentence_index")).collect()} == {("k", 0, 0), ("m", 9, 1)}
     d = spark.createDataFrame([(i, "same") for i in range(20)] + [(30, "other")], "seq int, text string").repartition(4)
     assert {r.seq for r in dedup.first_copies(d).where("is_first").collect()} == {0, 30}
+
+
+def test_shards_of_skewed_and_null_orders(spark):
+    rows = spark.createDataFrame([(k, str(k)) for k in [*range(50), 10**15, None, None]], "k long, text string").repartition(5)
+    cut = sample.shards(rows, "k", 4).persist()
+    got = sorted((r.line, r.shard, r.k) for r in cut.collect())
+    assert [line for line, _, _ in got] == list(range(53)) and [k for _, _, k in got] == [*range(50), 10**15, None, None]
+    assert [sum(s == i for _, s, _ in got) for i in range(4)] == [14, 13, 13, 13]
+    manifest = sample.shard_manifest(cut)
+    assert [r.k for r in sample.merged(manifest, cut.where("line % 3 > 0"), cut.where("line % 3 = 0")).collect()] == [k for line, _, k in got if line % 3]
+    for part in (cut.where("shard < 3"), cut.where("line <> 20"), cut.unionByName(cut.where("line = 0").withColumn("shard", F.lit(9)))):
+        with pytest.raises(ValueError, match="do not add up"):
+            sample.merged(manifest, part, cut.limit(0))
+    swapped = cut.withColumn("text", F.when(F.col("line") == 0, "1").when(F.col("line") == 1, "0").otherwise(F.col("text")))
+    a, b = ({r.shard: r.sha256 for r in sample.shard_manifest(x).collect()} for x in (cut, swapped))
+    assert a[0] != b[0] and [a[i] for i in (1, 2, 3)] == [b[i] for i in (1, 2, 3)]
+    assert sample.shards(rows.limit(0), "k", 4).count() == 0
+
+
+def test_ranks_over_many_bins(spark, monkeypatch):
+    monkeypatch.setattr(sample, "BIN_ROWS", 10)
+    rows = spark.range(1000).select(F.lit("train").alias("split"), F.when(F.col("id") % 3 == 0, 32).otherwise(64).alias("bucket"), (F.col("id") * 7 % 100).alias("k"), "id").repartition(6)
+    got = {(r.bucket, r.k, r.id): r.position for r in sample.batches(rows, 1, "k", "id").collect()}
+    for bucket in (32, 64):
+        own = sorted(x for x in got if x[0] == bucket)
+        assert [got[x] for x in own] == list(range(len(own)))
+    assert len(got) == 1000
+
+
+def test_training_arrays_are_padded(spark, tmp_path):
+    records = spans.surrogate_records(spark.createDataFrame([("ab cd", "s", str(i), 0) for i in range(20)], "text string, source string, document_id string, sentence_index int"))
+    writers.training_arrays(records, str(tmp_path / "arrays"))
+    split = spark.read.parquet(str(tmp_path / "arrays")).first().split
+    row = readers.training_arrays(spark, str(tmp_path / "arrays"), split).first()
+    for c in features.ARRAYS:
+        assert len(row[c]) == 32 and len(row["mask"]) == 32
+    assert sum(row["mask"]) == 5 and row["codepoints"][5:] == [0] * 27 and row["boundary_targets"][31] == [0] * 5
+    assert readers.training_arrays(spark, str(tmp_path / "arrays"), split, "codepoints").columns == ["bucket", "mask", "codepoints"]
+
+
+def test_named_inputs():
+    assert readers.named_input("web=/a/b=c") == ("web", "/a/b=c")
+    for bad in ("web", "=x", "web="):
+        with pytest.raises(ValueError, match="SOURCE=PATH"):
+            readers.named_input(bad)
+
+
+def test_annotations_and_common_rows(spark):
+    def load():
+        def analyse(text):
+            if "x" in text:
+                raise ValueError("no x")
+            return {"words": text.split(), "n": len(text)}
+
+        return analyse
+
+    rows = spark.createDataFrame([(1, "a b"), (2, "x"), (3, None), (4, "")], "id long, text string")
+    out = annotate.annotated(rows, load, spark.createDataFrame([], "words array<string>, n long").schema)
+    assert [(r.id, r.words, r.n) for r in annotate.successes(out, "id").orderBy("id").collect()] == [(1, ["a", "b"], 3), (4, [], 0)]
+    assert {r.id: r.error for r in annotate.failures(out, "id").collect()} == {2: "ValueError: no x", 3: "no text"}
+    both = score.common_rows({"one": annotate.successes(out, "id"), "two": rows.where("id < 4")}, "id")
+    assert [[r.id for r in b.collect()] for b in both.values()] == [[1], [1]]
+
+
+def test_report_has_quotas(spark):
+    docs = spark.createDataFrame([("a", "1", "t", "kept")], "source string, document_id string, text string, disposition string")
+    s = spark.createDataFrame([("a",), ("a",)], "source string")
+    quotas = spark.createDataFrame([("a", 5), ("b", 2)], "source string, quota int")
+    got = {r.source: r.asDict() for r in stats.build_report(docs, s, s.limit(1), s.limit(1), quotas).collect()}
+    assert (got["a"]["documents"], got["a"]["duplicates"], got["a"]["requested"], got["a"]["selected"], got["a"]["shortfall"]) == (1, 1, 5, 1, 4)
+    assert (got["b"]["documents"], got["b"]["selected"], got["b"]["shortfall"]) == (0, 0, 2)
