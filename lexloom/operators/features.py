@@ -26,19 +26,28 @@ def characters(rows: DataFrame, *key: str) -> DataFrame:
     return out.select(*key, "pos", "ch", F.get("_c", F.col("pos") + 1).alias("next_ch"), F.when(F.col("pos") > 0, F.get("_c", F.col("pos") - 1)).alias("prev_ch"))
 
 
+def _classes(ch: Column) -> dict[str, Column]:
+    """What the features of a character say: its classes and marks."""
+    return {"script": X.script(ch), "punct": X.punct_class(ch), "digit": X.digit_class(ch), "small_kana": X.small_kana(ch), "prolonged_mark": X.prolonged_mark(ch), "iteration_mark": X.iteration_mark(ch)}
+
+
+def _features(own, script_before: Column) -> dict[str, Column]:
+    """The 22 features as 0 and 1; own: classes by name, script_before: null at the start."""
+    out = {f"script:{x}": own["script"] == x for x in V.SCRIPTS}
+    out |= {"script_transition": script_before != own["script"]} | {k: own[k] for k in ("small_kana", "prolonged_mark", "iteration_mark")}
+    out |= {f"punct:{x}": own["punct"] == x for x in V.PUNCT_CLASSES} | {f"digit:{x}": own["digit"] == x for x in V.DIGIT_CLASSES}
+    return {k: F.coalesce(v, F.lit(False)).cast("int") for k, v in out.items()}
+
+
 def feature_columns(ch: Column, prev: Column) -> dict[str, Column]:
     """The 22 categorical features of a character as 0 and 1."""
-    s, p, d = X.script(ch), X.punct_class(ch), X.digit_class(ch)
-    own = {f"script:{x}": s == x for x in V.SCRIPTS}
-    own |= {"script_transition": prev.isNotNull() & (X.script(prev) != s), "small_kana": X.small_kana(ch), "prolonged_mark": X.prolonged_mark(ch), "iteration_mark": X.iteration_mark(ch)}
-    own |= {f"punct:{x}": p == x for x in V.PUNCT_CLASSES} | {f"digit:{x}": d == x for x in V.DIGIT_CLASSES}
-    return {k: F.coalesce(v, F.lit(False)).cast("int") for k, v in own.items()}
+    return _features(_classes(ch), F.when(prev.isNotNull(), X.script(prev)))
 
 
 def categorical(text: Column) -> Column:
-    """Array of the features of each character."""
-    each = lambda ch: F.transform(ch, lambda c, i: F.array(*feature_columns(c, F.when(i > 0, F.get(ch, i - 1))).values()))
-    return X.let(X.chars(text), each)
+    """Array of the features of each character, whose classes are looked up once."""
+    told = F.transform(X.chars(text), lambda c: F.struct(*[v.alias(k) for k, v in _classes(c).items()]))
+    return X.let(told, lambda all_: F.transform(all_, lambda own, i: F.array(*_features(own, F.when(i > 0, F.get(all_, i - 1)["script"])).values())))
 
 
 def codepoint_buckets(rows: DataFrame, buckets: int = 8192) -> DataFrame:
