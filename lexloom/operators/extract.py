@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
 
 MIN_CHARS, MAX_CHARS = 4, 128
+#: Lengths summed in a run, of documents of very many pieces.
+BLOCK = 256
 
 
 def valid_document(source: Column, document_id: Column, text: Column) -> Column:
@@ -16,23 +17,40 @@ def valid_document(source: Column, document_id: Column, text: Column) -> Column:
     return F.coalesce((F.length(source) > 0) & (F.length(document_id) > 0) & (F.length(text) > 0), F.lit(False))
 
 
+def _before(sizes: Column) -> Column:
+    """Of each element the sum of those before it. Sums run within blocks and over blocks, for arrays are copied as they grow."""
+
+    def running(own: Column, begin: Column) -> Column:
+        none = F.struct(F.array().cast("array<int>").alias("sums"), begin.alias("sum"))
+        return F.aggregate(own, none, lambda acc, n: F.struct(F.array_append(acc["sums"], acc["sum"]).alias("sums"), (acc["sum"] + n).alias("sum")))["sums"]
+
+    total = lambda own: F.aggregate(own, F.lit(0), lambda acc, n: acc + n)
+    block = lambda k: F.slice(sizes, k * BLOCK + 1, BLOCK)
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int"))), block)
+    return X.let(blocks, lambda own: F.flatten(F.zip_with(own, running(F.transform(own, total), F.lit(0)), running)))
+
+
 def extract_sentences(docs: DataFrame, least: int = MIN_CHARS, most: int = MAX_CHARS) -> DataFrame:
     """Sentences of docs (source, document_id unique within it, text); invalid documents give none.
 
     Pieces end after an ender and its closers or at a line end and tile the text, so a running sum of their lengths is
-    their start. Trimming moves offsets; kept are trimmed pieces of least to most code points, numbered as kept.
+    their start. Trimming moves offsets; kept are trimmed pieces of least to most code points, numbered as kept. All of
+    this happens within a document's row: nothing is shuffled.
     """
     docs = docs.where(valid_document(F.col("source"), F.col("document_id"), F.col("text")))
-    pieces = docs.select("source", "document_id", F.posexplode(F.regexp_extract_all("text", F.lit(X.PIECE), F.lit(0))).alias("pos", "piece")).where(F.length("piece") > 0)
-    of_document = W.partitionBy("source", "document_id").orderBy("pos")
-    start = F.sum(F.length("piece")).over(of_document.rowsBetween(W.unboundedPreceding, -1))
-    left = F.length("piece") - F.length(F.regexp_replace("piece", f"^[{X.WS}]+", ""))
-    trimmed = F.regexp_replace(F.regexp_replace("piece", f"^[{X.WS}]+", ""), f"[{X.WS}]+\\z", "")
-    own = pieces.withColumn("document_start", (F.coalesce(start, F.lit(0)) + left).cast("int")).withColumn("text", trimmed).where(F.length("text").between(least, most))
-    return own.select(
-        "text", "source", "document_id", (F.row_number().over(of_document) - 1).alias("sentence_index"), "document_start",
-        (F.col("document_start") + F.length("text")).alias("document_end"), X.split_for_document(F.col("source"), F.col("document_id")).alias("split"),
-        X.dedup_key(F.col("text")).alias("dedup_key"),
+    pieces = F.filter(F.regexp_extract_all("text", F.lit(X.PIECE), F.lit(0)), lambda p: F.length(p) > 0)
+    cut = X.computed(docs.select("source", "document_id", "text"), text=pieces)
+    cut = X.computed(cut, starts=_before(F.transform("text", F.length)))
+    left = lambda p: F.regexp_replace(p, f"^[{X.WS}]+", "")
+
+    def trimmed(p: Column, start: Column) -> Column:
+        return F.struct(F.regexp_replace(left(p), f"[{X.WS}]+\\z", "").alias("text"), (start + F.length(p) - F.length(left(p))).cast("int").alias("document_start"))
+
+    own = F.filter(F.zip_with("text", "starts", trimmed), lambda s: F.length(s["text"]).between(least, most))
+    rows = cut.select("source", "document_id", F.posexplode(own).alias("sentence_index", "s"))
+    return rows.select(
+        "s.text", "source", "document_id", "sentence_index", "s.document_start", (F.col("s.document_start") + F.length("s.text")).alias("document_end"),
+        X.split_for_document(F.col("source"), F.col("document_id")).alias("split"), X.dedup_key(F.col("s.text")).alias("dedup_key"),
     )
 
 

@@ -32,8 +32,14 @@ def conversations(spark, d) -> DataFrame:
     return table(spark, d, "conversations").select(F.lit("conversations").alias("source"), id_.alias("document_id"), "text")
 
 
+def _dealt(docs: DataFrame) -> DataFrame:
+    """A small input that is read in fewer tasks than there are cores, dealt out to all; any other as it is read."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores, "document_id") if docs.rdd.getNumPartitions() < cores else docs
+
+
 def sentences(spark, d) -> DataFrame:
-    return extract.extract_sentences(documents(spark, d))
+    return extract.extract_sentences(_dealt(documents(spark, d)))
 
 
 def sentences_extract(spark, d):
