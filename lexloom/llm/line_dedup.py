@@ -30,6 +30,9 @@ class LineRuns:
     """The runs: tables bucketed and sorted by hash, by level."""
 
     def __init__(self, spark, buckets: int, fanout: int):
+        sc = spark.sparkContext
+        if not sc.master.startswith("local") and not sc.getConf().contains("spark.sql.warehouse.dir"):
+            raise ValueError("spark.sql.warehouse.dir must name a folder that driver and executors share")
         self.spark, self.buckets, self.fanout = spark, buckets, fanout
         self.name, self.made = f"line_runs_{uuid.uuid4().hex}", 0
         self.levels: list[list[str]] = [[]]
@@ -64,23 +67,26 @@ class LineRuns:
 
 
 def dropped_lines(docs: DataFrame, batches: int = 4, buckets: int | None = None, fanout: int = 2, min_chars: int = MIN_CHARS, hot_lines: int = HOT_LINES) -> DataFrame:
-    """(doc_id, positions): of each document that loses lines, their places, ascending.
-
-    A line goes if its key has at least min_chars code points and a smaller doc_id holds the key too. A null doc_id
-    counts as one document, after all others; rows that repeat a doc_id are one document. batches, buckets and fanout
-    change how the work is cut, never the result; there are as many buckets as shuffle partitions unless given. Null and
-    empty texts are one empty line, which is never dropped.
+    """(doc_id, text_hash, lines, positions): of each text that loses lines its hash and number of lines, and their places,
+    ascending.
+
+    A line goes if its key has at least min_chars code points and a smaller doc_id holds the key too. Rows that repeat a
+    doc_id are one document: a line that only they hold stays in each of them; what goes is decided for each row's own
+    text. Rows with a null doc_id are one document as well, after all others. batches, buckets and fanout change how the
+    work is cut, never the result; there are as many buckets as shuffle partitions unless given. Null and empty texts are
+    one empty line, which is never dropped.
     """
     spark = docs.sparkSession
-    ids = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("line"))
+    ids = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), text_hash().alias("text_hash"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("line"))
+    ids = ids.withColumn("lines", F.size("line"))
     edges = ids.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).head()[0] or []
     batch = sum((F.col("doc_id") > e).cast("int") for e in edges) if edges else F.lit(0)
     key = line_key(F.col("line"))
     lines = checkpointed(
-        ids.select("doc_id", F.posexplode("line").alias("pos", "line"))
-        .select("doc_id", "pos", key.alias("key"))
+        ids.select("doc_id", "text_hash", "lines", F.posexplode("line").alias("pos", "line"))
+        .select("doc_id", "text_hash", "lines", "pos", key.alias("key"))
         .where(F.length("key") >= min_chars)
-        .select(batch.alias("batch"), "doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
+        .select(batch.alias("batch"), "doc_id", "text_hash", "lines", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
     )
     runs, gone = LineRuns(spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), fanout), []
     try:
@@ -97,22 +103,29 @@ def dropped_lines(docs: DataFrame, batches: int = 4, buckets: int | None = None,
             met = own.join(again, ["h1", "h2"])
             if 0 < hot.count() <= BROADCAST_KEYS:
                 met = own.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(again.where(F.col("copies") <= hot_lines), ["h1", "h2"]).unionByName(own.join(F.broadcast(hot), ["h1", "h2"]))
-            gone.append(checkpointed(met.where("keeper is null or doc_id > keeper").select("doc_id", "pos")))
+            gone.append(checkpointed(met.where("keeper is null or doc_id > keeper").select("doc_id", "text_hash", "lines", "pos")))
     finally:
         runs.close()
     union = gone[0]
     for g in gone[1:]:
         union = union.unionByName(g)
-    return union.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    # rows alike in id and text lose the same lines
+    return union.groupBy("doc_id", "text_hash", "lines").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
+
+
+def text_hash() -> Column:
+    """With doc_id and the number of lines, what tells the texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def dedup_lines(docs: DataFrame, **params) -> DataFrame:
     """docs with kept_text, n_lines and n_dropped added (columns of these names are replaced); all other columns, whatever
     their names, and rows with a null or repeated id, stay."""
     own = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
-    id_, line, gone, at = unused(docs.columns, "id", "line", "gone", "at")
-    lost = dropped_lines(docs, **params).toDF(id_, at)
-    joined = docs.join(lost, F.coalesce("doc_id", F.lit(LAST)) == F.col(id_), "left")
+    id_, hash_, size, line, gone, at = unused(docs.columns, "id", "hash", "size", "line", "gone", "at")
+    lost = dropped_lines(docs, **params).toDF(id_, hash_, size, at)
+    same = (F.coalesce("doc_id", F.lit(LAST)) == F.col(id_)) & (text_hash() == F.col(hash_)) & (F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)) == F.col(size))
+    joined = docs.join(lost, same, "left")
     joined = joined.select(*[f"`{c}`" for c in own], F.split(F.coalesce("text", F.lit("")), "\n", -1).alias(line), F.coalesce(at, F.array().cast("array<int>")).alias(gone))
     kept = F.array_except(F.sequence(F.lit(0), F.size(line) - 1), gone)
     return joined.select(

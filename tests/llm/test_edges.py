@@ -89,6 +89,29 @@ def test_hot_lines_by_broadcast_agree(docs):
     assert plain == {(r.doc_id, tuple(r.positions)) for r in line_dedup.dropped_lines(docs, hot_lines=1).collect()} and plain
 
 
+def test_lines_of_rows_that_share_an_id_or_have_none(spark):
+    """What goes is decided by id and key, row by row: no row loses a line that only it holds."""
+    rows = [
+        (1, "a shared long line here\nfirst text of one"), (2, "a shared long line here\nsecond line of two"), (2, "precious unique line alpha\nshort\nshort"),
+        (2, "precious unique line beta\na shared long line here"), (2, "precious unique line beta\na shared long line here"), (3, "short\nA SHARED long line here \n\tsecond line of two"),
+        (None, "null row of one unique line"), (None, "another null row\na shared long line here\nshort"), (None, "another null row"), (None, None), (None, ""), (4, "another null row\nshort"),
+    ]
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").lower()
+    at = lambda i: line_dedup.LAST if i is None else i
+    least = {}
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            least[key(x)] = min(at(i), least.get(key(x), line_dedup.LAST))
+    want = []
+    for i, t in rows:
+        own = (t or "").split("\n")
+        kept = [x for x in own if len(key(x)) < 10 or least[key(x)] == at(i)]
+        want.append((i, t, "\n".join(kept), len(own), len(own) - len(kept)))
+    for batches in (1, 3):
+        got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), batches=batches, buckets=2)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_hot_pages(spark):
     pages = spark.createDataFrame([(i, "http://a.com/fr/1" if i % 3 else None) for i in range(300)], "page_id long, url string")
     got = url_filter.url_verdicts(pages, spark.createDataFrame(url_filter.RULES, "entry string, verdict string")).collect()
