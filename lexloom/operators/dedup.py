@@ -8,16 +8,19 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.functions import text as X
+from lexloom.operators import near
 
 MIN_CHARS, DISTANCE, BAND_BITS = 80, 3, 16
 #: The tag that fingerprints are hashed with, and the characters of a gram.
 PERSON, GRAM = b"jplex-v1", 3
+#: Stands for a code point that a short gram lacks; grams that are counted at a time.
+FILL, STEP = 0x1FFFFF, 1 << 18
 _SPACE = re.compile(f"[{X.WS}]+")
 
 
@@ -31,30 +34,46 @@ def grams(text: Column, n: int = GRAM) -> Column:
 
 
 @functools.lru_cache(1 << 17)
-def _digest(gram: str) -> bytes:
-    return hashlib.blake2b(gram.encode(), digest_size=8, person=PERSON).digest()
-
-
-def _votes(text: str) -> int:
-    """The 64-bit fingerprint: of each bit, whether at least half of the grams' hashes have it; 0 of an empty text."""
-    value = _SPACE.sub(" ", text).strip(" ")
-    if not value:
-        return 0
-    counted: dict[str, int] = {}
-    for i in range(max(1, len(value) - GRAM + 1)):
-        g = value[i : i + GRAM]
-        counted[g] = counted.get(g, 0) + 1
-    digests = b"".join(map(_digest, counted))
-    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
-    times = np.fromiter(counted.values(), np.int64, len(counted))
-    up = 2 * (times @ bits) >= times.sum()
-    return int(np.packbits(up).view(">i8")[0])
+def _digest(gram: int) -> bytes:
+    """The hash of a gram, given as its code points, 21 bits each, the first lowest; FILL is none."""
+    points = (gram >> (21 * k) & FILL for k in range(GRAM))
+    return hashlib.blake2b("".join(chr(p) for p in points if p != FILL).encode(), digest_size=8, person=PERSON).digest()
+
+
+def votes(texts: list[str]) -> np.ndarray:
+    """The 64-bit fingerprint of each text: of each bit, whether at least half of the grams' hashes have it; 0 of an empty
+    text. Distinct grams are hashed once; STEP grams are counted at a time, however long a text is."""
+    values = [_SPACE.sub(" ", t).strip(" ") for t in texts]
+    sizes = np.array([len(v) for v in values], np.int64)
+    points = np.frombuffer("".join(values).encode("utf-32-le"), "<u4").astype(np.int64)
+    ends = np.cumsum(sizes)
+    grams_of = np.where(sizes > 0, np.maximum(1, sizes - GRAM + 1), 0)
+    before = np.concatenate([[0], np.cumsum(grams_of)])
+    ones = np.zeros((len(texts), 64), np.int64)
+    for at in range(0, int(before[-1]), STEP):
+        number = np.arange(at, min(at + STEP, int(before[-1])))
+        of = np.searchsorted(before, number, side="right") - 1
+        place = number - before[of] + ends[of] - sizes[of]
+        gram = np.zeros(len(number), np.int64)
+        for k in range(GRAM):
+            inside = place + k < ends[of]
+            gram |= np.where(inside, points[np.minimum(place + k, len(points) - 1)], FILL) << (21 * k)
+        coded = pa.array(gram).dictionary_encode()
+        digests = b"".join(map(_digest, coded.dictionary.to_pylist()))
+        bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        ones[of[first]] += np.add.reduceat(bits[coded.indices.to_numpy()], first, axis=0, dtype=np.int32)
+    up = (2 * ones >= grams_of[:, None]) & (grams_of > 0)[:, None]
+    return np.packbits(up, axis=1).view(">i8")[:, 0].astype(np.int64)
 
 
 @F.pandas_udf(T.LongType())
 def simhash64(text: pd.Series) -> pd.Series:
     """Fingerprints by blake2b, which Spark lacks; signed, null of null."""
-    return pd.Series([None if t is None else _votes(t) for t in text], dtype="Int64")
+    known = text.notna()
+    out = pd.Series(pd.NA, index=text.index, dtype="Int64")
+    out[known] = votes(text[known].tolist())
+    return out
 
 
 def simhash_md5(docs: DataFrame, key: str = "document_id") -> DataFrame:
@@ -97,33 +116,6 @@ def first_pairs(first: DataFrame, distance: int, width: int, bits: int) -> DataF
     return close.select(F.col("seq").alias("a"), "b").distinct()
 
 
-def _kept_rows(frame: DataFrame) -> DataFrame:
-    spark = frame.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-"))
-    return frame.checkpoint()
-
-
-def greedy_keep(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(seq): what a scan in order of seq keeps if it drops all that pair with one kept before.
-
-    Rounds: an undecided node whose earlier partners are all dropped is kept; partners of the kept are dropped.
-    """
-    pairs = _kept_rows(pairs.select("a", "b"))
-    left, out = nodes.select("seq"), None
-    while True:
-        blocked = pairs.select(F.col("b").alias("seq")).distinct()
-        keep = _kept_rows(left.join(blocked, "seq", "left_anti"))
-        out = keep if out is None else out.union(keep)
-        if pairs.isEmpty():
-            return out
-        gone = _kept_rows(pairs.join(keep, pairs.a == keep.seq, "left_semi").select(F.col("b").alias("seq")).distinct())
-        left = _kept_rows(left.join(keep, "seq", "left_anti").join(gone, "seq", "left_anti"))
-        pairs = _kept_rows(pairs.join(gone, pairs.a == gone.seq, "left_anti").join(gone, pairs.b == gone.seq, "left_anti").join(keep, pairs.a == keep.seq, "left_anti"))
-
-
 def first_copies(docs: DataFrame) -> DataFrame:
     """docs (seq, text) with document_key and whether the row is the first of its text."""
     keyed = docs.withColumn("document_key", X.stable_hash(F.col("text")))
@@ -132,6 +124,39 @@ def first_copies(docs: DataFrame) -> DataFrame:
     return keyed.join(first, F.col("seq") == F.col("_first"), "left").withColumn("is_first", F.col("_first").isNotNull()).drop("_first")
 
 
+def prints(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+    """(seq, document_key, fp) of the documents, in one scan: fp is null of texts under `least` code points."""
+    return docs.select("seq", X.stable_hash(F.col("text")).alias("document_key"), simhash64(F.when(F.length("text") >= least, F.col("text"))).alias("fp"))
+
+
+def judged(rows: DataFrame, stored=None, **cut: int) -> tuple[DataFrame, DataFrame]:
+    """(seq, disposition) of rows (seq, document_key, fp): kept, exact or near; and the kept (seq, document_key, fp).
+
+    stored: what was kept before all these rows, with `of_keys(texts)`, the document keys it has, and `near(prints)`,
+    the fingerprints (fp) it has a near one of. cut: what is near, as near.met takes it.
+    """
+    texts = rows.groupBy("document_key").agg(F.min("seq").alias("first"), F.max("fp").alias("fp"))
+    if stored is not None:
+        texts = texts.join(stored.of_keys(texts.select("document_key")).withColumn("old", F.lit(True)), "document_key", "left")
+    else:
+        texts = texts.withColumn("old", F.lit(None).cast("boolean"))
+    texts = near.checkpointed(texts)
+    # whatever becomes of the first text of a fingerprint, later ones are near it or near what dropped it
+    first = texts.where("old is null and fp is not null").groupBy("fp").agg(F.min("first").alias("seq"))
+    if stored is not None:
+        first = near.checkpointed(first)
+        first = first.join(stored.near(first.select("fp")), "fp", "left_anti")
+    first = near.checkpointed(first)
+    keeps = first.join(near.scan_keeps(first, **cut), "seq", "left_anti").select(F.col("seq").alias("keeper"))
+    told = texts.join(keeps, F.col("first") == F.col("keeper"), "left")
+    text_kept = F.col("keeper").isNotNull() | F.col("fp").isNull()
+    told = near.checkpointed(told.select("document_key", "first", "fp", F.when(F.col("old"), "old").when(text_kept, "kept").otherwise("near").alias("state")))
+    # of texts that are kept, only the first row is; most texts have one row, so few meet by their key
+    at = rows.select("seq", "document_key").join(told.select("document_key", "first", "state"), "document_key")
+    exact = (F.col("state") == "old") | ((F.col("state") == "kept") & (F.col("seq") != F.col("first")))
+    return at.select("seq", F.when(exact, "exact").otherwise(F.col("state")).alias("disposition")), told.where("state = 'kept'").select(F.col("first").alias("seq"), "document_key", "fp")
+
+
 def dispositions(docs: DataFrame, least: int = MIN_CHARS, distance: int = DISTANCE) -> DataFrame:
     """docs (seq, source, document_id, text) with disposition: kept, exact, near or invalid, as a scan in order decides.
 
@@ -140,13 +165,5 @@ def dispositions(docs: DataFrame, least: int = MIN_CHARS, distance: int = DISTAN
     kept at first and counts as invalid as well, for no sentence can be taken from it.
     """
     ok = docs.where(F.col("text").isNotNull() & F.col("document_id").isNotNull())
-    keyed = _kept_rows(first_copies(ok).select("seq", "document_key", "is_first", "text"))
-    distinct = keyed.where("is_first").select("seq", "document_key", F.when(F.length("text") >= least, F.col("text")).alias("long"))
-    prints = _kept_rows(distinct.where(F.col("long").isNotNull()).select("seq", simhash64("long").alias("fp")))
-    # whatever becomes of the first of a fingerprint, its later copies are near it or near what dropped it
-    later = _kept_rows(copies(prints))
-    first = prints.join(later, "seq", "left_anti")
-    kept = greedy_keep(distinct.join(later, "seq", "left_anti"), first_pairs(first, distance, BAND_BITS, 64)).withColumn("kept", F.lit(True))
-    by_key = distinct.join(kept, "seq", "left").select("document_key", F.coalesce("kept", F.lit(False)).alias("text_kept"))
-    told = keyed.join(by_key, "document_key").select("seq", F.when(~F.col("text_kept"), "near").when(F.col("is_first"), "kept").otherwise("exact").alias("disposition"))
+    told, _ = judged(near.checkpointed(prints(ok, least)), distance=distance)
     return docs.join(told, "seq", "left").withColumn("disposition", F.coalesce("disposition", F.lit("invalid")))

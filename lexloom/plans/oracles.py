@@ -162,6 +162,19 @@ ORACLES = {
  o AS (SELECT fp, min(seq) AS seq FROM f GROUP BY fp)
  SELECT o.seq AS a, f.seq AS b FROM f JOIN o USING (fp) WHERE f.seq <> o.seq UNION ALL
  SELECT DISTINCT x.seq AS a, y.seq AS b FROM o x JOIN o y ON x.seq < y.seq AND bit_count(xor(x.fp, y.fp)) <= 1 AND (x.fp & 65535 = y.fp & 65535 OR x.fp >> 16 = y.fp >> 16)""",
+    "near_dup_groups": f"""WITH RECURSIVE {MD5}, f AS (SELECT document_id::BIGINT AS seq, fp FROM fp JOIN documents ON doc_id = document_id::BIGINT WHERE length(text) >= 80),
+ l AS (SELECT a.seq AS a, b.seq AS b FROM f a JOIN f b ON a.seq <> b.seq AND bit_count(xor(a.fp, b.fp)) <= 1),
+ r AS (SELECT seq AS x, seq AS y FROM f UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a),
+ c AS (SELECT x AS seq, min(y) AS component_id FROM r GROUP BY x), m AS (SELECT a AS seq, count(*) AS links FROM l GROUP BY a)
+ SELECT f.seq AS doc_id, min(f.seq) OVER (PARTITION BY fp) AS "first", coalesce(links, 0) AS n_links, component_id FROM f JOIN c USING (seq) LEFT JOIN m USING (seq)""",
+    "near_dup_scan": f"""WITH RECURSIVE {MD5}, t AS (SELECT doc_id, text, sha256(text) AS k FROM documents WHERE text IS NOT NULL),
+ x AS (SELECT k, min(doc_id) AS seq, any_value(text) AS text FROM t GROUP BY k),
+ f AS (SELECT x.k, fp, row_number() OVER (ORDER BY seq) AS i FROM x JOIN fp ON seq = document_id::BIGINT WHERE length(text) >= 80),
+ r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept, false AS near UNION ALL
+   SELECT i, CASE WHEN near THEN kept ELSE list_append(kept, fp) END, near FROM (
+     SELECT f.i, fp, kept, len(list_filter(kept, lambda k: bit_count(xor(k, fp)) <= 1)) > 0 AS near FROM r JOIN f ON f.i = r.i + 1)),
+ m AS (SELECT k FROM f JOIN r USING (i) WHERE near)
+ SELECT doc_id, CASE WHEN t.k IN (SELECT k FROM m) THEN 'near' WHEN doc_id = x.seq THEN 'kept' ELSE 'exact' END AS disposition FROM t JOIN x ON t.k = x.k""",
     "holdout_anti_join": f"WITH {S}, {_sentences('t', "SELECT 'benchmark' AS source, item_id::VARCHAR AS document_id, text FROM benchmark")} SELECT source, count(*) AS sentences FROM s WHERE dedup_key NOT IN (SELECT dedup_key FROM t) GROUP BY source",
     "shards_manifest": f"""WITH {SHARD}, b AS (SELECT shard, line // 1024 AS block, min(line) AS s, max(line) AS e, count(*) AS k, sha256(string_agg(sha256(coalesce(text, '')), '' ORDER BY line)) AS h FROM n GROUP BY ALL)
  SELECT shard, min(s) AS start_line, max(e) + 1 AS end_line, sum(k)::BIGINT AS lines, sha256(string_agg(h, '' ORDER BY block)) AS sha256 FROM b GROUP BY shard""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from lexloom.functions import text as X
 from lexloom.functions import vocabulary as V
 from lexloom.operators import align as A
 from lexloom.operators import compile as C
-from lexloom.operators import decode, dedup, extract, features, gold, infer, sample, score, spans, stats, synth, validate
+from lexloom.operators import decode, dedup, extract, features, gold, infer, near, near_index, sample, score, spans, stats, synth, validate
 from lexloom.plans import literals
 from lexloom.sources import readers
 
@@ -116,10 +118,19 @@ def near_dup_pairs(spark, d):
 
 
 def near_dup_pairs64(spark, d):
-    """Pairs of at most three bits of 64, by blake2b prints, of all documents of MIN_CHARS or more."""
-    long = documents(spark, d).where(F.length("text") >= dedup.MIN_CHARS)
-    prints = dedup._kept_rows(long.select(F.col("doc_id").alias("seq"), dedup.simhash64("text").alias("fp")))
-    return dedup.near_pairs(prints).select("a", "b")
+    """Near groups of all documents of MIN_CHARS or more: blake2b prints of 64 bits, at most three bits apart.
+
+    A row a document: the first document of its print, the number of documents it is near to, and its group.
+    """
+    rows = near.checkpointed(dedup.prints(documents(spark, d).withColumn("seq", F.col("doc_id"))).where("fp is not null"))
+    return near.near_groups(rows).withColumnRenamed("seq", "doc_id")
+
+
+def near_dup_groups(spark, d):
+    """The same groups of md5 prints of 32 bits, at most one bit apart, which SQL can repeat."""
+    long = documents(spark, d).where(F.length("text") >= dedup.MIN_CHARS).select("document_id", "text")
+    rows = near.checkpointed(dedup.simhash_md5(long).select(F.col("document_id").cast("long").alias("seq"), "fp"))
+    return near.near_groups(rows, distance=1, bits=32, blocks=3).withColumnRenamed("seq", "doc_id")
 
 
 def simhash_bands(spark, d):
@@ -132,6 +143,27 @@ def near_dup_dispositions(spark, d):
     return dedup.dispositions(docs).select("doc_id", "disposition")
 
 
+def near_dup_scan(spark, d):
+    """Dispositions by md5 prints of 32 bits, at most one bit apart, which SQL can repeat."""
+    docs = documents(spark, d).where("text is not null").withColumn("seq", F.col("doc_id"))
+    prints = dedup.simhash_md5(docs.where(F.length("text") >= dedup.MIN_CHARS)).select(F.col("document_id").cast("long").alias("seq"), "fp")
+    rows = docs.select("seq", X.stable_hash(F.col("text")).alias("document_key")).join(prints, "seq", "left")
+    told, _ = dedup.judged(near.checkpointed(rows), distance=1, bits=32, blocks=3)
+    return told.withColumnRenamed("seq", "doc_id")
+
+
+def near_dup_batches(spark, d):
+    """Dispositions of the documents in three batches, by ranges of their ids, through a stored index."""
+    docs = documents(spark, d).withColumn("seq", F.col("doc_id"))
+    index = near_index.NearIndex(spark, f"{near.shared_folder(spark)}/near_index_{uuid.uuid4().hex}", buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    last, out = docs.agg(F.max("seq")).head()[0] or 0, None
+    for k in range(3):
+        batch = index.add(docs.where((F.col("seq") > last * k // 3 if k else F.lit(True)) & (F.col("seq") <= last * (k + 1) // 3)))
+        told = batch.select("doc_id", "disposition")
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
 def build_report(spark, d):
     docs = dedup.dispositions(documents(spark, d).withColumn("seq", F.col("doc_id")))
     s = extract.extract_sentences(docs.where("disposition = 'kept'"))
@@ -450,7 +482,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sentences_extract, sentences_dedup, sentences_quota_sample, sentences_quota_shortfall, quota_unknown_sources, docs_split_98_1_1, docs_split_85_10_5, lemma_split_80_10_10, split_counts,
-        split_leakage, docs_top_hash, docs_exact_dedup, simhash_md5, simhash_bands, near_dup_pairs, near_dup_pairs64, near_dup_dispositions, build_report, holdout_anti_join, shards_manifest, shards_reconcile, shards_merged,
+        split_leakage, docs_top_hash, docs_exact_dedup, simhash_md5, simhash_bands, near_dup_pairs, near_dup_pairs64, near_dup_groups, near_dup_scan, near_dup_dispositions, near_dup_batches, build_report, holdout_anti_join, shards_manifest, shards_reconcile, shards_merged,
         script_distribution, char_class_distribution, script_transitions, codepoint_buckets, bigram_buckets, categorical_features, length_histogram, length_buckets, padded_batches, batch_schedule, padded_codepoints, common_rows, char_ngrams_top,
         boundary_f1, atom_f1, atom_macro_f1, role_f1, tree_exact, score_report, inflection_multilabel, function_f1, corpus_stats, endpoint_hierarchy, nested_boundaries, partition_spans, tree_edges,
         teacher_agreement, argmax_decode, softmax_confidence, align_surfaces, map_labels, validate_codes, compile_records, compile_failures, compile_summary, synthetic_paradigms, synthetic_unsupported,

@@ -13,7 +13,7 @@ from lexloom.functions import text as X
 from lexloom.functions import vocabulary as V
 from lexloom.operators import annotate
 from lexloom.operators import compile as C
-from lexloom.operators import dedup, extract, features, infer, sample, score, spans, stats
+from lexloom.operators import dedup, extract, features, infer, near, near_index, sample, score, spans, stats
 from lexloom.plans import literals, oracles, queries
 from lexloom.sources import readers, writers
 from lexloom.streaming import compile_stream
@@ -112,18 +112,90 @@ def test_near_duplicates_as_a_scan(spark):
     assert got == dict(enumerate(want)) and want.count("near") > 5
 
 
-def test_near_duplicate_pairs_query(spark, tmp_path):
-    """near_dup_pairs64 finds each pair of up to three bits, also those of two and three, against brute force."""
+def brute_groups(prints, distance):
+    """(seq, first, n_links, component_id) of prints {seq: fp}."""
+    near = {a: [b for b in prints if b != a and (prints[a] ^ prints[b]).bit_count() <= distance] for a in prints}
+    at = {a: a for a in prints}
+    while (new := {a: min([at[a], *(at[b] for b in near[a])]) for a in prints}) != at:
+        at = new
+    return sorted((a, min(b for b in prints if prints[b] == prints[a]), len(near[a]), at[a]) for a in prints)
+
+
+def test_near_duplicate_groups_query(spark, tmp_path):
+    """near_dup_pairs64 against brute force: firsts, numbers of links up to three bits, groups."""
     texts = [*corpus(), None]
     spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     prints = {i: simhash(t) for i, t in enumerate(texts) if t is not None and len(t) >= 80}
-    first = {}
-    for i, p in prints.items():
-        first.setdefault(p, i)
-    far = {(a, b): (p ^ q).bit_count() for p, a in first.items() for q, b in first.items() if a < b and (p ^ q).bit_count() <= 3}
-    want = sorted([*far, *((first[p], i) for i, p in prints.items() if first[p] != i)])
+    assert {2, 3} <= {(p ^ q).bit_count() for p in prints.values() for q in prints.values()}
     got = queries.QUERIES["near_dup_pairs64"](spark, str(tmp_path)).collect()
-    assert sorted((r.a, r.b) for r in got) == want and {2, 3} <= set(far.values())
+    assert sorted((r.doc_id, r.first, r.n_links, r.component_id) for r in got) == brute_groups(prints, 3)
+
+
+@pytest.mark.parametrize("block_rows", [near.BLOCK_ROWS, 3])
+def test_near_groups_of_many_links(spark, block_rows):
+    """Dense groups, chains and copies, also when a key's rows are dealt out in small blocks; every pair counts once."""
+    rng, prints = random.Random(5), {}
+    for k in range(240):
+        base = rng.choice([0, (1 << 64) - 1, 0x0123456789ABCDEF])
+        prints[k * 7 % 251] = base ^ sum(1 << b for b in rng.sample(range(0, 64, 5), rng.randrange(6)))
+    signed = [(i, p - (1 << 64) if p >> 63 else p) for i, p in prints.items()]
+    rows = spark.createDataFrame([*signed, (999, None)], "seq long, fp long").repartition(3)
+    got = sorted(map(tuple, near.near_groups(rows, block_rows=block_rows).collect()))
+    assert got == [*brute_groups(prints, 3), (999, 999, 0, 999)] and max(r[2] for r in got) > 10
+    distinct = {}
+    for i in sorted(prints):
+        distinct.setdefault(prints[i], i)
+    kept, dropped = [], []
+    for p, i in sorted(distinct.items(), key=lambda x: x[1]):
+        (dropped if any((p ^ q).bit_count() <= 3 for q in kept) else kept).append(p)
+    of = {v: p for p, v in distinct.items()}
+    only = rows.where(F.col("seq").isin([int(i) for i in of]))
+    assert sorted(of[r.seq] for r in near.scan_keeps(only, block_rows=block_rows).collect()) == sorted(dropped)
+
+
+@pytest.mark.parametrize(("distance", "bits", "blocks"), [(3, 64, 6), (1, 32, 3), (2, 64, 5)])
+def test_near_prints_share_a_key(spark, distance, bits, blocks):
+    rng = random.Random(1)
+    rows = []
+    for _ in range(60):
+        a = rng.getrandbits(bits)
+        b = a ^ sum(1 << x for x in rng.sample(range(bits), distance))
+        rows.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
+    keys = lambda c: near.block_keys(F.col(c), distance, bits, blocks)
+    shared = spark.createDataFrame(rows, "a long, b long").select(F.size(F.array_intersect(keys("a"), keys("b"))).alias("n")).collect()
+    assert min(r.n for r in shared) >= 1
+
+
+def test_index_in_batches_equals_one_scan(spark, tmp_path):
+    """Three batches, the index opened anew for each from its folder; a batch that fails in between leaves no trace."""
+    texts = [*corpus(), None, "short", "a" * 100, "b" * 79]
+    docs = spark.createDataFrame([(i, "s", str(i), t) for i, t in enumerate(texts)], "seq long, " + DOC)
+    want = {r.seq: r.disposition for r in dedup.dispositions(docs).collect()}
+    folder, got, n = str(tmp_path / "index"), {}, len(texts)
+    for k in range(3):
+        index = near_index.NearIndex(spark, folder, buckets=3, fanout=2)
+        assert index.batches == k
+        batch = docs.where((F.col("seq") >= n * k // 3) & (F.col("seq") < n * (k + 1) // 3))
+        index._commit, commit = None, index._commit  # fails after its runs are written
+        with pytest.raises(TypeError):
+            index.add(batch)
+        index = near_index.NearIndex(spark, folder, buckets=3, fanout=2)
+        for t in spark.catalog.listTables():  # as in a session that has never seen the runs
+            if t.name.startswith(index.prefix):
+                spark.sql(f"DROP TABLE {t.name}")
+        got |= {r.seq: r.disposition for r in index.add(batch).collect()}
+    assert got == want and {"near", "exact", "kept", "invalid"} <= set(want.values())
+    last = near_index.NearIndex(spark, folder)
+    assert last.buckets == 3 and sorted(level for _, _, level in last.runs) == [0, 0, 1, 1]
+    keys = sum(t.count() for t in last.of_kind("keys"))
+    assert keys == sum(d == "kept" for d in want.values())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    plan = last.near(spark.createDataFrame([(1,)], "fp long"))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan and "hashpartitioning(old_key" not in plan  # runs are not shuffled
+    with pytest.raises(ValueError):
+        near_index.NearIndex(spark, folder, distance=2)
+    assert last.add(docs.limit(0)).count() == 0 and near_index.NearIndex(spark, folder).batches == 4
 
 
 def test_fingerprints(spark):
