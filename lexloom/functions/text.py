@@ -78,7 +78,8 @@ def script(ch: Column) -> Column:
     return (
         F.when(cp.between(0x3040, 0x309F), "HIRAGANA").when(cp.between(0x30A0, 0x30FF), "KATAKANA")
         .when(cp.between(0x4E00, 0x9FFF) | cp.between(0x3400, 0x4DBF), "KANJI")
-        .when(cp.between(65, 90) | cp.between(97, 122), "LATIN").when(ch.rlike(f"^[\\p{{Nd}}{other_digits}]"), "DIGIT")
+        .when(cp.between(65, 90) | cp.between(97, 122), "LATIN").when(cp == 32, "WHITESPACE").when(cp.between(48, 57), "DIGIT")
+        .when(ch.rlike(f"^[\\p{{Nd}}{other_digits}]"), "DIGIT")
         .when(ch.rlike("^\\p{P}"), "PUNCT").when(ch.rlike("^\\p{S}"), "SYMBOL").when(ch.rlike(f"^[{WS}]"), "WHITESPACE").otherwise("OTHER")
     )
 

@@ -20,7 +20,7 @@ MIN_CHARS, DISTANCE, BAND_BITS = 80, 3, 16
 #: The tag that fingerprints are hashed with, and the characters of a gram.
 PERSON, GRAM = b"jplex-v1", 3
 #: Stands for a code point that a short gram lacks; grams that are counted at a time.
-FILL, STEP = 0x1FFFFF, 1 << 18
+FILL, STEP = 0x1FFFFF, 1 << 17
 _SPACE = re.compile(f"[{X.WS}]+")
 
 
@@ -40,30 +40,57 @@ def _digest(gram: int) -> bytes:
     return hashlib.blake2b("".join(chr(p) for p in points if p != FILL).encode(), digest_size=8, person=PERSON).digest()
 
 
+def _window(points: np.ndarray, at: int, to: int, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The grams that begin at places at..to of all texts' code points, and how many each of the texts (that lie there) has."""
+    padded = np.full(to - at + GRAM - 1, FILL, np.int64)
+    own = points[at : to + GRAM - 1]
+    padded[: len(own)] = own
+    gram = padded[: to - at].copy()
+    for k in range(1, GRAM):
+        gram |= padded[k : to - at + k] << (21 * k)
+    keep = np.ones(to - at, bool)
+    sizes = ends - starts
+    for k in range(1, GRAM):
+        # the last places of a text begin no gram, but the first place of a short text does
+        last = (ends - k)[sizes > k]
+        keep[last[(last >= at) & (last < to)] - at] = False
+        short = starts[(sizes == k) & (starts >= at) & (starts < to)] - at
+        for j in range(k, GRAM):
+            gram[short] |= FILL << (21 * j)
+    before = np.concatenate([[0], np.cumsum(keep)])
+    return gram[keep], before[np.minimum(ends, to) - at] - before[np.maximum(starts, at) - at]
+
+
 def votes(texts: list[str]) -> np.ndarray:
     """The 64-bit fingerprint of each text: of each bit, whether at least half of the grams' hashes have it; 0 of an empty
-    text. Distinct grams are hashed once; STEP grams are counted at a time, however long a text is."""
+    text. Distinct grams are hashed once; STEP grams are counted at a time, however long a text is.
+
+    Bits are summed as bytes, eight to a word, over runs of 255 grams at most, then by text.
+    """
     values = [_SPACE.sub(" ", t).strip(" ") for t in texts]
     sizes = np.array([len(v) for v in values], np.int64)
-    points = np.frombuffer("".join(values).encode("utf-32-le"), "<u4").astype(np.int64)
+    points = np.frombuffer("".join(values).encode("utf-32-le"), "<u4")
     ends = np.cumsum(sizes)
-    grams_of = np.where(sizes > 0, np.maximum(1, sizes - GRAM + 1), 0)
-    before = np.concatenate([[0], np.cumsum(grams_of)])
-    ones = np.zeros((len(texts), 64), np.int64)
-    for at in range(0, int(before[-1]), STEP):
-        number = np.arange(at, min(at + STEP, int(before[-1])))
-        of = np.searchsorted(before, number, side="right") - 1
-        place = number - before[of] + ends[of] - sizes[of]
-        gram = np.zeros(len(number), np.int64)
-        for k in range(GRAM):
-            inside = place + k < ends[of]
-            gram |= np.where(inside, points[np.minimum(place + k, len(points) - 1)], FILL) << (21 * k)
+    starts = ends - sizes
+    ones, total = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+    for at in range(0, len(points), STEP):
+        to = min(at + STEP, len(points))
+        i, j = np.searchsorted(ends, at, side="right"), np.searchsorted(starts, to)
+        gram, own = _window(points, at, to, starts[i:j], ends[i:j])
+        if not len(gram):
+            continue
         coded = pa.array(gram).dictionary_encode()
         digests = b"".join(map(_digest, coded.dictionary.to_pylist()))
-        bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
-        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        ones[of[first]] += np.add.reduceat(bits[coded.indices.to_numpy()], first, axis=0, dtype=np.int32)
-    up = (2 * ones >= grams_of[:, None]) & (grams_of > 0)[:, None]
+        bits = np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, 64).view(np.uint64)
+        texts_here = np.flatnonzero(own)
+        parts = -(-own[texts_here] // 255)
+        before = np.cumsum(parts) - parts
+        first = (np.cumsum(own) - own)[texts_here]
+        runs = np.repeat(first, parts) + 255 * (np.arange(parts.sum()) - np.repeat(before, parts))
+        summed = np.add.reduceat(bits[coded.indices.to_numpy()], runs, axis=0).view(np.uint8)
+        ones[i + texts_here] += np.add.reduceat(summed, before, axis=0, dtype=np.int64)
+        total[i + texts_here] += own[texts_here]
+    up = (2 * ones >= total[:, None]) & (total > 0)[:, None]
     return np.packbits(up, axis=1).view(">i8")[:, 0].astype(np.int64)
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
 from lexloom.functions import vocabulary as V
-from lexloom.operators.features import last_covering
 
 
 def paired(gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
@@ -28,101 +31,162 @@ def prf(counted: DataFrame) -> DataFrame:
     return out.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), total))
 
 
-def boundary_scores(pairs: DataFrame) -> DataFrame:
-    """(level, tp, fp, fn, precision, recall, f1) of endpoint sets."""
-    one = lambda side, level: F.array_distinct(F.col(f"{side}.boundaries.{level}"))
-    each = [
-        F.struct(F.lit(x).alias("level"), F.size(F.array_intersect(one("gold", x), one("pred", x))).alias("tp"), F.size(F.array_except(one("pred", x), one("gold", x))).alias("fp"), F.size(F.array_except(one("gold", x), one("pred", x))).alias("fn"))
-        for x in V.LEVELS
-    ]
-    rows = pairs.select(F.explode(F.array(*each)).alias("x")).select("x.*")
-    return prf(rows.groupBy("level").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
-
-
-def _places(side: str) -> Column:
-    return F.sequence(F.lit(0), F.length(f"{side}.text") - 1)
-
-
-def char_atoms(side: str) -> Column:
-    return F.transform(_places(side), lambda i: F.coalesce(last_covering(F.col(f"{side}.spans"), i)["atom_type"], F.lit("OTHER")))
-
-
-def char_roles(side: str) -> Column:
-    return F.transform(_places(side), lambda i: F.coalesce(last_covering(F.col(f"{side}.bunsetsu"), i)["role"], F.lit("UNKNOWN")))
-
+#: By metric: its labels, in order. Characters without a gold value count for none but atoms and roles, which have one.
+LABELS = {"boundaries": V.LEVELS, "atom": V.ATOM_TYPES, "particle_function": V.PARTICLE_FUNCTIONS, "bunsetsu_role": V.BUNSETSU_ROLES, "inflection": V.INFLECTIONS, "complete_tree": ["exact_match"]}
+COUNTED = pa.schema([("metric", pa.string()), ("label", pa.string()), ("tp", pa.int64()), ("fp", pa.int64()), ("fn", pa.int64())])
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The row of each element of a list column, and the elements; a null list has none."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    return np.repeat(np.arange(len(column)), sizes), column.flatten()
+
+
+def _codes(values: pa.Array, labels: list[str], null: int) -> np.ndarray:
+    """The place of each value in the labels; null for none, len(labels) for one that is not listed."""
+    at = pc.fill_null(pc.index_in(values, pa.array(labels)), len(labels)).to_numpy(zero_copy_only=False)
+    return np.where(values.is_null().to_numpy(zero_copy_only=False), null, at)
+
+
+def _painted(out: np.ndarray, first: np.ndarray, size: np.ndarray, row: np.ndarray, spans: pa.Array, codes: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """out (a value a character of all texts) with the codes of the spans `own` written over it in order, so the last
+    span over a character stands. One pass over spans and characters."""
+    start, end = (np.clip(pc.fill_null(spans.field(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)[own], 0, size[row[own]]) for c in ("start", "end"))
+    wide = np.maximum(end - start, 0)
+    at = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide) + np.repeat(first[row[own]] + start, wide)
+    out[at] = np.repeat(codes[own], wide)
+    return out
+
+
+def _characters(batch: pa.RecordBatch, side: str, metric: str, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The code of each character: of its atom type, function, role or (a bit each) inflections; -1 for none."""
+    column = batch[f"{side}_{'bunsetsu' if metric == 'bunsetsu_role' else 'spans'}"]
+    row, spans = _lists(column)
+    total, every = int(size.sum()), np.arange(len(row))
+    if metric in ("atom", "bunsetsu_role"):
+        labels, field, none = (V.ATOM_TYPES, "atom_type", "OTHER") if metric == "atom" else (V.BUNSETSU_ROLES, "role", "UNKNOWN")
+        return _painted(np.full(total, labels.index(none)), first, size, row, spans, _codes(spans.field(field), labels, labels.index(none)), every)
+    kinds = ["PARTICLE"] if metric == "particle_function" else V.INFLECTED
+    own = np.flatnonzero(pc.fill_null(pc.is_in(spans.field("atom_type"), pa.array(kinds)), False).to_numpy(zero_copy_only=False))
+    if metric == "particle_function":
+        codes = _codes(spans.field("function"), V.PARTICLE_FUNCTIONS, V.PARTICLE_FUNCTIONS.index("UNKNOWN"))
+    else:
+        of, names = _lists(spans.field("inflections"))
+        bits = _codes(names, V.INFLECTIONS, len(V.INFLECTIONS))
+        codes = np.zeros(len(row), np.int64)
+        np.bitwise_or.at(codes, of, np.where(bits < len(V.INFLECTIONS), 1 << bits, 0))
+    return _painted(np.full(total, -1), first, size, row, spans, codes, own)
+
+
+def _counted(metrics: list[str]):
+    """Batches of pairs to counts: arrays of (tp, fp, fn) by metric and label, one set of rows a task."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {m: np.zeros((len(LABELS[m]), 3), np.int64) for m in metrics}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = batch["n"].to_numpy().astype(np.int64)
+            first = np.cumsum(size) - size
+            for m in metrics:
+                if m == "complete_tree":
+                    same = int(pc.sum(batch["same"].cast(pa.int64())).as_py())
+                    total[m] += [[same, 0, batch.num_rows - same]]
+                elif m == "boundaries":
+                    for k, level in enumerate(V.LEVELS):
+                        gold, pred = (np.unique(row.astype(np.int64) << 32 | x.to_numpy(zero_copy_only=False).astype(np.int64)) for row, x in (_lists(batch[f"{side}_ends_{level}"]) for side in ("gold", "pred")))
+                        both = len(np.intersect1d(gold, pred, assume_unique=True))
+                        total[m][k] += [both, len(pred) - both, len(gold) - both]
+                else:
+                    gold, pred = (_characters(batch, side, m, first, size) for side in ("gold", "pred"))
+                    gold, pred = gold[keep := gold >= 0], pred[keep]
+                    if m == "inflection":
+                        pred, bits = np.maximum(pred, 0), 1 << np.arange(len(V.INFLECTIONS))
+                        met, n = np.unique(np.stack([gold, pred]), axis=1, return_counts=True)
+                        e, a = ((x[:, None] & bits) > 0 for x in met)
+                        total[m] += np.stack([n @ (e & a), n @ (a & ~e), n @ (e & ~a)], 1)
+                    else:
+                        k = len(LABELS[m])
+                        met = np.bincount(gold * (k + 2) + pred + 1, minlength=(k + 1) * (k + 2)).reshape(k + 1, k + 2)[:, 1:]
+                        hit = np.diag(met)[:k]
+                        total[m] += np.stack([hit, met.sum(0)[:k] - hit, 0 * hit], 1)
+                        # all gold characters that were not hit, also where nothing was predicted
+                        total[m][:, 2] += np.bincount(gold, minlength=k + 1)[:k] - hit
+        rows = [(m, label, *map(int, x)) for m in metrics for label, x in zip(LABELS[m], total[m], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), COUNTED, strict=True)], schema=COUNTED)
+
+    return run
+
+
+def counts(pairs: DataFrame, *metrics: str) -> DataFrame:
+    """(metric, label, tp, fp, fn) of pairs (gold, pred), for all metrics or those named, in one pass.
+
+    Characters up to the shorter text of a pair count. A character has the label of the last span over it; without one
+    its atom type is OTHER, its role UNKNOWN; functions count in particles, inflections in inflected types. Labels are
+    counted one against the rest, endpoints and inflections as sets. Every label has a row.
+    """
+    own, sides = list(metrics or LABELS), ("gold", "pred")
+    need = [F.least(*[F.coalesce(F.length(f"{x}.text"), F.lit(0)) for x in sides]).alias("n")]
+    if "boundaries" in own:
+        need += [F.col(f"{x}.boundaries.{level}").alias(f"{x}_ends_{level}") for x in sides for level in V.LEVELS]
+    if {"atom", "particle_function", "inflection"} & {*own}:
+        need += [F.col(f"{x}.spans").alias(f"{x}_spans") for x in sides]
+    if "bunsetsu_role" in own:
+        need += [F.col(f"{x}.bunsetsu").alias(f"{x}_bunsetsu") for x in sides]
+    if "complete_tree" in own:
+        need.append(reduce(lambda a, b: a & b, [F.col(f"gold.{c}").eqNullSafe(F.col(f"pred.{c}")) for c in ("boundaries", "spans", "b_spans", "bunsetsu")]).alias("same"))
+    told = pairs.select(*need).mapInArrow(_counted(own), "metric string, label string, tp long, fp long, fn long")
+    none = pairs.sparkSession.createDataFrame([(m, label, 0, 0, 0) for m in own for label in LABELS[m]], told.schema)
+    return told.unionByName(none).groupBy("metric", "label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
 
-def char_functions(side: str) -> Column:
-    particles = F.filter(F.col(f"{side}.spans"), lambda s: s["atom_type"] == "PARTICLE")
 
-    def of(i: Column) -> Column:
-        s = last_covering(particles, i)
-        return F.when(s.isNotNull(), F.coalesce(s["function"], F.lit("UNKNOWN")))
-
-    return F.transform(_places(side), of)
-
-
-def char_inflections(side: str) -> Column:
-    own = F.filter(F.col(f"{side}.spans"), lambda s: s["atom_type"].isin(V.INFLECTED))
-    return F.transform(_places(side), lambda i: last_covering(own, i)["inflections"])
+def boundary_scores(pairs: DataFrame) -> DataFrame:
+    """(level, tp, fp, fn, precision, recall, f1) of endpoint sets."""
+    return prf(counts(pairs, "boundaries")).drop("metric").withColumnRenamed("label", "level")
 
 
-def confusion(pairs: DataFrame, labels) -> DataFrame:
-    """(expected, actual, n) of characters; labels: a column of each side's labels. Characters without gold go."""
-    both = F.arrays_zip(labels("gold").alias("expected"), labels("pred").alias("actual"))
-    return X.computed(pairs, both=both).select(F.explode("both").alias("x")).select("x.expected", "x.actual").where("expected is not null").groupBy("expected", "actual").agg(F.count("*").alias("n"))
+def label_scores(pairs: DataFrame, metric: str) -> DataFrame:
+    """(label, tp, fp, fn, precision, recall, f1) of one metric."""
+    return prf(counts(pairs, metric)).drop("metric")
 
 
-def label_scores(counted: DataFrame, labels: list[str]) -> DataFrame:
-    """(label, tp, fp, fn, precision, recall, f1), one against the rest, of a confusion table."""
-    spark = counted.sparkSession
-    names = spark.createDataFrame([(x,) for x in labels], "label string")
-    hit = F.col("expected").eqNullSafe(F.col("actual"))
-    gold = counted.select(F.col("expected").alias("label"), F.when(hit, F.col("n")).otherwise(0).alias("tp"), F.lit(0).alias("fp"), F.when(hit, 0).otherwise(F.col("n")).alias("fn"))
-    wrong = counted.where(~hit & F.col("actual").isNotNull()).select(F.col("actual").alias("label"), F.lit(0).alias("tp"), F.col("n").alias("fp"), F.lit(0).alias("fn"))
-    total = gold.unionByName(wrong).groupBy("label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    return prf(names.join(total, "label", "left").fillna(0, ["tp", "fp", "fn"]))
+def _macro(f1: Column) -> Column:
+    """The mean f1 of labels with any count, 0 if there are none."""
+    return F.coalesce(F.avg(F.when(F.col("tp") + F.col("fp") + F.col("fn") > 0, f1)), F.lit(0.0))
 
 
 def macro_f1(scores: DataFrame) -> DataFrame:
-    """One row: the mean f1 of labels with any count, 0 if there are none."""
-    return scores.agg(F.coalesce(F.avg(F.when(F.col("tp") + F.col("fp") + F.col("fn") > 0, F.col("f1"))), F.lit(0.0)).alias("macro_f1"))
-
-
-def multilabel_scores(pairs: DataFrame, labels: list[str] = V.INFLECTIONS) -> DataFrame:
-    """(label, tp, fp, fn, ...) of sets of labels by character; a missing prediction is the empty set."""
-    none = F.array().cast("array<string>")
-    both = F.arrays_zip(char_inflections("gold").alias("expected"), char_inflections("pred").alias("actual"))
-    rows = X.computed(pairs, both=both).select(F.explode("both").alias("x")).select(F.array_distinct("x.expected").alias("e"), F.array_distinct(F.coalesce("x.actual", none)).alias("a")).where("e is not null")
-    rows = rows.groupBy("e", "a").agg(F.count("*").alias("n"))
-    each = [F.struct(F.lit(x).alias("label"), F.array_contains("e", x).alias("e"), F.array_contains("a", x).alias("a")) for x in labels]
-    x = rows.select("n", F.explode(F.array(*each)).alias("x"))
-    n = lambda c, name: F.sum(F.when(c, F.col("n")).otherwise(0)).alias(name)
-    total = x.groupBy("x.label").agg(n(F.col("x.e") & F.col("x.a"), "tp"), n(~F.col("x.e") & F.col("x.a"), "fp"), n(F.col("x.e") & ~F.col("x.a"), "fn"))
-    names = pairs.sparkSession.createDataFrame([(y,) for y in labels], "label string")
-    return prf(names.join(total, "label", "left").fillna(0, ["tp", "fp", "fn"]))
+    """One row: the macro f1 of a table of label scores."""
+    return scores.agg(_macro(F.col("f1")).alias("macro_f1"))
 
 
 def tree_exact_match(pairs: DataFrame) -> DataFrame:
     """One row: sentences, and the share of records whose boundaries, spans, B spans and chunks are all equal."""
-    same = reduce(lambda a, b: a & b, [F.col(f"gold.{c}").eqNullSafe(F.col(f"pred.{c}")) for c in ("boundaries", "spans", "b_spans", "bunsetsu")])
-    return pairs.agg(F.count("*").alias("sentences"), F.coalesce(F.avg(same.cast("double")), F.lit(0.0)).alias("complete_tree_exact_match"))
+    total = F.col("tp") + F.col("fn")
+    return counts(pairs, "complete_tree").select(total.alias("sentences"), F.when(total > 0, F.col("tp") / F.when(total > 0, total)).otherwise(0.0).alias("complete_tree_exact_match"))
 
 
 def score_corpus(pairs: DataFrame) -> DataFrame:
-    """(metric, label, tp, fp, fn, precision, recall, f1): all scores in one long table; macro rows carry f1 alone."""
-    kinds = {"atom": (char_atoms, V.ATOM_TYPES), "particle_function": (char_functions, V.PARTICLE_FUNCTIONS), "bunsetsu_role": (char_roles, V.BUNSETSU_ROLES)}
-    tables = {k: label_scores(confusion(pairs, f), names) for k, (f, names) in kinds.items()} | {"inflection": multilabel_scores(pairs)}
+    """(metric, label, tp, fp, fn, precision, recall, f1): all scores in one long table, of one pass over the pairs.
+
+    Macro rows carry f1 alone, micro rows (atom, inflection) the sums; of complete trees f1 is the share that is equal.
+    """
     cols = ["label", "tp", "fp", "fn", "precision", "recall", "f1"]
-    parts = [boundary_scores(pairs).withColumnRenamed("level", "label").select(F.lit("boundaries").alias("metric"), *cols)]
-    zero = [F.lit(None).cast("long").alias(c) for c in cols[1:4]] + [F.lit(None).cast("double").alias(c) for c in cols[4:6]]
-    for name, t in tables.items():
-        parts.append(t.select(F.lit(name).alias("metric"), *cols))
-        parts.append(macro_f1(t).select(F.lit(name).alias("metric"), F.lit("macro").alias("label"), *zero, F.col("macro_f1").alias("f1")))
-        if name in ("atom", "inflection"):
-            micro = prf(t.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
-            parts.append(micro.select(F.lit(name).alias("metric"), F.lit("micro").alias("label"), *cols[1:]))
-    exact = tree_exact_match(pairs).select(F.lit("complete_tree").alias("metric"), F.lit("exact_match").alias("label"), *zero, F.col("complete_tree_exact_match").alias("f1"))
-    return reduce(DataFrame.unionByName, [*parts, exact])
+    scored = prf(counts(pairs))
+    one = F.struct(*cols)
+    # a metric's rows, at most as many as it has labels, and what is told of them together
+    of = scored.groupBy("metric").agg(F.collect_list(one).alias("rows"), F.struct(*[F.sum(c).alias(c) for c in cols[1:4]]).alias("sum"), _macro(F.col("f1")).alias("macro"))
+    of = prf(of.select("metric", "rows", "macro", "sum.*"))
+    null = {c: F.lit(None).cast("long" if c in cols[1:4] else "double").alias(c) for c in cols[1:6]}
+    micro = F.struct(F.lit("micro").alias("label"), *cols[1:])
+    macro = F.struct(F.lit("macro").alias("label"), *null.values(), F.col("macro").alias("f1"))
+    total = F.col("tp") + F.col("fn")
+    exact = F.struct(F.lit("exact_match").alias("label"), *null.values(), F.when(total > 0, F.col("tp") / F.when(total > 0, total)).otherwise(0.0).alias("f1"))
+    rows = (
+        F.when(F.col("metric") == "boundaries", F.col("rows")).when(F.col("metric") == "complete_tree", F.array(exact))
+        .when(F.col("metric").isin("atom", "inflection"), F.concat("rows", F.array(macro, micro))).otherwise(F.concat("rows", F.array(macro)))
+    )
+    return of.select("metric", F.explode(rows).alias("x")).select("metric", "x.*")
 
 
 def common_rows(systems: dict[str, DataFrame], *key: str) -> dict[str, DataFrame]:

@@ -11,22 +11,35 @@ from lexloom.functions import text as X
 from lexloom.functions import vocabulary as V
 
 
-def counts(rows: DataFrame, metric: str, values: Column) -> DataFrame:
-    """(metric, key, count) of an array column's values."""
-    return rows.select(F.explode(values).alias("key")).where(F.col("key").isNotNull()).groupBy(F.col("key").cast("string").alias("key")).count().select(F.lit(metric).alias("metric"), "key", "count")
+def _keys(metric: str, values: Column) -> Column:
+    """An array of (metric, key) of the values of an array that are not null; none of a null array."""
+    own = F.transform(F.filter(values, lambda x: x.isNotNull()), lambda x: F.struct(F.lit(metric).alias("metric"), x.cast("string").alias("key")))
+    return F.coalesce(own, F.array().cast("array<struct<metric:string,key:string>>"))
+
+
+def stat_keys(records: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """(metric, key), a row for each thing that is counted: records are read once, failures once. Batch or stream."""
+    level = lambda x: F.transform(F.col(f"boundaries.{x}"), lambda _: F.lit(x))
+    every = F.concat(
+        _keys("sentence_length", F.array(F.length("text"))), _keys("script", F.transform(X.chars(F.col("text")), X.script)), *[_keys("boundary", level(x)) for x in V.LEVELS],
+        _keys("atom_type", F.transform("spans", lambda s: s["atom_type"])), _keys("function", F.transform("spans", lambda s: s["function"])),
+        _keys("inflection", F.flatten(F.transform("spans", lambda s: s["inflections"]))), _keys("bunsetsu_role", F.transform("bunsetsu", lambda s: s["role"])),
+    )
+    out = records.select(F.explode(every).alias("x")).select("x.metric", "x.key")
+    if failures is not None:
+        out = out.unionByName(failures.where("reason is not null").select(F.lit("drop_reason").alias("metric"), F.col("reason").cast("string").alias("key")))
+    return out
 
 
 def corpus_stats(records: DataFrame, failures: DataFrame | None = None) -> DataFrame:
-    """(metric, key, count): lengths, scripts, boundaries by level, labels, and reasons of failures."""
-    levels = F.flatten(F.array(*[F.array_repeat(F.lit(level), F.size(f"boundaries.{level}")) for level in V.LEVELS]))
-    parts = [
-        counts(records, "sentence_length", F.array(F.length("text"))), counts(records, "script", F.transform(X.chars(F.col("text")), X.script)), counts(records, "boundary", levels),
-        counts(records, "atom_type", F.transform("spans", lambda s: s["atom_type"])), counts(records, "function", F.transform("spans", lambda s: s["function"])),
-        counts(records, "inflection", F.flatten(F.transform("spans", lambda s: s["inflections"]))), counts(records, "bunsetsu_role", F.transform("bunsetsu", lambda s: s["role"])),
-    ]
-    if failures is not None:
-        parts.append(counts(failures, "drop_reason", F.array("reason")))
-    return reduce(DataFrame.unionByName, parts)
+    """(metric, key, count): lengths, scripts, boundaries by level, labels, and reasons of failures. Counts of parts of a
+    corpus add up to those of the whole (merged)."""
+    return stat_keys(records, failures).groupBy("metric", "key").agg(F.count("*").alias("count"))
+
+
+def merged(*parts: DataFrame) -> DataFrame:
+    """The statistics of several parts of a corpus as those of one."""
+    return reduce(DataFrame.unionByName, parts).groupBy("metric", "key").agg(F.sum("count").alias("count"))
 
 
 def summary(compiled: DataFrame) -> DataFrame:

@@ -127,6 +127,55 @@ SELECT document_id, sentence_index, {told("e_a", atom)} AS atoms, {told("e_b", n
 FROM e"""
 
 
+def _coded_pairs() -> str:
+    """CTEs: m (metric, label, tp, fp, fn) of coded records against those of code points one more where 3 divides them."""
+    moduli = {"a": [2, 5, 11, 31, 101], "b": [5, 11, 31, 101], "bunsetsu": [11, 31, 101], "clause": [31, 101], "sentence": [101]}
+    ends = ", ".join(f"list_filter(range(1, n + 1), lambda i: i = n OR {' OR '.join(f'{side}[i] % {k} = 0' for k in own)}) AS {side}_{level}" for side in "gp" for level, own in moduli.items())
+    name = lambda words, at: "[" + ", ".join(f"'{w}'" for w in words) + f"][{at}]"
+    flags = lambda x: "list_filter([" + ", ".join(f"CASE WHEN {x} % {k + 2} = 0 THEN '{w}' END" for k, w in enumerate(V.INFLECTIONS)) + "], lambda f: f IS NOT NULL)"
+    at = lambda side, level: f"{side}[list_filter({side}_{level}, lambda x: x >= spot)[1]]"
+    inflected = "(" + ", ".join(f"'{x}'" for x in V.INFLECTED) + ")"
+
+    def told(x: str) -> str:
+        return f"""{name(V.ATOM_TYPES, f"{x}_at % 12 + 1")} AS {x}_atom, {name(V.BUNSETSU_ROLES, f"{x}_c % 9 + 1")} AS {x}_role"""
+
+    one = lambda metric, names, e, a: f"""SELECT '{metric}' AS metric, label, count(*) FILTER ({e} = label AND {a} = label) AS tp, count(*) FILTER ({e} IS NOT NULL AND {e} <> label AND {a} = label) AS fp,
+  count(*) FILTER ({e} = label AND ({a} IS NULL OR {a} <> label)) AS fn FROM {_names(names)} LEFT JOIN l ON {e} = label OR {a} = label GROUP BY label"""
+    levels = " UNION ALL ".join(f"SELECT '{level}' AS label, g_{level} AS g, p_{level} AS p FROM c" for level in moduli)
+    return f"""{S}, c0 AS (SELECT document_id, sentence_index, length(text) AS n, list_transform(range(1, length(text) + 1), lambda i: unicode(substr(text, i::INT, 1))) AS g FROM s),
+c1 AS (SELECT *, list_transform(g, lambda x: x + CASE WHEN x % 3 = 0 THEN 1 ELSE 0 END) AS p FROM c0), c AS (SELECT *, {ends} FROM c1),
+i AS (SELECT *, unnest(range(1, n + 1)) AS spot FROM c),
+k AS (SELECT {at("g", "a")} AS g_at, {at("p", "a")} AS p_at, {at("g", "bunsetsu")} AS g_c, {at("p", "bunsetsu")} AS p_c FROM i),
+k2 AS (SELECT *, {told("g")}, {told("p")} FROM k),
+l AS (SELECT *, CASE WHEN g_atom = 'PARTICLE' THEN {name(V.PARTICLE_FUNCTIONS, "(g_at // 3) % 12 + 1")} END AS g_function, CASE WHEN p_atom = 'PARTICLE' THEN {name(V.PARTICLE_FUNCTIONS, "(p_at // 3) % 12 + 1")} END AS p_function,
+  CASE WHEN g_atom IN {inflected} THEN {flags("g_at")} END AS g_flags, CASE WHEN p_atom IN {inflected} THEN {flags("p_at")} ELSE [] END AS p_flags FROM k2),
+b AS ({levels}),
+m AS ({one("atom", V.ATOM_TYPES, "g_atom", "p_atom")} UNION ALL {one("bunsetsu_role", V.BUNSETSU_ROLES, "g_role", "p_role")} UNION ALL {one("particle_function", V.PARTICLE_FUNCTIONS, "g_function", "p_function")}
+ UNION ALL SELECT 'inflection', label, count(*) FILTER (list_contains(g_flags, label) AND list_contains(p_flags, label)), count(*) FILTER (NOT list_contains(g_flags, label) AND list_contains(p_flags, label)),
+   count(*) FILTER (list_contains(g_flags, label) AND NOT list_contains(p_flags, label)) FROM {_names(V.INFLECTIONS)} LEFT JOIN l ON g_flags IS NOT NULL GROUP BY label
+ UNION ALL SELECT 'boundaries', label, sum(len(list_intersect(g, p)))::BIGINT, sum(len(p) - len(list_intersect(g, p)))::BIGINT, sum(len(g) - len(list_intersect(g, p)))::BIGINT FROM b GROUP BY label),
+q AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM m),
+f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM q)"""
+
+
+def _score_report() -> str:
+    same = " AND ".join(f"g_{level} = p_{level}" for level in V.LEVELS)
+    spans = lambda x: f"list_transform({x}_a, lambda e: (e, {x}[e] % 12, CASE WHEN {x}[e] % 12 = 5 THEN ({x}[e] // 3) % 12 END, CASE WHEN {x}[e] % 12 IN (2, 3, 6, 7) THEN [" + ", ".join(f"{x}[e] % {k + 2} = 0" for k in range(len(V.INFLECTIONS))) + "] END))"
+    roles = lambda x: f"list_transform({x}_bunsetsu, lambda e: {x}[e] % 9)"
+    return f"""WITH {_coded_pairs()},
+t AS (SELECT metric, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM m WHERE metric IN ('atom', 'inflection') GROUP BY metric),
+u AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM t),
+r AS (SELECT metric, label, tp, fp, fn, precision, recall, f1 FROM f
+ UNION ALL SELECT metric, 'macro', 0, 0, 0, 0.0, 0.0, coalesce(avg(f1) FILTER (tp + fp + fn > 0), 0.0) FROM f WHERE metric <> 'boundaries' GROUP BY metric
+ UNION ALL SELECT metric, 'micro', tp, fp, fn, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END FROM u
+ UNION ALL SELECT 'complete_tree', 'exact_match', 0, 0, 0, 0.0, 0.0, avg(CASE WHEN {same} AND {spans("g")} = {spans("p")} AND {roles("g")} = {roles("p")} THEN 1.0 ELSE 0.0 END) FROM c)
+SELECT metric, label, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM r"""
+
+
+def _coded_f1(metric: str) -> str:
+    return f"WITH {_coded_pairs()} SELECT label, tp, fp, fn, round(f1, 9) AS f1 FROM f WHERE metric = '{metric}'"
+
+
 def _values(cols: list[str], rows: list[tuple]) -> str:
     def lit(x):
         return "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + _q(x) + "'"
@@ -278,7 +327,8 @@ ORACLES = {
         ["document_id", "i", "errors", "roles", "atom_type", "function", "inflections"],
         [("d", 0, 0, "CASED_NOMINAL,PREDICATE", "NOUN_LIKE", None, ""), ("d", 1, 0, "CASED_NOMINAL,PREDICATE", "PARTICLE", "OBJECT", ""), ("d", 2, 0, "CASED_NOMINAL,PREDICATE", "VERB_STEM", None, "PAST"), ("d", 3, 0, "CASED_NOMINAL,PREDICATE", "PUNCT_SYMBOL", None, "")],
     ),
-    "function_f1": f"SELECT label, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, f1 FROM (SELECT label, CASE label WHEN 'TOPIC' THEN 1 ELSE 0 END AS tp, CASE label WHEN 'TOPIC' THEN 1 ELSE 0 END AS fp, CASE label WHEN 'OBJECT' THEN 1 ELSE 0 END AS fn, CASE label WHEN 'TOPIC' THEN round(2.0::DOUBLE / 3, 9) ELSE 0.0 END AS f1 FROM {_names(V.PARTICLE_FUNCTIONS)})",
-    "inflection_multilabel": f"SELECT label, 0::BIGINT AS tp, CASE label WHEN 'NEGATIVE' THEN 1 ELSE 0 END::BIGINT AS fp, CASE label WHEN 'PAST' THEN 1 ELSE 0 END::BIGINT AS fn, 0.0::DOUBLE AS f1 FROM {_names(V.INFLECTIONS)}",
+    "function_f1": _coded_f1("particle_function"),
+    "inflection_multilabel": _coded_f1("inflection"),
+    "score_report": _score_report(),
     "target_arrays": _values(["document_id", "atom", "function", "role"], [("good", "0,0,5,0,0,5,2,6,10", "11,11,0,11,11,2,11,11,11", "0,0,0,1,1,1,2,2,6")]),
 }
