@@ -143,6 +143,11 @@ def first_pairs(first: DataFrame, distance: int, width: int, bits: int) -> DataF
     return close.select(F.col("seq").alias("a"), "b").distinct()
 
 
+def first_texts(docs: DataFrame) -> DataFrame:
+    """(document_key, seq) of the first document (seq, text) of each text, in one scan and one aggregation."""
+    return docs.groupBy(X.stable_hash(F.col("text")).alias("document_key")).agg(F.min("seq").alias("seq"))
+
+
 def first_copies(docs: DataFrame) -> DataFrame:
     """docs (seq, text) with document_key and whether the row is the first of its text."""
     keyed = docs.withColumn("document_key", X.stable_hash(F.col("text")))

@@ -205,6 +205,9 @@ ORACLES = {
     "split_leakage": f"WITH {S}, x AS (SELECT source, document_id FROM s GROUP BY ALL HAVING count(DISTINCT {_split(DOC_KEY, 98, 1)}) > 1) SELECT count(*) AS leaking FROM x",
     "docs_top_hash": f"SELECT document_id, sha256({DOC_KEY}) AS rank_key FROM ({DOCS}) ORDER BY 2 LIMIT 50",
     "docs_exact_dedup": "SELECT min(doc_id) AS doc_id, sha256(text) AS document_key FROM documents GROUP BY sha256(text)",
+    "first_documents_stream": "SELECT min(doc_id) AS doc_id, sha256(text) AS document_key FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)",
+    "first_sentences_stream": f"WITH {S} SELECT dedup_key, min(document_id::BIGINT) AS doc_id, arg_min(sentence_index, document_id::BIGINT * 16777216 + sentence_index) AS sentence_index FROM s GROUP BY dedup_key",
+    "shuffle_buffer": f"WITH {S} SELECT document_id, sentence_index FROM s",
     "simhash_md5": f"WITH {MD5} SELECT document_id, fp FROM fp",
     "simhash_bands": f"WITH {MD5} SELECT document_id, 0 AS band, fp & 65535 AS value FROM fp UNION ALL SELECT document_id, 1 AS band, fp >> 16 AS value FROM fp",
     "near_dup_pairs": f"""WITH {MD5}, f AS (SELECT document_id::BIGINT AS seq, fp FROM fp JOIN documents ON doc_id = document_id::BIGINT WHERE length(text) >= 80),

@@ -13,9 +13,10 @@ from lexloom.functions import text as X
 from lexloom.functions import vocabulary as V
 from lexloom.operators import align as A
 from lexloom.operators import compile as C
-from lexloom.operators import decode, dedup, extract, features, gold, infer, near, near_index, sample, score, spans, stats, synth, validate
+from lexloom.operators import decode, dedup, extract, features, gold, infer, near, near_index, sample, score, shuffle, spans, stats, synth, validate
 from lexloom.plans import literals
 from lexloom.sources import readers
+from lexloom.streaming import first_stream
 
 QUOTA, TOP, SHARDS, BATCH, SEED = 100, 50, 7, 64, 1
 #: By level, from a to sentence: characters whose code point this divides end a span of decode_records.
@@ -103,7 +104,7 @@ def docs_top_hash(spark, d):
 
 
 def docs_exact_dedup(spark, d):
-    return dedup.first_copies(documents(spark, d).withColumn("seq", F.col("doc_id"))).where("is_first").select("doc_id", "document_key")
+    return dedup.first_texts(documents(spark, d).withColumn("seq", F.col("doc_id"))).select(F.col("seq").alias("doc_id"), "document_key")
 
 
 def simhash_md5(spark, d):
@@ -245,6 +246,36 @@ def batch_schedule(spark, d):
     return sample.batch_schedule(_batched(spark, d), SEED)
 
 
+def shuffle_buffer(spark, d):
+    """All sentences through the bounded shuffle, in batches: what there is of each batch's rows, whatever its order."""
+    s = sentences(spark, d).select("document_id", "sentence_index")
+    return shuffle.seeded_batches(s, BATCH, 1024, SEED).select("document_id", "sentence_index")
+
+
+def first_documents_stream(spark, d):
+    """The first document of each text by a stream over three ranges of ids, stopped and started again after each."""
+    folder = f"{near.shared_folder(spark)}/first_{uuid.uuid4().hex}"
+    docs = documents(spark, d).select(F.col("doc_id").alias("seq"), "text")
+    last = docs.agg(F.max("seq")).head()[0] or 0
+    for k in range(3):
+        batch = docs.where((F.col("seq") > last * k // 3 if k else F.lit(True)) & (F.col("seq") <= last * (k + 1) // 3))
+        batch.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(batch.schema).parquet(f"{folder}/in")
+        first_stream.written(first_stream.first_documents(stream), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").withColumnRenamed("seq", "doc_id")
+
+
+def first_sentences_stream(spark, d):
+    """The first of each sentence by a stream over documents; place tells its document and its number there."""
+    folder = f"{near.shared_folder(spark)}/sentences_{uuid.uuid4().hex}"
+    documents(spark, d).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(documents(spark, d).schema).parquet(f"{folder}/in")
+    first = first_stream.first_sentences(extract.extract_sentences(stream), F.col("document_id").cast("long"))
+    first_stream.written(first, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    rows = spark.read.parquet(f"{folder}/out")
+    return rows.select("dedup_key", F.shiftright("place", 24).alias("doc_id"), F.col("place").bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("sentence_index"))
+
+
 def padded_codepoints(spark, d):
     """By split and bucket: rows, places after padding, places of text, and the sum of code points over all places."""
     rows = features.bucketed(sentences(spark, d).drop("split")).withColumn("points", F.transform(X.chars(F.col("text")), F.ascii))
@@ -509,7 +540,7 @@ QUERIES = {
     for f in (
         sentences_extract, sentences_dedup, sentences_quota_sample, sentences_quota_shortfall, quota_unknown_sources, docs_split_98_1_1, docs_split_85_10_5, lemma_split_80_10_10, split_counts,
         split_leakage, docs_top_hash, docs_exact_dedup, simhash_md5, simhash_bands, near_dup_pairs, near_dup_pairs64, near_dup_groups, near_dup_scan, near_dup_dispositions, near_dup_batches, build_report, holdout_anti_join, shards_manifest, shards_reconcile, shards_merged,
-        script_distribution, char_class_distribution, script_transitions, codepoint_buckets, bigram_buckets, categorical_features, length_histogram, length_buckets, padded_batches, batch_schedule, padded_codepoints, common_rows, char_ngrams_top,
+        script_distribution, char_class_distribution, script_transitions, codepoint_buckets, bigram_buckets, categorical_features, length_histogram, length_buckets, padded_batches, batch_schedule, shuffle_buffer, first_documents_stream, first_sentences_stream, padded_codepoints, common_rows, char_ngrams_top,
         boundary_f1, atom_f1, atom_macro_f1, role_f1, tree_exact, score_report, inflection_multilabel, function_f1, corpus_stats, endpoint_hierarchy, nested_boundaries, partition_spans, tree_edges,
         teacher_agreement, argmax_decode, softmax_confidence, align_surfaces, map_labels, validate_codes, compile_records, compile_failures, compile_summary, synthetic_paradigms, synthetic_unsupported,
         ud_gold, knp_gold, model_params, infer_seeded, decode_records, target_arrays, web_parquet_scan,

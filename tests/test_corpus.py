@@ -6,6 +6,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,10 +14,10 @@ from lexloom.functions import text as X
 from lexloom.functions import vocabulary as V
 from lexloom.operators import annotate
 from lexloom.operators import compile as C
-from lexloom.operators import dedup, extract, features, infer, near, near_index, sample, score, spans, stats
+from lexloom.operators import dedup, extract, features, infer, near, near_index, sample, score, shuffle, spans, stats
 from lexloom.plans import literals, oracles, queries
 from lexloom.sources import readers, writers
-from lexloom.streaming import compile_stream
+from lexloom.streaming import compile_stream, first_stream, stats_stream
 
 DOC = "source string, document_id string, text string"
 
@@ -253,6 +254,70 @@ def test_gold_against_itself_scores_one(spark):
         score.paired(rec, rec.limit(0), "id").collect()
 
 
+def test_counts_equal_a_count_by_character(spark):
+    """Overlapping spans, gaps, spans beyond the text, unlisted and null labels, repeated endpoints, texts of unequal length."""
+    rng, rows = random.Random(9), []
+    for i in range(300):
+        text = "x" * rng.randrange(0, 12)
+
+        def spans(labels, *more):
+            out = []
+            for _ in range(rng.randrange(0, 5)):
+                a = rng.randrange(0, 12)
+                out.append((a, a + rng.randrange(0, 6), rng.choice(labels), *(m() for m in more)))
+            return out
+
+        def record():
+            own = text + "y" * rng.randrange(0, 2)
+            bounds = tuple([rng.randrange(1, 13) for _ in range(rng.randrange(0, 6))] for _ in V.LEVELS)
+            atoms = spans([*V.ATOM_TYPES, "PARTICLE", "VERB_STEM", "NO_TYPE", None], lambda: rng.choice([*V.PARTICLE_FUNCTIONS, None, "NO_FUNCTION"]), lambda: rng.sample([*V.INFLECTIONS, "NO_FLAG"], rng.randrange(0, 4)))
+            return (own, bounds, atoms, [(0, 1)], spans([*V.BUNSETSU_ROLES, None, "NO_ROLE"]))
+
+        gold = record()
+        rows.append((str(i), gold, gold if rng.random() < 0.2 else record()))
+    rec = f"struct<text:string,boundaries:struct<{','.join(f'{x}:array<int>' for x in V.LEVELS)}>,spans:array<struct<start:int,end:int,atom_type:string,function:string,inflections:array<string>>>,b_spans:array<struct<start:int,end:int>>,bunsetsu:array<struct<start:int,end:int,role:string>>>"
+    pairs = spark.createDataFrame(rows, f"id string, gold {rec}, pred {rec}").repartition(3)
+
+    def last(spans, i, ok=lambda s: True):
+        own = [s for s in spans if s[0] <= i < s[1] and ok(s)]
+        return own[-1] if own else None
+
+    def characters(r, n):
+        for i in range(n):
+            atom, role = last(r[2], i), last(r[4], i)
+            particle = last(r[2], i, lambda s: s[2] == "PARTICLE")
+            inflected = last(r[2], i, lambda s: s[2] in V.INFLECTED)
+            yield (atom and atom[2]) or "OTHER", (role and role[2]) or "UNKNOWN", particle and (particle[3] or "UNKNOWN"), inflected and set(inflected[4])
+
+    want = {(m, label): [0, 0, 0] for m, labels in score.LABELS.items() for label in labels}
+
+    def add(metric, label, e, a):
+        if (metric, label) in want:
+            want[metric, label][0 if e and a else 1 if a else 2] += 1 if e or a else 0
+
+    for _, gold, pred in rows:
+        n = min(len(gold[0]), len(pred[0]))
+        for e, a in zip(characters(gold, n), characters(pred, n), strict=True):
+            for metric, k in (("atom", 0), ("bunsetsu_role", 1), ("particle_function", 2)):
+                if e[k] is not None:
+                    for label in score.LABELS[metric]:
+                        add(metric, label, e[k] == label, a[k] == label)
+            if e[3] is not None:
+                for label in V.INFLECTIONS:
+                    add("inflection", label, label in e[3], label in (a[3] or ()))
+        for k, level in enumerate(V.LEVELS):
+            for x in {*gold[1][k], *pred[1][k]}:
+                add("boundaries", level, x in gold[1][k], x in pred[1][k])
+        add("complete_tree", "exact_match", True, gold[1:] == pred[1:])
+    got = {(r.metric, r.label): [r.tp, r.fp, r.fn] for r in score.counts(pairs).collect()}
+    assert got == want and all(sum(1 for label in labels if sum(want[m, label])) > len(labels) / 2 for m, labels in score.LABELS.items())
+    none = score.counts(pairs.limit(0)).collect()
+    assert len(none) == len(want) and not any(r.tp or r.fp or r.fn for r in none)
+    assert score.tree_exact_match(pairs.limit(0)).head().complete_tree_exact_match == 0.0
+    plan = score.score_corpus(score.paired(pairs.select("id", "gold.*"), pairs.select("id", "pred.*"), "id"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("MapInArrow") == 1
+
+
 def test_targets_and_padding(spark):
     rec = C.records(C.compile_records(literals.raw(spark)))
     r = features.targets(rec).head()
@@ -320,6 +385,86 @@ def test_stream_resumes(spark, tmp_path):
     assert len(reasons) == 9 and "invalid_json" in reasons
 
 
+def test_statistics_in_one_scan_and_as_a_stream(spark, tmp_path):
+    compiled = C.compile_records(literals.raw(spark))
+    good, bad = C.records(compiled).withColumn("n", F.monotonically_increasing_id()), C.failures(compiled).withColumn("n", F.monotonically_increasing_id())
+    whole = sorted(map(tuple, stats.corpus_stats(good, bad).collect()))
+    assert ("sentence_length", "9", 1) in whole and any(m == "drop_reason" for m, _, _ in whole)
+    good.write.parquet(str(tmp_path / "once"))
+    plan = stats.corpus_stats(spark.read.parquet(str(tmp_path / "once")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan
+    assert sorted(map(tuple, stats.merged(stats.corpus_stats(good), stats.corpus_stats(good.limit(0)), stats.corpus_stats(good.limit(0), bad)).collect())) == whole
+    again = good.unionByName(good)
+    folder = {x: str(tmp_path / x) for x in ("good", "bad", "out", "checkpoint")}
+    for k in range(2):  # two batches, a restart between them
+        good.write.mode("append").parquet(folder["good"])
+        (bad if k else bad.limit(0)).write.mode("append").parquet(folder["bad"])
+        records, failures = (spark.readStream.schema(df.schema).parquet(folder[x]) for x, df in (("good", good), ("bad", bad)))
+        stats_stream.stats_stream(records, failures, folder["out"], folder["checkpoint"]).awaitTermination()
+    assert sorted(map(tuple, stats_stream.latest(spark, folder["out"]).select("metric", "key", "count").collect())) == sorted(map(tuple, stats.corpus_stats(again, bad).collect()))
+
+
+def test_first_writers_in_batches_with_restarts(spark, tmp_path):
+    """Three batches, the stream stopped and started after each; firsts of earlier batches stay, whatever comes later."""
+    rng = random.Random(2)
+    rows = [(i, f"text {rng.randrange(40)}" if i % 9 else None) for i in range(200)]
+    want = {}
+    for i, t in rows:
+        if t is not None:
+            want.setdefault(hashlib.sha256(t.encode()).hexdigest(), i)
+    folder = {x: str(tmp_path / x) for x in ("in", "out", "checkpoint")}
+    sizes = []
+    for k in range(3):
+        spark.createDataFrame(rows[k * 70 : (k + 1) * 70], "seq long, text string").repartition(2).write.mode("append").parquet(folder["in"])
+        docs = spark.readStream.schema("seq long, text string").parquet(folder["in"])
+        first_stream.written(first_stream.first_documents(docs), folder["out"], folder["checkpoint"]).awaitTermination()
+        sizes.append(spark.read.parquet(folder["out"]).count())
+    got = {r.document_key: r.seq for r in spark.read.parquet(folder["out"]).collect()}
+    assert got == want and sizes[-1] == len(want) and sizes[0] < sizes[1] <= sizes[2]
+    first_stream.written(first_stream.first_documents(docs), folder["out"], folder["checkpoint"]).awaitTermination()  # nothing new
+    assert spark.read.parquet(folder["out"]).count() == len(want)
+
+
+def brute_buffer(n, slots, seed, epoch, part):
+    buffer, out = [], []
+    for i in range(n):
+        if len(buffer) < slots:
+            buffer.append(i)
+        else:
+            at = int(shuffle.slots_of(np.array([i]), slots, seed, epoch, part)[0])
+            out.append(buffer[at])
+            buffer[at] = i
+    keys = shuffle.slots_of(np.arange(n, n + len(buffer)), 1 << 62, seed, epoch, part)
+    return out + [x for _, x in sorted(zip(keys.tolist(), buffer, strict=True))]
+
+
+@pytest.mark.parametrize(("n", "slots", "sizes"), [(0, 3, [1]), (5, 8, [2]), (500, 1, [7, 60]), (500, 16, [1, 3, 200]), (500, 16, [500]), (300, 300, [40])])
+def test_slot_buffer_equals_a_loop(n, slots, sizes):
+    buffer, out, at, k = shuffle.SlotBuffer(slots, 7, 2, 1), [], 0, 0
+    while at < n:
+        to = min(n, at + sizes[k % len(sizes)])
+        out += buffer.push(pa.table({"x": list(range(at, to))}))["x"].to_pylist()
+        assert buffer.held.num_rows <= slots
+        at, k = to, k + 1
+    left = buffer.drain()
+    out += left["x"].to_pylist() if left is not None else []
+    assert out == brute_buffer(n, slots, 7, 2, 1) and sorted(out) == list(range(n))
+
+
+def test_bounded_shuffle(spark):
+    rows = spark.range(0, 5000, numPartitions=3).select("id", F.lit("x").alias("part"))
+    order = lambda **by: [r.id for r in shuffle.buffered(rows, 64, **by).orderBy("part", "place").collect()]
+    a = order(seed=1)
+    assert a == order(seed=1) and sorted(a) == list(range(5000)) and a != sorted(a)
+    assert len({tuple(order(seed=s, epoch=e)) for s in (1, 2) for e in (0, 1)}) == 4
+    batches = shuffle.seeded_batches(rows, 100, 64, 1).groupBy("part", "batch").count().collect()
+    assert sorted(r["count"] for r in batches) == sorted([100] * 48 + [66, 67, 67])
+    assert "Exchange" not in shuffle.buffered(rows)._jdf.queryExecution().executedPlan().toString()
+    assert shuffle.buffered(rows.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        shuffle.SlotBuffer(0, 1, 1, 1)
+
+
 def test_every_oracle_has_a_query():
     assert set(oracles.ORACLES) <= set(queries.QUERIES)
 
