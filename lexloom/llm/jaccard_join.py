@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import NOT_SPACE, Words, array_sums, checkpointed, hashes, lists, mix, pieces, ragged, table, tidy
@@ -31,6 +31,8 @@ SHINGLE, PERCENT = 4, 85
 COUNTERS, FREQUENT, MOST_FREQUENT, CELLS, CELL_PART, HOT = 1 << 16, 4, 1 << 18, 1 << 18, 1 << 12, 8
 #: Ids up to which a list of documents is broadcast (8 bytes each); beyond, it is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Ratio of the sizes in one bin.
+BIN = 1.02
 #: Seeds of the random orders.
 ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
@@ -224,6 +226,31 @@ def _bounds(pos_a: str, n_a: str, pos_b: str, n_b: str):
     return close & ((100 + PERCENT) * left >= PERCENT * (F.col(n_a) + F.col(n_b)))
 
 
+def _bin(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / float(np.log(BIN)))
+
+
+def _apart(mixed: DataFrame) -> DataFrame:
+    """(a, b): documents of a token, not connected yet, that may still link; mixed: (token, doc_id, n, pos, component, main).
+
+    Of two linked sets the smaller has its first shared token earlier, for half of both sizes is at least its own size;
+    and where the larger has it says how large the smaller is at most. So the smaller set's rows meet at the token and
+    a bin of its size, and the larger set's go to the bins they leave room for; rows whose token comes too late for either
+    meet no one. Boilerplate comes late in all documents that have much of their own.
+    """
+    left = 100 * F.col("n") + PERCENT * F.col("n") - (100 + PERCENT) * F.col("pos")  # (100 + PERCENT) * (n - pos)
+    lowest, highest = F.ceil(PERCENT * F.col("n") / 100), F.least(F.col("n"), F.floor((left - PERCENT * F.col("n")) / PERCENT))
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "pos", "component")]
+    small = mixed.where(left >= 2 * PERCENT * F.col("n")).select("token", _bin(F.col("n")).alias("bin"), *side("a"), (F.col("component") == F.col("main")).alias("in_main"))
+    large = mixed.where(highest >= lowest).select("token", F.explode(F.sequence(_bin(lowest), _bin(highest))).alias("bin"), *side("b"), (F.col("component") == F.col("main")).alias("in_main"))
+    # at least one of two lies outside the token's largest component
+    pairs = small.where("not in_main").drop("in_main").join(large.drop("in_main"), ["token", "bin"])
+    pairs = pairs.unionByName(small.where("in_main").drop("in_main").join(large.where("not in_main").drop("in_main"), ["token", "bin"]))
+    first = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_id_a") < F.col("doc_id_b")))
+    near = first & (F.col("component_a") != F.col("component_b")) & _bounds("pos_a", "n_a", "pos_b", "n_b")
+    return pairs.where(near).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+
+
 def _frequent(seen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Frequent tokens, ascending, their counts, and what each cell has over the mean (0 where that may be chance).
 
@@ -289,11 +316,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     by = placed.groupBy("token", "component").agg(F.count("*").alias("of"))
     main = by.groupBy("token").agg(F.max(F.struct("of", "component")).alias("main"), F.count("*").alias("components")).where("components > 1")
     mixed = checkpointed(placed.join(main.select("token", F.col("main.component").alias("main")), "token"))
-    other = mixed.where("component <> main").select("token", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("component").alias("component_a"))
-    whole = mixed.select("token", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("component").alias("component_b"), "main")
-    apart = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main")) | (F.col("a") < F.col("b")))
-    second = other.join(whole, "token").where(apart & _bounds("pos_a", "n_a", "pos_b", "n_b")).select("a", "b").distinct()
-    links = links.union(_linked(second, known_ids))
+    links = links.union(_linked(_apart(mixed), known_ids))
 
     # copies of one id with different texts hold together through the id
     doubles = ided.join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.llm import decontaminate, jaccard_join, line_dedup, prefix_forest, quality, source_mix, token_planes, toxicity, url_filter
 from lexloom.llm import queries as llm
@@ -138,6 +139,36 @@ def test_rows_are_judged_by_their_own_text(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((r[0] is None, r[0] or 0, r[1] or "") for r in rows if "idiot" not in (r[1] or ""))
 
 
+def test_templates_link_as_brute_force_says(spark):
+    """Documents of one template, whose own parts and sizes differ: many are just below, at or above the threshold."""
+    rng = random.Random(8)
+    template, other = [f"w{k}" for k in range(70)], [f"v{k}" for k in range(40)]
+    texts = []
+    for k in range(260):
+        own = [f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(0, 16))]
+        base = (template if k % 4 else other)[rng.randrange(0, 4) : rng.choice([None, -2, -7])]
+        at = rng.randrange(len(base) + 1)
+        texts.append(" ".join([*base, *own] if k % 3 else [*base[:at], *own, *base[at:]]))
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in map(str.split, texts)]
+    near = {i: [j for j in range(len(sets)) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])] for i in range(len(sets))}
+    at = list(range(len(sets)))
+    while (new := [min(at[j] for j in near[i]) for i in range(len(at))]) != at:
+        at = new
+    got = jaccard_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(i, len(s), at[i]) for i, s in enumerate(sets)]
+    assert 20 < len(set(at)) < 250
+
+
+def test_pairs_of_templates_are_not_listed(spark):
+    """Two thousand documents that share most of their text, none of which link, give no pair at any token."""
+    rows = [(k % 7, 100 * t + k, 197, 23 + k % 7, 100 * t + k, 0) for t in range(20) for k in range(100)]
+    mixed = spark.createDataFrame(rows, "token long, doc_id long, n long, pos long, component long, main long")
+    plan = jaccard_join._apart(mixed)
+    assert plan.count() == 0
+    near = mixed.withColumn("pos", F.when(F.col("doc_id") < 4, 3).otherwise(F.col("pos")))
+    assert {(r.a, r.b) for r in jaccard_join._apart(near.withColumn("token", F.lit(1))).collect()} == {(a, b) for a in range(4) for b in range(4) if a < b}
+
+
 def test_boilerplate_of_every_document_comes_last():
     """A shingle spread one a document counts as frequent by its cell, so it leaves the prefixes."""
     rng = np.random.default_rng(7)
