@@ -9,7 +9,17 @@ from lexloom.functions import text as X
 
 
 def _quoted(x: Column) -> Column:
-    return F.coalesce(F.concat(F.lit("'"), x, F.lit("'")), F.lit("None"))
+    """The surface as Python shows a string: quoted (in double quotes if it holds a single one alone), with escapes for
+    backslashes, the quote, and what cannot be printed; None of a null."""
+    quote = F.when(F.contains(x, F.lit("'")) & ~F.contains(x, F.lit('"')), '"').otherwise("'")
+
+    def shown(c: Column) -> Column:
+        point, digits = F.ascii(c), F.lower(F.hex(F.ascii(c)))
+        escaped = F.when(point < 0x100, F.concat(F.lit("\\x"), F.lpad(digits, 2, "0"))).when(point < 0x10000, F.concat(F.lit("\\u"), F.lpad(digits, 4, "0"))).otherwise(F.concat(F.lit("\\U"), F.lpad(digits, 8, "0")))
+        named = F.when(c == "\\", "\\\\").when(c == "\n", "\\n").when(c == "\r", "\\r").when(c == "\t", "\\t").when(c == quote, F.concat(F.lit("\\"), c))
+        return named.when(c == " ", c).when(c.rlike("^[\\p{C}\\p{Z}]"), escaped).otherwise(c)
+
+    return F.coalesce(F.concat(quote, F.array_join(F.transform(X.chars(x), shown), ""), quote), F.lit("None"))
 
 
 def align(text: Column, tokens: Column, teacher: str, offsets: bool = True) -> Column:

@@ -1,4 +1,4 @@
-"""Analysers from outside (morphological teachers and the like) over rows of text."""
+"""Analysers from outside (morphological teachers and the like) over rows of text, a batch of texts at a time."""
 
 from __future__ import annotations
 
@@ -8,29 +8,55 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+#: Texts that an analyser is given at once.
+BATCH = 64
 
-def annotated(rows: DataFrame, load: Callable[[], Callable[[str], dict]], record: T.StructType) -> DataFrame:
+Analyser = Callable[[list[str]], list[dict]]
+
+
+def each(analyse: Callable[[str], dict]) -> Analyser:
+    """An analyser of batches that takes one text after another."""
+    return lambda texts: [analyse(t) for t in texts]
+
+
+def told(analyse: Analyser, texts: list[str]) -> list[tuple[dict | None, str | None]]:
+    """A record or an error for each text. A batch that fails is halved until the texts that fail are alone."""
+    if not texts:
+        return []
+    try:
+        found = list(analyse(texts))
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} records for {len(texts)} texts")
+        return [(r, None) for r in found]
+    except Exception as e:  # whatever an analyser raises is a failure of some row
+        if len(texts) == 1:
+            return [(None, f"{type(e).__name__}: {e}")]
+    half = len(texts) // 2
+    return told(analyse, texts[:half]) + told(analyse, texts[half:])
+
+
+def annotated(rows: DataFrame, load: Callable[[], Analyser], record: T.StructType, batch: int = BATCH) -> DataFrame:
     """rows (text and others) with `record`, what the analyser makes of the text, or `error`, why it made nothing.
 
-    load() makes the analyser, once a task. An analyser that raises loses its row's record only; null texts are errors.
+    load() makes the analyser, once a task; it is given up to `batch` texts at once. Texts on which it raises lose their
+    own record only; null texts are errors. Columns named record and error are replaced.
     """
-    schema = T.StructType([*rows.schema.fields, T.StructField("record", record), T.StructField("error", T.StringType())])
-
-    def one(analyse: Callable[[str], dict], text: str | None) -> tuple[dict | None, str | None]:
-        if text is None:
-            return None, "no text"
-        try:
-            return analyse(text), None
-        except Exception as e:  # whatever an analyser raises is a failure of that row
-            return None, f"{type(e).__name__}: {e}"
+    own = [f for f in rows.schema.fields if f.name not in ("record", "error")]
+    schema = T.StructType([*own, T.StructField("record", record), T.StructField("error", T.StringType())])
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         analyse = load()
-        for batch in batches:
-            found = [one(analyse, text) for text in batch["text"]]
-            yield batch.assign(record=pd.Series([r for r, _ in found], batch.index, object), error=pd.Series([e for _, e in found], batch.index, object))
+        for frame in frames:
+            texts = frame["text"]
+            there = texts[texts.notna()]
+            found = {}
+            for at in range(0, len(there), batch):
+                part = there.iloc[at : at + batch]
+                found |= dict(zip(part.index, told(analyse, part.tolist()), strict=True))
+            out = [found.get(i, (None, "no text")) for i in frame.index]
+            yield frame.assign(record=pd.Series([r for r, _ in out], frame.index, object), error=pd.Series([e for _, e in out], frame.index, object))
 
-    return rows.mapInPandas(run, schema)
+    return rows.select(*[f"`{f.name}`" for f in own]).mapInPandas(run, schema)
 
 
 def successes(rows: DataFrame, *key: str) -> DataFrame:

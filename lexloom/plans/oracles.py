@@ -172,6 +172,56 @@ r AS (SELECT metric, label, tp, fp, fn, precision, recall, f1 FROM f
 SELECT metric, label, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM r"""
 
 
+def _systems() -> str:
+    """Two surrogate analysers and both combined against coded records, on the sentences that both handle."""
+    moduli = {"a": [2, 5, 11, 31, 101], "b": [5, 11, 31, 101], "bunsetsu": [11, 31, 101], "clause": [31, 101], "sentence": [101]}
+    ends = ", ".join(f"list_filter(range(1, n + 1), lambda i: i = n OR {' OR '.join(f'g[i] % {k} = 0' for k in own)}) AS g_{level}" for level, own in moduli.items())
+    name = lambda words, at: "[" + ", ".join(f"'{w}'" for w in words) + f"][{at}]"
+    flags = "list_filter([" + ", ".join(f"CASE WHEN g_at % {k + 2} = 0 THEN '{w}' END" for k, w in enumerate(V.INFLECTIONS)) + "], lambda f: f IS NOT NULL)"
+    inflected = "(" + ", ".join(f"'{x}'" for x in V.INFLECTED) + ")"
+    summed = lambda of: f"list_transform(range(1, len({of}) + 1), lambda i: list_sum(list_transform({of}[1:i], lambda x: length(x)))::BIGINT)"
+    hit = "count(*) FILTER (e = label AND a = label) AS tp, count(*) FILTER (e IS NOT NULL AND e <> label AND a = label) AS fp, count(*) FILTER (e = label AND (a IS NULL OR a <> label)) AS fn"
+    one = lambda system, metric, names, e, a: f"SELECT '{system}' AS system, '{metric}' AS metric, label, {hit} FROM {_names(names)} LEFT JOIN (SELECT {e} AS e, {a} AS a FROM l) ON e = label OR a = label GROUP BY label"
+    parts = []
+    for system in ("tokens", "combined"):
+        parts += [one(system, "atom", V.ATOM_TYPES, "g_atom", "t_atom"), one(system, "particle_function", V.PARTICLE_FUNCTIONS, "g_function", "t_function")]
+        parts.append(
+            f"SELECT '{system}', 'inflection', label, count(*) FILTER (list_contains(g_flags, label) AND list_contains(t_flags, label)), count(*) FILTER (NOT list_contains(g_flags, label) AND list_contains(t_flags, label)),"
+            f" count(*) FILTER (list_contains(g_flags, label) AND NOT list_contains(t_flags, label)) FROM {_names(V.INFLECTIONS)} LEFT JOIN l ON g_flags IS NOT NULL GROUP BY label"
+        )
+    parts += [one(system, "bunsetsu_role", V.BUNSETSU_ROLES, "g_role", "c_role") for system in ("chunks", "combined")]
+    levels = {("tokens", "a"): "te", ("tokens", "b"): "be", ("chunks", "bunsetsu"): "ce", ("combined", "a"): "te", ("combined", "b"): "be", ("combined", "bunsetsu"): "ce", ("combined", "clause"): "[n]", ("combined", "sentence"): "[n]"}
+    bounds = " UNION ALL ".join(f"SELECT '{system}' AS system, '{level}' AS label, g_{level} AS g, {own} AS p FROM c" for (system, level), own in levels.items())
+    return f"""{_CHUNKS},
+c0 AS (SELECT *, list_transform(range(1, n + 1), lambda i: unicode(substr(text, i::INT, 1))) AS g, regexp_extract_all(text, '[A-Za-z]+|[0-9]+| +|[^A-Za-z0-9 ]') AS t, regexp_extract_all(text, '[^ ]+ *| +') AS bt FROM h WHERE n % 11 <> 0),
+c AS (SELECT *, {ends}, {summed("t")} AS te, {summed("bt")} AS be, after_ AS ce FROM c0),
+i AS (SELECT *, unnest(range(1, n + 1)) AS spot FROM c),
+k AS (SELECT g[list_filter(g_a, lambda x: x >= spot)[1]] AS g_at, g[list_filter(g_bunsetsu, lambda x: x >= spot)[1]] AS g_c, t[len(list_filter(te, lambda x: x < spot)) + 1] AS w, chunk[len(list_filter(ce, lambda x: x < spot)) + 1] AS ch FROM i),
+k2 AS (SELECT *, {name(V.ATOM_TYPES, "g_at % 12 + 1")} AS g_atom, {name(V.BUNSETSU_ROLES, "g_c % 9 + 1")} AS g_role,
+  CASE WHEN w[1] = ' ' THEN 'OTHER' WHEN regexp_matches(w, '^[0-9]') THEN 'NUMBER' WHEN NOT regexp_matches(w, '^[A-Za-z]') THEN 'PUNCT_SYMBOL' WHEN length(w) <= 2 THEN 'PARTICLE' WHEN length(w) % 5 = 0 THEN 'VERB_STEM' ELSE 'NOUN_LIKE' END AS t_atom,
+  CASE WHEN length(ch) % 4 = 0 THEN 'TOPIC' WHEN ch[-1] = '.' THEN 'PREDICATE' WHEN ch[-1] = ',' THEN 'CASED_NOMINAL' ELSE 'MODIFIER' END AS c_role FROM k),
+l AS (SELECT *, CASE WHEN g_atom = 'PARTICLE' THEN {name(V.PARTICLE_FUNCTIONS, "(g_at // 3) % 12 + 1")} END AS g_function, CASE WHEN t_atom = 'PARTICLE' THEN 'TOPIC' END AS t_function,
+  CASE WHEN g_atom IN {inflected} THEN {flags} END AS g_flags, CASE WHEN t_atom = 'VERB_STEM' THEN ['PAST'] ELSE [] END AS t_flags FROM k2),
+b AS ({bounds}),
+m AS ({" UNION ALL ".join(parts)}
+ UNION ALL SELECT system, 'boundaries', label, sum(len(list_intersect(g, p)))::BIGINT, sum(len(p) - len(list_intersect(g, p)))::BIGINT, sum(len(g) - len(list_intersect(g, p)))::BIGINT FROM b GROUP BY system, label),
+t0 AS (SELECT system, metric, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM m WHERE metric IN ('atom', 'inflection') GROUP BY system, metric),
+q AS (SELECT *, 'micro' AS label FROM t0 UNION ALL BY NAME SELECT * FROM m),
+r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM q),
+f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM r),
+o AS (SELECT system, metric, label, tp, fp, fn, precision, recall, f1 FROM f
+ UNION ALL SELECT system, metric, 'macro', 0, 0, 0, 0.0, 0.0, coalesce(avg(f1) FILTER (tp + fp + fn > 0), 0.0) FROM f WHERE metric <> 'boundaries' AND label <> 'micro' GROUP BY system, metric)
+SELECT system, metric, label, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM o"""
+
+
+#: CTE h: of sentences with chunks the chunks, and their ends with white space joined to the one before or after.
+_CHUNKS = f"""WITH {S}, h0 AS (SELECT document_id || '#' || sentence_index AS id, text, length(text) AS n, regexp_extract_all(text, '[^,.;:!?]+[,.;:!?]*|[,.;:!?]+') AS p FROM s WHERE length(text) % 13 <> 0),
+h1 AS (SELECT *, list_transform(range(1, len(p) + 1), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x)))::BIGINT) AS pe FROM h0),
+h2 AS (SELECT *, list_filter(list_transform(range(1, len(p) + 1), lambda i: {{'own': trim(p[i], ' '), 'start': pe[i] - length(ltrim(p[i], ' ')), 'stop': pe[i] - (length(p[i]) - length(rtrim(p[i], ' ')))}}), lambda x: x.own <> '') AS x FROM h1),
+h AS (SELECT id, text, n, list_transform(x, lambda y: y.own) AS chunk, list_transform(range(1, len(x) + 1), lambda i: CASE WHEN i = len(x) THEN n ELSE x[i].stop END) AS after_,
+  list_transform(range(1, len(x) + 1), lambda i: CASE WHEN i = len(x) THEN n ELSE x[i + 1].start END) AS before_ FROM h2 WHERE len(x) > 0)"""
+
+
 def _coded_f1(metric: str) -> str:
     return f"WITH {_coded_pairs()} SELECT label, tp, fp, fn, round(f1, 9) AS f1 FROM f WHERE metric = '{metric}'"
 
@@ -333,5 +383,7 @@ ORACLES = {
     "function_f1": _coded_f1("particle_function"),
     "inflection_multilabel": _coded_f1("inflection"),
     "score_report": _score_report(),
+    "teacher_systems": _systems(),
+    "teacher_chunks": f"{_CHUNKS} SELECT id, array_to_string(before_, ',') AS before, array_to_string(after_, ',') AS after FROM h",
     "target_arrays": _values(["document_id", "atom", "function", "role"], [("good", "0,0,5,0,0,5,2,6,10", "11,11,0,11,11,2,11,11,11", "0,0,0,1,1,1,2,2,6")]),
 }

@@ -13,8 +13,8 @@ from lexloom.functions import text as X
 from lexloom.functions import vocabulary as V
 from lexloom.operators import align as A
 from lexloom.operators import compile as C
-from lexloom.operators import decode, dedup, extract, features, gold, infer, near, near_index, sample, score, shuffle, spans, stats, synth, validate
-from lexloom.plans import literals
+from lexloom.operators import annotate, decode, dedup, extract, features, gold, infer, near, near_index, sample, score, shuffle, spans, stats, synth, systems, validate
+from lexloom.plans import literals, surrogates
 from lexloom.sources import readers
 from lexloom.streaming import first_stream
 
@@ -372,11 +372,41 @@ def _coded(s: DataFrame, cp: Column) -> DataFrame:
 def _coded_pairs(spark, d):
     """Coded records of all sentences, and what they would be if code points that 3 divides were one more."""
     s = near.checkpointed(sentences(spark, d).select(F.concat("document_id", F.lit("#"), F.col("sentence_index").cast("string")).alias("id"), "text"))
-    points = F.transform(X.chars(F.col("text")), F.ascii)
+    points = _points()
     off = F.transform(points, lambda c: F.when(c % 3 == 0, c + 1).otherwise(c))
     return score.paired(_coded(s, points), _coded(s, off), "id")
 
 
+def _points() -> Column:
+    return F.transform(X.chars(F.col("text")), F.ascii)
+
+
+def _analysed(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All sentences (id, text) as coded gold, and what the two surrogate analysers predict (white space to the next chunk)."""
+    s = near.checkpointed(sentences(spark, d).select(F.concat("document_id", F.lit("#"), F.col("sentence_index").cast("string")).alias("id"), "text"))
+    told = lambda load, schema: annotate.annotated(s, load, spark.createDataFrame([], schema).schema)
+    tokens = near.checkpointed(told(surrogates.token_analyser, systems.TOKENS).where("error is null").select("id", "text", "record.*"))
+    chunks = near.checkpointed(told(surrogates.chunk_analyser, systems.CHUNKS).where("error is null").select("id", "text", "record.*"))
+    return _coded(s, _points()), systems.token_predictions(tokens, "id")[0], systems.chunk_predictions(chunks, "id")[0]
+
+
+def teacher_systems(spark, d):
+    """Scores of the analysers of tokens, of chunks and of both combined, on the sentences that both handle."""
+    gold, tokens, chunks = _analysed(spark, d)
+    told = systems.compared(*[near.checkpointed(x) for x in (gold, tokens, chunks)], "id").where("metric <> 'complete_tree'")
+    told = told.fillna(0, ["tp", "fp", "fn"]).fillna(0.0, ["precision", "recall"])
+    return told.select("system", "metric", "label", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def teacher_chunks(spark, d):
+    """Chunk ends with white space joined to the chunk before, and to the one after, of all sentences that have chunks."""
+    s = sentences(spark, d).select(F.concat("document_id", F.lit("#"), F.col("sentence_index").cast("string")).alias("id"), "text")
+    rows = annotate.annotated(s, surrogates.chunk_analyser, spark.createDataFrame([], systems.CHUNKS).schema).where("error is null").select("id", "text", "record.*")
+    rows = near.checkpointed(rows)
+    ends = lambda to_next, name: systems.chunk_predictions(rows, "id", to_next)[0].select("id", _shown(F.transform("boundaries.bunsetsu", lambda x: x.cast("string"))).alias(name))
+    return ends(False, "before").join(ends(True, "after"), "id")
+
+
 def score_report(spark, d):
     told = score.score_corpus(_coded_pairs(spark, d)).fillna(0, ["tp", "fp", "fn"]).fillna(0.0, ["precision", "recall"])
     return told.select("metric", "label", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
@@ -541,7 +571,7 @@ QUERIES = {
         sentences_extract, sentences_dedup, sentences_quota_sample, sentences_quota_shortfall, quota_unknown_sources, docs_split_98_1_1, docs_split_85_10_5, lemma_split_80_10_10, split_counts,
         split_leakage, docs_top_hash, docs_exact_dedup, simhash_md5, simhash_bands, near_dup_pairs, near_dup_pairs64, near_dup_groups, near_dup_scan, near_dup_dispositions, near_dup_batches, build_report, holdout_anti_join, shards_manifest, shards_reconcile, shards_merged,
         script_distribution, char_class_distribution, script_transitions, codepoint_buckets, bigram_buckets, categorical_features, length_histogram, length_buckets, padded_batches, batch_schedule, shuffle_buffer, first_documents_stream, first_sentences_stream, padded_codepoints, common_rows, char_ngrams_top,
-        boundary_f1, atom_f1, atom_macro_f1, role_f1, tree_exact, score_report, inflection_multilabel, function_f1, corpus_stats, endpoint_hierarchy, nested_boundaries, partition_spans, tree_edges,
+        boundary_f1, atom_f1, atom_macro_f1, role_f1, tree_exact, score_report, teacher_systems, teacher_chunks, inflection_multilabel, function_f1, corpus_stats, endpoint_hierarchy, nested_boundaries, partition_spans, tree_edges,
         teacher_agreement, argmax_decode, softmax_confidence, align_surfaces, map_labels, validate_codes, compile_records, compile_failures, compile_summary, synthetic_paradigms, synthetic_unsupported,
         ud_gold, knp_gold, model_params, infer_seeded, decode_records, target_arrays, web_parquet_scan,
     )

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
 from lexloom.functions import vocabulary as V
-from lexloom.operators import annotate
+from lexloom.operators import align, annotate
 from lexloom.operators import compile as C
-from lexloom.operators import dedup, extract, features, infer, near, near_index, sample, score, shuffle, spans, stats
+from lexloom.operators import dedup, extract, features, infer, near, near_index, sample, score, shuffle, spans, stats, systems
 from lexloom.plans import literals, oracles, queries
 from lexloom.sources import readers, writers
 from lexloom.streaming import compile_stream, first_stream, stats_stream
@@ -565,7 +565,7 @@ def test_annotations_and_common_rows(spark):
                 raise ValueError("no x")
             return {"words": text.split(), "n": len(text)}
 
-        return analyse
+        return annotate.each(analyse)
 
     rows = spark.createDataFrame([(1, "a b"), (2, "x"), (3, None), (4, "")], "id long, text string")
     out = annotate.annotated(rows, load, spark.createDataFrame([], "words array<string>, n long").schema)
@@ -575,6 +575,53 @@ def test_annotations_and_common_rows(spark):
     assert [[r.id for r in b.collect()] for b in both.values()] == [[1], [1]]
 
 
+def test_a_failing_batch_is_halved():
+    calls = []
+
+    def analyse(texts):
+        calls.append(len(texts))
+        if any(t.startswith("bad") for t in texts):
+            raise RuntimeError("a bad text")
+        return [{"t": t} for t in texts]
+
+    texts = [f"good {k}" for k in range(64)]
+    assert annotate.told(analyse, texts) == [({"t": t}, None) for t in texts] and calls == [64]
+    texts[5] = texts[40] = "bad"
+    calls.clear()
+    out = annotate.told(analyse, texts)
+    assert [i for i, (r, _) in enumerate(out) if r is None] == [5, 40] and out[5][1] == "RuntimeError: a bad text" and out[6] == ({"t": "good 6"}, None)
+    assert calls[0] == 64 and len(calls) == 1 + 2 + 2 * 2 * 5
+    assert annotate.told(lambda t: t[:1], ["a", "b"]) == [("a", None), ("b", None)] and annotate.told(analyse, []) == []
+
+
+def test_surfaces_are_shown_as_python_does(spark):
+    texts = ["a", "it's", 'a "b"', "both ' and \"", "back\\slash", "tab\tline\nreturn\r", "\x01\x7f\x85\xa0\xad", "\u3000\u200b\u2028", "𝄞\U000e0001", "é漢", " ", ""]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string").select("i", align._quoted(F.col("t")).alias("shown")).orderBy("i").collect()
+    assert [r.shown for r in got] == [repr(t) for t in [*texts, None]]
+
+
+def test_predictions_of_systems(spark):
+    token = lambda s, start=None, end=None, pos=("名詞",): (s, start, end, list(pos), s, "", {})
+    a = [token("ab"), token("", 2, 2), token(" "), token("が", pos=("助詞", "格助詞"))]
+    rows = [("1", "ab が", a, [token("ab "), token("が")]), ("2", "abc", [token("ab")], [token("abc")]), ("3", "abc", [token("abc")], [token("abd")]), ("4", "abc", None, [token("abc")])]
+    good, bad = systems.token_predictions(spark.createDataFrame(rows, "id string, text string, " + systems.TOKENS), "id")
+    r = good.collect()
+    assert len(r) == 1 and r[0].boundaries.asDict() == {"a": [2, 3, 4], "b": [3, 4], "bunsetsu": [4], "clause": [4], "sentence": [4]}
+    assert [(s.start, s.end, s.atom_type, s.function) for s in r[0].spans] == [(0, 2, "NOUN_LIKE", None), (2, 3, "NOUN_LIKE", None), (3, 4, "PARTICLE", "SUBJECT_CASE")]
+    assert {r.id: r.error for r in bad.collect()} == {"2": "a teacher_does_not_cover_text covered 2/3 codepoints", "3": "b surface_mismatch at raw offset 0: 'abd'", "4": "no tokens"}
+
+    c = lambda start, end, dependency="obj", topic=False, predicate=False: (start, end, dependency, topic, predicate)
+    rows = [
+        ("1", " ab  cd ", [c(1, 3, topic=True), c(5, 7, "ROOT")]), ("2", "abcd", [c(0, 2), c(3, 4)]), ("3", "ab", []), ("4", "ab", None), ("5", "abcd", [c(0, 3)]), ("6", "abcd", [c(0, 3), c(2, 4)]), ("7", "ab", [c(0, 3)]),
+    ]
+    df = spark.createDataFrame(rows, "id string, text string, " + systems.CHUNKS)
+    for to_next, want in ((True, [(0, 3), (3, 8)]), (False, [(0, 5), (5, 8)])):
+        good, bad = systems.chunk_predictions(df, "id", to_next)
+        r = good.collect()
+        assert len(r) == 1 and [(x.start, x.end) for x in r[0].bunsetsu] == want and [x.role for x in r[0].bunsetsu] == ["TOPIC", "PREDICATE"] and r[0].boundaries.bunsetsu == [e for _, e in want]
+        assert {r.id: r.error for r in bad.collect()} == {"2": "text not covered at 2", "3": "no chunks", "4": "no chunks", "5": "text not covered at 3", "6": "text not covered at 3", "7": "text not covered at 0"}
+
+
 def test_report_has_quotas(spark):
     docs = spark.createDataFrame([("a", "1", "t", "kept")], "source string, document_id string, text string, disposition string")
     s = spark.createDataFrame([("a",), ("a",)], "source string")
