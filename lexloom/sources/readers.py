@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexloom.sources.record_source import records
+
 OPTIONAL = ["url", "dump", "date", "file_path", "language", "language_score", "language_script"]
 WIKI = "id string, text string, title string, url string, revid string, _bad string"
 
@@ -54,7 +56,8 @@ def conllu_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def conllu(spark: SparkSession, path: str) -> DataFrame:
-    return conllu_blocks(spark.read.option("lineSep", "\n\n").text(path))
+    """Sentences of CoNLL-U files, LF or CRLF, read in byte ranges."""
+    return conllu_blocks(records(spark, path, "blank"))
 
 
 def knp_blocks(blocks: DataFrame) -> DataFrame:
@@ -72,8 +75,7 @@ def knp_blocks(blocks: DataFrame) -> DataFrame:
 
 def knp(spark: SparkSession, path: str, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Sentences of a directory of KNP files named by document; with ids (document_id), only those, and the ids missing."""
-    blocks = spark.read.option("lineSep", "EOS\n").option("recursiveFileLookup", "true").text(path)
-    blocks = blocks.withColumn("document_id", F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]*$", 1))
+    blocks = records(spark, path, "eos").withColumn("document_id", F.regexp_extract("file", r"([^/]+)\.[^./]*$", 1))
     if ids is None:
         return knp_blocks(blocks), None
     return knp_blocks(blocks.join(ids.select("document_id"), "document_id", "left_semi")), ids.join(blocks.select("document_id").distinct(), "document_id", "left_anti")

@@ -16,7 +16,7 @@ from lexloom.operators import align, annotate
 from lexloom.operators import compile as C
 from lexloom.operators import dedup, extract, features, infer, near, near_index, sample, score, shuffle, spans, stats, systems
 from lexloom.plans import literals, oracles, queries
-from lexloom.sources import readers, writers
+from lexloom.sources import readers, record_source, writers
 from lexloom.streaming import compile_stream, first_stream, stats_stream
 
 DOC = "source string, document_id string, text string"
@@ -372,6 +372,49 @@ def test_readers(spark, tmp_path):
     assert found.count() == 2 and [r[0] for r in missing.collect()] == ["e"]
 
 
+@pytest.mark.parametrize("ends", ["blank", "eos"])
+def test_records_do_not_depend_on_ranges_or_line_ends(spark, tmp_path, ends):
+    rng = random.Random(4)
+    mark = {"blank": "\n", "eos": "EOS\n"}[ends]
+    made = ["\n".join(f"line {rng.randrange(99)} é漢" + "x" * rng.randrange(30) for _ in range(rng.randrange(1, 6))) for _ in range(40)]
+    text = "".join(r + "\n" + mark * (rng.randrange(1, 4) if ends == "blank" else 1) for r in made)
+    want = [r if ends == "blank" else r + "\nEOS" for r in made]
+    for name, data in (("lf", text), ("crlf", text.replace("\n", "\r\n")), ("open", text.rstrip("\n") if ends == "blank" else text.removesuffix("EOS\n"))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.txt").write_bytes(data.encode())
+        last = want[:-1] + [made[-1]] if name == "open" else want
+        for size in (1 << 20, 997, 64, 7, 1):
+            got = [r.value for r in record_source.records(spark, str(tmp_path / name), ends, size).collect()] if size > 64 else None
+            if got is None:  # without a task for each range
+                reader = record_source._Reader({"path": str(tmp_path / name), "ends": ends, "rangebytes": size})
+                got = [v for p in reader.partitions() for b in reader.read(p) for v in b["value"].to_pylist()]
+            assert got == last, (name, size)
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "empty.txt").write_bytes(b"")
+    assert record_source.records(spark, str(tmp_path / "none"), ends).collect() == []
+    with pytest.raises(Exception, match="FileNotFound"):
+        record_source.records(spark, str(tmp_path / "missing"), ends).collect()
+
+
+def test_gold_files_with_crlf(spark, tmp_path):
+    """Two sentences of five tokens each stay two, whatever the line ends; a long record spans many reads."""
+    token = lambda k: f"{k}\tw{k}\tl\tNOUN\t_\t_\t0\troot\t_\t_"
+    text = "".join(f"# sent_id = s{s}\n" + "\n".join(token(k + 1) for k in range(5)) + "\n\n" for s in range(2))
+    for name, data in (("lf", text), ("crlf", text.replace("\n", "\r\n")), ("open", text.rstrip("\n"))):
+        (tmp_path / f"{name}.conllu").write_bytes(data.encode())
+        got = readers.conllu(spark, str(tmp_path / f"{name}.conllu")).collect()
+        assert sorted((r.comments["sent_id"], len(r.tokens)) for r in got) == [("s0", 5), ("s1", 5)]
+    knp = "# S-ID:a-1\n* -1D\n+ -1D\n" + "語 ご 語 名詞 6 普通名詞 1 * 0 * 0\n" * 3 + "EOS\n" + "# S-ID:a-2\n* -1D\n+ -1D\n" + "語 ご 語 名詞 6 普通名詞 1 * 0 * 0\n" * 2 + "EOS\n"
+    for name, data in (("lf", knp), ("crlf", knp.replace("\n", "\r\n")), ("open", knp.removesuffix("EOS\n"))):
+        (tmp_path / f"k{name}").mkdir()
+        (tmp_path / f"k{name}" / "doc.knp").write_bytes(data.encode())
+        got = readers.knp(spark, str(tmp_path / f"k{name}"))[0].collect()
+        assert sorted((r.document_id, r.sentence_id, len(r.tokens), r.b_starts) for r in got) == [("doc", "a-1", 3, [0]), ("doc", "a-2", 2, [0])]
+    (tmp_path / "long").write_bytes(b"\n\n".join(b"x" * n for n in (3 << 20, 5, (2 << 20) + 1)))
+    sizes = [len(r.value) for r in record_source.records(spark, str(tmp_path / "long"), "blank", 1 << 20).collect()]
+    assert sizes == [3 << 20, 5, (2 << 20) + 1]
+
+
 def test_stream_resumes(spark, tmp_path):
     folder, good, bad, mark = (str(tmp_path / x) for x in ("in", "good", "bad", "mark"))
     os.makedirs(folder)
