@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
 from lexloom.functions import vocabulary as V
-from lexloom.operators import features, infer, spans
+from lexloom.operators import infer, spans
+from lexloom.sources.weights import Weights
 
 #: Texts that one batch may hold, and code points of a text.
 BATCH, MOST_CHARS = 64, 128
@@ -61,17 +62,16 @@ def rejected(texts: DataFrame, most: int = MOST_CHARS) -> Column:
     return F.when(n.isNull() | (n == 0), "text must be non-empty").when(n > most, F.concat(F.lit(f"text exceeds {most} code points: "), n.cast("string")))
 
 
-def analyze(texts: DataFrame, weights: dict, key: str, size: str = "50k") -> tuple[DataFrame, DataFrame]:
+def analyze(texts: DataFrame, weights: Weights, key: str, equal: bool = True) -> tuple[DataFrame, DataFrame]:
     """Of texts (key, text): what the model says of each, and the rows it rejects with a reason.
 
-    Texts of any length from 1 to 128 go together, for batches are padded and masked.
+    Texts of one length make batches of up to 64, without padding; or else (equal false) texts of any length do, padded
+    and masked.
     """
     told = texts.select(key, "text", rejected(texts).alias("reason"))
     bad = told.where("reason is not null")
     good = told.where("reason is null").select(key, "text")
-    cp, _, bg, _, _ = V.MODEL_SIZES[size]
-    logits = infer.predict(features.encode_text(good, cp, bg), weights, key, BATCH).drop("n")
-    return decoded(good.join(logits, key)), bad
+    return decoded(infer.predict_texts(good, weights, key, BATCH, equal).drop("n")), bad
 
 
 def equal_length_batch(texts: list[str], most: int = MOST_CHARS) -> int:

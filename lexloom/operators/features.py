@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -85,6 +88,45 @@ def encode_text(rows: DataFrame, codepoints: int = 8192, bigrams: int = 8192) ->
     return df.select(*[f"`{c}`" for c in rows.columns], hashed(codepoints)("_cp").alias("codepoints"), hashed(bigrams)(pair).alias("bigrams"), categorical(F.col("text")).alias("categorical"))
 
 
+@functools.lru_cache(1 << 17)
+def _own_features(point: int) -> bytes:
+    """The 22 features of a character as bytes, that of the script before it left out, after the number of its script."""
+    ch = chr(point)
+    kind = unicodedata.category(ch)
+    if 0x3040 <= point <= 0x309F:
+        script = "HIRAGANA"
+    elif 0x30A0 <= point <= 0x30FF:
+        script = "KATAKANA"
+    elif 0x4E00 <= point <= 0x9FFF or 0x3400 <= point <= 0x4DBF:
+        script = "KANJI"
+    elif ch.isascii() and ch.isalpha():
+        script = "LATIN"
+    else:
+        script = "DIGIT" if ch.isdigit() else "PUNCT" if kind[0] == "P" else "SYMBOL" if kind[0] == "S" else "WHITESPACE" if ch.isspace() else "OTHER"
+    punct = next((name for name in ("SENTENCE", "OPEN", "CLOSE", "COMMA") if ch in V.PUNCT_SETS[name]), "NONE")
+    digit = "ASCII" if "0" <= ch <= "9" else "FULLWIDTH" if 0xFF10 <= point <= 0xFF19 else "OTHER" if script == "DIGIT" else "NONE"
+    marks = [ch in V.SMALL_KANA, ch in V.PROLONGED, ch in V.ITERATION]
+    one = lambda x, names: [x == y for y in names]
+    return bytes([V.SCRIPTS.index(script), *one(script, V.SCRIPTS), 0, *marks, *one(punct, V.PUNCT_CLASSES), *one(digit, V.DIGIT_CLASSES)])
+
+
+def encoded_texts(texts: list[str], codepoints: int = 8192, bigrams: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What encode_text gives of texts that are not empty, in numpy: buckets of code points and of pairs, features
+    (22 a character), one character after another, and the number of characters of each text."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
+    first = np.zeros(len(points) + 1, bool)
+    first[np.concatenate([[0], np.cumsum(sizes)])] = True
+    right = np.append(points[1:], 0)
+    right[first[1:]] = 0
+    bucket = lambda x, n: (X.mix64(x) & np.uint64(n - 1)).astype(np.int32)
+    known, at = np.unique(points, return_inverse=True)
+    own = np.frombuffer(b"".join(map(_own_features, known.tolist())), np.uint8).reshape(-1, len(FEATURE_NAMES) + 1)[at]
+    flags = own[:, 1:].copy()
+    flags[1:, len(V.SCRIPTS)] = (own[1:, 0] != own[:-1, 0]) & ~first[1:-1]
+    return bucket(points, codepoints), bucket((points << 21) ^ right ^ 0x9E3779B9, bigrams), flags, sizes
+
+
 def _at(values: list[str], label: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, values)), label) - 1
 

@@ -222,6 +222,33 @@ h AS (SELECT id, text, n, list_transform(x, lambda y: y.own) AS chunk, list_tran
   list_transform(range(1, len(x) + 1), lambda i: CASE WHEN i = len(x) THEN n ELSE x[i + 1].start END) AS before_ FROM h2 WHERE len(x) > 0)"""
 
 
+def _model_loss() -> str:
+    """Losses of logits by code points g against targets of records coded by p."""
+    atoms = {x: k for k, x in enumerate(V.ATOM_TYPES)}
+    inflected = "(" + ", ".join(str(atoms[x]) for x in V.INFLECTED) + ")"
+    particle, unknown = atoms["PARTICLE"], V.PARTICLE_FUNCTIONS.index("UNKNOWN")
+    log1p = lambda right, x: f"(ln(1 + exp({x}::DOUBLE)) - CASE WHEN {right} THEN {x} ELSE 0 END)"
+    # a logit x against a truth: softplus(-x) if true, softplus(x) if not
+    bound = " + ".join(log1p(f"(g % {m} = 0) = list_contains(p_{level}, spot)", 0.5) for level, m in zip(V.LEVELS, [2, 5, 11, 31, 101], strict=True))
+    flag = " + ".join(log1p(f"(g % {k + 2} = 0) = (atom IN {inflected} AND p_at % {k + 2} = 0)", 1.0) for k in range(len(V.INFLECTIONS)))
+    soft = lambda n, hit: f"ln({n - 1} + exp(1.0::DOUBLE)) - CASE WHEN {hit} THEN 1 ELSE 0 END"
+    moduli = {"a": [2, 5, 11, 31, 101], "b": [5, 11, 31, 101], "bunsetsu": [11, 31, 101], "clause": [31, 101], "sentence": [101]}
+    ends = ", ".join(f"list_filter(range(1, n + 1), lambda i: i = n OR {' OR '.join(f'p[i] % {k} = 0' for k in own)}) AS p_{level}" for level, own in moduli.items())
+    return f"""WITH {S}, c0 AS (SELECT {_split(DOC_KEY, 85, 10)} AS split, length(text) AS n, list_transform(range(1, length(text) + 1), lambda i: unicode(substr(text, i::INT, 1))) AS cp FROM s),
+c1 AS (SELECT *, list_transform(cp, lambda x: x + CASE WHEN x % 3 = 0 THEN 1 ELSE 0 END) AS p FROM c0), c AS (SELECT *, {ends} FROM c1),
+i AS (SELECT *, unnest(range(1, n + 1)) AS spot FROM c),
+k AS (SELECT split, spot, cp[spot] AS g, p[list_filter(p_a, lambda x: x >= spot)[1]] AS p_at, p[list_filter(p_bunsetsu, lambda x: x >= spot)[1]] AS p_c, {", ".join(f"p_{level}" for level in moduli)} FROM i),
+l AS (SELECT *, p_at % 12 AS atom FROM k),
+v AS (SELECT split, 'boundaries' AS head, ({bound}) / 5 AS loss, true AS counts FROM l UNION ALL SELECT split, 'atom', {soft(12, "g % 12 = atom")}, true FROM l
+ UNION ALL SELECT split, 'inflection', ({flag}) / 10, atom IN {inflected} FROM l
+ UNION ALL SELECT split, 'function', {soft(12, f"(g // 3) % 12 = CASE WHEN atom = {particle} THEN (p_at // 3) % 12 ELSE {unknown} END")}, atom = {particle} FROM l
+ UNION ALL SELECT split, 'role', {soft(9, "g % 9 = p_c % 9")}, true FROM l),
+m AS (SELECT split, head, count(*) FILTER (counts) AS characters, coalesce(avg(loss) FILTER (counts), 0.0) AS loss FROM v GROUP BY split, head),
+w AS (SELECT * FROM (VALUES {", ".join(f"('{h}', {x})" for h, x in V.LOSS_WEIGHTS.items())}) AS w(head, weight))
+SELECT split, head, characters, round(loss, 9) AS loss FROM m
+UNION ALL SELECT split, 'total', max(characters), round(sum(weight::DOUBLE * loss), 9) FROM m JOIN w USING (head) GROUP BY split"""
+
+
 def _coded_f1(metric: str) -> str:
     return f"WITH {_coded_pairs()} SELECT label, tp, fp, fn, round(f1, 9) AS f1 FROM f WHERE metric = '{metric}'"
 
@@ -383,6 +410,7 @@ ORACLES = {
     "function_f1": _coded_f1("particle_function"),
     "inflection_multilabel": _coded_f1("inflection"),
     "score_report": _score_report(),
+    "model_loss": _model_loss(),
     "teacher_systems": _systems(),
     "teacher_chunks": f"{_CHUNKS} SELECT id, array_to_string(before_, ',') AS before, array_to_string(after_, ',') AS after FROM h",
     "target_arrays": _values(["document_id", "atom", "function", "role"], [("good", "0,0,5,0,0,5,2,6,10", "11,11,0,11,11,2,11,11,11", "0,0,0,1,1,1,2,2,6")]),

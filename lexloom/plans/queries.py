@@ -16,6 +16,7 @@ from lexloom.operators import compile as C
 from lexloom.operators import annotate, decode, dedup, extract, features, gold, infer, near, near_index, sample, score, shuffle, spans, stats, synth, systems, validate
 from lexloom.plans import literals, surrogates
 from lexloom.sources import readers
+from lexloom.sources.weights import Weights
 from lexloom.streaming import first_stream
 
 QUOTA, TOP, SHARDS, BATCH, SEED = 100, 50, 7, 64, 1
@@ -526,21 +527,34 @@ def model_params(spark, d):
 
 def infer_seeded(spark, d):
     s = sentences(spark, d).select("text").distinct().withColumn("id", X.stable_hash(F.col("text")))
-    return infer.predict(features.encode_text(s, 4096, 4096), infer.seeded_weights("50k"), "id").select("id", "n", F.round(F.col("boundaries")[0], 4).alias("first_boundary"))
+    return infer.predict_texts(s, Weights.of("50k", infer.seeded_weights("50k")), "id").select("id", "n", F.round(F.col("boundaries")[0], 4).alias("first_boundary"))
 
 
-def decode_records(spark, d):
-    """Constructed logits of all sentences, decoded: what the code points of their characters say, level by level."""
-    s = sentences(spark, d).select("document_id", "sentence_index", "text")
-    cp = X.computed(s, cp=F.transform(X.chars(F.col("text")), lambda c: F.ascii(c)))
+def model_loss(spark, d):
+    """Mean losses by split of constructed logits, which say what the code points of characters say, against the targets
+    of records coded by code points one more where 3 divides them."""
+    own = [F.concat("document_id", F.lit("#"), F.col("sentence_index").cast("string")).alias("id"), "text", X.document_split(F.col("source"), F.col("document_id")).alias("split")]
+    s = near.checkpointed(sentences(spark, d).select(*own))
+    off = F.transform(_points(), lambda c: F.when(c % 3 == 0, c + 1).otherwise(c))
+    rows = features.targets(_coded(s, off))
+    return infer.loss_table(_logits_of(X.computed(rows, cp=_points())), "split").select("split", "head", "characters", F.round("loss", 9).alias("loss"))
+
+
+def _logits_of(rows: DataFrame) -> DataFrame:
+    """rows (cp: code points) with constructed flat logits of the five heads, which say what the code points say."""
     flat = lambda width, of: F.flatten(F.transform("cp", lambda c: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: of(c, k))))
     moduli = F.array(*map(F.lit, DECODE_MODULI))
-    logits = X.computed(
-        cp, boundaries=flat(5, lambda c, k: F.when(c % F.get(moduli, k) == 0, 0.5).otherwise(-0.5)),
+    return X.computed(
+        rows, boundaries=flat(5, lambda c, k: F.when(c % F.get(moduli, k) == 0, 0.5).otherwise(-0.5)),
         atom=flat(12, lambda c, k: (c % 12 == k).cast("double")), function=flat(12, lambda c, k: (F.floor(c / 3) % 12 == k).cast("double")),
         inflection=flat(10, lambda c, k: F.when(c % (k + 2) == 0, 1.0).otherwise(-1.0)), role=flat(9, lambda c, k: (c % 9 == k).cast("double")),
     )
-    out = decode.decoded(logits)
+
+
+def decode_records(spark, d):
+    """Constructed logits of all sentences, decoded: what the code points of their characters say, level by level."""
+    s = sentences(spark, d).select("document_id", "sentence_index", "text")
+    out = decode.decoded(_logits_of(X.computed(s, cp=_points())))
     told = lambda x: F.concat_ws(":", x["end"].cast("string"), x["atom_type"], F.coalesce(x["function"], F.lit("-")), F.array_join(x["inflections"], "+"))
     ends = lambda c: F.array_join(F.transform(c, lambda x: x["end"].cast("string")), " ")
     leaves = F.flatten(F.flatten(F.flatten(F.transform("tree", lambda s: F.transform(s["children"], lambda c: F.flatten(F.transform(c["children"], lambda b: F.transform(b["children"], lambda x: x["children"]))))))))
@@ -573,6 +587,6 @@ QUERIES = {
         script_distribution, char_class_distribution, script_transitions, codepoint_buckets, bigram_buckets, categorical_features, length_histogram, length_buckets, padded_batches, batch_schedule, shuffle_buffer, first_documents_stream, first_sentences_stream, padded_codepoints, common_rows, char_ngrams_top,
         boundary_f1, atom_f1, atom_macro_f1, role_f1, tree_exact, score_report, teacher_systems, teacher_chunks, inflection_multilabel, function_f1, corpus_stats, endpoint_hierarchy, nested_boundaries, partition_spans, tree_edges,
         teacher_agreement, argmax_decode, softmax_confidence, align_surfaces, map_labels, validate_codes, compile_records, compile_failures, compile_summary, synthetic_paradigms, synthetic_unsupported,
-        ud_gold, knp_gold, model_params, infer_seeded, decode_records, target_arrays, web_parquet_scan,
+        ud_gold, knp_gold, model_params, infer_seeded, model_loss, decode_records, target_arrays, web_parquet_scan,
     )
 }

@@ -7,12 +7,12 @@ import hashlib
 import json
 import struct
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.operators import compile as C
 from lexloom.operators import features, sample
+from lexloom.sources.weights import pack_fp16, unpack_fp16  # noqa: F401
 
 
 def documents_jsonl(docs: DataFrame, path: str) -> None:
@@ -52,22 +52,6 @@ def report_json(row: DataFrame) -> str:
     return json.dumps(json.loads(row.toJSON().first()), ensure_ascii=False, indent=2) + "\n"
 
 
-def pack_fp16(weights: dict[str, np.ndarray]) -> tuple[bytes, dict]:
-    """Weights as half floats, two in a 32-bit word, low half first, an odd count padded; and their directory."""
-    out, directory, at = [], {}, 0
-    for name, w in weights.items():
-        flat = np.ascontiguousarray(w, np.float16).ravel().view(np.uint16)
-        flat = np.append(flat, np.uint16(0)) if len(flat) % 2 else flat
-        directory[name] = {"offset": at, "shape": list(w.shape)}
-        out.append(flat.astype("<u2").tobytes())
-        at += len(flat) // 2
-    return b"".join(out), directory
-
-
-def unpack_fp16(data: bytes, directory: dict) -> dict[str, np.ndarray]:
-    return {k: np.frombuffer(data, "<f2", int(np.prod(v["shape"])), 4 * v["offset"]).astype(np.float32).reshape(v["shape"]) for k, v in directory.items()}
-
-
 def reproducible_gzip(data: bytes) -> bytes:
     return gzip.compress(data, 9, mtime=0)
 

@@ -16,7 +16,7 @@ from lexloom.operators import align, annotate
 from lexloom.operators import compile as C
 from lexloom.operators import dedup, extract, features, infer, near, near_index, sample, score, shuffle, spans, stats, systems
 from lexloom.plans import literals, oracles, queries
-from lexloom.sources import readers, record_source, writers
+from lexloom.sources import readers, record_source, weights, writers
 from lexloom.streaming import compile_stream, first_stream, stats_stream
 
 DOC = "source string, document_id string, text string"
@@ -346,6 +346,97 @@ def test_batches_do_not_change_predictions(spark):
     assert all(np.allclose(one[k], many[k], atol=1e-4) for k in one) and len(one["b"]) == 9 * 12
 
 
+EVERY = "東京へ行った。Yes! 12３²①፩ぁーｰ々「」、,\u3000\u00a0é$€𝄞\t\n½Ⅷ〻ﾞ゛"
+
+
+def test_texts_are_encoded_alike_in_numpy(spark):
+    """Each character of many kinds, and texts of one: buckets, pairs and features equal those of the columns."""
+    texts = [*EVERY, EVERY, EVERY[::-1], "a"]
+    df = features.encode_text(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), 4096, 8192).orderBy("id").collect()
+    cp, bg, flags, sizes = features.encoded_texts(texts, 4096, 8192)
+    assert sizes.tolist() == [len(t) for t in texts]
+    assert cp.tolist() == [x for r in df for x in r.codepoints] and bg.tolist() == [x for r in df for x in r.bigrams]
+    assert flags.tolist() == [x for r in df for x in r.categorical]
+    every = [chr(c) for c in range(32, 0x3100) if not 0xD800 <= c < 0xE000]
+    got = [r[0] for r in spark.createDataFrame([(i, c) for i, c in enumerate(every)], "i int, c string").orderBy("i").select(X.script(F.col("c"))).collect()]
+    own = [V.SCRIPTS[features._own_features(ord(c))[0]] for c in every]
+    assert sum(a != b for a, b in zip(got, own, strict=True)) < 40  # of other Unicode versions alone
+
+
+def test_equal_batches_predict_as_padded_ones(spark):
+    rng = random.Random(3)
+    texts = [(i, "".join(rng.choice(EVERY) for _ in range(rng.randrange(1, 40)))) for i in range(300)]
+    w = weights.Weights.of("50k", infer.seeded_weights("50k"))
+    df = spark.createDataFrame([*texts, (900, ""), (901, None)], "id int, text string")
+    runs = [{r.id: r for r in infer.predict_texts(df, w, "id", batch, equal).collect()} for batch, equal in ((64, True), (64, False), (7, True), (1, False))]
+    old = {r.id: r for r in infer.predict(features.encode_text(df, 4096, 4096), w.unpacked(), "id").collect()}
+    for other in [*runs[1:], old]:
+        assert set(other) == set(runs[0]) == {i for i, _ in texts}
+        assert all(np.allclose(runs[0][i][h], other[i][h], atol=1e-4) for i in other for h in V.HEADS)
+    sizes = np.array([len(t) for _, t in texts])
+    cut = list(infer.batches_of(sizes, 64, True))
+    assert all(len({sizes[i] for i in b}) == 1 and 1 <= len(b) <= 64 for b in cut) and sorted(i for b in cut for i in b) == list(range(300))
+    assert [len(b) for b in infer.batches_of(np.full(130, 5), 64, True)] == [64, 64, 2]
+
+
+def test_weights_as_a_source(spark, tmp_path):
+    """Written and read, predictions equal those of the half floats; whatever does not fit is refused."""
+    plain = infer.seeded_weights("50k", 5)
+    own = weights.Weights.of("50k", plain)
+    data, about = own.file()
+    for name, x in (("w.gz", data), ("w.bin", own.data), ("w.json", about.encode())):
+        (tmp_path / name).write_bytes(x)
+    path = lambda n: str(tmp_path / n)
+    rows = spark.createDataFrame([(1, "東京へ行った。"), (2, "Yes!")], "id int, text string")
+    told = lambda w: {r.id: r.atom for r in infer.predict_texts(rows, w, "id").collect()}
+    half = {k: v.astype(np.float16).astype(np.float32) for k, v in plain.items()}
+    assert all((own.unpacked()[k] == half[k]).all() for k in half) and own.file() == own.file()
+    for name in ("w.gz", "w.bin"):
+        read = weights.read_weights(spark, path(name), path("w.json"), "50k")
+        assert read == own and told(read) == told(own)
+    assert own.unpacked() is own.unpacked()
+    with pytest.raises(ValueError, match="model size 50k, not 100k"):
+        weights.read_weights(spark, path("w.gz"), path("w.json"), "100k")
+    with pytest.raises(ValueError, match="do not fit"):
+        weights.Weights.of("50k", plain | {"atom.w": np.zeros((48, 11))})
+    with pytest.raises(ValueError, match="do not fit"):
+        weights.Weights.of("50k", {k: v for k, v in plain.items() if k != "role.b"})
+    with pytest.raises(ValueError, match="unknown model size"):
+        weights.Weights.of("51k", plain)
+    directory = json.loads(about)
+    for change, match in (({"sha256": "0"}, "checksum"), ({"weights": directory["weights"] | {"role.b": {"offset": 0, "shape": [9]}}}, "overlap"), ({"weights": directory["weights"] | {"role.b": {"offset": 1 << 30, "shape": [9]}}}, "outside")):
+        (tmp_path / "bad.json").write_text(json.dumps(directory | change))
+        with pytest.raises(ValueError, match=match):
+            weights.read_weights(spark, path("w.gz"), path("bad.json"), "50k")
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "a").write_bytes(b"x")
+    (tmp_path / "two" / "b").write_bytes(b"x")
+    with pytest.raises(ValueError, match="one file"):
+        weights.read_weights(spark, path("two"), path("w.json"), "50k")
+
+
+def test_loss_table_equals_the_losses_of_each_split(spark):
+    rng = np.random.default_rng(1)
+    rows, held = [], {}
+    for i in range(30):
+        n, split = int(rng.integers(1, 9)), ["train", "dev", None][i % 3]
+        logits = {h: rng.normal(size=(n, k)) for h, k in V.HEADS.items()}
+        t = {"boundaries": rng.integers(0, 2, (n, 5)), "inflection": rng.integers(0, 2, (n, 10)), "atom": rng.integers(0, 12, n), "function": rng.integers(0, 12, n), "role": rng.integers(0, 9, n)}
+        masks = {"inflection_mask": rng.random(n) < 0.5, "function_mask": np.zeros(n, bool) if split == "dev" else rng.random(n) < 0.5}
+        held.setdefault(split, []).append((logits, t | masks | {"mask": np.ones(n, bool)}))
+        rows.append((split, *[logits[h].ravel().tolist() for h in infer.HEAD_LOSSES], *[t[h].tolist() for h in infer.HEAD_LOSSES], *[masks[m].tolist() for m in ("function_mask", "inflection_mask")]))
+    wide = {"boundaries", "inflection"}
+    schema = "split string, " + ", ".join(f"{h} array<double>" for h in infer.HEAD_LOSSES) + ", " + ", ".join(f"{infer.HEAD_TARGETS[h]} " + ("array<array<int>>" if h in wide else "array<int>") for h in infer.HEAD_LOSSES) + ", function_mask array<boolean>, inflection_mask array<boolean>"
+    got = {(r.split, r.head): r for r in infer.loss_table(spark.createDataFrame(rows, schema).repartition(4), "split").collect()}
+    for split, parts in held.items():
+        joined = [{k: np.concatenate([p[i][k] for p in parts]) for k in parts[0][i]} for i in (0, 1)]
+        want = infer.multitask_loss(*joined)
+        assert all(abs(got[split, h].loss - want[h]) < 1e-12 for h in want)
+        assert got[split, "total"].characters == len(joined[1]["mask"]) and got[split, "function"].characters == joined[1]["function_mask"].sum()
+    assert len(got) == 18 and got["dev", "function"].loss == 0
+    assert infer.loss_table(spark.createDataFrame(rows, schema).limit(0), "split").collect() == []
+
+
 def test_weights_pack():
     w = {"x": np.arange(5, dtype=np.float32), "y": np.ones((2, 2), np.float32)}
     data, directory = writers.pack_fp16(w)
@@ -516,7 +607,7 @@ def test_analyze_texts(spark):
     """Spans and trees of texts by seeded weights, against a plain reading of the logits; what is rejected and why."""
     from lexloom.operators import decode
 
-    w = infer.seeded_weights("50k", 3)
+    w = weights.Weights.of("50k", infer.seeded_weights("50k", 3))
     texts = spark.createDataFrame([(1, "東京へ行った。Yes!"), (2, "a"), (3, ""), (4, None), (5, "x" * 129), (6, "一二三 四五六\nabc")], "id int, text string")
     good, bad = decode.analyze(texts, w, "id")
     assert {(r.id, r.reason[:14]) for r in bad.collect()} == {(3, "text must be n"), (4, "text must be n"), (5, "text exceeds 1")}
