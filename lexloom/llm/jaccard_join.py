@@ -32,7 +32,7 @@ COUNTERS, FREQUENT, MOST_FREQUENT, CELLS, CELL_PART, HOT = 1 << 16, 4, 1 << 18,
 #: Ids up to which a list of documents is broadcast (8 bytes each); beyond, it is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Ratio of the sizes in one bin.
-BIN = 1.02
+BIN = 1.085
 #: Seeds of the random orders.
 ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
@@ -233,19 +233,20 @@ def _bin(n: Column) -> Column:
 def _apart(mixed: DataFrame) -> DataFrame:
     """(a, b): documents of a token, not connected yet, that may still link; mixed: (token, doc_id, n, pos, component, main).
 
-    Of two linked sets the smaller has its first shared token earlier, for half of both sizes is at least its own size;
-    and where the larger has it says how large the smaller is at most. So the smaller set's rows meet at the token and
-    a bin of its size, and the larger set's go to the bins they leave room for; rows whose token comes too late for either
-    meet no one. Boilerplate comes late in all documents that have much of their own.
+    Of two linked sets the smaller has its first shared token early, for half of both sizes is at least its own size; and
+    where a set has it says how large the other is at most. So rows meet by token and a bin of their size, and rows whose
+    token comes too late meet no one. Boilerplate comes late in all documents that have much of their own.
     """
-    left = 100 * F.col("n") + PERCENT * F.col("n") - (100 + PERCENT) * F.col("pos")  # (100 + PERCENT) * (n - pos)
-    lowest, highest = F.ceil(PERCENT * F.col("n") / 100), F.least(F.col("n"), F.floor((left - PERCENT * F.col("n")) / PERCENT))
+    left = (100 + PERCENT) * (F.col("n") - F.col("pos"))
+    room = F.floor((left - PERCENT * F.col("n")) / PERCENT)  # the size of the other set at most
+    lowest = F.ceil(PERCENT * F.col("n") / 100)
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "pos", "component")]
-    small = mixed.where(left >= 2 * PERCENT * F.col("n")).select("token", _bin(F.col("n")).alias("bin"), *side("a"), (F.col("component") == F.col("main")).alias("in_main"))
-    large = mixed.where(highest >= lowest).select("token", F.explode(F.sequence(_bin(lowest), _bin(highest))).alias("bin"), *side("b"), (F.col("component") == F.col("main")).alias("in_main"))
-    # at least one of two lies outside the token's largest component
-    pairs = small.where("not in_main").drop("in_main").join(large.drop("in_main"), ["token", "bin"])
-    pairs = pairs.unionByName(small.where("in_main").drop("in_main").join(large.where("not in_main").drop("in_main"), ["token", "bin"]))
+    bins = lambda a, b: F.explode(F.sequence(_bin(a), _bin(b))).alias("bin")
+    small, large = mixed.where(room >= F.col("n")), mixed.where(room >= lowest)
+    lone = F.col("component") != F.col("main")
+    # at least one of two lies outside the token's largest component; its rows go to the bins of the other's
+    pairs = small.where(lone).select("token", bins(F.col("n"), room), *side("a")).join(large.select("token", _bin(F.col("n")).alias("bin"), *side("b")), ["token", "bin"])
+    pairs = pairs.unionByName(small.where(~lone).select("token", _bin(F.col("n")).alias("bin"), *side("a")).join(large.where(lone).select("token", bins(lowest, F.least("n", room)), *side("b")), ["token", "bin"]))
     first = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_id_a") < F.col("doc_id_b")))
     near = first & (F.col("component_a") != F.col("component_b")) & _bounds("pos_a", "n_a", "pos_b", "n_b")
     return pairs.where(near).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
