@@ -14,9 +14,12 @@ def paradigms(spark) -> DataFrame:
     return spark.createDataFrame(rows, "conjugation string, paradigm string, ending string, flags array<string>")
 
 
-def generate(lexicon: DataFrame) -> DataFrame:
-    """All forms of lexicon (lemma, conjugation), with spans; splits go by lemma."""
-    df = lexicon.join(F.broadcast(paradigms(lexicon.sparkSession)), "conjugation")
+def generate(lexicon: DataFrame, strict: bool = True) -> DataFrame:
+    """All forms of lexicon (lemma, conjugation), with spans; splits go by lemma. A conjugation without a paradigm is an
+    error, or else (strict false) its lemmas are left out."""
+    df = lexicon.join(F.broadcast(paradigms(lexicon.sparkSession)), "conjugation", "left")
+    unknown = F.raise_error(F.concat(F.lit("unsupported conjugation: "), F.coalesce("conjugation", F.lit("none")))) if strict else F.lit(False)
+    df = df.where(F.when(F.col("paradigm").isNull(), unknown.cast("boolean")).otherwise(True))
     stem = F.expr("left(lemma, length(lemma) - 1)")
     df = df.withColumn("text", F.concat(stem, "ending"))
     cut = F.length("lemma") - 1

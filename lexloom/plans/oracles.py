@@ -253,19 +253,94 @@ def _coded_f1(metric: str) -> str:
     return f"WITH {_coded_pairs()} SELECT label, tp, fp, fn, round(f1, 9) AS f1 FROM f WHERE metric = '{metric}'"
 
 
-def _values(cols: list[str], rows: list[tuple]) -> str:
-    def lit(x):
-        return "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + _q(x) + "'"
-
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS v({', '.join(cols)})"
-
-
 MD5 = f"""g AS (SELECT document_id, trim(regexp_replace(text, '[{WS}]+', ' ', 'g')) AS t FROM ({DOCS})),
 n AS (SELECT document_id, unnest(list_transform(range(1, greatest(length(t) - 1, 2)), lambda i: substr(t, i, 3))) AS gram FROM g WHERE length(t) > 0),
 h AS (SELECT document_id, ('0x' || substr(md5(gram), 1, 8))::BIGINT AS h FROM n),
 fp AS (SELECT document_id, ({' + '.join(f"(CASE WHEN 2 * count(*) FILTER (h & {1 << b} <> 0) >= count(*) THEN {1 << b} ELSE 0 END)" for b in range(32))})::BIGINT AS fp FROM h GROUP BY document_id)"""
 SHARD = """n AS (SELECT doc_id, text, source, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS line, (ntile(7) OVER (ORDER BY doc_id) - 1)::INT AS shard FROM documents)"""
 
+FINE, SOLID = "[A-Za-z]+|[0-9]+| +|[^A-Za-z0-9 ]", "[A-Za-z]+|[0-9]+|[,.;:!?]"
+#: CTE t: sentences with their tokens.
+_TOKENS = S.replace("{", "{{").replace("}", "}}") + """, t AS (SELECT document_id || '#' || sentence_index AS id, {text} AS text, length(text) AS n, length(text) % 8 AS k8, regexp_extract_all({text}, '{pattern}') AS t FROM s)"""
+#: CTE w: distinct words of the documents.
+_WORDS = "w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents)"
+#: The atom type of a surrogate token w.
+_WORD_ATOM = "CASE WHEN w[1] = ' ' THEN 'OTHER' WHEN regexp_matches(w, '^[0-9]') THEN 'NUMBER' WHEN NOT regexp_matches(w, '^[A-Za-z]') THEN 'PUNCT_SYMBOL' WHEN length(w) <= 2 THEN 'PARTICLE' WHEN length(w) % 5 = 0 THEN 'VERB_STEM' ELSE 'NOUN_LIKE' END"
+#: CTE c: sentences with their code points, and the ends of each level of coded records.
+_CODED = S + """, c AS (SELECT document_id || '#' || sentence_index AS id, text, length(text) AS n, list_transform(range(1, length(text) + 1), lambda i: unicode(substr(text, i::INT, 1))) AS g FROM s)"""
+_CODED_ENDS = ", ".join(f"list_filter(range(1, n + 1), lambda i: i = n OR {' OR '.join(f'g[i] % {m} = 0' for m in own)}) AS g_{level}" for level, own in {"a": [2, 5, 11, 31, 101], "b": [5, 11, 31, 101], "bunsetsu": [11, 31, 101], "clause": [31, 101], "sentence": [101]}.items())
+
+
+def _picked(values: list[str], at: str) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in values) + f"][({at}) % {len(values)} + 1]"
+
+
+def _mapped(table: dict, key: str, default: str = "NULL") -> str:
+    one = lambda v: "[" + ", ".join(f"'{x}'" for x in v) + "]" if isinstance(v, list) else f"'{v}'"
+    return f"(CASE {key} " + " ".join(f"WHEN '{k}' THEN {one(v)}" for k, v in table.items()) + f" ELSE {default} END)"
+
+
+def _map_labels() -> str:
+    fields = {
+        "p0": [*V.POS_ATOM, "?"], "p1": [*V.NOUN_DETAIL, *V.PARTICLE_DETAIL, "*"], "p4": [*V.COPULA_TYPES, "*"], "surface": [*V.PARTICLE_SURFACE, "に", *V.INFLECTION_SURFACE], "kase": ["LOC", "DIR", "TIME", "QUOTE", "-"],
+        "normalized": [*V.INFLECTION_NORMALIZED, ""], "form": [*V.INFLECTION_FORM, ""], "dependency": [*V.DEPENDENCY_ROLE, "aux"], "predicate": ["yes", "no", "no"],
+    }
+    own = ", ".join(f"{_picked(v, f'u // {k + 1}')} AS {c}" for k, (c, v) in enumerate(fields.items()))
+    function = f"""CASE WHEN p0 = '助詞' THEN CASE WHEN surface = 'に' THEN CASE kase WHEN 'LOC' THEN 'LOCATION' WHEN 'DIR' THEN 'DIRECTION' WHEN 'TIME' THEN 'TIME' ELSE 'UNKNOWN' END
+      WHEN surface = 'と' AND kase = 'QUOTE' THEN 'QUOTATIVE' WHEN surface = 'で' THEN CASE kase WHEN 'LOC' THEN 'LOCATION' ELSE 'UNKNOWN' END
+      ELSE coalesce({_mapped(V.PARTICLE_SURFACE, "surface")}, {_mapped(V.PARTICLE_DETAIL, "p1")}, 'UNKNOWN') END END"""
+    copulas = "(" + ", ".join(f"'{x}'" for x in V.COPULA_TYPES) + ")"
+    flags = " || ".join(_mapped(t, c, "[]") for t, c in ((V.INFLECTION_NORMALIZED, "normalized"), (V.INFLECTION_FORM, "form"), (V.INFLECTION_SURFACE, "surface")))
+    return f"""WITH {_WORDS}, u AS (SELECT w, unicode(w) + 31 * length(w) + 7 * unicode(w[-1]) AS u FROM w), f AS (SELECT w, {own} FROM u), p AS (SELECT *, {function} AS function FROM f)
+ SELECT w AS word, CASE WHEN p0 = '名詞' AND p1 = '固有名詞' THEN 'PROPER_LIKE' WHEN p0 = '名詞' AND p1 = '数詞' THEN 'NUMBER' WHEN p0 = '助動詞' AND p4 IN {copulas} THEN 'COPULA' ELSE {_mapped(V.POS_ATOM, "p0", "'OTHER'")} END AS atom_type, function,
+   array_to_string(list_sort(list_distinct({flags})), ',') AS inflections, CASE WHEN function = 'TOPIC' THEN 'TOPIC' WHEN predicate = 'yes' THEN 'PREDICATE' ELSE {_mapped(V.DEPENDENCY_ROLE, "dependency", "'UNKNOWN'")} END AS role FROM p"""
+
+
+def _validate_codes() -> str:
+    unmatched = "a_spans_do_not_match_a_boundaries"
+    return f"""WITH {_CODED}, e AS (SELECT id, n % 13 AS k, {_CODED_ENDS} FROM c)
+ SELECT id, CASE k WHEN 1 THEN 'text_missing_or_empty' WHEN 2 THEN 'boundaries_missing' WHEN 3 THEN CASE WHEN len(g_a) > 1 THEN 'a_boundaries_not_sorted_unique,{unmatched}' ELSE '' END WHEN 4 THEN 'spans_missing_or_not_list'
+   WHEN 5 THEN 'bunsetsu_missing_or_not_list' WHEN 6 THEN 'invalid_atom_type' WHEN 7 THEN 'invalid_particle_function' WHEN 8 THEN 'invalid_inflections' WHEN 9 THEN 'invalid_bunsetsu_role'
+   WHEN 10 THEN 'a_span_out_of_range,a_spans_do_not_cover_text,{unmatched}' WHEN 11 THEN CASE WHEN len(g_a) > 1 THEN 'a_spans_not_contiguous,{unmatched}' ELSE '' END
+   WHEN 12 THEN 'b_boundaries_not_list,b_spans_do_not_match_b_boundaries,bunsetsu_boundaries_missing_in_b' ELSE '' END AS codes FROM e"""
+
+
+def _compiled() -> str:
+    """CTE d: sentences with tokens t, their ends te, and why they do not compile."""
+    summed = lambda of: f"list_transform(range(1, len({of}) + 1), lambda i: list_sum(list_transform({of}[1:i], lambda x: length(x)))::BIGINT)"
+    return f"""{_CHUNKS}, t0 AS (SELECT document_id || '#' || sentence_index AS id, text, length(text) AS n, regexp_extract_all(text, '{FINE}') AS t, regexp_extract_all(text, '[^ ]+ *| +') AS bt FROM s),
+ d0 AS (SELECT t0.*, {summed("t")} AS te, {summed("bt")} AS be, h.before_ AS ce FROM t0 LEFT JOIN h USING (id)),
+ d1 AS (SELECT *, list_filter(ce, lambda x: NOT list_contains(be, x)) AS lacks FROM d0),
+ d AS (SELECT *, CASE WHEN n < 8 THEN 'length_out_of_range' WHEN n % 11 = 0 OR ce IS NULL THEN 'teacher_missing' WHEN len(lacks) > 0 THEN 'teacher_boundary_disagreement' END AS reason,
+   CASE WHEN n < 8 THEN 'raw' WHEN n % 11 = 0 THEN 'sudachi_a' WHEN ce IS NULL THEN 'ginza_bunsetsu' WHEN len(lacks) > 0 THEN 'cross_teacher' END AS teacher,
+   CASE WHEN n < 8 THEN 'length=' || n WHEN n % 11 = 0 OR ce IS NULL THEN '' WHEN len(lacks) > 0 THEN 'bunsetsu endpoints absent from b: [' || array_to_string(lacks, ', ') || ']' END AS detail FROM d1)"""
+
+
+_FORM = "CASE WHEN w[1] = ' ' THEN 'SPACE' WHEN regexp_matches(w, '^[0-9]') THEN 'NUM' WHEN NOT regexp_matches(w, '^[A-Za-z]') THEN 'PUNCT' WHEN length(w) <= 2 THEN 'ADP' WHEN length(w) % 5 = 0 THEN 'VERB' ELSE 'NOUN' END"
+
+
+def _gold_rows(role: str, atom: str, flag: str) -> str:
+    """Rows of tokens with the roles of chunks; t: tokens, kinds: their forms, starts: where chunks begin (from 1)."""
+    return f"""g AS (SELECT *, list_transform(range(1, len(starts) + 1), lambda i: kinds[starts[i]:coalesce(starts[i + 1] - 1, len(kinds))]) AS chunks FROM k2)
+ SELECT id AS document_id, (unnest(range(len(t))))::INTEGER AS i, 0 AS errors, array_to_string(list_transform(chunks, lambda c: {role}), ',') AS roles, unnest(list_transform(kinds, lambda x: {atom})) AS atom_type,
+   unnest(list_transform(kinds, lambda x: CASE WHEN x = 'ADP' THEN 'UNKNOWN' END)) AS function, unnest(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN kinds[i] = 'VERB' AND length(t[i]) % 10 = 0 THEN '{flag}' ELSE '' END)) AS inflections FROM g"""
+
+
+def _ud_gold() -> str:
+    atom = "CASE x WHEN 'SPACE' THEN 'OTHER' WHEN 'NUM' THEN 'NUMBER' WHEN 'PUNCT' THEN 'PUNCT_SYMBOL' WHEN 'ADP' THEN 'PARTICLE' WHEN 'VERB' THEN 'VERB_STEM' ELSE 'NOUN_LIKE' END"
+    return f"""WITH {_TOKENS.format(text="replace(text, chr(9), ' ')", pattern=FINE)}, k AS (SELECT id, t, list_transform(t, lambda w: {_FORM}) AS kinds FROM t),
+ k2 AS (SELECT *, list_filter(range(1, len(t) + 1), lambda i: i = 1 OR (kinds[i] <> 'SPACE' AND kinds[i - 1] = 'PUNCT')) AS starts FROM k),
+ {_gold_rows("CASE WHEN list_contains(c, 'VERB') THEN 'PREDICATE' ELSE 'CASED_NOMINAL' END", atom, "PAST")}"""
+
+
+def _knp_gold() -> str:
+    atom = "CASE x WHEN 'PUNCT' THEN 'PUNCT_SYMBOL' WHEN 'ADP' THEN 'PARTICLE' WHEN 'VERB' THEN 'VERB_STEM' ELSE 'NOUN_LIKE' END"
+    role = "CASE WHEN list_contains(c, 'VERB') THEN 'PREDICATE' WHEN len(list_filter(c, lambda x: x <> 'PUNCT')) = 0 THEN 'PUNCT' WHEN (list_contains(c, 'NOUN') OR list_contains(c, 'NUM')) AND list_contains(c, 'ADP') THEN 'CASED_NOMINAL' ELSE 'UNKNOWN' END"
+    return f"""WITH {_TOKENS.format(text="text", pattern=SOLID)}, k AS (SELECT id, t, list_transform(t, lambda w: {_FORM}) AS kinds FROM t WHERE len(t) > 0),
+ k2 AS (SELECT *, list_filter(range(1, len(t) + 1), lambda i: i = 1 OR kinds[i - 1] = 'PUNCT') AS starts FROM k),
+ {_gold_rows(role, atom, "PAST")}"""
+
+
 ORACLES = {
     "sentences_extract": f"WITH {S} SELECT text, source, document_id, sentence_index, document_start, document_end, {_split(DOC_KEY, 98, 1)} AS split, dedup_key FROM s",
     "sentences_dedup": f"""WITH {S}, {_sentences('t', "SELECT 'conversations' AS source, conv_id::VARCHAR || ':' || turn::VARCHAR AS document_id, text FROM conversations")},
@@ -361,57 +436,36 @@ ORACLES = {
     "argmax_decode": "SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INT AS best FROM embeddings",
     "softmax_confidence": "SELECT vec_id, round(1 / list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE))), 9) AS confidence FROM embeddings",
     "web_parquet_scan": "SELECT doc_id::VARCHAR AS document_id, CASE WHEN length(text) > 0 THEN lang ELSE 'invalid' END AS language, CASE WHEN length(text) > 0 THEN length(text) ELSE 0 END::INT AS chars FROM documents",
-    "model_params": _values(["size", "parameters"], [("50k", 58752), ("100k", 102392), ("150k", 134832), ("250k", 242592)]),
-    # literals: what the rules give, written out
-    "align_surfaces": _values(
-        ["id", "reason", "token_index", "spans"],
-        [("exact", None, 5, "0-2,2-3,3-4,4-5,5-6"), ("skips", "surface_mismatch", 1, None), ("empty", "empty_surface", 1, None), ("half", "invalid_teacher_offsets", 0, None), ("back", "non_monotonic_offset", 1, None), ("other", "surface_offset_mismatch", 0, None),
-         ("short", "teacher_does_not_cover_text", 2, None), ("none", "teacher_does_not_cover_text", 0, None)],
-    ),
-    "map_labels": _values(
-        ["id", "atom_type", "function", "inflections", "role"],
-        [("proper", "PROPER_LIKE", None, "", "CASED_NOMINAL"), ("number", "NUMBER", None, "", "MODIFIER"), ("verb", "VERB_STEM", None, "", "PREDICATE"), ("copula", "COPULA", None, "PAST", "UNKNOWN"), ("ni", "PARTICLE", "UNKNOWN", "", "UNKNOWN"),
-         ("ni_time", "PARTICLE", "TIME", "", "CASED_NOMINAL"), ("to_quote", "PARTICLE", "QUOTATIVE", "", "CONNECTIVE"), ("to", "PARTICLE", "COMITATIVE", "", "CONNECTIVE"), ("o", "PARTICLE", "OBJECT", "", "CASED_NOMINAL"), ("wa", "PARTICLE", "TOPIC", "", "TOPIC"),
-         ("yo", "PARTICLE", "OTHER", "", "UNKNOWN"), ("nakatta", "AUXILIARY", None, "NEGATIVE", "UNKNOWN"), ("ta", "AUXILIARY", None, "PAST", "UNKNOWN"), ("nakere", "AUXILIARY", None, "CONDITIONAL,NEGATIVE", "UNKNOWN"),
-         ("masen", "AUXILIARY", None, "NEGATIVE,PAST,POLITE", "UNKNOWN"), ("none", "OTHER", None, "", "UNKNOWN")],
-    ),
-    "validate_codes": _values(
-        ["id", "codes"],
-        [("valid", ""), ("empty", "text_missing_or_empty"), ("no_boundaries", "boundaries_missing"), ("unsorted", "a_boundaries_not_sorted_unique,a_spans_do_not_match_a_boundaries"), ("far", "a_boundary_out_of_range,a_spans_do_not_match_a_boundaries"),
-         ("hole", "nesting_b_not_subset_of_previous,b_boundaries_missing_in_a"), ("gap", "a_spans_not_contiguous,a_spans_do_not_match_a_boundaries"), ("beyond", "a_span_out_of_range,a_spans_do_not_cover_text,a_spans_do_not_match_a_boundaries"), ("bad_atom", "invalid_atom_type"),
-         ("bad_function", "invalid_particle_function"), ("bad_inflection", "invalid_inflections"), ("bad_role", "invalid_bunsetsu_role"), ("no_spans", "spans_missing_or_not_list"), ("no_bunsetsu", "bunsetsu_missing_or_not_list"),
-         ("null_level", "b_boundaries_not_list,b_spans_do_not_match_b_boundaries,bunsetsu_boundaries_missing_in_b"), ("no_cover", "a_spans_do_not_cover_text,a_spans_do_not_match_a_boundaries")],
-    ),
-    "compile_records": _values(
-        ["document_id", "i", '"start"', '"end"', "atom_type", "function", "inflections"],
-        [("good", 0, 0, 2, "NOUN_LIKE", None, ""), ("good", 1, 2, 3, "PARTICLE", "TOPIC", ""), ("good", 2, 3, 5, "NOUN_LIKE", None, ""), ("good", 3, 5, 6, "PARTICLE", "OBJECT", ""), ("good", 4, 6, 7, "VERB_STEM", None, ""), ("good", 5, 7, 8, "AUXILIARY", None, "PAST"),
-         ("good", 6, 8, 9, "PUNCT_SYMBOL", None, "")],
-    ),
-    "compile_failures": _values(
-        ["document_id", "reason", "teacher", "detail"],
-        [("one_b", "teacher_boundary_disagreement", "cross_teacher", "bunsetsu endpoints absent from b: [3, 6, 8]"), ("short", "length_out_of_range", "raw", "length=3"), ("long", "length_out_of_range", "raw", "length=129"), ("no_b", "teacher_missing", "sudachi_b", ""),
-         ("gap", "surface_mismatch", "sudachi_a", "at raw offset 2: '映画'"), ("cut", "teacher_does_not_cover_text", "sudachi_a", "covered 8/9 codepoints"), ("clause", "teacher_boundary_disagreement", "cross_teacher", "clause endpoints absent from bunsetsu: [4]"),
-         ("beyond", "surface_offset_mismatch", "sudachi_a", "'昨日'")],
-    ),
-    "compile_summary": _values(["total_sentences", "successfully_aligned", "dropped", "drop_percentage"], [(9, 1, 8)])
-    .replace("(9, 1, 8)", "(9::BIGINT, 1::BIGINT, 8::BIGINT, 800.0::DOUBLE / 9)"),
-    "synthetic_paradigms": "SELECT lemma, paradigm, stem || e AS text, " + _split("lemma", 80, 10) + " AS split, flags FROM (VALUES "
-    + ", ".join(f"('{w}', '{w[:-1]}', '{p}', '{e}', '{','.join(f)}')" for w, c in (("書く", "godan_k"), ("食べる", "ichidan")) for p, (e, f) in V.PARADIGMS[c].items()) + ") AS v(lemma, stem, paradigm, e, flags)",
-    "synthetic_unsupported": "SELECT '読む' AS lemma",
-    "ud_gold": _values(
-        ["document_id", "i", "errors", "roles", "atom_type", "function", "inflections"],
-        [("x", 0, 0, "CASED_NOMINAL,PREDICATE", "NOUN_LIKE", None, ""), ("x", 1, 0, "CASED_NOMINAL,PREDICATE", "PARTICLE", "OBJECT", ""), ("x", 2, 0, "CASED_NOMINAL,PREDICATE", "VERB_STEM", None, ""), ("x", 3, 0, "CASED_NOMINAL,PREDICATE", "AUXILIARY", None, "PAST"),
-         ("x", 4, 0, "CASED_NOMINAL,PREDICATE", "PUNCT_SYMBOL", None, "")],
-    ),
-    "knp_gold": _values(
-        ["document_id", "i", "errors", "roles", "atom_type", "function", "inflections"],
-        [("d", 0, 0, "CASED_NOMINAL,PREDICATE", "NOUN_LIKE", None, ""), ("d", 1, 0, "CASED_NOMINAL,PREDICATE", "PARTICLE", "OBJECT", ""), ("d", 2, 0, "CASED_NOMINAL,PREDICATE", "VERB_STEM", None, "PAST"), ("d", 3, 0, "CASED_NOMINAL,PREDICATE", "PUNCT_SYMBOL", None, "")],
-    ),
     "function_f1": _coded_f1("particle_function"),
     "inflection_multilabel": _coded_f1("inflection"),
     "score_report": _score_report(),
     "model_loss": _model_loss(),
     "teacher_systems": _systems(),
     "teacher_chunks": f"{_CHUNKS} SELECT id, array_to_string(before_, ',') AS before, array_to_string(after_, ',') AS after FROM h",
-    "target_arrays": _values(["document_id", "atom", "function", "role"], [("good", "0,0,5,0,0,5,2,6,10", "11,11,0,11,11,2,11,11,11", "0,0,0,1,1,1,2,2,6")]),
+    "align_surfaces": f"""WITH {_TOKENS.format(text="text", pattern=FINE)},
+ f AS (SELECT id, n, k8 AS k, len(t) AS z, len(t) // 2 AS m, list_sum(list_transform(t[1:len(t) // 2], lambda x: length(x)))::BIGINT AS s, length(t[-1]) AS tail FROM t),
+ r AS (SELECT id, CASE k WHEN 1 THEN 'surface_mismatch' WHEN 2 THEN 'empty_surface' WHEN 3 THEN 'teacher_does_not_cover_text' WHEN 5 THEN 'non_monotonic_offset' WHEN 6 THEN 'invalid_teacher_offsets' WHEN 7 THEN 'surface_offset_mismatch' END AS reason,
+   CASE WHEN k IN (0, 4) THEN z WHEN k = 3 THEN z - 1 ELSE m END AS token_index, coalesce(s, 0) AS s, n, k, z, tail FROM f)
+ SELECT id, reason, token_index::INTEGER AS token_index, CASE k WHEN 1 THEN 'at raw offset ' || s || ': ' || chr(39) || 'Q~' || chr(39) WHEN 2 THEN chr(39) || chr(39) WHEN 3 THEN 'covered ' || (n - tail) || '/' || n || ' codepoints'
+   WHEN 5 THEN 'expected ' || s || ', got ' || (s + 1) WHEN 6 THEN '(' || s || ', None)' WHEN 7 THEN chr(39) || 'Q~' || chr(39) END AS detail, CASE WHEN reason IS NULL THEN z ELSE 0 END::INTEGER AS spans FROM r""",
+    "map_labels": _map_labels(),
+    "validate_codes": _validate_codes(),
+    "compile_records": f"""{_compiled()}
+ SELECT id AS document_id, (unnest(range(len(t))))::INTEGER AS i, unnest(list_transform(range(1, len(t) + 1), lambda i: te[i] - length(t[i])))::INTEGER AS "start", unnest(te)::INTEGER AS "end",
+   unnest(list_transform(t, lambda w: {_WORD_ATOM})) AS atom_type, unnest(list_transform(t, lambda w: CASE WHEN {_WORD_ATOM} = 'PARTICLE' THEN 'TOPIC' END)) AS function,
+   unnest(list_transform(t, lambda w: CASE WHEN {_WORD_ATOM} = 'VERB_STEM' THEN 'PAST' ELSE '' END)) AS inflections FROM d WHERE reason IS NULL""",
+    "compile_failures": f"{_compiled()} SELECT id AS document_id, reason, teacher, detail FROM d WHERE reason IS NOT NULL",
+    "compile_summary": f"""{_compiled()} SELECT count(*) AS total_sentences, count(*) FILTER (reason IS NULL) AS successfully_aligned, count(*) FILTER (reason IS NOT NULL) AS dropped,
+ CASE WHEN count(*) > 0 THEN 100.0::DOUBLE * count(*) FILTER (reason IS NOT NULL) / count(*) ELSE 0.0 END AS drop_percentage FROM d""",
+    "synthetic_paradigms": f"""WITH {_WORDS}, v AS (SELECT * FROM (VALUES {", ".join(f"('{c}', '{p}', '{e}', '{','.join(f)}')" for c, table in V.PARADIGMS.items() for p, (e, f) in table.items())}) AS v(conjugation, paradigm, e, flags)),
+ l AS (SELECT w || CASE length(w) % 3 WHEN 0 THEN 'く' WHEN 1 THEN 'る' ELSE 'む' END AS lemma, w, CASE length(w) % 3 WHEN 0 THEN 'godan_k' WHEN 1 THEN 'ichidan' END AS conjugation FROM w)
+ SELECT lemma, paradigm, w || e AS text, {_split("lemma", 80, 10)} AS split, flags FROM l JOIN v USING (conjugation)""",
+    "synthetic_unsupported": f"WITH {_WORDS} SELECT w || 'む' AS lemma FROM w WHERE length(w) % 3 = 2",
+    "ud_gold": _ud_gold(),
+    "knp_gold": _knp_gold(),
+    "model_params": "SELECT size, parameters::BIGINT AS parameters, characters, (parameters * characters)::BIGINT AS products FROM (VALUES ('50k', 58752), ('100k', 102392), ('150k', 134832), ('250k', 242592)) AS m(size, parameters), (SELECT coalesce(sum(length(text)), 0)::BIGINT AS characters FROM documents)",
+    "target_arrays": f"""WITH {_CODED}, e AS (SELECT id, n, {_CODED_ENDS}, g FROM c),
+ x AS (SELECT id, list_transform(range(1, n + 1), lambda spot: g[list_filter(g_a, lambda x: x >= spot)[1]]) AS own, list_transform(range(1, n + 1), lambda spot: g[list_filter(g_bunsetsu, lambda x: x >= spot)[1]]) AS ch FROM e)
+ SELECT id, array_to_string(list_transform(own, lambda v: (v % 12)::VARCHAR), ',') AS atom, array_to_string(list_transform(own, lambda v: (CASE WHEN v % 12 = {V.ATOM_TYPES.index("PARTICLE")} THEN (v // 3) % 12 ELSE {V.PARTICLE_FUNCTIONS.index("UNKNOWN")} END)::VARCHAR), ',') AS function,
+   array_to_string(list_transform(ch, lambda v: (v % 9)::VARCHAR), ',') AS role FROM x""",
 }

@@ -1,4 +1,4 @@
-"""Registered queries: each takes (spark, sf_dir) and returns a frame over whole tables or inline literals."""
+"""Registered queries: each takes (spark, sf_dir) and returns a frame over whole tables."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from lexloom.functions import vocabulary as V
 from lexloom.operators import align as A
 from lexloom.operators import compile as C
 from lexloom.operators import annotate, decode, dedup, extract, features, gold, infer, near, near_index, sample, score, shuffle, spans, stats, synth, systems, validate
-from lexloom.plans import literals, surrogates
+from lexloom.plans import surrogates
 from lexloom.sources import readers
 from lexloom.sources.weights import Weights
 from lexloom.streaming import first_stream
@@ -467,62 +467,161 @@ def _shown(c: Column) -> Column:
     return F.array_join(c, ",")
 
 
+#: What stands for tokens of a sentence, and of one without white space.
+FINE, SOLID = "[A-Za-z]+|[0-9]+| +|[^A-Za-z0-9 ]", "[A-Za-z]+|[0-9]+|[,.;:!?]"
+
+
+def _identified(spark, d) -> DataFrame:
+    return sentences(spark, d).select(F.concat("document_id", F.lit("#"), F.col("sentence_index").cast("string")).alias("id"), "text")
+
+
+def _tokens(pattern: str) -> Column:
+    return F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+
+
 def align_surfaces(spark, d):
-    rows = literals.alignments(spark)
-    a = A.align(F.col("text"), F.col("tokens"), "t")
-    return rows.select("id", a.alias("a")).select("id", F.col("a.reason").alias("reason"), F.col("a.token_index").alias("token_index"), _shown(F.transform("a.spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))).alias("spans"))
+    """Tokens of all sentences aligned with their text, after a fault that the sentence's length decides."""
+    rows = X.computed(_identified(spark, d), t=_tokens(FINE))
+    rows = X.computed(rows, starts=gold._starts(F.transform("t", F.length)), k=F.length("text") % 8, m=F.floor(F.size("t") / 2).cast("int"))
+    k, here = F.col("k"), lambda i: i == F.col("m")
+
+    def token(x: Column, i: Column) -> Column:
+        start = F.get("starts", i)
+        surface = F.when(k.isin(1, 7) & here(i), "Q~").when((k == 2) & here(i), "").otherwise(x)
+        begin = F.when((k == 5) & here(i), start + 1).otherwise(start)
+        end = F.when(~((k == 6) & here(i)), start + F.length(x))
+        return F.struct(surface.alias("surface"), F.when(k >= 4, begin).alias("start"), F.when(k >= 4, end).alias("end"))
+
+    tokens = F.transform("t", token)
+    told = A.align(F.col("text"), F.when(k == 3, F.slice(tokens, 1, F.size(tokens) - 1)).otherwise(tokens), "t")
+    return rows.select("id", told.alias("a")).select("id", F.col("a.reason").alias("reason"), F.col("a.token_index").alias("token_index"), F.col("a.detail").alias("detail"), F.coalesce(F.size("a.spans"), F.lit(0)).alias("spans"))
+
+
+#: Fields of a token's analysis, and what numbers made of a word pick of each.
+FIELDS = {
+    "p0": [*V.POS_ATOM, "?"], "p1": [*V.NOUN_DETAIL, *V.PARTICLE_DETAIL, "*"], "p4": [*V.COPULA_TYPES, "*"], "surface": [*V.PARTICLE_SURFACE, "に", *V.INFLECTION_SURFACE], "case": ["LOC", "DIR", "TIME", "QUOTE", "-"],
+    "normalized": [*V.INFLECTION_NORMALIZED, ""], "form": [*V.INFLECTION_FORM, ""], "dependency": [*V.DEPENDENCY_ROLE, "aux"], "predicate": ["yes", "no", "no"],
+}
 
 
 def map_labels(spark, d):
-    r = literals.labels(spark)
-    pos = F.col("pos")
+    """Labels of analyses that numbers made of the documents' words pick."""
+    words = documents(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).distinct()
+    number = F.ascii("w") + 31 * F.length("w") + 7 * F.ascii(F.substring("w", -1, 1))
+    r = X.computed(words, u=number)
+    r = X.computed(r, **{c: F.element_at(F.array(*map(F.lit, values)), (F.floor(F.col("u") / (k + 1)) % len(values)).cast("int") + 1) for k, (c, values) in enumerate(FIELDS.items())})
+    pos, star = F.array("p0", "p1", F.lit("*"), F.lit("*"), "p4"), F.when(F.col("case") != "-", F.col("case"))
+    function = L.particle_function(F.col("surface"), pos, star)
     return r.select(
-        "id", L.atom_type(pos).alias("atom_type"), L.particle_function(F.col("surface"), pos, F.col("case")).alias("function"), _shown(L.inflections(F.col("surface"), F.col("normalized"), F.col("form"))).alias("inflections"),
-        L.bunsetsu_role(F.col("dependency"), L.particle_function(F.col("surface"), pos, F.col("case")), F.col("predicate")).alias("role"),
+        F.col("w").alias("word"), L.atom_type(pos).alias("atom_type"), function.alias("function"), _shown(L.inflections(F.col("surface"), F.col("normalized"), F.col("form"))).alias("inflections"),
+        L.bunsetsu_role(F.col("dependency"), function, F.col("predicate") == "yes").alias("role"),
     )
 
 
 def validate_codes(spark, d):
-    r = literals.records(spark)
-    v = validate.violations(F.col("text"), F.col("boundaries"), F.col("spans"), F.col("b_spans"), F.col("bunsetsu"))
-    return r.select("id", _shown(v).alias("codes"))
+    """Codes of the coded records of all sentences, after a fault that the sentence's length decides."""
+    r = X.computed(_coded(_identified(spark, d), _points()), k=F.length("text") % 13)
+    k = F.col("k")
+    first = lambda c, change: F.transform(c, lambda x, i: F.when(i == 0, change(x)).otherwise(x))
+    bounds, own = F.col("boundaries"), F.col("spans")
+    faulty = (
+        F.when(k == 4, F.lit(None)).when(k == 6, first(own, lambda x: x.withField("atom_type", F.lit("NOUN")))).when(k == 7, first(own, lambda x: x.withField("function", F.lit("WHO"))))
+        .when(k == 8, first(own, lambda x: x.withField("inflections", F.array(F.lit("WAS"))))).when(k == 10, F.transform(own, lambda x, i: F.when(i == F.size(own) - 1, x.withField("end", x["end"] + 1)).otherwise(x)))
+        .when(k == 11, F.slice(own, 2, F.size(own))).otherwise(own)
+    )
+    chunks = F.when(k == 5, F.lit(None)).when(k == 9, first(F.col("bunsetsu"), lambda x: x.withField("role", F.lit("VERB")))).otherwise(F.col("bunsetsu"))
+    levels = F.when(k == 2, F.lit(None)).when(k == 3, bounds.withField("a", F.reverse(bounds["a"]))).when(k == 12, bounds.withField("b", F.lit(None).cast("array<int>"))).otherwise(bounds)
+    r = X.computed(r, text=F.when(k != 1, F.col("text")), boundaries=levels, spans=faulty, bunsetsu=chunks)
+    return r.select("id", _shown(validate.violations(F.col("text"), F.col("boundaries"), F.col("spans"), F.col("b_spans"), F.col("bunsetsu"))).alias("codes"))
+
+
+def _compiled(spark, d) -> DataFrame:
+    """All sentences compiled from what the surrogate analysers say of them; those under eight characters are too short."""
+    schema = ", ".join(x for x in C.RAW.split(", ") if x.split()[0] in C.TEACHERS)
+    told = annotate.annotated(_identified(spark, d), surrogates.raw_analyser, spark.createDataFrame([], schema).schema).select("id", "text", "record.*")
+    none = {"clause_boundaries": "array<int>", "alignment_adjustments": "array<string>", "teacher_versions": "map<string,string>"}
+    raw = told.select("text", F.lit("documents").alias("source"), F.col("id").alias("document_id"), *C.TEACHERS, *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    return C.compile_records(raw, least=8)
 
 
 def compile_records(spark, d):
-    r = C.records(C.compile_records(literals.raw(spark)))
+    r = C.records(_compiled(spark, d))
     return r.select("document_id", F.posexplode("spans").alias("i", "s")).select("document_id", "i", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "s.atom_type", "s.function", _shown(F.col("s.inflections")).alias("inflections"))
 
 
 def compile_failures(spark, d):
-    return C.failures(C.compile_records(literals.raw(spark))).select("document_id", "reason", "teacher", "detail")
+    return C.failures(_compiled(spark, d)).select("document_id", "reason", "teacher", "detail")
 
 
 def compile_summary(spark, d):
-    return stats.summary(C.compile_records(literals.raw(spark)))
+    return stats.summary(_compiled(spark, d))
+
+
+def _lexicon(spark, d) -> DataFrame:
+    """The documents' words with an ending of one of three conjugations, one of which has no paradigm."""
+    words = documents(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).distinct()
+    k = F.length("w") % 3
+    return words.select(F.concat("w", F.when(k == 0, "く").when(k == 1, "る").otherwise("む")).alias("lemma"), F.when(k == 0, "godan_k").when(k == 1, "ichidan").otherwise("godan_m").alias("conjugation"))
 
 
 def synthetic_paradigms(spark, d):
-    return synth.generate(literals.lexicon(spark)).select("lemma", "paradigm", "text", "split", _shown(F.col("spans")[1]["inflections"]).alias("flags"))
+    return synth.generate(_lexicon(spark, d), strict=False).select("lemma", "paradigm", "text", "split", _shown(F.col("spans")[1]["inflections"]).alias("flags"))
 
 
 def synthetic_unsupported(spark, d):
-    return synth.unsupported(literals.lexicon(spark)).select("lemma")
+    return synth.unsupported(_lexicon(spark, d)).select("lemma")
 
 
 def _gold(r: DataFrame) -> DataFrame:
     return r.select("document_id", F.posexplode("spans").alias("i", "s"), F.size("errors").alias("errors"), F.array_join(F.transform("bunsetsu", lambda b: b["role"]), ",").alias("roles")).select("document_id", "i", "errors", "roles", "s.atom_type", "s.function", _shown(F.col("s.inflections")).alias("inflections"))
 
 
+def _kind(x: Column) -> Column:
+    """What a token's form says: SPACE, NUM, PUNCT, ADP (two letters at most), VERB (five, ten, ...) or NOUN."""
+    n = F.length(x)
+    return F.when(x.startswith(" "), "SPACE").when(x.rlike("^[0-9]"), "NUM").when(~x.rlike("^[A-Za-z]"), "PUNCT").when(n <= 2, "ADP").when(n % 5 == 0, "VERB").otherwise("NOUN")
+
+
 def ud_gold(spark, d):
-    return _gold(gold.ud_records(readers.conllu_blocks(literals.conllu(spark))))
+    """All sentences written as CoNLL-U blocks by their tokens' forms, read and turned into gold records."""
+    rows = X.computed(_identified(spark, d), text=F.translate("text", "\t", " "))
+    rows = X.computed(rows, t=_tokens(FINE))
+    rows = X.computed(rows, kinds=F.transform("t", _kind))
+
+    def line(x: Column, i: Column) -> Column:
+        kind, before = F.get("kinds", i), F.get("kinds", i - 1)
+        past = F.when((kind == "VERB") & (F.length(x) % 10 == 0), "Tense=Past").otherwise("_")
+        starts_b = (i == 0) | (kind != "SPACE")
+        starts_chunk = starts_b & ((i == 0) | (before == "PUNCT"))
+        misc = F.concat_ws("|", F.when(starts_chunk, "BunsetuBILabel=B").otherwise("BunsetuBILabel=I"), F.when(starts_b, "LUWBILabel=B").otherwise("LUWBILabel=I"))
+        upos = F.when(kind == "SPACE", "X").otherwise(kind)
+        return F.concat_ws("\t", (i + 1).cast("string"), x, F.lit("_"), upos, F.lit("_"), past, F.lit("0"), F.when(kind == "VERB", "root").otherwise("obj"), F.lit("_"), misc)
+
+    block = F.concat(F.array(F.concat(F.lit("# sent_id = "), "id"), F.concat(F.lit("# text = "), "text")), F.transform("t", line))
+    return _gold(gold.ud_records(readers.conllu_blocks(rows.select(F.array_join(block, "\n").alias("value")))))
 
 
 def knp_gold(spark, d):
-    return _gold(gold.knp_records(readers.knp_blocks(literals.knp(spark))))
+    """All sentences written as KNP blocks by their tokens' forms, read and turned into gold records."""
+    rows = X.computed(_identified(spark, d), t=_tokens(SOLID))
+    rows = X.computed(rows, kinds=F.transform("t", _kind))
+
+    def lines(x: Column, i: Column) -> Column:
+        kind, before = F.get("kinds", i), F.get("kinds", i - 1)
+        pos = F.when(kind == "PUNCT", "特殊").when(kind == "ADP", "助詞").when(kind == "VERB", "動詞").otherwise("名詞")
+        form = F.when((kind == "VERB") & (F.length(x) % 10 == 0), "タ形").otherwise("*")
+        token = F.concat_ws(" ", x, x, x, pos, F.lit("0"), F.lit("*"), F.lit("0"), F.lit("*"), F.lit("0"), form, F.lit("0"))
+        return F.array_compact(F.array(F.when((i == 0) | (before == "PUNCT"), "* -1D"), F.when((i == 0) | before.isin("PUNCT", "ADP"), "+ -1D"), token))
+
+    block = F.concat(F.array(F.concat(F.lit("# S-ID:"), "id")), F.flatten(F.transform("t", lines)))
+    return _gold(gold.knp_records(readers.knp_blocks(rows.select(F.array_join(block, "\n").alias("value"), F.col("id").alias("document_id")))))
 
 
 def model_params(spark, d):
-    return spark.createDataFrame([(size, int(infer.parameters(size)["total_parameters"])) for size in V.MODEL_SIZES], "size string, parameters long")
+    """By model size: parameters, and the multiplications by parameters that all characters of the documents ask for."""
+    n = documents(spark, d).agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"))
+    sizes = F.array(*[F.struct(F.lit(size).alias("size"), F.lit(int(infer.parameters(size)["total_parameters"])).cast("long").alias("parameters")) for size in V.MODEL_SIZES])
+    return n.select(F.explode(sizes).alias("m"), "characters").select("m.size", "m.parameters", "characters", (F.col("m.parameters") * F.col("characters")).alias("products"))
 
 
 def infer_seeded(spark, d):
@@ -566,10 +665,10 @@ def decode_records(spark, d):
 
 
 def target_arrays(spark, d):
-    """Class numbers by character of the literal records."""
-    r = features.targets(C.records(C.compile_records(literals.raw(spark))))
+    """Class numbers by character of the coded records of all sentences."""
+    r = features.targets(_coded(_identified(spark, d), _points()))
     n = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    return r.select("document_id", n("atom_targets").alias("atom"), n("function_targets").alias("function"), n("role_targets").alias("role"))
+    return r.select("id", n("atom_targets").alias("atom"), n("function_targets").alias("function"), n("role_targets").alias("role"))
 
 
 def web_parquet_scan(spark, d):

@@ -57,3 +57,20 @@ def chunk_analyser():
         return [{"chunks": _chunks(t)} for t in texts]
 
     return analyse
+
+
+def raw_analyser():
+    """Tokens and chunks of compile.RAW, null where the analyser of either fails; white space joins the chunk before it."""
+    chunk = ("surface", "start", "end", "dependency", "is_predicate", "particle_function")
+
+    def one(text: str) -> dict:
+        own = _chunks(text)
+        ends = [c["start"] for c in own[1:]] + [len(text)]
+        cut = [dict(zip(chunk, (text[a:b], None, None, c["dependency"], c["is_predicate"], "TOPIC" if c["topic"] else None), strict=True)) for c, a, b in zip(own, [0, *ends], ends, strict=False)]
+        tokens = len(text) % TOKENS_FAIL != 0
+        return {
+            "sudachi_a": [_token(s) for s in FINE.findall(text)] if tokens else None, "sudachi_b": [_token(s) for s in COARSE.findall(text)] if tokens else None,
+            "ginza_bunsetsu": cut if own and len(text) % CHUNKS_FAIL else None,
+        }
+
+    return lambda texts: [one(t) for t in texts]

@@ -6,6 +6,7 @@ import os
 import random
 
 import numpy as np
+import literals
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from lexloom.functions import vocabulary as V
 from lexloom.operators import align, annotate
 from lexloom.operators import compile as C
 from lexloom.operators import dedup, extract, features, infer, near, near_index, sample, score, shuffle, spans, stats, systems
-from lexloom.plans import literals, oracles, queries
+from lexloom.plans import oracles, queries
 from lexloom.sources import readers, record_source, weights, writers
 from lexloom.streaming import compile_stream, first_stream, stats_stream
 
