@@ -305,15 +305,15 @@ def _validate_codes() -> str:
    WHEN 12 THEN 'b_boundaries_not_list,b_spans_do_not_match_b_boundaries,bunsetsu_boundaries_missing_in_b' ELSE '' END AS codes FROM e"""
 
 
-def _compiled() -> str:
+def _compiled(least: int = 8) -> str:
     """CTE d: sentences with tokens t, their ends te, and why they do not compile."""
     summed = lambda of: f"list_transform(range(1, len({of}) + 1), lambda i: list_sum(list_transform({of}[1:i], lambda x: length(x)))::BIGINT)"
     return f"""{_CHUNKS}, t0 AS (SELECT document_id || '#' || sentence_index AS id, text, length(text) AS n, regexp_extract_all(text, '{FINE}') AS t, regexp_extract_all(text, '[^ ]+ *| +') AS bt FROM s),
  d0 AS (SELECT t0.*, {summed("t")} AS te, {summed("bt")} AS be, h.before_ AS ce FROM t0 LEFT JOIN h USING (id)),
  d1 AS (SELECT *, list_filter(ce, lambda x: NOT list_contains(be, x)) AS lacks FROM d0),
- d AS (SELECT *, CASE WHEN n < 8 THEN 'length_out_of_range' WHEN n % 11 = 0 OR ce IS NULL THEN 'teacher_missing' WHEN len(lacks) > 0 THEN 'teacher_boundary_disagreement' END AS reason,
-   CASE WHEN n < 8 THEN 'raw' WHEN n % 11 = 0 THEN 'sudachi_a' WHEN ce IS NULL THEN 'ginza_bunsetsu' WHEN len(lacks) > 0 THEN 'cross_teacher' END AS teacher,
-   CASE WHEN n < 8 THEN 'length=' || n WHEN n % 11 = 0 OR ce IS NULL THEN '' WHEN len(lacks) > 0 THEN 'bunsetsu endpoints absent from b: [' || array_to_string(lacks, ', ') || ']' END AS detail FROM d1)"""
+ d AS (SELECT *, CASE WHEN n < {least} THEN 'length_out_of_range' WHEN n % 11 = 0 OR ce IS NULL THEN 'teacher_missing' WHEN len(lacks) > 0 THEN 'teacher_boundary_disagreement' END AS reason,
+   CASE WHEN n < {least} THEN 'raw' WHEN n % 11 = 0 THEN 'sudachi_a' WHEN ce IS NULL THEN 'ginza_bunsetsu' WHEN len(lacks) > 0 THEN 'cross_teacher' END AS teacher,
+   CASE WHEN n < {least} THEN 'length=' || n WHEN n % 11 = 0 OR ce IS NULL THEN '' WHEN len(lacks) > 0 THEN 'bunsetsu endpoints absent from b: [' || array_to_string(lacks, ', ') || ']' END AS detail FROM d1)"""
 
 
 _FORM = "CASE WHEN w[1] = ' ' THEN 'SPACE' WHEN regexp_matches(w, '^[0-9]') THEN 'NUM' WHEN NOT regexp_matches(w, '^[A-Za-z]') THEN 'PUNCT' WHEN length(w) <= 2 THEN 'ADP' WHEN length(w) % 5 = 0 THEN 'VERB' ELSE 'NOUN' END"
@@ -464,8 +464,31 @@ ORACLES = {
     "ud_gold": _ud_gold(),
     "knp_gold": _knp_gold(),
     "model_params": "SELECT size, parameters::BIGINT AS parameters, characters, (parameters * characters)::BIGINT AS products FROM (VALUES ('50k', 58752), ('100k', 102392), ('150k', 134832), ('250k', 242592)) AS m(size, parameters), (SELECT coalesce(sum(length(text)), 0)::BIGINT AS characters FROM documents)",
+    "wiki_lines": "SELECT 'wiki' AS source, doc_id::VARCHAR AS document_id, length(text)::INTEGER AS chars, 'document ' || doc_id AS title FROM documents WHERE doc_id IS NOT NULL AND length(text) > 0",
+    "document_lines": """WITH o AS (SELECT source, text FROM documents WHERE doc_id % 10 <> 0 AND length(text) > 0)
+ SELECT source, count(*) AS documents, sum(length(text))::BIGINT AS chars, (SELECT count(*) FROM o) AS lines FROM o GROUP BY source""",
+    "split_lines": f"SELECT document_id, split FROM (SELECT document_id, {_split(DOC_KEY, 85, 10)} AS split FROM ({DOCS})) WHERE split = 'dev'",
+    "limited_lines": "SELECT least(100, count(*)) AS lines FROM documents",
+    "good_and_bad_lines": f"{_compiled()} SELECT coalesce(reason, 'atoms ' || len(t)) AS told, count(*) AS n FROM d GROUP BY ALL",
+    "compiled_stream": f"{_compiled(4)} SELECT CASE WHEN n % 17 = 0 THEN 'invalid_json' ELSE coalesce(reason, 'compiled') END AS told, count(*) AS n FROM d GROUP BY ALL",
+    "training_files": f"""WITH {S}, c AS (SELECT {_split(DOC_KEY, 85, 10)} AS split, length(text) AS n, CASE WHEN length(text) <= 32 THEN 32 WHEN length(text) <= 64 THEN 64 ELSE 128 END AS bucket, list_transform(range(1, length(text) + 1), lambda i: unicode(substr(text, i::INT, 1))) AS g FROM s),
+ e AS (SELECT split, bucket, n, g, {_CODED_ENDS} FROM c),
+ x AS (SELECT *, list_transform(range(1, n + 1), lambda spot: g[list_filter(g_a, lambda x: x >= spot)[1]] % 12) AS atoms, list_transform(range(1, n + 1), lambda spot: g[list_filter(g_bunsetsu, lambda x: x >= spot)[1]] % 9) AS roles FROM e)
+ SELECT split, bucket, count(*) AS n, sum(n)::BIGINT AS chars, sum(list_sum(atoms))::BIGINT AS atoms, sum(list_sum(roles))::BIGINT AS roles, sum(len(g_a) + len(g_b) + len(g_bunsetsu) + len(g_clause) + len(g_sentence))::BIGINT AS ends FROM x GROUP BY split, bucket""",
+    "invalid_documents": """SELECT doc_id::VARCHAR AS document_id, 'invalid_document' AS reason, CASE WHEN doc_id % 10 = 1 THEN 0 WHEN doc_id % 10 = 0 THEN -1 ELSE coalesce(length(text), -1) END::INTEGER AS chars FROM documents
+ WHERE doc_id % 10 IN (0, 1) OR text IS NULL OR text = '' OR source IS NULL OR source = ''""",
+    "rejected_texts": """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN '' WHEN doc_id % 10 <> 0 THEN substr(text, 1, 125 + (doc_id % 9)::INT) END AS text FROM documents),
+ r AS (SELECT doc_id::VARCHAR AS document_id, CASE WHEN text IS NULL OR text = '' THEN 'text must be non-empty' WHEN length(text) > 128 THEN 'text exceeds 128 code points: ' || length(text) END AS reason FROM t) SELECT * FROM r WHERE reason IS NOT NULL""",
+    "display_labels": f"""WITH {_CODED}, e AS (SELECT {_CODED_ENDS}, g FROM c), x AS (SELECT unnest(list_transform(g_a, lambda i: g[i])) AS v FROM e),
+ l AS (SELECT {_picked([x.removesuffix("_LIKE") for x in V.ATOM_TYPES], "v")} || CASE WHEN v % 12 = {V.ATOM_TYPES.index("PARTICLE")} THEN ' · ' || {_picked(V.PARTICLE_FUNCTIONS, "v // 3")} ELSE '' END AS label FROM x) SELECT label, count(*) AS n FROM l GROUP BY label""",
+    "affine_scans": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+ SELECT vec_id, round(list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * pow(0.5::DOUBLE, len(v) - i))), 6) AS forward, round(list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * pow(0.5::DOUBLE, i - 1))), 6) AS backward FROM v""",
+    "failure_stats": f"""{_compiled()}, w AS (SELECT unnest(t) AS w FROM d WHERE reason IS NULL), a AS (SELECT {_WORD_ATOM} AS atom FROM w)
+ SELECT 'drop_reason' AS metric, reason AS key, count(*) AS count FROM d WHERE reason IS NOT NULL GROUP BY reason UNION ALL SELECT 'sentence_length', n::VARCHAR, count(*) FROM d WHERE reason IS NULL GROUP BY n
+ UNION ALL SELECT 'atom_type', atom, count(*) FROM a GROUP BY atom UNION ALL SELECT 'function', 'TOPIC', count(*) FROM a WHERE atom = 'PARTICLE' HAVING count(*) > 0 UNION ALL SELECT 'inflection', 'PAST', count(*) FROM a WHERE atom = 'VERB_STEM' HAVING count(*) > 0""",
     "target_arrays": f"""WITH {_CODED}, e AS (SELECT id, n, {_CODED_ENDS}, g FROM c),
  x AS (SELECT id, list_transform(range(1, n + 1), lambda spot: g[list_filter(g_a, lambda x: x >= spot)[1]]) AS own, list_transform(range(1, n + 1), lambda spot: g[list_filter(g_bunsetsu, lambda x: x >= spot)[1]]) AS ch FROM e)
  SELECT id, array_to_string(list_transform(own, lambda v: (v % 12)::VARCHAR), ',') AS atom, array_to_string(list_transform(own, lambda v: (CASE WHEN v % 12 = {V.ATOM_TYPES.index("PARTICLE")} THEN (v // 3) % 12 ELSE {V.PARTICLE_FUNCTIONS.index("UNKNOWN")} END)::VARCHAR), ',') AS function,
    array_to_string(list_transform(ch, lambda v: (v % 9)::VARCHAR), ',') AS role FROM x""",
 }
+ORACLES["encoded_pairs"] = ORACLES["categorical_features"]

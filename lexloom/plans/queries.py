@@ -535,13 +535,17 @@ def validate_codes(spark, d):
     return r.select("id", _shown(validate.violations(F.col("text"), F.col("boundaries"), F.col("spans"), F.col("b_spans"), F.col("bunsetsu"))).alias("codes"))
 
 
-def _compiled(spark, d) -> DataFrame:
-    """All sentences compiled from what the surrogate analysers say of them; those under eight characters are too short."""
+def _raw(spark, d) -> DataFrame:
+    """All sentences with what the surrogate analysers say of them."""
     schema = ", ".join(x for x in C.RAW.split(", ") if x.split()[0] in C.TEACHERS)
     told = annotate.annotated(_identified(spark, d), surrogates.raw_analyser, spark.createDataFrame([], schema).schema).select("id", "text", "record.*")
     none = {"clause_boundaries": "array<int>", "alignment_adjustments": "array<string>", "teacher_versions": "map<string,string>"}
-    raw = told.select("text", F.lit("documents").alias("source"), F.col("id").alias("document_id"), *C.TEACHERS, *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
-    return C.compile_records(raw, least=8)
+    return told.select("text", F.lit("documents").alias("source"), F.col("id").alias("document_id"), *C.TEACHERS, *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+
+
+def _compiled(spark, d) -> DataFrame:
+    """All sentences compiled; those under eight characters are too short."""
+    return C.compile_records(_raw(spark, d), least=8)
 
 
 def compile_records(spark, d):

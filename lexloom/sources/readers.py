@@ -86,6 +86,11 @@ def line_numbers(lines: DataFrame, *order: str) -> DataFrame:
     return lines.withColumn("line", F.row_number().over(W.partitionBy("file").orderBy(*order)) - 1)
 
 
+def line_count(spark: SparkSession, path: str) -> DataFrame:
+    """(lines): the lines of the files at path, counted where they lie."""
+    return spark.read.option("recursiveFileLookup", "true").text(path).agg(F.count("*").alias("lines"))
+
+
 def training_arrays(spark: SparkSession, path: str, split: str, *arrays: str) -> DataFrame:
     """Padded training rows of a split (bucket, mask and the named arrays, else all); other splits and columns stay unread."""
     df = spark.read.parquet(path).where(F.col("split") == split)

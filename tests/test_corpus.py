@@ -16,7 +16,7 @@ from lexloom.functions import vocabulary as V
 from lexloom.operators import align, annotate
 from lexloom.operators import compile as C
 from lexloom.operators import dedup, extract, features, infer, near, near_index, sample, score, shuffle, spans, stats, systems
-from lexloom.plans import oracles, queries
+from lexloom.plans import oracles, queries, round_trips
 from lexloom.sources import readers, record_source, weights, writers
 from lexloom.streaming import compile_stream, first_stream, stats_stream
 
@@ -601,7 +601,7 @@ def test_bounded_shuffle(spark):
 
 
 def test_every_oracle_has_a_query():
-    assert set(oracles.ORACLES) <= set(queries.QUERIES)
+    assert set(oracles.ORACLES) <= set(queries.QUERIES | round_trips.QUERIES)
 
 
 def test_analyze_texts(spark):
