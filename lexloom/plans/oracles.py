@@ -341,6 +341,29 @@ def _knp_gold() -> str:
  {_gold_rows(role, atom, "PAST")}"""
 
 
+def _build_report() -> str:
+    """Documents and conversations in order: dispositions by md5 prints, then sentences of the kept, firsts and quotas."""
+    every = "SELECT source, seq::VARCHAR AS document_id, text FROM c"
+    kept = "SELECT source, document_id, text, seq FROM p WHERE disposition = 'kept'"
+    return f"""WITH RECURSIVE c AS MATERIALIZED (SELECT source, doc_id::VARCHAR AS document_id, text, doc_id::BIGINT AS seq FROM documents
+ UNION ALL SELECT 'conversations', conv_id || ':' || turn, text, (1::BIGINT << 40) + conv_id::BIGINT * 1048576 + turn FROM conversations),
+{MD5.replace(DOCS, every)},
+k AS (SELECT seq, text, sha256(text) AS k FROM c WHERE text IS NOT NULL AND document_id IS NOT NULL), x AS MATERIALIZED (SELECT k, min(seq) AS seq, any_value(text) AS text FROM k GROUP BY k),
+o AS MATERIALIZED (SELECT x.k, fp, row_number() OVER (ORDER BY seq) AS i FROM x JOIN fp ON seq = document_id::BIGINT WHERE length(text) >= 80),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept, false AS near UNION ALL
+   SELECT i, CASE WHEN near THEN kept ELSE list_append(kept, fp) END, near FROM (
+     SELECT o.i, fp, kept, len(list_filter(kept, lambda q: bit_count(xor(q, fp)) <= 1)) > 0 AS near FROM r JOIN o ON o.i = r.i + 1)),
+m AS (SELECT k FROM o JOIN r USING (i) WHERE near),
+p AS MATERIALIZED (SELECT c.*, CASE WHEN k.k IS NULL THEN 'invalid' WHEN k.k IN (SELECT k FROM m) THEN 'near' WHEN c.seq = x.seq THEN 'kept' ELSE 'exact' END AS disposition FROM c LEFT JOIN k ON c.seq = k.seq LEFT JOIN x ON k.k = x.k),
+{_sentences('s', f"SELECT source, seq::VARCHAR AS document_id, text FROM ({kept})")},
+u AS (SELECT source, row_number() OVER (PARTITION BY dedup_key ORDER BY document_id::BIGINT, sentence_index) AS place FROM s),
+d AS (SELECT source, count(*) FILTER (disposition = 'kept') AS documents, count(*) FILTER (disposition = 'exact') AS exact_duplicate_documents, count(*) FILTER (disposition = 'near') AS near_duplicate_documents,
+   count(*) FILTER (disposition = 'invalid' OR (disposition = 'kept' AND (length(text) = 0 OR length(document_id) = 0))) AS invalid_documents FROM p GROUP BY source),
+z AS (SELECT source, count(*) AS candidates, count(*) FILTER (place = 1) AS firsts FROM u GROUP BY source)
+SELECT d.*, coalesce(candidates, 0)::BIGINT AS candidate_sentences, least(100, coalesce(firsts, 0))::BIGINT AS selected, 100::BIGINT AS requested, (coalesce(candidates, 0) - coalesce(firsts, 0))::BIGINT AS duplicates,
+  (100 - least(100, coalesce(firsts, 0)))::BIGINT AS shortfall FROM d LEFT JOIN z ON d.source IS NOT DISTINCT FROM z.source"""
+
+
 ORACLES = {
     "sentences_extract": f"WITH {S} SELECT text, source, document_id, sentence_index, document_start, document_end, {_split(DOC_KEY, 98, 1)} AS split, dedup_key FROM s",
     "sentences_dedup": f"""WITH {S}, {_sentences('t', "SELECT 'conversations' AS source, conv_id::VARCHAR || ':' || turn::VARCHAR AS document_id, text FROM conversations")},
@@ -464,6 +487,7 @@ ORACLES = {
     "ud_gold": _ud_gold(),
     "knp_gold": _knp_gold(),
     "model_params": "SELECT size, parameters::BIGINT AS parameters, characters, (parameters * characters)::BIGINT AS products FROM (VALUES ('50k', 58752), ('100k', 102392), ('150k', 134832), ('250k', 242592)) AS m(size, parameters), (SELECT coalesce(sum(length(text)), 0)::BIGINT AS characters FROM documents)",
+    "build_report_md5": _build_report(),
     "wiki_lines": "SELECT 'wiki' AS source, doc_id::VARCHAR AS document_id, length(text)::INTEGER AS chars, 'document ' || doc_id AS title FROM documents WHERE doc_id IS NOT NULL AND length(text) > 0",
     "document_lines": """WITH o AS (SELECT source, text FROM documents WHERE doc_id % 10 <> 0 AND length(text) > 0)
  SELECT source, count(*) AS documents, sum(length(text))::BIGINT AS chars, (SELECT count(*) FROM o) AS lines FROM o GROUP BY source""",

@@ -167,11 +167,38 @@ def near_dup_batches(spark, d):
     return out
 
 
+def _corpus(spark, d) -> DataFrame:
+    """Documents, then the turns of conversations, numbered in that order (seq)."""
+    docs = documents(spark, d).select("source", "document_id", "text", F.col("doc_id").cast("long").alias("seq"))
+    turn = F.lit(1 << 40) + F.col("conv_id").cast("long") * (1 << 20) + F.col("turn")
+    turns = table(spark, d, "conversations").select(F.lit("conversations").alias("source"), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("document_id"), "text", turn.alias("seq"))
+    return docs.unionByName(turns)
+
+
+def _report(spark, d, docs: DataFrame) -> DataFrame:
+    """The build's report of docs (seq, source, document_id, text, disposition), with a quota for each source."""
+    docs = near.checkpointed(docs)
+    kept = docs.where("disposition = 'kept'")
+    order = kept.select("source", "document_id", "seq")
+    s = near.checkpointed(extract.extract_sentences(kept).drop("split").join(order, ["source", "document_id"]))
+    unique = near.checkpointed(extract.first_of_each_sentence(s, F.col("seq"), F.col("sentence_index")))
+    quotas = docs.select("source").distinct().withColumn("quota", F.lit(QUOTA))
+    return stats.build_report(docs, s, unique, sample.quota_sample(unique, quotas), quotas)
+
+
 def build_report(spark, d):
-    docs = dedup.dispositions(documents(spark, d).withColumn("seq", F.col("doc_id")))
-    s = extract.extract_sentences(docs.where("disposition = 'kept'"))
-    unique = extract.first_of_each_sentence(s, F.col("document_id").cast("long"), F.col("sentence_index"))
-    return stats.build_report(docs, s, unique, sample.quota_sample(unique, _quotas(spark, d)), _quotas(spark, d))
+    """The report over documents and conversations, near duplicates by blake2b prints of 64 bits."""
+    return _report(spark, d, dedup.dispositions(_corpus(spark, d)))
+
+
+def build_report_md5(spark, d):
+    """The same report with near duplicates by md5 prints of 32 bits, at most one bit apart, which SQL can repeat."""
+    docs = _corpus(spark, d)
+    there = docs.where("text is not null and document_id is not null")
+    prints = dedup.simhash_md5(there.where(F.length("text") >= dedup.MIN_CHARS).withColumn("document_id", F.col("seq").cast("string"))).select(F.col("document_id").cast("long").alias("seq"), "fp")
+    rows = there.select("seq", X.stable_hash(F.col("text")).alias("document_key")).join(prints, "seq", "left")
+    told, _ = dedup.judged(near.checkpointed(rows), distance=1, bits=32, blocks=3)
+    return _report(spark, d, docs.join(told, "seq", "left").withColumn("disposition", F.coalesce("disposition", F.lit("invalid"))))
 
 
 def holdout_anti_join(spark, d):
@@ -686,7 +713,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sentences_extract, sentences_dedup, sentences_quota_sample, sentences_quota_shortfall, quota_unknown_sources, docs_split_98_1_1, docs_split_85_10_5, lemma_split_80_10_10, split_counts,
-        split_leakage, docs_top_hash, docs_exact_dedup, simhash_md5, simhash_bands, near_dup_pairs, near_dup_pairs64, near_dup_groups, near_dup_scan, near_dup_dispositions, near_dup_batches, build_report, holdout_anti_join, shards_manifest, shards_reconcile, shards_merged,
+        split_leakage, docs_top_hash, docs_exact_dedup, simhash_md5, simhash_bands, near_dup_pairs, near_dup_pairs64, near_dup_groups, near_dup_scan, near_dup_dispositions, near_dup_batches, build_report, build_report_md5, holdout_anti_join, shards_manifest, shards_reconcile, shards_merged,
         script_distribution, char_class_distribution, script_transitions, codepoint_buckets, bigram_buckets, categorical_features, length_histogram, length_buckets, padded_batches, batch_schedule, shuffle_buffer, first_documents_stream, first_sentences_stream, padded_codepoints, common_rows, char_ngrams_top,
         boundary_f1, atom_f1, atom_macro_f1, role_f1, tree_exact, score_report, teacher_systems, teacher_chunks, inflection_multilabel, function_f1, corpus_stats, endpoint_hierarchy, nested_boundaries, partition_spans, tree_edges,
         teacher_agreement, argmax_decode, softmax_confidence, align_surfaces, map_labels, validate_codes, compile_records, compile_failures, compile_summary, synthetic_paradigms, synthetic_unsupported,
