@@ -4,14 +4,16 @@ Words are counted over all training documents. The most frequent are outputs of
 kind, an output that its spelling gives (beyond-ASCII letter, ending, length). Outputs are in classes of equal mass of
 the square root of frequency, so that frequent ones have small classes. The model gives P(class | state) and P(output |
 class, state); within a kind, words have their smoothed share of the kind. The state is a gated mean of what it was and
-of a candidate. It is trained by truncated backpropagation in numpy on every training document, once: each document
-belongs to one round, in each round every task trains on its documents block by block, then the tasks' weights are
-averaged. A document's score carries the state through the whole document, window by window.
+of a candidate. It is trained by truncated backpropagation in numpy on every training document, once: a hash of what a
+document holds gives it a round, a stream and a place in it; in each round every stream trains on its documents block by
+block, then the streams' weights are averaged. There are as many streams as the tokens ask for, however the table is
+cut, so the same documents give the same scores in any partitioning. A document's score carries the state through the whole document, window by window.
 """
 
 from __future__ import annotations
 
 import ctypes
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,12 +25,14 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import NOT_SPACE, Words, array_sums, checkpointed, hashes, lists, pieces, remainder, table, text_bytes, tidy
 
 #: Words of the model, classes, size of the state and of word vectors.
-MODEL_WORDS, CLASSES, STATE, VECTOR = 2000, 12, 24, 16
+MODEL_WORDS, CLASSES, STATE, VECTOR = 2000, 12, 32, 16
 #: Words whose counts are broadcast (16 bytes each); counts of rarer words are joined by a shuffle.
 KNOWN_WORDS = 400_000
 #: The training documents are dealt to ROUNDS; lanes and steps of a window of backpropagation.
 ROUNDS, LANES, STEPS, RATE = 6, 32, 24, 0.008
-#: Blocks after a task's first of the first round have WIDE lanes; a block is WINDOWS windows, all that a task holds of its
+#: Tokens of a stream in a round, about.
+STREAM_TOKENS = 1 << 20
+#: Blocks after a stream's first of the first round have WIDE lanes; a block is WINDOWS windows, all that a task holds of its
 #: documents at once.
 WIDE, WINDOWS = 512, 32
 #: Rows of the output layer that training works on at once.
@@ -364,7 +368,7 @@ def _sequences(vocabulary):
         for batch in pieces(batches):
             words = Words(batch["text"], NOT_SPACE)
             codes = _with_end(vocabulary.value.look_up(words)[2][words.codes], words.counts)
-            yield pa.RecordBatch.from_arrays([batch["part"], lists(codes.astype(np.int16), words.counts + 1)], names=["part", "codes"])
+            yield pa.RecordBatch.from_arrays([batch["round"], batch["stream"], batch["place"], lists(codes.astype(np.int16), words.counts + 1)], names=["round", "stream", "place", "codes"])
 
     return run
 
@@ -381,9 +385,17 @@ def _train(vocabulary, weights, rate: float, lanes: int):
     @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold_memory()
-        model = Model(vocabulary.value, weights.value)
-        n = model.train((np.asarray(b["codes"].flatten()) for b in batches if b.num_rows), rate, lanes)
-        if n:
+
+        def runs() -> Iterator[tuple[int, np.ndarray]]:
+            for b in batches:
+                stream = b["stream"].to_numpy()
+                ends = np.append(np.flatnonzero(np.diff(stream)) + 1, len(stream)) if len(stream) else []
+                for a, e in zip(np.append(0, ends[:-1]).astype(int), ends, strict=True) if len(stream) else ():
+                    yield int(stream[a]), np.asarray(b["codes"].slice(a, e - a).flatten())
+
+        for _, own in itertools.groupby(runs(), key=lambda x: x[0]):
+            model = Model(vocabulary.value, weights.value)
+            n = model.train((codes for _, codes in own), rate, lanes)
             flat = np.append(model.flat.astype(np.float64) * n, n)
             sizes = np.diff(np.append(np.arange(0, len(flat), PART), len(flat)))
             yield pa.RecordBatch.from_arrays([pa.array(range(len(sizes)), pa.int32()), lists(flat, sizes)], names=["place", "sums"])
@@ -447,16 +459,19 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
 
 
 def trained(docs: DataFrame, vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after rounds of local training and averaging; each document is in one round."""
+    """Weights after rounds of training in streams and averaging; each document is in one round and one stream."""
     sc = docs.sparkSession.sparkContext
-    order = F.xxhash64(F.lit("train"), "doc_id", "text")
-    parts = docs.select("text", F.pmod(F.shiftright(order, 8), F.lit(rounds)).cast("int").alias("part"))
-    parts = checkpointed(parts.mapInArrow(_sequences(vocabulary), "part int, codes array<smallint>"))
+    place = F.xxhash64(F.lit("train"), "doc_id", "text")
+    streams = max(1, round(vocabulary.value.total / rounds / STREAM_TOKENS))
+    pick = lambda shift, n: F.pmod(F.shiftright(place, shift), F.lit(n)).cast("int")
+    parts = docs.select("text", pick(8, rounds).alias("round"), F.pmod(F.xxhash64(F.lit("stream"), place), F.lit(streams)).cast("int").alias("stream"), place.alias("place"))
+    parts = checkpointed(parts.mapInArrow(_sequences(vocabulary), "round int, stream int, place bigint, codes array<smallint>"))
     flat = Model(vocabulary.value).flat
     for k in range(rounds):
         weights = sc.broadcast(flat)
         run = _train(vocabulary, weights, RATE * (1 - 0.8 * k / rounds), WIDE if k else LANES)
-        sums = array_sums(parts.where(F.col("part") == k).mapInArrow(run, "place int, sums array<double>"), "place", "sums").toPandas().sort_values("place")
+        own = parts.where(F.col("round") == k).drop("round").repartitionById(streams, "stream").sortWithinPartitions("stream", "place", "codes")
+        sums = array_sums(own.drop("place").mapInArrow(run, "place int, sums array<double>"), "place", "sums").toPandas().sort_values("place")
         if len(sums):
             total = np.concatenate(sums["sums"].tolist())
             flat = (total[:-1] / total[-1]).astype(np.float32)

@@ -10,6 +10,7 @@ from math import log10
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.llm import decontaminate, gated_lm, jaccard_join, line_dedup, prefix_forest, quality, source_mix, token_planes, toxicity, url_filter
 from lexloom.llm.components import components
@@ -386,6 +387,56 @@ def test_lm_trains_on_every_document(spark):
     assert seen.value == 300
 
 
+def test_lm_scores_do_not_depend_on_partitions(spark, docs, monkeypatch):
+    """Few tokens a stream, so that there are many; the same rows in one part, in five and in another order."""
+    monkeypatch.setattr(gated_lm, "STREAM_TOKENS", 40)
+    told = []
+    for own in (docs.coalesce(1), docs.repartition(5), docs.orderBy(F.desc("doc_id"))):
+        scores = gated_lm.lm_scores(own, own.where("doc_id % 4 <> 0")).collect()
+        told.append(sorted((r.doc_id, r.n_tokens, round(r.score, 4)) for r in scores))
+    assert told[0] == told[1] == told[2] and len({s for _, _, s in told[0]}) > 20
+
+
+def test_lm_scores_equal_a_plain_reading_of_the_weights(spark, docs, rows, monkeypatch):
+    """Each document's score, token by token in plain Python: state, class, output, and a word's share of its kind."""
+    held, kept = [], gated_lm.trained
+    monkeypatch.setattr(gated_lm, "trained", lambda train, vocabulary: held.append((vocabulary.value, kept(train, vocabulary))) or held[-1][1])
+    got = {(r.doc_id, r.n_tokens): r.score for r in gated_lm.lm_scores(docs, docs.where("doc_id % 4 <> 0")).collect()}
+    v, flat = held[0]
+    m = gated_lm.Model(v, flat)
+    w = {k: getattr(m, k).astype(np.float64) for k in m.shapes}
+    x = w["e"] @ w["wx"] + w["b"]
+    sigma = lambda z: 1 / (1 + np.exp(-2 * z))
+
+    def plain(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+        h, last, total = np.zeros(gated_lm.STATE), 0, 0.0
+        for word in [*words, None]:
+            code = 0
+            if word is not None:
+                one = gated_lm.Words(pa.array([word]), gated_lm.NOT_SPACE)
+                _, kind, code, count = (z[0] for z in v.look_up(one))
+                if v.is_kind[code]:
+                    total += log10((max(0, count) + 0.1) / (v.kind_total[kind] + 0.1 * (v.kind_distinct[kind] + 1)))
+            z = x[last] + h @ w["u"]
+            gate, candidate = sigma(z[: gated_lm.STATE]), np.tanh(z[gated_lm.STATE :])
+            h = (1 - gate) * h + gate * candidate
+            c = v.class_of[code]
+            logits = h @ w["wc"] + w["bc"]
+            total += (logits[c] - np.log(np.exp(logits).sum())) / np.log(10)
+            a, b = v.bounds[c], v.bounds[c + 1]
+            within = w["wo"][a:b] @ h + w["bo"][a:b]
+            total += (within[code - a] - np.log(np.exp(within).sum())) / np.log(10)
+            last = code
+        return total, len(words) + 1
+
+    texts = {(i, t) for i, t, *_ in rows if len(t or "") < 3000}
+    assert len(texts) > 20
+    for i, t in texts:
+        score, n = plain(t)
+        assert abs(got[i, n] - score) < 1e-3 * n
+
+
 def test_lm_carries_state_and_sums_to_one():
     m = _model()
     rng = np.random.default_rng(3)
