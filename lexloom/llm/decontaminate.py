@@ -13,11 +13,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.common import ALNUM, Words, hashes, lists, pieces, ragged, table, tidy, unused
+from lexloom.llm.common import ALNUM, Words, checkpointed, hashes, lists, pieces, ragged, table, tidy, unused
 
 #: Words of a test phrase; text of test items that one pass over the documents searches for. A word has a byte and a
 #: separator, so a block has 2 M windows at most and its broadcast some 120 MB; of prose, a sixth of that.
@@ -67,18 +67,30 @@ def suffix_array(symbols: np.ndarray, separators: np.ndarray) -> np.ndarray:
 
 
 class FmIndex:
-    """Backward search over symbols 1, 2, ... with 0 as separator; the sequence ends with a separator."""
+    """Backward search over symbols 1, 2, ... with 0 as separator; the sequence ends with a separator.
 
-    def __init__(self, symbols: np.ndarray):
-        separators = np.flatnonzero(symbols == 0)
-        order = suffix_array(symbols.astype(np.int64), separators)
+    before: the Burrows-Wheeler transform; kept: which suffixes' positions are sampled; sampled: those positions. All
+    else follows from them without a sort.
+    """
+
+    def __init__(self, before: np.ndarray, kept: np.ndarray, sampled: np.ndarray):
+        self.n, self.before, self.largest = len(before), before, int(before.max())
+        self.tree = WaveletMatrix(before.astype(np.int64), self.largest)
+        self.smaller = np.concatenate([[0], np.cumsum(np.bincount(before, minlength=self.largest + 1))])
+        self.kept, self.sampled = np.concatenate([[0], np.cumsum(kept)]), sampled
+
+    @staticmethod
+    def parts(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What an index is made of: the one sort of the symbols' suffixes."""
+        order = suffix_array(symbols.astype(np.int64), np.flatnonzero(symbols == 0))
         before = symbols[order - 1]
         before[order == 0] = 0
-        self.n, self.before, self.largest = len(symbols), before, int(symbols.max())
-        self.tree = WaveletMatrix(before.astype(np.int64), self.largest)
-        self.smaller = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=self.largest + 1))])
         kept = (order % SAMPLE == 0) | (before == 0)
-        self.kept, self.sampled = np.concatenate([[0], np.cumsum(kept)]), order[kept]
+        return before, kept, order[kept]
+
+    @classmethod
+    def of(cls, symbols: np.ndarray) -> FmIndex:
+        return cls(*cls.parts(symbols))
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For phrases of one length (a row each): from which to which suffix they begin."""
@@ -109,12 +121,14 @@ class FmIndex:
 
 
 class Phrases:
-    """The test items of one block: their distinct windows by length, and the items of each window."""
+    """The test items of one block: their distinct windows by length, and the items of each window. alphabet: the sorted
+    hashes of all items' words, if other blocks share it; shortest: the words of the shortest window of all."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], window: int = WINDOW):
+    def __init__(self, ids: list[int], texts: list[str | None], window: int = WINDOW, alphabet: np.ndarray | None = None, shortest: int | None = None):
         words = Words(pa.array(texts, pa.string()), ALNUM)
-        known, code = np.unique(hashes(words.distinct), return_inverse=True)
-        self.alphabet = known
+        own = hashes(words.distinct)
+        self.alphabet = np.unique(own) if alphabet is None else alphabet
+        code = np.searchsorted(self.alphabet, own)
         of = code[words.codes] + 1 if len(words.codes) else np.zeros(0, np.int64)
         counts, id_of = words.counts, np.array(ids, np.int64)
         #: by length: phrases (a row each), where the items of each begin, and the items
@@ -126,13 +140,20 @@ class Phrases:
             phrases, which = np.unique(rows, axis=0, return_inverse=True)
             pairs = np.unique(np.stack([which.reshape(-1), np.repeat(id_of[own], per)], 1), axis=0)
             self.groups.append((phrases, np.searchsorted(pairs[:, 0], np.arange(len(phrases) + 1)), pairs[:, 1]))
-        self.shortest = min((p.shape[1] for p, *_ in self.groups), default=0)
+        self.shortest = min((p.shape[1] for p, *_ in self.groups), default=0) if shortest is None else shortest
 
     def occurrences(self, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]:
         """(phrase number, first word, words of the phrase, where each phrase's items begin, items) of all occurrences
         in these texts."""
-        if not self.groups or not len(words.codes):
-            return
+        found = self.symbols(words) if self.groups else None
+        if found is not None:
+            yield from self.in_index(FmIndex.of(found[0]), found[1])
+
+    def symbols(self, words: Words) -> tuple[np.ndarray, np.ndarray] | None:
+        """The symbols of the texts' stretches of known words, each with a separator, and the word that each is of; None
+        if there are none."""
+        if not len(words.codes) or not len(self.alphabet):
+            return None
         h = hashes(words.distinct)
         at = np.minimum(np.searchsorted(self.alphabet, h), len(self.alphabet) - 1)
         symbol = np.where(self.alphabet[at] == h, at + 1, 0)[words.codes]
@@ -146,12 +167,14 @@ class Phrases:
         long = ends - starts >= self.shortest
         starts, sizes = starts[long], (ends - starts)[long]
         if not len(starts):
-            return
+            return None
         place = ragged(starts, sizes + 1)  # the place after each stretch stands for its separator
         last = np.cumsum(sizes + 1) - 1
         own = symbol[np.minimum(place, len(symbol) - 1)]
         own[last] = 0
-        index = FmIndex(own)
+        return own, place
+
+    def in_index(self, index: FmIndex, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]:
         for phrases, begin, items in self.groups:
             low, high = index.search(phrases)
             rows = ragged(low, high - low)
@@ -169,13 +192,12 @@ def _spans(marks: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _search(phrases, keep: list[str], cut: bool, names: list[str]):
-    """Adds what one block of items hits to what earlier blocks hit. names: of the columns for the number of words, the
-    spans (word numbers) and the items."""
+    """Adds what the items hit. names: of the columns for the number of words, the spans (word numbers) and the items; the
+    latter two may hold what is known to be hit already (phrases is None)."""
     n_words, all_spans, all_items = names
 
     @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = phrases.value
         for batch in pieces(batches):
             words = Words(batch["text"], ALNUM)
             marks = np.zeros(len(words.codes) + 1, np.int32)
@@ -184,7 +206,7 @@ def _search(phrases, keep: list[str], cut: bool, names: list[str]):
                 for a, b in zip(spans[::2], spans[1::2], strict=True):
                     marks[words.firsts[d] + a] += 1
                     marks[words.firsts[d] + b] -= 1
-            for phrase, at, size, begin, of in own.occurrences(words):
+            for phrase, at, size, begin, of in phrases.value.occurrences(words) if phrases else ():
                 np.add.at(marks, at, 1)
                 np.add.at(marks, at + size, -1)
                 doc = np.searchsorted(words.firsts, at, side="right") - 1
@@ -227,16 +249,112 @@ def _searched(docs: DataFrame, benchmark: DataFrame, cut: bool) -> tuple[DataFra
     blocks = max(1, -(-chars // BLOCK_CHARS))
     none = F.array().cast("array<bigint>")
     keep = docs.columns if cut else [c for c in docs.columns if c in ("doc_id", "text")]
-    out = docs.select(*[f"`{c}`" for c in keep]).withColumns(dict(zip(names, (F.lit(0).cast("long"), none, none), strict=True)))
+    out = docs.select(*[f"`{c}`" for c in keep])
+    if blocks == 1:
+        own = items.orderBy("item_id").collect()
+        phrases = spark.sparkContext.broadcast(Phrases([r.item_id for r in own], [r.text for r in own]))
+        out = out.withColumns(dict(zip(names, (F.lit(0).cast("long"), none, none), strict=True)))
+    else:
+        phrases, key, id_ = None, *unused([*docs.columns, *names], "key", "id")
+        hits = _in_blocks(docs, items, blocks).toDF(id_, key, *names[1:])
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (_text_key() == F.col(key))
+        out = out.join(hits, same, "left").drop(id_, key).withColumn(names[0], F.lit(0).cast("long")).withColumns({n: F.coalesce(n, none) for n in names[1:]})
+    held = keep if cut else [c for c in keep if c != "text"]
+    fields = [docs.schema[c] for c in held]
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], T.StructField(names[0], T.LongType()), *[T.StructField(n, T.ArrayType(T.LongType())) for n in names[1:]]])
+    return out.mapInArrow(_search(phrases, held, cut, names), schema), names
+
+
+def _text_key() -> Column:
+    """With doc_id, what tells rows apart; rows alike in both are hit alike."""
+    return F.xxhash64("text")
+
+
+def _in_blocks(docs: DataFrame, items: DataFrame, blocks: int) -> DataFrame:
+    """(doc_id, text_key, spans, items) of documents that are hit by the items, searched a block after another.
+
+    Each piece of the documents is indexed once; the indices are kept (about five bytes for each word that any item has),
+    and each block, of bounded size, is one pass over them.
+    """
+    sc = docs.sparkSession.sparkContext
+    known = checkpointed(items.select("text").mapInArrow(_known_words, "word bigint, size int").distinct())
+    alphabet = np.sort(known.select("word").where("word is not null").distinct().toPandas()["word"].to_numpy(np.int64).view(np.uint64))
+    shortest = known.agg(F.min("size")).head()[0] or 0
+    shared = sc.broadcast(Phrases([], [], alphabet=alphabet, shortest=shortest))
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), "text")
+    indices = checkpointed(rows.mapInArrow(_indices(shared), INDEX))
+    found = None
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()
-        phrases = spark.sparkContext.broadcast(Phrases([r.item_id for r in own], [r.text for r in own]))
-        last = b == blocks - 1
-        held = keep if cut or not last else [c for c in keep if c != "text"]
-        fields = [docs.schema[c] for c in held]
-        schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], T.StructField(names[0], T.LongType()), *[T.StructField(n, T.ArrayType(T.LongType())) for n in names[1:]]])
-        out = out.mapInArrow(_search(phrases, held, cut and last, names), schema)
-    return out, names
+        phrases = sc.broadcast(Phrases([r.item_id for r in own], [r.text for r in own], alphabet=alphabet, shortest=shortest))
+        hit = checkpointed(indices.mapInArrow(_in_indices(phrases), "doc_id bigint, text_key bigint, spans array<bigint>, items array<bigint>"))
+        found = hit if found is None else found.unionByName(hit)
+    # a row of a document and a block, and of rows alike in id and text
+    flat = lambda c: F.flatten(F.collect_set(c))
+    return found.groupBy("doc_id", "text_key").agg(flat("spans").alias("spans"), F.array_distinct(flat("items")).alias("items"))
+
+
+#: A piece's index: its documents, the words of each, and what FmIndex and Phrases.symbols give, as bytes.
+INDEX = "ids array<bigint>, keys array<bigint>, firsts binary, before binary, kept binary, sampled binary, place binary"
+
+
+@tidy
+def _known_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of items' words, and (alone) the sizes of their shortest windows."""
+    for batch in pieces(batches):
+        words = Words(batch["text"], ALNUM)
+        sizes = np.unique(np.minimum(words.counts[words.counts > 0], WINDOW)).astype(np.int32)
+        own = hashes(words.distinct).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(own), pa.nulls(len(sizes), pa.int64())]), pa.concat_arrays([pa.nulls(len(own), pa.int32()), pa.array(sizes)])], names=["word", "size"])
+
+
+def _indices(shared):
+    @tidy
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            words = Words(batch["text"], ALNUM)
+            found = shared.value.symbols(words)
+            if found is None:
+                continue
+            before, kept, sampled = FmIndex.parts(found[0].astype(np.int32))
+            packed = [words.firsts.astype(np.int64), before.astype(np.int32), np.packbits(kept), sampled.astype(np.int32), found[1].astype(np.int32)]
+            one = lambda c: pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch[c])
+            yield pa.RecordBatch.from_arrays([one("doc_id"), one("text_key"), *[pa.array([x.tobytes()], pa.binary()) for x in packed]], names=["ids", "keys", "firsts", "before", "kept", "sampled", "place"])
+
+    return run
+
+
+def _in_indices(phrases):
+    @tidy
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                of = lambda c, kind: np.frombuffer(batch[c][k].as_buffer(), kind)  # noqa: B023, E731
+                firsts, before = of("firsts", np.int64), of("before", np.int32)
+                index = FmIndex(before, np.unpackbits(of("kept", np.uint8))[: len(before)].astype(bool), of("sampled", np.int32).astype(np.int64))
+                spans: dict[int, set] = {}
+                items: dict[int, set] = {}
+                for phrase, at, size, begin, found in phrases.value.in_index(index, of("place", np.int32).astype(np.int64)):
+                    doc = np.searchsorted(firsts, at, side="right") - 1
+                    for d, a, p in zip(doc.tolist(), at.tolist(), phrase.tolist(), strict=True):
+                        spans.setdefault(d, set()).add((a - int(firsts[d]), a - int(firsts[d]) + size))
+                        items.setdefault(d, set()).update(found[begin[p] : begin[p + 1]].tolist())
+                if spans:
+                    hit = pa.array(sorted(spans))
+                    flat = pa.array([[x for s in _merged(spans[d]) for x in s] for d in sorted(spans)], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([batch["ids"][k].values.take(hit), batch["keys"][k].values.take(hit), flat, pa.array([sorted(items[d]) for d in sorted(spans)], pa.list_(pa.int64()))], names=["doc_id", "text_key", "spans", "items"])
+
+    return run
+
+
+def _merged(spans: set) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -152,7 +152,7 @@ def test_fm_index_against_scan():
     rng = np.random.default_rng(2)
     for n in (1, 7, 400):
         s = np.append(rng.integers(0, 5, n), 0)
-        index = decontaminate.FmIndex(s)
+        index = decontaminate.FmIndex.of(s)
         for size in (1, 2, 3):
             phrases = rng.integers(1, 6, (20, size))
             low, high = index.search(phrases)
@@ -161,6 +161,28 @@ def test_fm_index_against_scan():
                 assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
+def test_blocks_of_items_share_one_index_of_a_piece(monkeypatch):
+    """The suffixes of a piece are sorted once; blocks are searched in what was kept of it."""
+    rng = random.Random(6)
+    texts = [prose(rng, 60) for _ in range(20)]
+    ids = [(k, " ".join(texts[k].split()[5 + k : 18 + k])) for k in range(6)]
+    box = lambda x: type("Box", (), {"value": x})
+    words = decontaminate.Words(pa.array([t for _, t in ids]), decontaminate.ALNUM)
+    alphabet = np.unique(decontaminate.hashes(words.distinct))
+    shared = decontaminate.Phrases([], [], alphabet=alphabet, shortest=10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(range(20)), pa.array(texts)], names=["doc_id", "text_key", "text"])
+    kept = list(decontaminate._indices(box(shared))([batch]))
+    assert len(kept) == 1
+    monkeypatch.setattr(decontaminate, "suffix_array", None)
+    hit = {}
+    for own in (ids[:2], ids[2:3], ids[3:]):
+        phrases = decontaminate.Phrases(*zip(*own, strict=True), alphabet=alphabet, shortest=10)
+        for out in decontaminate._in_indices(box(phrases))(kept):
+            for r in out.to_pylist():
+                hit.setdefault(r["doc_id"], []).append((r["spans"], r["items"]))
+    assert {d: h for d, h in hit.items() if d < 6} == {k: [([5 + k, 18 + k], [k])] for k in range(6)}
+
+
 def test_token_ids_round_trip(spark, docs, rows, empty, tmp_path):
     pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
