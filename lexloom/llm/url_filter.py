@@ -16,8 +16,9 @@ from lexloom.llm.common import UPPER, table, unused
 
 #: 512 bits, eight longs, make a block; a key sets PROBES bits of one block.
 BLOCK_BITS, PROBES, BITS_PER_KEY = 512, 6, 16
-#: Up to this many entries the list and its filter (2 bytes an entry) are broadcast; beyond, both joins shuffle.
-BROADCAST_ENTRIES = 100_000
+#: Up to these many entries the list, and its filter (2 bytes an entry, some 4 as rows), are broadcast; beyond, that join
+#: shuffles. So with a long list only what the filter passes is shuffled.
+BROADCAST_ENTRIES, FILTER_ENTRIES = 100_000, 20_000_000
 #: Parts into which the pages of one (host, path) are dealt.
 SALTS = 32
 
@@ -61,7 +62,7 @@ def _may_hold(words: str, key: str) -> Column:
     return F.forall(_bits(F.col(key)), lambda b: F.getbit(F.element_at(F.col(words), F.floor(b / 64).cast("int") + 1), b % 64) == 1)
 
 
-def url_verdicts(pages: DataFrame, rules: DataFrame, unlisted: str = "allow", broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: DataFrame, unlisted: str = "allow", broadcast_entries: int = BROADCAST_ENTRIES, filter_entries: int = FILTER_ENTRIES) -> DataFrame:
     """pages (with url) plus host, path, rule (null if no entry covers the page) and verdict (unlisted if none).
 
     rules: entry, verdict; entries are host + path with a path, null entries are ignored, of repeated ones the smallest
@@ -76,7 +77,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, unlisted: str = "allow", br
     about = listed.agg(F.count("*").alias("n"), F.array_sort(F.collect_set("path_chars")).alias("sizes")).head()
     if not about.n:
         return pages.select("*", F.lit(None).cast("string").alias("rule"), F.lit(unlisted).alias("verdict"))
-    small = (lambda df: F.broadcast(df)) if about.n <= broadcast_entries else (lambda df: df)
+    small = lambda df, most: F.broadcast(df) if about.n <= most else df
     blocks = bloom_blocks(about.n)
     labels = F.split("host", r"\.", -1)
     # null where there is nothing to look up, so that such a page meets no join
@@ -94,9 +95,9 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, unlisted: str = "allow", br
         .select("host", "path", salt, F.length("suffix").alias("host_chars"), F.concat("suffix", "prefix").alias("entry"))
         .withColumn("block", _block(F.col("entry"), blocks))
     )
-    possible = asked.join(small(bloom_filter(listed, blocks)), "block").where(_may_hold("words", "entry")).select("host", "path", salt, "host_chars", "entry")
+    possible = asked.join(small(bloom_filter(listed, blocks), filter_entries), "block").where(_may_hold("words", "entry")).select("host", "path", salt, "host_chars", "entry")
     best = (
-        possible.join(small(listed.select("entry", "entry_verdict")), "entry")
+        possible.join(small(listed.select("entry", "entry_verdict"), broadcast_entries), "entry")
         .groupBy("host", "path", salt)
         .agg(F.max(F.struct(F.length("entry"), "host_chars", "entry", "entry_verdict")).alias("best"))
         .select("host", "path", salt, F.col("best.entry").alias("rule"), F.col("best.entry_verdict").alias("verdict"))

@@ -55,11 +55,14 @@ def test_url_filter(spark):
         fits = [(len(e), e, v) for e, v in url_filter.RULES if (host == (h := e.split("/")[0]) or host.endswith("." + h)) and path.startswith(e[len(h):])]
         return (host, path, *(max(fits)[1:] if fits else (None, "allow")))
 
-    for most in (100, 0):  # broadcast and shuffled
-        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_verdicts(pages, rules, broadcast_entries=most).collect()}
+    for most, filter_most in ((100, 100), (0, 100), (0, 0)):  # both broadcast, the filter alone, both shuffled
+        told = url_filter.url_verdicts(pages, rules, broadcast_entries=most, filter_entries=filter_most)
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in told.collect()}
         assert got == {i: judged(u) for i, u in enumerate(urls)}
     assert url_filter.url_verdicts(pages.limit(0), rules).count() == 0
     assert {r.verdict for r in url_filter.url_verdicts(pages, rules.limit(0)).collect()} == {"allow"}
+    long = spark.createDataFrame([("http://a.example.org/" + "x" * 200_000,), ("http://" + "sub." * 300 + "example.org/es/" + "é/" * 5000 + "?q",)], "url string")
+    assert sorted((r.rule, r.verdict) for r in url_filter.url_verdicts(long, rules).collect()) == [("example.org/es/", "block"), ("org/", "allow")]
 
 
 def test_line_dedup(docs, rows, empty):
