@@ -50,11 +50,11 @@ def units(v: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
 def _homes(centroids, cosine: float):
-    """Adds to each class the cell it lives in and those it visits, and replaces its vector by the unit vector."""
+    """Adds to each class the cell it lives in and those it visits."""
     near = math.sin(math.acos(cosine) / 2) + 1e-9
 
     @tidy
@@ -71,10 +71,9 @@ def _homes(centroids, cosine: float):
                     home = like.argmax(1)
                     visits = like.max(1)[:, None] - like <= near * apart[home]
                     visits[np.arange(len(u)), home] = False
-                    flat = lists(u.reshape(-1), np.full(len(u), c.shape[1]))
                     yield pa.RecordBatch.from_arrays(
-                        [part["cid"], part["weight"], part["dim"], flat, pa.array(home.astype(np.int32)), lists(np.nonzero(visits)[1].astype(np.int32), visits.sum(1))],
-                        names=["cid", "weight", "dim", "u", "home", "visits"],
+                        [part["cid"], part["weight"], part["dim"], part["v"], pa.array(home.astype(np.int32)), lists(np.nonzero(visits)[1].astype(np.int32), visits.sum(1))],
+                        names=["cid", "weight", "dim", "v", "home", "visits"],
                     )
 
     return run
@@ -107,7 +106,7 @@ def _products(cosine: float):
         group = group.combine_chunks()
         cell, dim = group["cell"][0].as_py(), group["dim"][0].as_py()
         own = group["left"].to_numpy().astype(bool)
-        u = _matrix(group["u"].combine_chunks(), dim)
+        u = units(_matrix(group["v"].combine_chunks(), dim))
         cid, weight, home = (group[c].to_numpy() for c in ("cid", "weight", "home"))
         left, right = np.flatnonzero(own), np.flatnonzero(~own)
         homes, of_right = np.unique(home[right], return_inverse=True)
@@ -166,7 +165,9 @@ def linked(vectors: DataFrame, cosine: float = COSINE, cell_rows: int = CELL_ROW
     the result.
     """
     spark = vectors.sparkSession
-    v = F.transform(F.col("embedding").cast("array<double>"), lambda c: c + F.lit(0.0))  # no -0.0
+    # vectors travel in their own precision, and are compared in double
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    v = F.transform(F.col("embedding").cast(f"array<{kind}>"), lambda c: c + F.lit(0.0).cast(kind))  # no -0.0
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     ok = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     ok = F.coalesce(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ok, F.lit(False))
@@ -176,7 +177,7 @@ def linked(vectors: DataFrame, cosine: float = COSINE, cell_rows: int = CELL_ROW
     classes = checkpointed(classes)
 
     centroids = spark.sparkContext.broadcast(_cells(classes, cell_rows))
-    placed = classes.select("cid", "weight", "dim", "v").mapInArrow(_homes(centroids, cosine), "cid bigint, weight bigint, dim int, u array<double>, home int, visits array<int>")
+    placed = classes.select("cid", "weight", "dim", "v").mapInArrow(_homes(centroids, cosine), f"cid bigint, weight bigint, dim int, v array<{kind}>, home int, visits array<int>")
     placed = checkpointed(placed)
     there = placed.select("dim", "home", F.explode(F.concat(F.array("home"), "visits")).alias("cell"))
     # a row a cell, MOST_CELLS for each length
@@ -185,7 +186,7 @@ def linked(vectors: DataFrame, cosine: float = COSINE, cell_rows: int = CELL_ROW
     sizes = F.broadcast(checkpointed(sizes))
     part = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["dim", "cell", "cid", "weight", "u", "home", "visits", "lefts", "rights"]
+    columns = ["dim", "cell", "cid", "weight", "v", "home", "visits", "lefts", "rights"]
     own = placed.withColumn("cell", F.col("home")).join(sizes, ["dim", "cell"]).select(*columns, part("lefts").alias("i"), every("rights").alias("j"), F.lit(1).alias("left"))
     met = placed.withColumn("cell", F.explode(F.concat(F.array("home"), "visits"))).join(sizes, ["dim", "cell"]).select(*columns, every("lefts").alias("i"), part("rights").alias("j"), F.lit(0).alias("left"))
     links = own.unionByName(met).drop("lefts", "rights").groupBy("dim", "cell", "i", "j").applyInArrow(_products(cosine), "cid bigint, n bigint, root bigint")
