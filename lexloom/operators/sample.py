@@ -11,6 +11,8 @@ from lexloom.functions import text as X
 
 #: Rows a bin should hold, and bins at most; lines of a block of a shard's digest.
 BIN_ROWS, MOST_BINS, BLOCK = 10_000, 10_000, 1024
+#: Quotas that are broadcast at most; a longer table is joined as Spark sees fit.
+MOST_QUOTAS = 100_000
 
 
 def _placed(binned: DataFrame, by: list[str], order: list[str | Column], keep: Column | None = None) -> DataFrame:
@@ -41,8 +43,9 @@ def _by_hash(rows: DataFrame, by: list[str], key: str, keep: Column | None = Non
 
 
 def quota_sample(sentences: DataFrame, quotas: DataFrame) -> DataFrame:
-    """Of each source the `quota` sentences of smallest sample key. quotas: (source, quota)."""
-    keyed = sentences.join(F.broadcast(quotas), "source").withColumn("sample_key", X.sample_key(F.col("source"), F.col("document_id"), F.col("sentence_index")))
+    """Of each source the `quota` sentences of smallest sample key. quotas: (source, quota), broadcast up to MOST_QUOTAS."""
+    few = quotas.limit(MOST_QUOTAS + 1).count() <= MOST_QUOTAS
+    keyed = sentences.join(F.broadcast(quotas) if few else quotas, "source").withColumn("sample_key", X.sample_key(F.col("source"), F.col("document_id"), F.col("sentence_index")))
     placed = _by_hash(keyed, ["source", "quota"], "sample_key", F.col("_before") < F.col("quota"))
     return placed.withColumn("rank", (F.col("_rank") + 1).cast("int")).where(F.col("rank") <= F.col("quota")).drop("quota", "_rank", "_size")
 

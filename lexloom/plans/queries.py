@@ -222,7 +222,9 @@ def shards_merged(spark, d):
 
 
 def script_distribution(spark, d):
-    return features.characters(documents(spark, d)).groupBy(X.script(F.col("ch")).alias("script")).agg(F.count("*").alias("n"))
+    # each distinct character is classed once
+    ch = features.characters(documents(spark, d)).groupBy("ch").agg(F.count("*").alias("n"))
+    return ch.groupBy(X.script(F.col("ch")).alias("script")).agg(F.sum("n").alias("n"))
 
 
 def char_class_distribution(spark, d):
@@ -262,12 +264,13 @@ def length_buckets(spark, d):
 
 
 def padded_batches(spark, d):
-    return _batched(spark, d).groupBy("split", "bucket", "batch").agg(F.max(F.length("text")).alias("longest"), F.sum(F.length("text")).alias("chars"))
+    return _batched(spark, d).groupBy("split", "bucket", "batch").agg(F.max("chars").alias("longest"), F.sum("chars").alias("chars"))
 
 
 def _batched(spark, d):
-    rows = features.bucketed(sentences(spark, d).drop("split")).withColumn("doc", F.col("document_id").cast("long"))
-    return sample.batches(rows, BATCH, "doc", "sentence_index")
+    rows = features.bucketed(sentences(spark, d).drop("split")).select("split", "bucket", F.col("document_id").cast("long").alias("doc"), "sentence_index", F.length("text").alias("chars"))
+    # ranks take several passes: over these few columns, not over the extraction
+    return sample.batches(near.checkpointed(rows), BATCH, "doc", "sentence_index")
 
 
 def batch_schedule(spark, d):

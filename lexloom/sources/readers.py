@@ -97,6 +97,26 @@ def training_arrays(spark: SparkSession, path: str, split: str, *arrays: str) ->
     return df.select("bucket", "mask", *arrays) if arrays else df.drop("split")
 
 
+def quota_inputs(spark: SparkSession, quotas: dict[str, str | int], inputs: dict[str, str]) -> DataFrame:
+    """(source, quota) of quotas by source, checked against the inputs' paths by source: counts are whole numbers, each
+    source has an input, and each path (or pattern) leads to a file that Spark can see."""
+    counts = {}
+    for source, count in quotas.items():
+        try:
+            counts[source] = int(str(count))
+        except ValueError:
+            raise ValueError(f"quota count must be an integer: {source}={count}") from None
+    missing = sorted(set(counts) - set(inputs))
+    if missing:
+        raise ValueError("quota sources missing inputs: " + ", ".join(missing))
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for source, path in inputs.items():
+        place = hadoop(path)
+        if not place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place):
+            raise ValueError(f"input does not exist: {source}={path}")
+    return spark.createDataFrame(list(counts.items()), "source string, quota int")
+
+
 def named_input(value: str) -> tuple[str, str]:
     """The name and path of SOURCE=PATH; the path may hold more equals signs."""
     source, _, path = value.partition("=")

@@ -693,6 +693,15 @@ def test_named_inputs():
             readers.named_input(bad)
 
 
+def test_quotas_have_inputs(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("{}")
+    inputs = {"web": str(tmp_path / "a.jsonl"), "wiki": str(tmp_path / "*.jsonl")}
+    assert sorted(map(tuple, readers.quota_inputs(spark, {"web": "5", "wiki": 7}, inputs).collect())) == [("web", 5), ("wiki", 7)]
+    for quotas, paths, match in (({"web": "five"}, inputs, "integer: web=five"), ({"web": 1, "b": 2, "a": 3}, inputs, "missing inputs: a, b"), ({"web": 1}, inputs | {"old": str(tmp_path / "no")}, "does not exist: old")):
+        with pytest.raises(ValueError, match=match):
+            readers.quota_inputs(spark, quotas, paths)
+
+
 def test_annotations_and_common_rows(spark):
     def load():
         def analyse(text):
