@@ -488,6 +488,15 @@ ORACLES = {
     "knp_gold": _knp_gold(),
     "model_params": "SELECT size, parameters::BIGINT AS parameters, characters, (parameters * characters)::BIGINT AS products FROM (VALUES ('50k', 58752), ('100k', 102392), ('150k', 134832), ('250k', 242592)) AS m(size, parameters), (SELECT coalesce(sum(length(text)), 0)::BIGINT AS characters FROM documents)",
     "build_report_md5": _build_report(),
+    "activations": """WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings), z AS (SELECT vec_id, x, abs(x) / sqrt(2.0::DOUBLE) AS z FROM x),
+ t AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * z) AS t FROM z),
+ e AS (SELECT *, sign(x) * (1 - exp(-z * z) * t * (0.254829592::DOUBLE + t * (-0.284496736::DOUBLE + t * (1.421413741::DOUBLE + t * (-1.453152027::DOUBLE + t * 1.061405429::DOUBLE))))) AS erf FROM t)
+ SELECT vec_id, round(sum(0.5 * x * (1 + erf)), 7) AS gelu, round(sum(1 / (1 + exp(-x))), 7) AS logistic FROM e GROUP BY vec_id""",
+    "requested_documents": """WITH i AS (SELECT DISTINCT page_id * 7 AS id FROM pages)
+ SELECT id::VARCHAR AS document_id, CASE WHEN doc_id IS NULL THEN 'missing' ELSE 'found' END AS told, coalesce(length(text), 0)::INTEGER AS chars FROM i LEFT JOIN documents ON doc_id = id""",
+    "report_text": """SELECT '{' || chr(10) || '  "documents": ' || count(*) || ',' || chr(10) || '  "characters": ' || coalesce(sum(length(text)), 0) || ',' || chr(10) || '  "sources": ' || count(DISTINCT source) || chr(10) || '}' || chr(10) AS report FROM documents""",
+    "weights_in_use": f"""WITH {S}, t AS (SELECT text FROM s UNION SELECT text FROM documents)
+ SELECT count(*) FILTER (length(text) BETWEEN 1 AND 128) AS sentences, 0::BIGINT AS differing, count(*) FILTER (coalesce(length(text), 0) NOT BETWEEN 1 AND 128) AS rejected FROM t""",
     "wiki_lines": "SELECT 'wiki' AS source, doc_id::VARCHAR AS document_id, length(text)::INTEGER AS chars, 'document ' || doc_id AS title FROM documents WHERE doc_id IS NOT NULL AND length(text) > 0",
     "document_lines": """WITH o AS (SELECT source, text FROM documents WHERE doc_id % 10 <> 0 AND length(text) > 0)
  SELECT source, count(*) AS documents, sum(length(text))::BIGINT AS chars, (SELECT count(*) FROM o) AS lines FROM o GROUP BY source""",

@@ -13,7 +13,7 @@ from lexloom.functions import text as X
 from lexloom.operators import compile as C
 from lexloom.operators import decode, extract, features, infer, near, stats
 from lexloom.plans import queries as Q
-from lexloom.sources import readers, writers
+from lexloom.sources import readers, weights, writers
 from lexloom.streaming import compile_stream as streams
 
 LIMIT = 100
@@ -149,9 +149,52 @@ def encoded_pairs(spark, d) -> DataFrame:
     return s.mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
+def activations(spark, d) -> DataFrame:
+    """Sums of the model's activation and of the logistic function over each vector's components."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = batch["v"].flatten().to_numpy().reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([batch["vec_id"], pa.array(infer.gelu(x).sum(1)), pa.array((1 / (1 + np.exp(-x))).sum(1))], names=["vec_id", "gelu", "logistic"])
+
+    rows = Q.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return rows.mapInArrow(run, "vec_id long, gelu double, logistic double").select("vec_id", F.round("gelu", 7).alias("gelu"), F.round("logistic", 7).alias("logistic"))
+
+
+def requested_documents(spark, d) -> DataFrame:
+    """Of requested ids (those of the pages) the documents that are there, and the ids that are not."""
+    ids = Q.table(spark, d, "pages").select((F.col("page_id") * 7).cast("string").alias("document_id")).distinct()
+    found, missing = readers.requested(Q.documents(spark, d).select("document_id", F.length("text").alias("chars")), ids)
+    return found.select("document_id", F.lit("found").alias("told"), F.coalesce("chars", F.lit(0)).alias("chars")).unionByName(missing.select("document_id", F.lit("missing").alias("told"), F.lit(0).alias("chars")))
+
+
+def report_text(spark, d) -> DataFrame:
+    """A report of one row as JSON text."""
+    docs = Q.documents(spark, d)
+    row = docs.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"), F.count_distinct("source").alias("sources"))
+    return spark.createDataFrame([(writers.report_json(row),)], "report string")
+
+
+def weights_in_use(spark, d) -> DataFrame:
+    """All sentences analysed with weights written and read back, in batches of one length, against those of the half floats
+    themselves in padded batches: sentences, and those whose spans differ; and texts that are rejected."""
+    folder = _folder(spark, "weights")
+    own = weights.Weights.of("50k", infer.seeded_weights("50k"))
+    weights.write_weights(spark, own, f"{folder}/weights.gz", f"{folder}/weights.json")
+    read = weights.read_weights(spark, f"{folder}/weights.gz", f"{folder}/weights.json", "50k")
+    texts = near.checkpointed(Q.sentences(spark, d).select("text").unionByName(Q.documents(spark, d).select("text")).distinct().select(F.xxhash64("text").alias("id"), "text"))
+    one, bad = decode.analyze(texts, read, "id")
+    other, _ = decode.analyze(texts, own, "id", equal=False)
+    both = one.select("id", "levels", "spans").join(other.select("id", F.col("spans").alias("other")), "id", "full")
+    told = both.agg(F.count("*").alias("sentences"), F.count_if(~F.col("spans").eqNullSafe(F.col("other"))).alias("differing"))
+    return told.crossJoin(bad.agg(F.count("*").alias("rejected")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        wiki_lines, document_lines, split_lines, limited_lines, good_and_bad_lines, compiled_stream, training_files, invalid_documents, rejected_texts, display_labels, affine_scans, failure_stats, encoded_pairs,
+        wiki_lines, document_lines, split_lines, limited_lines, good_and_bad_lines, compiled_stream, training_files, invalid_documents, rejected_texts, display_labels, affine_scans, failure_stats, encoded_pairs, activations,
+        requested_documents, report_text, weights_in_use,
     )
 }

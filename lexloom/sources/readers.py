@@ -78,7 +78,13 @@ def knp(spark: SparkSession, path: str, ids: DataFrame | None = None) -> tuple[D
     blocks = records(spark, path, "eos").withColumn("document_id", F.regexp_extract("file", r"([^/]+)\.[^./]*$", 1))
     if ids is None:
         return knp_blocks(blocks), None
-    return knp_blocks(blocks.join(ids.select("document_id"), "document_id", "left_semi")), ids.join(blocks.select("document_id").distinct(), "document_id", "left_anti")
+    found, missing = requested(blocks, ids)
+    return knp_blocks(found), missing
+
+
+def requested(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (document_id) those of the requested ids (document_id), and the ids that no row has."""
+    return rows.join(ids.select("document_id"), "document_id", "left_semi"), ids.join(rows.select("document_id").distinct(), "document_id", "left_anti")
 
 
 def line_numbers(lines: DataFrame, *order: str) -> DataFrame:

@@ -82,6 +82,18 @@ class Weights:
         return gzip.compress(self.data, 9, mtime=0), json.dumps({"size": self.size, "sha256": self.checksum, "weights": json.loads(self.directory)}, indent=2)
 
 
+def write_weights(spark: SparkSession, weights: Weights, data: str, description: str) -> None:
+    """Writes the weights (gzipped) and their description to two paths of any store that Spark reaches."""
+    packed, about = weights.file()
+    for path, content in ((data, packed), (description, about.encode())):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+        try:
+            out.write(bytearray(content))
+        finally:
+            out.close()
+
+
 @functools.lru_cache(4)
 def _unpacked(checksum: str, packed: Weights) -> dict[str, np.ndarray]:
     return unpack_fp16(packed.data, json.loads(packed.directory))
