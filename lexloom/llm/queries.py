@@ -18,6 +18,7 @@ QUERIES = {
     "op11_ball_tree": ball_tree.op11_ball_tree,
     "op12_whitening": whitening.op12_whitening,
     "op13_embedding_dedup": embedding_dedup.op13_embedding_dedup,
+    "source_mix_targets": source_mix.source_mix_targets,
 }
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
@@ -26,4 +27,5 @@ ORACLES = {
     "op7_line_dedup": line_dedup.ORACLE,
     "op11_ball_tree": ball_tree.ORACLE,
     "op13_embedding_dedup": embedding_dedup.ORACLE,
+    "source_mix_targets": source_mix.TARGETS_ORACLE,
 }

@@ -272,3 +272,21 @@ def mixed(docs: DataFrame, **params) -> DataFrame:
 
 def op9_source_mix(spark, sf_dir: str) -> DataFrame:
     return mix_words(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+def source_mix_targets(spark, sf_dir: str) -> DataFrame:
+    """The sources' sizes and targets of op9, the part of it that SQL can repeat."""
+    docs = table(spark, sf_dir, "documents").select("source", n_words(F.col("text")).alias("size"))
+    told = source_targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")))
+    return told.select("source", F.col("source_size").cast("long").alias("source_size"), F.round("target", 4).alias("target"))
+
+
+#: Of the levels that each set of full sources would give, the one at which all targets add up to the total.
+TARGETS_ORACLE = r"""
+WITH s AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS source_size FROM documents GROUP BY source),
+w AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 2.0::DOUBLE * source_size AS most, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
+l AS (SELECT a.total, (a.total - coalesce(sum(b.most) FILTER (b.most / b.weight < a.most / a.weight), 0)) / sum(b.weight) FILTER (b.most / b.weight >= a.most / a.weight) AS level
+  FROM w a, w b GROUP BY a.source, a.total),
+best AS (SELECT level FROM l ORDER BY abs((SELECT sum(least(w.most, l.level * w.weight)) FROM w) - l.total), level LIMIT 1)
+SELECT source, source_size, round(least(most, level * weight), 4) AS target FROM w, best
+"""
