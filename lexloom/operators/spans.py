@@ -20,7 +20,9 @@ def endpoints(spans: Column) -> Column:
 
 
 def nested_boundaries(predicted: dict[str, Column], n: Column) -> dict[str, Column]:
-    """Each level with all endpoints of the coarser ones; endpoints outside 1..n go, n ends a sentence."""
+    """Each level with all endpoints of the coarser ones; endpoints outside 1..n go, n ends a sentence. A length under 1
+    is an error."""
+    n = F.when(n >= 1, n).otherwise(F.raise_error(F.lit("length must be positive")).cast("int"))
     inside = {k: F.filter(v, lambda x: (x >= 1) & (x <= n)) for k, v in predicted.items()}
     coarse, out = F.array(n.cast("int")), {}
     for level in reversed(V.LEVELS):
@@ -71,21 +73,21 @@ def inside(spans: Column, parent: Column) -> Column:
 
 
 def tree(text: Column, a: Column, b: Column, bunsetsu: Column, clause: Column, sentence: Column) -> Column:
-    """Sentences of clauses of bunsetsu of B of A, of array columns of spans. Nodes have the fields of their spans, their
-    text and, but for A, children; a bunsetsu without B holds its A in one B of its own extent."""
+    """Sentences of clauses of bunsetsu of B of A, of array columns of spans. Nodes have their type, the fields of their
+    spans, their text and, but for A, children; a bunsetsu has `atoms` too: its A, if it has no B for them."""
 
-    def node(s: Column, children: Column | None = None, fields: tuple[str, ...] = ()) -> Column:
-        own = [s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text"), *(s[f].alias(f) for f in fields)]
-        return F.struct(*own, *([children.alias("children")] if children is not None else []))
+    def node(kind: str, s: Column, children: Column | None = None, fields: tuple[str, ...] = (), **more: Column) -> Column:
+        own = [F.lit(kind).alias("type"), s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text"), *(s[f].alias(f) for f in fields)]
+        return F.struct(*own, *([children.alias("children")] if children is not None else []), *(c.alias(k) for k, c in more.items()))
 
     def leaves(s: Column) -> Column:
-        return F.transform(inside(a, s), lambda x: node(x, fields=("atom_type", "function", "inflections")))
+        return F.transform(inside(a, s), lambda x: node("A", x, fields=("atom_type", "function", "inflections")))
 
     def chunk(s: Column) -> Column:
-        bs = F.transform(inside(b, s), lambda x: node(x, leaves(x)))
-        return node(s, F.when(F.size(bs) > 0, bs).otherwise(F.array(node(s, leaves(s)))), ("role",))
+        bs = F.transform(inside(b, s), lambda x: node("B", x, leaves(x)))
+        return node("BUNSETSU", s, bs, ("role",), atoms=F.filter(leaves(s), lambda _: F.size(bs) == 0))
 
-    return F.transform(sentence, lambda s: node(s, F.transform(inside(clause, s), lambda c: node(c, F.transform(inside(bunsetsu, c), chunk)))))
+    return F.transform(sentence, lambda s: node("SENTENCE", s, F.transform(inside(clause, s), lambda c: node("CLAUSE", c, F.transform(inside(bunsetsu, c), chunk)))))
 
 
 def tree_edges(records: DataFrame, *key: str) -> DataFrame:

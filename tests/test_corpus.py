@@ -228,6 +228,21 @@ def test_closure_and_partition(spark):
     assert (r.a, r.b, r.bunsetsu, r.clause, r.sentence) == ([2, 4], [2, 4], [4], [4], [4]) and [tuple(x) for x in r.p] == [(0, 2), (2, 6)] and r.none == []
 
 
+def test_trees(spark):
+    """Types of nodes, and atoms that hang on a chunk without a B span."""
+    span, atom = "array<struct<start:int,end:int>>", "array<struct<start:int,end:int,atom_type:string,function:string,inflections:array<string>>>"
+    a = [(0, 1, "NOUN_LIKE", None, []), (1, 2, "PARTICLE", "TOPIC", []), (2, 4, "VERB_STEM", None, ["PAST"])]
+    rows = [("abcd", a, [(0, 1), (1, 2)], [(0, 2, "TOPIC"), (2, 4, "PREDICATE")], [(0, 4)], [(0, 4)])]
+    df = spark.createDataFrame(rows, f"text string, a {atom}, b {span}, c array<struct<start:int,end:int,role:string>>, clause {span}, sentence {span}")
+    (s,) = df.select(spans.tree(*[F.col(c) for c in ("text", "a", "b", "c", "clause", "sentence")]).alias("t")).head().t
+    assert (s.type, s.text, s.children[0].type) == ("SENTENCE", "abcd", "CLAUSE")
+    one, two = s.children[0].children
+    assert [(x.type, x.text, [y.atom_type for y in x.children]) for x in one.children] == [("B", "a", ["NOUN_LIKE"]), ("B", "b", ["PARTICLE"])] and one.atoms == []
+    assert two.type == "BUNSETSU" and two.role == "PREDICATE" and two.children == [] and [(x.type, x.text, x.inflections) for x in two.atoms] == [("A", "cd", ["PAST"])]
+    with pytest.raises(Exception, match="length must be positive"):
+        df.select(spans.nested_boundaries({level: F.array(F.lit(1)) for level in V.LEVELS}, F.lit(0))["a"]).collect()
+
+
 def test_decoding_and_gaps(spark):
     df = spark.createDataFrame([([0.5, 2.0, 2.0], [(1, 3, "A"), (4, 6, "B")])], "l array<double>, c array<struct<start:int,end:int,role:string>>")
     r = df.select(spans.argmax_label(F.col("l"), ["x", "y", "z"]).alias("m"), spans.positive_labels(F.array(F.lit(-1.0), F.lit(0.0), F.lit(2.0)), ["x", "y", "z"]).alias("p"),
