@@ -270,6 +270,28 @@ def test_pipeline_with_odd_rows(spark, rows, tmp_path):
         spark.createDataFrame([(1, "no such words at all")] if some else [], "item_id long, text string").write.parquet(str(path / "benchmark.parquet"))
         got = corpus_pipeline.run(spark, str(path)).collect()
         assert bool(got) == bool(some) and all(r.n_tokens > 1 for r in got)
+        # what each stage makes of all rows of the one before
+        left, key = [spark.read.parquet(str(path / "documents.parquet"))], lambda r: (str(r[0]), str(r[1]))
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+            stage(spark, left[-1], str(path)).write.parquet(str(path / str(k)))
+            left.append(spark.read.parquet(str(path / str(k))))
+            assert left[-1].columns == left[0].columns
+        before, toxic, joined, clean, mixed = ([tuple(r) for r in df.collect()] for df in left)
+        assert sorted(toxic, key=key) == sorted(before, key=key)  # no row is marked toxic
+        lost = Counter(toxic) - Counter(joined)
+        own = [(i, [w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if w]) for i, t, *_ in toxic if i is not None]
+        sets = [(i, {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))}) for i, w in own if w]
+        at = {i: i for i, _ in sets}
+        links = [(i, j) for i, x in sets for j, y in sets if 100 * len(x & y) >= 85 * len(x | y)]
+        for _ in at:
+            for i, j in links:
+                at[i] = at[j] = min(at[i], at[j])
+        assert not Counter(joined) - Counter(toxic) and {r[0] for r in lost} == {i for i in at if at[i] < i}
+        assert sum(lost.values()) == sum(1 for r in toxic if r[0] in at and at[r[0]] < r[0])
+        assert sorted(clean, key=key) == sorted(joined, key=key)  # no passage of the benchmark
+        times = Counter(mixed)
+        assert set(times) <= set(clean) and all(n <= 2 * Counter(clean)[r] for r, n in times.items()) and not any(not (r[1] or "").strip() for r in mixed)
+        assert len(got) == len(mixed)
 
 
 def test_quality_of_odd_texts(spark):
