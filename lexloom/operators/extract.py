@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
 
 MIN_CHARS, MAX_CHARS = 4, 128
-#: Lengths summed in a run, of documents of very many pieces.
-BLOCK = 256
+#: Java and Python spell the end of a text differently.
+_PIECE = re.compile(X.PIECE.replace("\\z", "\\Z"))
 
 
 def valid_document(source: Column, document_id: Column, text: Column) -> Column:
@@ -17,17 +22,14 @@ def valid_document(source: Column, document_id: Column, text: Column) -> Column:
     return F.coalesce((F.length(source) > 0) & (F.length(document_id) > 0) & (F.length(text) > 0), F.lit(False))
 
 
-def _before(sizes: Column) -> Column:
-    """Of each element the sum of those before it. Sums run within blocks and over blocks, for arrays are copied as they grow."""
-
-    def running(own: Column, begin: Column) -> Column:
-        none = F.struct(F.array().cast("array<int>").alias("sums"), begin.alias("sum"))
-        return F.aggregate(own, none, lambda acc, n: F.struct(F.array_append(acc["sums"], acc["sum"]).alias("sums"), (acc["sum"] + n).alias("sum")))["sums"]
-
-    total = lambda own: F.aggregate(own, F.lit(0), lambda acc, n: acc + n)
-    block = lambda k: F.slice(sizes, k * BLOCK + 1, BLOCK)
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int"))), block)
-    return X.let(blocks, lambda own: F.flatten(F.zip_with(own, running(F.transform(own, total), F.lit(0)), running)))
+def _pieces(text: str, least: int, most: int) -> Iterator[tuple[str, int]]:
+    """The trimmed pieces of least to most code points of a text, and where they start. str.strip takes what X.WS lists."""
+    at = 0
+    for piece in _PIECE.findall(text):
+        own = piece.strip()
+        if least <= len(own) <= most:
+            yield own, at + len(piece) - len(piece.lstrip())
+        at += len(piece)
 
 
 def extract_sentences(docs: DataFrame, least: int = MIN_CHARS, most: int = MAX_CHARS) -> DataFrame:
@@ -35,22 +37,25 @@ def extract_sentences(docs: DataFrame, least: int = MIN_CHARS, most: int = MAX_C
 
     Pieces end after an ender and its closers or at a line end and tile the text, so a running sum of their lengths is
     their start. Trimming moves offsets; kept are trimmed pieces of least to most code points, numbered as kept. All of
-    this happens within a document's row: nothing is shuffled.
+    this happens within a document's row, in Arrow batches: nothing is shuffled. Java tests a character against each
+    member of such a class in turn, Python looks it up.
     """
-    docs = docs.where(valid_document(F.col("source"), F.col("document_id"), F.col("text")))
-    pieces = F.filter(F.regexp_extract_all("text", F.lit(X.PIECE), F.lit(0)), lambda p: F.length(p) > 0)
-    cut = X.computed(docs.select("source", "document_id", "text"), text=pieces)
-    cut = X.computed(cut, starts=_before(F.transform("text", F.length)))
-    left = lambda p: F.regexp_replace(p, f"^[{X.WS}]+", "")
-
-    def trimmed(p: Column, start: Column) -> Column:
-        return F.struct(F.regexp_replace(left(p), f"[{X.WS}]+\\z", "").alias("text"), (start + F.length(p) - F.length(left(p))).cast("int").alias("document_start"))
 
-    own = F.filter(F.zip_with("text", "starts", trimmed), lambda s: F.length(s["text"]).between(least, most))
-    rows = cut.select("source", "document_id", F.posexplode(own).alias("sentence_index", "s"))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            cut = [list(_pieces(x, least, most)) for x in part["text"].to_pylist()]
+            sizes = np.array([len(x) for x in cut], np.int64)
+            row = pa.array(np.repeat(np.arange(len(cut)), sizes))
+            index = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            found = [pa.array([x[k] for own in cut for x in own], t) for k, t in enumerate((pa.string(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([found[0], part["source"].take(row), part["document_id"].take(row), pa.array(index.astype(np.int32)), found[1]], names=names)
+
+    names = ["text", "source", "document_id", "sentence_index", "document_start"]
+    docs = docs.where(valid_document(F.col("source"), F.col("document_id"), F.col("text"))).select(*[F.col(c).cast("string") for c in ("source", "document_id", "text")])
+    rows = docs.mapInArrow(run, "text string, source string, document_id string, sentence_index int, document_start int")
     return rows.select(
-        "s.text", "source", "document_id", "sentence_index", "s.document_start", (F.col("s.document_start") + F.length("s.text")).alias("document_end"),
-        X.split_for_document(F.col("source"), F.col("document_id")).alias("split"), X.dedup_key(F.col("s.text")).alias("dedup_key"),
+        *names, (F.col("document_start") + F.length("text")).alias("document_end"),
+        X.split_for_document(F.col("source"), F.col("document_id")).alias("split"), X.dedup_key(F.col("text")).alias("dedup_key"),
     )
 
 
