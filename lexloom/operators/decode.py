@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions import text as X
 from lexloom.functions import vocabulary as V
-from lexloom.operators import infer, spans
+from lexloom.operators import infer, runs
 from lexloom.sources.weights import Weights
 
 #: Texts that one batch may hold, and code points of a text.
@@ -15,29 +17,76 @@ BATCH, MOST_CHARS = 64, 128
 INFLECTED = ["VERB_STEM", "AUXILIARY", "COPULA", "ADJECTIVE"]
 
 
-def at_character(head: str, i: Column) -> Column:
-    """The logits of a head at character i (from 0), of its flat array."""
-    return F.slice(head, i * V.HEADS[head] + 1, F.lit(V.HEADS[head]))
-
-
-def ends_of_level(level: str, n: Column) -> Column:
-    """Characters (from 1) whose boundary logit for the level is at least 0; the text's end if there are no logits."""
-    k, width = V.LEVELS.index(level), V.HEADS["boundaries"]
-    found = F.filter(F.sequence(F.lit(1), n), lambda i: F.get("boundaries", (i - 1) * width + k) >= 0)
-    return F.when(n < 1, F.array().cast("array<int>")).otherwise(F.coalesce(found, F.array(n)))
-
-
-def _atom(p: Column) -> Column:
-    last = p["end"] - 1
-    kind = F.coalesce(spans.argmax_label(at_character("atom", last), V.ATOM_TYPES), F.lit("OTHER"))
-    function = F.when(kind == "PARTICLE", spans.argmax_label(at_character("function", last), V.PARTICLE_FUNCTIONS))
-    inflections = F.when(kind.isin(INFLECTED), spans.positive_labels(at_character("inflection", last), V.INFLECTIONS))
-    return F.struct(p["start"].alias("start"), p["end"].alias("end"), kind.alias("atom_type"), function.alias("function"), F.coalesce(inflections, F.array().cast("array<string>")).alias("inflections"))
-
-
-def _chunk(p: Column) -> Column:
-    role = F.coalesce(spans.argmax_label(at_character("role", p["end"] - 1), V.BUNSETSU_ROLES), F.lit("UNKNOWN"))
-    return F.struct(p["start"].alias("start"), p["end"].alias("end"), role.alias("role"))
+_ENDS = "a array<int>, b array<int>, bunsetsu array<int>, clause array<int>, sentence array<int>"
+_NODE = "type:string,start:int,end:int,text:string"
+_LEAF = f"struct<{_NODE},atom_type:string,function:string,inflections:array<string>>"
+_CHUNK = f"struct<{_NODE},role:string,children:array<struct<{_NODE},children:array<{_LEAF}>>>,atoms:array<{_LEAF}>>"
+_SPAN = "struct<start:int,end:int"
+#: What decoded adds to a row.
+DECODED = (
+    f"levels struct<{_ENDS.replace(' array', ':array')}>, spans array<{_SPAN},atom_type:string,function:string,inflections:array<string>>>, b_spans array<{_SPAN}>>, bunsetsu array<{_SPAN},role:string>>, "
+    f"clauses array<{_SPAN}>>, sentences array<{_SPAN}>>, tree array<struct<{_NODE},children:array<struct<{_NODE},children:array<{_CHUNK}>>>>>"
+)
+
+
+def _logits(head: str, column: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits (a row a character) of a head's flat arrays, and which are there."""
+    width = V.HEADS[head]
+    row, values = runs.elements(column)
+    known = values.is_valid().to_numpy(zero_copy_only=False)
+    values = pc.fill_null(values, -np.inf).to_numpy(zero_copy_only=False)
+    of = np.bincount(row, minlength=len(sizes))
+    if (of == sizes * width).all():
+        return values.reshape(-1, width), known.reshape(-1, width)
+    out, there = np.full((int(sizes.sum()), width), -np.inf), np.zeros((int(sizes.sum()), width), bool)
+    place = np.arange(len(row)) - (np.cumsum(of) - of)[row]
+    own = place < sizes[row] * width
+    at = ((np.cumsum(sizes) - sizes)[row] * width + place)[own]
+    out.ravel()[at], there.ravel()[at] = values[own], known[own]
+    return out, there
+
+
+def _label(head: str, labels: list[str], logits: dict, at: np.ndarray, none: str) -> np.ndarray:
+    """The place of the first largest logit's label at characters; that of `none` without logits."""
+    x, known = (v[at] for v in logits[head])
+    return np.where(known.any(1), x.argmax(1), labels.index(none)) if len(at) else np.zeros(0, np.int64)
+
+
+def _decoded(text: pa.Array, *heads: pa.Array) -> pa.Array:
+    """Levels close upwards, so spans of a level are runs of those of the next finer one, and a tree is its spans with
+    numbers of children."""
+    sizes = runs.sizes_of(text)
+    if (sizes < 1).any():
+        raise ValueError("length must be positive")
+    texts = text.to_pylist()
+    logits = {head: _logits(head, column, sizes) for head, column in zip(V.HEADS, heads, strict=True)}
+    x, known = logits["boundaries"]
+    # nan is larger than any number in Spark
+    ends = np.maximum.accumulate((known & ~(x < 0))[:, ::-1], axis=1)[:, ::-1]
+    a, b, chunk, clause, sentence = (runs.cut(ends[:, k], sizes) for k in range(len(V.LEVELS)))
+    levels = {level: c.lists(runs.whole(c.end)) for level, c in zip(V.LEVELS, (a, b, chunk, clause, sentence), strict=True)}
+    kind = _label("atom", V.ATOM_TYPES, logits, a.at, "OTHER")
+    function = _label("function", V.PARTICLE_FUNCTIONS, logits, a.at, "UNKNOWN")
+    particle = (kind == V.ATOM_TYPES.index("PARTICLE")) & logits["function"][1][a.at].any(1)
+    x, known = logits["inflection"]
+    flags = known[a.at] & ~(x[a.at] < 0) & np.isin(kind, [V.ATOM_TYPES.index(k) for k in INFLECTED])[:, None]
+    atoms = {"atom_type": runs.named(V.ATOM_TYPES, kind), "function": runs.named(V.PARTICLE_FUNCTIONS, function, particle), "inflections": runs.flagged(V.INFLECTIONS, flags)}
+    role = {"role": runs.named(V.BUNSETSU_ROLES, _label("role", V.BUNSETSU_ROLES, logits, chunk.at, "UNKNOWN"))}
+
+    def node(kind: str, own: runs.Cut, **more: pa.Array) -> pa.Array:
+        return runs.struct(type=pa.array([kind] * len(own.at), pa.string()), start=runs.whole(own.start), end=runs.whole(own.end), text=own.texts(texts), **more)
+
+    leaves = node("A", a, **atoms)
+    tree = node("B", b, children=runs.lists(a.inside(b), leaves))
+    # every chunk has spans of b, so none holds atoms of its own
+    none = runs.lists(np.zeros(len(chunk.at), np.int64), leaves[:0])
+    tree = node("BUNSETSU", chunk, **role, children=runs.lists(b.inside(chunk), tree), atoms=none)
+    tree = node("CLAUSE", clause, children=runs.lists(chunk.inside(clause), tree))
+    tree = node("SENTENCE", sentence, children=runs.lists(clause.inside(sentence), tree))
+    return runs.struct(
+        levels=runs.struct(**levels), spans=a.lists(a.spans(**atoms)), b_spans=b.lists(b.spans()), bunsetsu=chunk.lists(chunk.spans(**role)), clauses=clause.lists(clause.spans()),
+        sentences=sentence.lists(sentence.spans()), tree=sentence.lists(tree),
+    )
 
 
 def decoded(rows: DataFrame) -> DataFrame:
@@ -45,14 +94,11 @@ def decoded(rows: DataFrame) -> DataFrame:
 
     levels (nested endpoints), spans (A with atom_type, function of particles, inflections of inflected types), b_spans,
     bunsetsu (with role), clauses, sentences, tree (sentences of clauses of bunsetsu of B of A) and root: SENTENCE if
-    there is one sentence, else DOCUMENT. Without a head labels are OTHER, null, none and UNKNOWN.
+    there is one sentence, else DOCUMENT. Without a head labels are OTHER, null, none and UNKNOWN. Arrow batches are
+    decoded as a whole, for array functions of Spark copy a text's logits for each span.
     """
-    n = F.length("text")
-    nested = spans.nested_boundaries({level: ends_of_level(level, n) for level in V.LEVELS}, n)
-    out = X.computed(rows, levels=F.struct(*[c.alias(level) for level, c in nested.items()]))
-    cut = lambda level: spans.partition(F.lit(0), n, F.col(f"levels.{level}"))
-    out = X.computed(out, spans=F.transform(cut("a"), _atom), b_spans=cut("b"), bunsetsu=F.transform(cut("bunsetsu"), _chunk), clauses=cut("clause"), sentences=cut("sentence"))
-    out = X.computed(out, tree=spans.tree(*[F.col(c) for c in ("text", "spans", "b_spans", "bunsetsu", "clauses", "sentences")]))
+    own = [F.col(head).cast("array<double>") for head in V.HEADS]
+    out = runs.with_fields(rows, _decoded, DECODED, "text", *own)
     return out.withColumn("root", F.when(F.size("sentences") == 1, "SENTENCE").otherwise("DOCUMENT"))
 
 

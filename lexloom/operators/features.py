@@ -6,7 +6,8 @@ import functools
 import unicodedata
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 from lexloom.functions import text as X
 from lexloom.functions import vocabulary as V
+from lexloom.operators import runs
 
 #: Arrays of a training row, one value a character.
 ARRAYS = [
@@ -69,23 +71,19 @@ def bigram_buckets(rows: DataFrame, buckets: int = 8192) -> DataFrame:
 def encode_text(rows: DataFrame, codepoints: int = 8192, bigrams: int = 8192) -> DataFrame:
     """rows with arrays codepoints, bigrams and categorical. Empty and null texts give none and are left out.
 
-    Hashes are taken of whole arrays at once, in Arrow batches; all else is built in.
+    Arrow batches are encoded as a whole.
     """
-    def hashed(n: int):
-        @F.pandas_udf("array<int>")
-        def run(v: pd.Series) -> pd.Series:
-            sizes = [len(x) for x in v]
-            flat = np.concatenate([np.asarray(x, np.int64) for x in v]) if len(v) else np.zeros(0, np.int64)
-            own = (X.mix64(flat) & np.uint64(n - 1)).astype(np.int32)
-            return pd.Series(np.split(own, np.cumsum(sizes)[:-1]) if len(v) else [])
 
-        return run
+    def run(text: pa.Array) -> pa.Array:
+        cp, bg, flags, sizes = encoded_texts(pc.fill_null(text, "").to_pylist(), codepoints, bigrams)
+        return runs.struct(codepoints=runs.lists(sizes, runs.whole(cp)), bigrams=runs.lists(sizes, runs.whole(bg)), categorical=runs.lists(sizes, _matrix(flags)))
 
-    df = rows.where(F.length("text") > 0)
-    cp = F.transform(X.chars(F.col("text")), lambda c: F.ascii(c).cast("long"))
-    pair = F.transform(F.col("_cp"), lambda c, i: X.bigram_key(c, F.coalesce(F.get("_cp", i + 1), F.lit(0))))
-    df = df.withColumn("_cp", cp)
-    return df.select(*[f"`{c}`" for c in rows.columns], hashed(codepoints)("_cp").alias("codepoints"), hashed(bigrams)(pair).alias("bigrams"), categorical(F.col("text")).alias("categorical"))
+    return runs.with_fields(rows.where(F.length("text") > 0), run, "codepoints array<int>, bigrams array<int>, categorical array<array<int>>", "text")
+
+
+def _matrix(values: np.ndarray) -> pa.Array:
+    """A list for each row of a matrix."""
+    return runs.lists(np.full(len(values), values.shape[1], np.int64), runs.whole(values.ravel()))
 
 
 @functools.lru_cache(1 << 17)
@@ -127,29 +125,59 @@ def encoded_texts(texts: list[str], codepoints: int = 8192, bigrams: int = 8192)
     return bucket(points, codepoints), bucket((points << 21) ^ right ^ 0x9E3779B9, bigrams), flags, sizes
 
 
-def _at(values: list[str], label: Column) -> Column:
-    return F.array_position(F.array(*map(F.lit, values)), label) - 1
-
-
-def last_covering(spans: Column, i: Column) -> Column:
-    """The last span over a character; null if there is none."""
-    own = F.filter(spans, lambda s: (s["start"] <= i) & (i < s["end"]))
-    return F.get(own, F.size(own) - 1)
+#: What targets adds to a record.
+TARGETS = (
+    "boundary_targets array<array<int>>, atom_targets array<int>, function_targets array<int>, inflection_targets array<array<int>>, role_targets array<int>, "
+    "function_mask array<boolean>, inflection_mask array<boolean>"
+)
+
+
+def _last_covering(spans: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """For each character of all texts the number of the last span over it, -1 for none; and the fields of the spans."""
+    row, values = runs.elements(spans)
+    own = runs.fields(values)
+    there = pc.and_(own["start"].is_valid(), own["end"].is_valid()).to_numpy(zero_copy_only=False)
+    start, end = (np.clip(pc.fill_null(own[c], 0).to_numpy(zero_copy_only=False).astype(np.int64), 0, sizes[row]) for c in ("start", "end"))
+    wide = np.where(there, np.maximum(end - start, 0), 0)
+    out = np.full(int(sizes.sum()), -1)
+    # in order, so the last one written stays
+    at = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide) + np.repeat((np.cumsum(sizes) - sizes)[row] + start, wide)
+    out[at] = np.repeat(np.arange(len(row)), wide)
+    return out, own
+
+
+def _numbers(labels: list[str], values: pa.Array, of: np.ndarray, none: str) -> np.ndarray:
+    """The class of each character's span: -1 for a label that is not listed, that of `none` without a label or a span."""
+    at = pc.fill_null(pc.index_in(values, pa.array(labels)), -1).to_numpy(zero_copy_only=False)
+    at = np.append(np.where(values.is_null().to_numpy(zero_copy_only=False), labels.index(none), at), labels.index(none))
+    return at[of]
+
+
+def _targets(text: pa.Array, boundaries: pa.Array, spans: pa.Array, bunsetsu: pa.Array) -> pa.Array:
+    sizes = runs.sizes_of(text)
+    bounds = runs.fields(boundaries)
+    bound = np.stack([runs.marks(bounds[level], sizes) for level in V.LEVELS], 1)
+    of, own = _last_covering(spans, sizes)
+    chunk, roles = _last_covering(bunsetsu, sizes)
+    row, flags = runs.elements(own["inflections"])
+    at = pc.fill_null(pc.index_in(flags, pa.array(V.INFLECTIONS)), len(V.INFLECTIONS)).to_numpy(zero_copy_only=False)
+    has = np.zeros((len(own["start"]) + 1, len(V.INFLECTIONS) + 1), bool)
+    has[row, at] = True
+    kind = own["atom_type"]
+    # the last place stands for no span
+    is_in = lambda kinds: np.append(pc.is_in(kind, pa.array(kinds)).to_numpy(zero_copy_only=False), False)[of]
+    each = lambda values: runs.lists(sizes, values)
+    return runs.struct(
+        boundary_targets=each(_matrix(bound)), atom_targets=each(runs.whole(_numbers(V.ATOM_TYPES, kind, of, "OTHER"))),
+        function_targets=each(runs.whole(_numbers(V.PARTICLE_FUNCTIONS, own["function"], of, "UNKNOWN"))), inflection_targets=each(_matrix(has[of, :-1])),
+        role_targets=each(runs.whole(_numbers(V.BUNSETSU_ROLES, roles["role"], chunk, "UNKNOWN"))), function_mask=each(pa.array(is_in(["PARTICLE"]))), inflection_mask=each(pa.array(is_in(V.INFLECTED))),
+    )
 
 
 def targets(record: DataFrame) -> DataFrame:
-    """record with class numbers and masks for each character: boundaries, atom, function, inflection, role."""
-    places = F.sequence(F.lit(0), F.length("text") - 1)
-    at = lambda spans, make: F.transform(places, lambda i: make(last_covering(F.col(spans), i)))
-    bound = F.transform(places, lambda i: F.array(*[F.coalesce(F.array_contains(f"boundaries.{level}", i + 1).cast("int"), F.lit(0)) for level in V.LEVELS]))
-    atom = at("spans", lambda s: F.coalesce(_at(V.ATOM_TYPES, s["atom_type"]), F.lit(V.ATOM_TYPES.index("OTHER"))).cast("int"))
-    function = at("spans", lambda s: F.coalesce(_at(V.PARTICLE_FUNCTIONS, s["function"]), F.lit(V.PARTICLE_FUNCTIONS.index("UNKNOWN"))).cast("int"))
-    inflection = at("spans", lambda s: F.array(*[F.coalesce(F.array_contains(s["inflections"], x).cast("int"), F.lit(0)) for x in V.INFLECTIONS]))
-    role = at("bunsetsu", lambda s: F.coalesce(_at(V.BUNSETSU_ROLES, s["role"]), F.lit(V.BUNSETSU_ROLES.index("UNKNOWN"))).cast("int"))
-    return record.select(
-        *[f"`{c}`" for c in record.columns], bound.alias("boundary_targets"), atom.alias("atom_targets"), function.alias("function_targets"), inflection.alias("inflection_targets"), role.alias("role_targets"),
-        at("spans", lambda s: F.coalesce(s["atom_type"] == "PARTICLE", F.lit(False))).alias("function_mask"), at("spans", lambda s: F.coalesce(s["atom_type"].isin(V.INFLECTED), F.lit(False))).alias("inflection_mask"),
-    )
+    """record with class numbers and masks for each character: boundaries, atom, function, inflection, role; of the last
+    span over it. Arrow batches are taken as a whole: one pass over spans and characters."""
+    return runs.with_fields(record, _targets, TARGETS, "text", "boundaries", "spans", "bunsetsu")
 
 
 def padded(rows: DataFrame, values: str, by: list[str], zero=0) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
 from lexloom.functions import vocabulary as V
+from lexloom.operators import runs
 
 
 def sorted_unique(values: Column) -> Column:
@@ -92,31 +94,28 @@ def tree(text: Column, a: Column, b: Column, bunsetsu: Column, clause: Column, s
 
 def tree_edges(records: DataFrame, *key: str) -> DataFrame:
     """(key, level, start, end, parent_start, parent_end): each span with the one of the next coarser level around it."""
-    parts = []
-    names = V.LEVELS
-    for fine, coarse in zip(names, names[1:], strict=False):
-        spans = lambda level: partition(F.lit(0), F.length("text"), F.col(f"boundaries.{level}"))
-        child = records.select(*key, spans(coarse).alias("parents"), F.explode(spans(fine)).alias("c"))
-        parent = F.get(inside_parent(F.col("parents"), F.col("c")), F.lit(0))
-        parts.append(child.select(*key, F.lit(fine).alias("level"), F.col("c.start").alias("start"), F.col("c.end").alias("end"), parent["start"].alias("parent_start"), parent["end"].alias("parent_end")))
-    return reduce(DataFrame.unionByName, parts)
+    own = runs.with_fields(records.select(*key, "text", "boundaries"), _edges, f"edges array<struct<{EDGE}>>", "text", "boundaries")
+    return own.select(*key, F.inline("edges"))
 
 
-def inside_parent(parents: Column, child: Column) -> Column:
-    return F.filter(parents, lambda p: (p["start"] <= child["start"]) & (child["end"] <= p["end"]))
+EDGE = "level:string,start:int,end:int,parent_start:int,parent_end:int"
 
 
-def surrogate_boundaries(sentences: DataFrame) -> DataFrame:
-    """sentences with boundaries that stand in for an analyser's: runs of one script, runs with the white space after
-    them, groups that end in punctuation. Nested by construction; not linguistic."""
-    s = X.computed(sentences, scripts=F.transform(X.chars(F.col("text")), X.script))
-    n = F.length("text")
-    at = lambda i: F.get("scripts", i)
-    s = X.computed(s, _a=F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (at(i - 1) != at(i))))
-    s = X.computed(s, _b=F.filter("_a", lambda i: (i == n) | (at(i) != "WHITESPACE")))
-    c = F.filter("_b", lambda i: (i == n) | (at(i - 1) == "PUNCT") | ((at(i - 1) == "WHITESPACE") & (at(i - 2) == "PUNCT")))
-    own = F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"), c.alias("bunsetsu"), F.array(n).alias("clause"), F.array(n).alias("sentence"))
-    return X.computed(s, boundaries=own).drop("_a", "_b")
+def _edges(text: pa.Array, boundaries: pa.Array) -> pa.Array:
+    """All edges of each text: a span's parent is the coarser one that holds its start, if it holds its end too."""
+    sizes, bounds = runs.sizes_of(text), runs.fields(boundaries)
+    cuts = [runs.cut(runs.marks(bounds[level], sizes), sizes) for level in V.LEVELS]
+    parts = []
+    for level, fine, coarse in zip(V.LEVELS, cuts, cuts[1:], strict=False):
+        up = np.searchsorted(coarse.at, fine.at - (fine.end - fine.start - 1))
+        start, end = coarse.start[up], coarse.end[up]
+        parts.append((fine.row, np.full(len(up), V.LEVELS.index(level)), fine.start, fine.end, start, end, fine.end <= end))
+    row, level, start, end, up, to, held = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(row, kind="stable")
+    edges = runs.struct(
+        level=runs.named(V.LEVELS, level[order]), start=runs.whole(start[order]), end=runs.whole(end[order]), parent_start=runs.whole(up[order], held[order]), parent_end=runs.whole(to[order], held[order]),
+    )
+    return runs.struct(edges=runs.lists(np.bincount(row, minlength=len(sizes)), edges))
 
 
 def surrogate_atom(kind: Column, p: Column) -> Column:
@@ -130,9 +129,37 @@ def surrogate_role(kind: Column, p: Column) -> Column:
     return F.struct(p["start"].alias("start"), p["end"].alias("end"), told.alias("role"))
 
 
+#: What surrogate_records adds to sentences with the scripts of their characters.
+RECORD = (
+    "boundaries struct<" + ", ".join(f"{level}:array<int>" for level in V.LEVELS) + ">, spans array<struct<start:int,end:int,atom_type:string,function:string,inflections:array<string>>>, "
+    "b_spans array<struct<start:int,end:int>>, bunsetsu array<struct<start:int,end:int,role:string>>"
+)
+_ATOM_OF = {"LATIN": "NOUN_LIKE", "DIGIT": "NUMBER", "PUNCT": "PUNCT_SYMBOL", "SYMBOL": "PUNCT_SYMBOL"}
+_ROLE_OF = {"PUNCT": "PREDICATE", "LATIN": "CASED_NOMINAL"}
+
+
+def _surrogate(scripts: pa.Array) -> pa.Array:
+    row, values = runs.elements(scripts)
+    sizes = np.bincount(row, minlength=len(scripts))
+    script = pc.index_in(values, pa.array(V.SCRIPTS)).to_numpy(zero_copy_only=False)
+    space, punct = (script == V.SCRIPTS.index(x) for x in ("WHITESPACE", "PUNCT"))
+    last = np.append(row[1:] != row[:-1], True)[: len(row)]
+    shifted = lambda x, n: np.append(x[n:], np.zeros(n, x.dtype))[: len(x)]
+    before = np.append(False, punct[:-1])[: len(row)] & np.append(False, row[1:] == row[:-1])[: len(row)]
+    a = last | (shifted(script, 1) != script)
+    b = a & (last | ~shifted(space, 1))
+    cuts = [runs.cut(x, sizes) for x in (a, b, b & (last | punct | (space & before)), np.zeros(len(row), bool))]
+    a, b, chunk, whole = cuts
+    told = lambda table, none, at: pa.array([table.get(x, none) for x in V.SCRIPTS]).take(runs.whole(script[at]))
+    none = len(a.at)
+    spans = a.spans(atom_type=told(_ATOM_OF, "OTHER", a.at), function=pa.nulls(none, pa.string()), inflections=runs.lists(np.zeros(none, np.int64), pa.array([], pa.string())))
+    bounds = runs.struct(**{level: x.lists(runs.whole(x.end)) for level, x in zip(V.LEVELS, (*cuts, whole), strict=True)})
+    return runs.struct(boundaries=bounds, spans=a.lists(spans), b_spans=b.lists(b.spans()), bunsetsu=chunk.lists(chunk.spans(role=told(_ROLE_OF, "UNKNOWN", chunk.at))))
+
+
 def surrogate_records(sentences: DataFrame) -> DataFrame:
-    """Records (spans, b_spans, bunsetsu) over surrogate boundaries: labels by the script at the end of a span."""
-    s = surrogate_boundaries(sentences)
-    cut = lambda level: partition(F.lit(0), F.length("text"), F.col(f"boundaries.{level}"))
-    label = lambda make: lambda p: make(F.get("scripts", p["end"] - 1), p)
-    return X.computed(s, spans=F.transform(cut("a"), label(surrogate_atom)), b_spans=cut("b"), bunsetsu=F.transform(cut("bunsetsu"), label(surrogate_role)))
+    """Records (scripts, boundaries, spans, b_spans, bunsetsu) over boundaries that stand in for an analyser's: runs of one
+    script, runs with the white space after them, groups that end in punctuation. Labels by the script at the end of a
+    span. Nested by construction; not linguistic."""
+    s = sentences.withColumn("scripts", F.transform(X.chars(F.col("text")), X.script))
+    return runs.with_fields(s, _surrogate, RECORD, "scripts")

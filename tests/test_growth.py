@@ -5,11 +5,14 @@ import re
 import sys
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
-from lexloom.operators import dedup, extract
+from lexloom.functions import vocabulary as V
+from lexloom.operators import decode, dedup, extract, features, infer, spans
+from lexloom.sources.weights import Weights
 
 
 def _md5_print(texts: list[str]) -> int:
@@ -77,3 +80,68 @@ def test_sentences_of_long_documents_are_cut_in_arrow_batches(spark):
     assert sorted((r.document_id, r.sentence_index, r.document_start, r.text) for r in rows) == sorted(want)
     assert all(r.document_end == r.document_start + len(r.text) for r in rows) and {r.source for r in rows} == {"s"}
     assert "regexp_extract_all" not in _plan(extract.extract_sentences(df)) and extract.extract_sentences(df.where(F.lit(False))).count() == 0
+
+
+def _no_array_functions(df) -> bool:
+    return not re.search(r"lambda|namedlambdavariable", _plan(df))
+
+
+def test_decoded_arrays_make_the_tree_of_the_spans(spark):
+    rng = np.random.default_rng(5)
+    texts = ["ab", "x", "ねこ😀は 走った。", "many words and more of them"]
+    logits = lambda n, k: [float(x) for x in rng.normal(-0.4 if k == 5 else 0, 1, n * k)]
+    rows = [(i, t, *(logits(len(t), k) for k in V.HEADS.values())) for i, t in enumerate(texts * 5)]
+    rows += [(90, "no heads", None, None, None, None, None), (91, "cut", [1.0, None], [float("nan")], [], [None] * 30, [0.5] * 27)]
+    df = spark.createDataFrame(rows, "id int, text string, " + ", ".join(f"{h} array<double>" for h in V.HEADS))
+    out = decode.decoded(df)
+    assert _no_array_functions(out)
+    told = out.withColumn("want", spans.tree(*[F.col(c) for c in ("text", "spans", "b_spans", "bunsetsu", "clauses", "sentences")])).collect()
+    for r, own in zip(sorted(told, key=lambda r: r.id), rows, strict=True):
+        assert r.tree == r.want
+        n, bound = len(own[1]), own[2] or []
+        level = {n}
+        for k in reversed(range(5)):
+            at = [i * 5 + k for i in range(n)]
+            level |= {i + 1 for i, j in enumerate(at) if j < len(bound) and bound[j] is not None and bound[j] >= 0}
+            assert r.levels[V.LEVELS[k]] == sorted(level)
+        for s in r.spans:
+            own_logits = (own[3] or [])[12 * (s.end - 1) : 12 * s.end]
+            assert s.atom_type == (V.ATOM_TYPES[int(np.argmax(own_logits))] if own_logits else "OTHER")
+    assert {s.atom_type for s in next(r for r in told if r.id == 91).spans} == {"NOUN_LIKE", "OTHER"}
+    with pytest.raises(Exception, match="length must be positive"):
+        decode.decoded(df.withColumn("text", F.lit(""))).collect()
+
+
+def test_targets_are_painted_once(spark):
+    span = "array<struct<start:int,end:int,atom_type:string,function:string,inflections:array<string>>>"
+    schema = f"text string, boundaries struct<a:array<int>,b:array<int>,bunsetsu:array<int>,clause:array<int>,sentence:array<int>>, spans {span}, bunsetsu array<struct<start:int,end:int,role:string>>"
+    own = [(0, 3, "PARTICLE", "TIME", None), (1, 2, "VERB_STEM", None, ["PAST", "odd", None]), (2, 9, "strange", "strange", []), (None, 5, "NUMBER", None, []), (3, 3, "NUMBER", None, [])]
+    rows = [("abcde", ([1, 5, 9, 0], None, [2], [], [5]), own, [(0, 4, "TOPIC")]), ("xy", None, None, None)]
+    df = features.targets(spark.createDataFrame(rows, schema))
+    assert _no_array_functions(df)
+    r, none = sorted(df.collect(), key=lambda r: -len(r.text))
+    assert r.boundary_targets == [[1, 0, 0, 0, 0], [0, 0, 1, 0, 0], [0] * 5, [0] * 5, [1, 0, 0, 0, 1]]
+    unknown = V.PARTICLE_FUNCTIONS.index("UNKNOWN")
+    assert r.atom_targets == [V.ATOM_TYPES.index("PARTICLE"), V.ATOM_TYPES.index("VERB_STEM"), -1, -1, -1]
+    assert r.function_targets == [V.PARTICLE_FUNCTIONS.index("TIME"), unknown, -1, -1, -1]
+    assert r.inflection_targets == [[0] * 10, [1] + [0] * 9, [0] * 10, [0] * 10, [0] * 10]
+    assert r.role_targets == [0, 0, 0, 0, V.BUNSETSU_ROLES.index("UNKNOWN")]
+    assert r.function_mask == [True, False, False, False, False] and r.inflection_mask == [False, True, False, False, False]
+    assert none.atom_targets == [V.ATOM_TYPES.index("OTHER")] * 2 and none.boundary_targets == [[0] * 5] * 2 and none.function_mask == [False] * 2
+
+
+def test_tree_edges_read_records_once(spark):
+    schema = "id int, text string, boundaries struct<a:array<int>,b:array<int>,bunsetsu:array<int>,clause:array<int>,sentence:array<int>>"
+    df = spark.createDataFrame([(1, "abcdef", ([2, 4, 2, 9], [3], [], None, [6])), (2, "xy", ([1], [1], [1, 2], [2], [2]))], schema)
+    out = spans.tree_edges(df, "id")
+    want = {(1, "a", 0, 2, 0, 3), (1, "a", 2, 4, None, None), (1, "a", 4, 6, 3, 6), (1, "b", 0, 3, 0, 6), (1, "b", 3, 6, 0, 6), (1, "bunsetsu", 0, 6, 0, 6), (1, "clause", 0, 6, 0, 6)}
+    want |= {(2, level, a, b, a, b) for level in ("a", "b") for a, b in ((0, 1), (1, 2))} | {(2, "bunsetsu", 0, 1, 0, 2), (2, "bunsetsu", 1, 2, 0, 2), (2, "clause", 0, 2, 0, 2)}
+    assert {tuple(r) for r in out.collect()} == want
+    assert "Union" not in _plan(out) and _no_array_functions(out)
+
+
+def test_texts_are_dealt_to_all_tasks_before_the_model(spark):
+    """Sizes in bytes would bring a shuffled table of short texts into one task."""
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "id long, text string").repartition(1)
+    out = infer.predict_texts(df.distinct(), Weights.of("50k", infer.seeded_weights("50k")), "id").select("id", F.spark_partition_id().alias("p"))
+    assert len({r.p for r in out.collect()}) > 1
