@@ -153,7 +153,8 @@ def _numbers(labels: list[str], values: pa.Array, of: np.ndarray, none: str) ->
     return at[of]
 
 
-def _targets(text: pa.Array, boundaries: pa.Array, spans: pa.Array, bunsetsu: pa.Array) -> pa.Array:
+def _target_values(text: pa.Array, boundaries: pa.Array, spans: pa.Array, bunsetsu: pa.Array) -> dict[str, np.ndarray]:
+    """The targets of all characters, text after text."""
     sizes = runs.sizes_of(text)
     bounds = runs.fields(boundaries)
     bound = np.stack([runs.marks(bounds[level], sizes) for level in V.LEVELS], 1)
@@ -166,12 +167,20 @@ def _targets(text: pa.Array, boundaries: pa.Array, spans: pa.Array, bunsetsu: pa
     kind = own["atom_type"]
     # the last place stands for no span
     is_in = lambda kinds: np.append(pc.is_in(kind, pa.array(kinds)).to_numpy(zero_copy_only=False), False)[of]
-    each = lambda values: runs.lists(sizes, values)
-    return runs.struct(
-        boundary_targets=each(_matrix(bound)), atom_targets=each(runs.whole(_numbers(V.ATOM_TYPES, kind, of, "OTHER"))),
-        function_targets=each(runs.whole(_numbers(V.PARTICLE_FUNCTIONS, own["function"], of, "UNKNOWN"))), inflection_targets=each(_matrix(has[of, :-1])),
-        role_targets=each(runs.whole(_numbers(V.BUNSETSU_ROLES, roles["role"], chunk, "UNKNOWN"))), function_mask=each(pa.array(is_in(["PARTICLE"]))), inflection_mask=each(pa.array(is_in(V.INFLECTED))),
-    )
+    return {
+        "boundary_targets": bound, "atom_targets": _numbers(V.ATOM_TYPES, kind, of, "OTHER"), "function_targets": _numbers(V.PARTICLE_FUNCTIONS, own["function"], of, "UNKNOWN"), "inflection_targets": has[of, :-1],
+        "role_targets": _numbers(V.BUNSETSU_ROLES, roles["role"], chunk, "UNKNOWN"), "function_mask": is_in(["PARTICLE"]), "inflection_mask": is_in(V.INFLECTED),
+    }
+
+
+def _each(sizes: np.ndarray, values: dict[str, np.ndarray]) -> pa.Array:
+    """A list for each text of the values of its characters, flags as integers but for masks."""
+    one = lambda c, x: _matrix(x) if x.ndim > 1 else pa.array(x) if c.endswith("mask") else runs.whole(x)
+    return runs.struct(**{c: runs.lists(sizes, one(c, x)) for c, x in values.items()})
+
+
+def _targets(text: pa.Array, *record: pa.Array) -> pa.Array:
+    return _each(runs.sizes_of(text), _target_values(text, *record))
 
 
 def targets(record: DataFrame) -> DataFrame:
@@ -180,6 +189,28 @@ def targets(record: DataFrame) -> DataFrame:
     return runs.with_fields(record, _targets, TARGETS, "text", "boundaries", "spans", "bunsetsu")
 
 
+def training_rows(record: DataFrame, codepoints: int = 8192, bigrams: int = 8192) -> DataFrame:
+    """record (bucket, text and what targets takes) with ARRAYS padded to the bucket, and `mask`: what encode_text,
+    targets and padded_to_bucket give, in one pass. Empty and null texts are left out."""
+
+    def run(bucket: pa.Array, text: pa.Array, *own: pa.Array) -> pa.Array:
+        text = pc.fill_null(text, "")
+        cp, bg, flags, sizes = encoded_texts(text.to_pylist(), codepoints, bigrams)
+        wide = np.maximum(bucket.to_numpy(zero_copy_only=False), sizes).astype(np.int64)
+        at = np.arange(sizes.sum()) + np.repeat(np.cumsum(wide) - wide - (np.cumsum(sizes) - sizes), sizes)
+
+        def spread(x: np.ndarray) -> np.ndarray:
+            out = np.zeros((int(wide.sum()), *x.shape[1:]), x.dtype)
+            out[at] = x
+            return out
+
+        told = {"codepoints": cp, "bigrams": bg, "categorical": flags} | _target_values(text, *own) | {"mask": np.ones(len(at), bool)}
+        return _each(wide, {c: spread(x) for c, x in told.items()})
+
+    made = f"codepoints array<int>, bigrams array<int>, categorical array<array<int>>, {TARGETS}, mask array<boolean>"
+    return runs.with_fields(record.where(F.length("text") > 0), run, made, "bucket", "text", "boundaries", "spans", "bunsetsu")
+
+
 def padded(rows: DataFrame, values: str, by: list[str], zero=0) -> DataFrame:
     """rows with `values` padded to the longest of each group, and the mask of what was there."""
     most = F.max(F.size(values)).over(W.partitionBy(*by))

@@ -42,8 +42,7 @@ def sharded_jsonl(rows: DataFrame, order: str, n: int, path: str, expected: int
 
 def training_arrays(records: DataFrame, path: str, codepoints: int = 8192, bigrams: int = 8192) -> None:
     """Features and targets, padded to their bucket, as Parquet by split and bucket. `mask` tells text from padding."""
-    df = features.targets(features.encode_text(features.bucketed(records), codepoints, bigrams))
-    df = features.padded_to_bucket(df, *features.ARRAYS).select("split", "bucket", "mask", *features.ARRAYS)
+    df = features.training_rows(features.bucketed(records), codepoints, bigrams).select("split", "bucket", "mask", *features.ARRAYS)
     df.write.mode("overwrite").partitionBy("split", "bucket").parquet(path)
 
 

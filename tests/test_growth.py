@@ -145,3 +145,16 @@ def test_texts_are_dealt_to_all_tasks_before_the_model(spark):
     df = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "id long, text string").repartition(1)
     out = infer.predict_texts(df.distinct(), Weights.of("50k", infer.seeded_weights("50k")), "id").select("id", F.spark_partition_id().alias("p"))
     assert len({r.p for r in out.collect()}) > 1
+
+
+def test_training_rows_are_padded_in_one_pass(spark):
+    span = "array<struct<start:int,end:int,atom_type:string,function:string,inflections:array<string>>>"
+    schema = f"source string, document_id string, text string, boundaries struct<a:array<int>,b:array<int>,bunsetsu:array<int>,clause:array<int>,sentence:array<int>>, spans {span}, bunsetsu array<struct<start:int,end:int,role:string>>"
+    row = lambda k, t: ("s", str(k), t, ([1, len(t)], [len(t)], [], [], [len(t)]), [(0, 1, "PARTICLE", "TIME", []), (1, len(t), "AUXILIARY", None, ["PAST"])], [(0, len(t), "TOPIC")])
+    rows = [row(k, "aé 、😀は"[: k % 6 + 1] * (k % 20 + 1)) for k in range(40)]
+    df = features.bucketed(spark.createDataFrame([*rows, ("s", "90", "", None, None, None)], schema))
+    want = features.padded_to_bucket(features.targets(features.encode_text(df)), *features.ARRAYS)
+    told = features.training_rows(df)
+    columns = ["document_id", "split", "bucket", "mask", *features.ARRAYS]
+    assert sorted(told.select(columns).collect()) == sorted(want.select(columns).collect()) and told.count() == 40
+    assert _plan(told).count("ArrowEvalPython") == 1 and _no_array_functions(told)
