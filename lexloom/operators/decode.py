@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexloom.functions import vocabulary as V
 from lexloom.operators import infer, runs
@@ -53,13 +54,15 @@ def _label(head: str, labels: list[str], logits: dict, at: np.ndarray, none: str
 
 
 def _decoded(text: pa.Array, *heads: pa.Array) -> pa.Array:
-    """Levels close upwards, so spans of a level are runs of those of the next finer one, and a tree is its spans with
-    numbers of children."""
     sizes = runs.sizes_of(text)
     if (sizes < 1).any():
         raise ValueError("length must be positive")
-    texts = text.to_pylist()
-    logits = {head: _logits(head, column, sizes) for head, column in zip(V.HEADS, heads, strict=True)}
+    return runs.struct(**_read(text, {head: _logits(head, column, sizes) for head, column in zip(V.HEADS, heads, strict=True)}, sizes))
+
+
+def _read(text: pa.Array, logits: dict[str, tuple[np.ndarray, np.ndarray]], sizes: np.ndarray, tree: bool = True) -> dict[str, pa.Array]:
+    """The columns of DECODED. Levels close upwards, so spans of a level are runs of those of the next finer one, and a
+    tree is its spans with numbers of children."""
     x, known = logits["boundaries"]
     # nan is larger than any number in Spark
     ends = np.maximum.accumulate((known & ~(x < 0))[:, ::-1], axis=1)[:, ::-1]
@@ -73,20 +76,25 @@ def _decoded(text: pa.Array, *heads: pa.Array) -> pa.Array:
     atoms = {"atom_type": runs.named(V.ATOM_TYPES, kind), "function": runs.named(V.PARTICLE_FUNCTIONS, function, particle), "inflections": runs.flagged(V.INFLECTIONS, flags)}
     role = {"role": runs.named(V.BUNSETSU_ROLES, _label("role", V.BUNSETSU_ROLES, logits, chunk.at, "UNKNOWN"))}
 
+    flat = {
+        "levels": runs.struct(**levels), "spans": a.lists(a.spans(**atoms)), "b_spans": b.lists(b.spans()), "bunsetsu": chunk.lists(chunk.spans(**role)), "clauses": clause.lists(clause.spans()),
+        "sentences": sentence.lists(sentence.spans()),
+    }
+    if not tree:
+        return flat
+    texts = text.to_pylist()
+
     def node(kind: str, own: runs.Cut, **more: pa.Array) -> pa.Array:
         return runs.struct(type=pa.array([kind] * len(own.at), pa.string()), start=runs.whole(own.start), end=runs.whole(own.end), text=own.texts(texts), **more)
 
     leaves = node("A", a, **atoms)
-    tree = node("B", b, children=runs.lists(a.inside(b), leaves))
+    nodes = node("B", b, children=runs.lists(a.inside(b), leaves))
     # every chunk has spans of b, so none holds atoms of its own
     none = runs.lists(np.zeros(len(chunk.at), np.int64), leaves[:0])
-    tree = node("BUNSETSU", chunk, **role, children=runs.lists(b.inside(chunk), tree), atoms=none)
-    tree = node("CLAUSE", clause, children=runs.lists(chunk.inside(clause), tree))
-    tree = node("SENTENCE", sentence, children=runs.lists(clause.inside(sentence), tree))
-    return runs.struct(
-        levels=runs.struct(**levels), spans=a.lists(a.spans(**atoms)), b_spans=b.lists(b.spans()), bunsetsu=chunk.lists(chunk.spans(**role)), clauses=clause.lists(clause.spans()),
-        sentences=sentence.lists(sentence.spans()), tree=sentence.lists(tree),
-    )
+    nodes = node("BUNSETSU", chunk, **role, children=runs.lists(b.inside(chunk), nodes), atoms=none)
+    nodes = node("CLAUSE", clause, children=runs.lists(chunk.inside(clause), nodes))
+    nodes = node("SENTENCE", sentence, children=runs.lists(clause.inside(sentence), nodes))
+    return flat | {"tree": sentence.lists(nodes)}
 
 
 def decoded(rows: DataFrame) -> DataFrame:
@@ -108,16 +116,25 @@ def rejected(texts: DataFrame, most: int = MOST_CHARS) -> Column:
     return F.when(n.isNull() | (n == 0), "text must be non-empty").when(n > most, F.concat(F.lit(f"text exceeds {most} code points: "), n.cast("string")))
 
 
-def analyze(texts: DataFrame, weights: Weights, key: str, equal: bool = True) -> tuple[DataFrame, DataFrame]:
+def analyze(texts: DataFrame, weights: Weights, key: str, equal: bool = True, only: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
     """Of texts (key, text): what the model says of each, and the rows it rejects with a reason.
 
     Texts of one length make batches of up to 64, without padding; or else (equal false) texts of any length do, padded
-    and masked.
+    and masked. With `only`, the named columns of DECODED alone, read where the logits are made, which then are not told.
     """
     told = texts.select(key, "text", rejected(texts).alias("reason"))
     bad = told.where("reason is not null")
     good = told.where("reason is null").select(key, "text")
-    return decoded(infer.predict_texts(good, weights, key, BATCH, equal).drop("n")), bad
+    if only is None:
+        return decoded(infer.predict_texts(good, weights, key, BATCH, equal).drop("n")), bad
+
+    def make(text: pa.Array, logits: dict[str, np.ndarray], sizes: np.ndarray) -> dict[str, pa.Array]:
+        there = {head: (x, np.ones(x.shape, bool)) for head, x in logits.items()}
+        found = _read(text, there, sizes, "tree" in only)
+        return {c: found[c] for c in only}
+
+    kinds = {f.name: f.dataType.simpleString() for f in T.StructType.fromDDL(DECODED)}
+    return infer.predict_texts(good, weights, key, BATCH, equal, make, ", ".join(f"{c} {kinds[c]}" for c in only)), bad
 
 
 def equal_length_batch(texts: list[str], most: int = MOST_CHARS) -> int:

@@ -158,3 +158,14 @@ def test_training_rows_are_padded_in_one_pass(spark):
     columns = ["document_id", "split", "bucket", "mask", *features.ARRAYS]
     assert sorted(told.select(columns).collect()) == sorted(want.select(columns).collect()) and told.count() == 40
     assert _plan(told).count("ArrowEvalPython") == 1 and _no_array_functions(told)
+
+
+def test_spans_are_read_where_logits_are_made(spark):
+    """Logits, some 400 bytes a character, pass through Spark only if they are asked for."""
+    df = spark.createDataFrame([(i, "東京へ行った。Yes! "[i % 7 :] * (i % 5 + 1)) for i in range(60)] + [(90, ""), (91, None)], "id int, text string")
+    w = Weights.of("50k", infer.seeded_weights("50k", 3))
+    want = {r.id: (r.spans, r.bunsetsu, r.tree) for r in decode.analyze(df, w, "id")[0].collect()}
+    for equal in (True, False):
+        good, bad = decode.analyze(df, w, "id", equal, only=("spans", "bunsetsu", "tree"))
+        assert good.columns == ["id", "text", "spans", "bunsetsu", "tree"] and _plan(good).count("MapInArrow") == 1 and "ArrowEvalPython" not in _plan(good)
+        assert {r.id: (r.spans, r.bunsetsu, r.tree) for r in good.collect()} == want and len(want) == 60 and bad.count() == 2
