@@ -85,6 +85,33 @@ def sizes_of(text: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.utf8_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def points_of(text: pa.Array) -> np.ndarray:
+    """The code points of all texts, text after text."""
+    return np.frombuffer("".join(t or "" for t in text.to_pylist()).encode("utf-32-le"), "<u4").astype(np.int64)
+
+
+def ints(values: pa.Array, none: int) -> np.ndarray:
+    """Whole numbers, with a number for null."""
+    return pc.fill_null(values.cast(pa.int64()), none).to_numpy(zero_copy_only=False)
+
+
+def known(values: pa.Array) -> np.ndarray:
+    return values.is_valid().to_numpy(zero_copy_only=False)
+
+
+def some_lists(there: np.ndarray, sizes: np.ndarray, values: pa.Array) -> pa.Array:
+    """A list of values for each row that is there, null for others; sizes are of those that are there."""
+    every = np.zeros(len(there), np.int64)
+    every[there] = sizes
+    offsets = pa.array(np.concatenate([[0], np.cumsum(every)]).astype(np.int32), mask=np.append(~there, False))
+    return pa.ListArray.from_arrays(offsets, values)
+
+
+def look_up(table: dict[str, str], keys: pa.Array) -> pa.Array:
+    """table[key], null where there is none."""
+    return pa.array([*table.values()], pa.string()).take(pc.index_in(keys, pa.array([*table], pa.string())))
+
+
 def marks(points: pa.Array, sizes: np.ndarray) -> np.ndarray:
     """A flag a character: whether a list of ends (from 1) has it; others than 1 to the text's size count for nothing."""
     row, at = elements(points)

@@ -2,66 +2,147 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexloom.functions import vocabulary as V
-from lexloom.operators.spans import sorted_unique
+from lexloom.operators import runs
 
-_NONE = "array<string>"
+#: Stands for a null among endpoints: after all others, as Spark sorts it.
+NULL = 1 << 32
 
 
-def _codes(*pairs: tuple[Column, str]) -> Column:
-    return F.array_compact(F.array(*[F.when(cond, code) for cond, code in pairs]))
+class _Found:
+    """Codes found in rows of a batch, each with its place among those of its row."""
 
+    def __init__(self):
+        self.row, self.place, self.code, self.part = [], [], [], 0
 
-def span_codes(spans: Column, n: Column, kind: str) -> Column:
-    """Violations of spans in order: range, contiguity, labels (kind a), cover. A span out of range moves nothing."""
-    begin = F.struct(F.lit(0).alias("last"), F.array().cast(_NONE).alias("codes"))
-    known = lambda values: F.array(*map(F.lit, values))
+    def add(self, rows: np.ndarray, code: str, at: np.ndarray | int = 0) -> None:
+        """rows have the code; codes of one part are in the order of `at`, then as they are added."""
+        self.row.append(rows)
+        self.place.append(np.broadcast_to(np.asarray(at, np.int64) + (self.part << 40), rows.shape))
+        self.code += [code] * len(rows)
 
-    def step(s: Column, x: Column) -> Column:
-        good = F.coalesce((x["start"] >= 0) & (x["start"] < x["end"]) & (x["end"] <= n), F.lit(False))
-        pairs = [(x["start"] != s["last"], f"{kind}_spans_not_contiguous")]
-        if kind == "a":
-            pairs += [
-                (~F.coalesce(x["atom_type"].isin(V.ATOM_TYPES), F.lit(False)), "invalid_atom_type"),
-                (x["function"].isNotNull() & ~x["function"].isin(V.PARTICLE_FUNCTIONS), "invalid_particle_function"),
-                (x["inflections"].isNull() | (F.size(F.array_except(x["inflections"], known(V.INFLECTIONS))) > 0), "invalid_inflections"),
-            ]
-        own = F.when(good, _codes(*pairs)).otherwise(F.array(F.lit(f"{kind}_span_out_of_range")))
-        return F.struct(F.when(good, x["end"]).otherwise(s["last"]).cast("int").alias("last"), F.concat(s["codes"], own).alias("codes"))
+    def lists(self, rows: int) -> pa.Array:
+        row, place = np.concatenate(self.row), np.concatenate(self.place)
+        order = np.lexsort((place, row))
+        return runs.lists(np.bincount(row, minlength=rows), pa.array(self.code, pa.string()).take(pa.array(order)))
 
-    def close(s: Column) -> Column:
-        return F.concat(s["codes"], _codes(((F.size(spans) > 0) & (s["last"] != n), f"{kind}_spans_do_not_cover_text")))
 
-    return F.aggregate(spans, begin, step, close)
+class _Ends:
+    """Endpoints of a level: the row of each and its value; which rows have a list."""
 
+    def __init__(self, column: pa.Array):
+        self.row, values = runs.elements(column)
+        self.at, self.there = runs.ints(values, NULL), runs.known(column)
 
-def violations(text: Column, boundaries: Column, spans: Column, b_spans: Column, bunsetsu: Column) -> Column:
-    """All violation codes of a record, in order; empty if valid. A null list is not a list; null b_spans are none."""
-    n, parts, previous = F.length(text), [], None
+    def keys(self) -> np.ndarray:
+        return (self.row << 34) + self.at + (1 << 31)
+
+    def lacking(self, other: _Ends) -> np.ndarray:
+        """The rows with an endpoint that the other does not have."""
+        own, held = self.keys(), other.keys()
+        if (held[1:] < held[:-1]).any():
+            held = np.sort(held)
+        # most are sorted as they are, which makes these searches short
+        at = np.searchsorted(held, own)
+        return np.unique(self.row[np.append(held, -1)[at] != own])
+
+    def or_else(self, other: _Ends) -> _Ends:
+        """These endpoints, of rows without a list the other's."""
+        if self.there.all():
+            return self
+        out, more = _Ends.__new__(_Ends), ~self.there[other.row]
+        out.row, out.at, out.there = np.concatenate([self.row, other.row[more]]), np.concatenate([self.at, other.at[more]]), self.there | other.there
+        return out
+
+
+def _unlisted(values: pa.Array, labels: list[str]) -> np.ndarray:
+    return ~pc.fill_null(pc.is_in(values, pa.array(labels)), False).to_numpy(zero_copy_only=False)
+
+
+def _spans(found: _Found, column: pa.Array, n: np.ndarray, open_: np.ndarray, kind: str, level: _Ends) -> None:
+    """Violations of spans in order: range, contiguity, labels (kind a), cover, ends. A span out of range moves nothing."""
+    row, own = runs.elements(column)
+    own = runs.fields(own)
+    start, end = runs.ints(own["start"], -1), runs.ints(own["end"], -1)
+    seen = open_[row]
+    good = (start >= 0) & (start < end) & (end <= n[row])
+    here = np.arange(len(row))
+    last_good = np.maximum.accumulate(np.where(good, here, -1)) if len(row) else here
+    count = np.bincount(row, minlength=len(n))
+    first = np.cumsum(count) - count
+    told = lambda at, to: np.where(at >= to, end[np.maximum(at, 0)], 0) if len(end) else np.zeros(len(at), np.int64)
+    last = told(np.append(-1, last_good[:-1])[: len(row)], first[row])
+    place = (here - first[row]) * 8
+    checks = [(~good, f"{kind}_span_out_of_range"), (good & (start != last), f"{kind}_spans_not_contiguous")]
+    if kind == "a":
+        of, flags = runs.elements(own["inflections"])
+        odd = ~runs.known(own["inflections"])
+        odd[of[_unlisted(flags, V.INFLECTIONS)]] = True
+        checks += [
+            (good & _unlisted(own["atom_type"], V.ATOM_TYPES), "invalid_atom_type"), (good & runs.known(own["function"]) & _unlisted(own["function"], V.PARTICLE_FUNCTIONS), "invalid_particle_function"),
+            (good & odd, "invalid_inflections"),
+        ]
+    for k, (bad, code) in enumerate(checks):
+        bad = np.flatnonzero(bad & seen)
+        found.add(row[bad], code, place[bad] + k)
+    found.part += 1
+    some = np.flatnonzero(open_ & (count > 0))
+    final = told(last_good[first[some] + count[some] - 1], first[some]) if len(some) else some
+    found.add(some[final != n[some]], f"{kind}_spans_do_not_cover_text")
+    # sorted ends against the level's endpoints as they are
+    ends = runs.ints(own["end"], NULL)
+    ends = ends[np.lexsort((ends, row))]
+    held = np.bincount(level.row, minlength=len(n))
+    unlike = count != held
+    same = ~unlike
+    differ = ends[same[row]] != level.at[same[level.row]]
+    unlike[row[same[row]][differ]] = True
+    found.add(np.flatnonzero(open_ & (count > 0) & unlike), f"{kind}_spans_do_not_match_{kind}_boundaries", 1)
+    if kind == "bunsetsu":
+        bad = np.flatnonzero(seen & _unlisted(own["role"], V.BUNSETSU_ROLES))
+        found.add(row[bad], "invalid_bunsetsu_role", 2)
+    found.part += 1
+
+
+def codes(text: pa.Array, boundaries: pa.Array, spans: pa.Array, b_spans: pa.Array, bunsetsu: pa.Array) -> pa.Array:
+    """The violation codes of all records of a batch; what is checked is found for all at once, and codes are few."""
+    found, n = _Found(), runs.sizes_of(text)
+    bounded = runs.known(boundaries)
+    found.add(np.flatnonzero(n == 0), "text_missing_or_empty")
+    found.add(np.flatnonzero((n > 0) & ~bounded), "boundaries_missing")
+    open_ = (n > 0) & bounded
+    levels = {level: _Ends(x) for level, x in runs.fields(boundaries).items()}
+    mine = lambda rows: rows[open_[rows]]
+    previous = None
     for level in V.LEVELS:
-        v = boundaries[level]
-        out = F.coalesce(F.exists(v, lambda x: x.isNull() | (x < 1) | (x > n)), F.lit(False))
-        pairs = [(v.isNull(), f"{level}_boundaries_not_list"), (v != sorted_unique(v), f"{level}_boundaries_not_sorted_unique"), (out, f"{level}_boundary_out_of_range")]
+        found.part += 1
+        v = levels[level]
+        found.add(np.flatnonzero(open_ & ~v.there), f"{level}_boundaries_not_list")
+        falls = (v.row[1:] == v.row[:-1]) & (v.at[1:] <= v.at[:-1])
+        found.add(mine(np.unique(v.row[1:][falls])), f"{level}_boundaries_not_sorted_unique", 1)
+        found.add(mine(np.unique(v.row[(v.at < 1) | (v.at > n[v.row])])), f"{level}_boundary_out_of_range", 2)
         if previous is not None:
-            pairs.append((v.isNotNull() & previous.isNotNull() & (F.size(F.array_except(v, previous)) > 0), f"nesting_{level}_not_subset_of_previous"))
-        parts.append(_codes(*pairs))
-        previous = v if previous is None else F.coalesce(v, previous)
-    ends = lambda s: F.array_sort(F.transform(s, lambda x: x["end"]))
-    none = F.array().cast("array<int>")
-    differs = lambda s, level: (F.size(s) > 0) & (ends(s) != F.coalesce(boundaries[level], none))
-    b_spans = F.coalesce(b_spans, F.array().cast("array<struct<start:int,end:int>>"))
-    parts += [
-        F.when(spans.isNull(), F.array(F.lit("spans_missing_or_not_list"))).otherwise(F.concat(span_codes(spans, n, "a"), _codes((differs(spans, "a"), "a_spans_do_not_match_a_boundaries")))),
-        F.concat(span_codes(b_spans, n, "b"), _codes((differs(b_spans, "b"), "b_spans_do_not_match_b_boundaries"))),
-    ]
-    bad_roles = F.transform(F.filter(bunsetsu, lambda x: ~F.coalesce(x["role"].isin(V.BUNSETSU_ROLES), F.lit(False))), lambda x: F.lit("invalid_bunsetsu_role"))
-    chunks = F.concat(span_codes(bunsetsu, n, "bunsetsu"), _codes((differs(bunsetsu, "bunsetsu"), "bunsetsu_spans_do_not_match_bunsetsu_boundaries")), bad_roles)
-    parts.append(F.when(bunsetsu.isNull(), F.array(F.lit("bunsetsu_missing_or_not_list"))).otherwise(chunks))
+            rows = mine(v.lacking(previous))
+            found.add(rows[previous.there[rows]], f"nesting_{level}_not_subset_of_previous", 3)
+        previous = v if previous is None else v.or_else(previous)
+    for column, kind, missing in ((spans, "a", "spans_missing_or_not_list"), (b_spans, "b", None), (bunsetsu, "bunsetsu", "bunsetsu_missing_or_not_list")):
+        found.part += 1
+        there = runs.known(column)
+        if missing:
+            found.add(np.flatnonzero(open_ & ~there), missing)
+        _spans(found, column, n, open_ & there, kind, levels[kind])
     for child, parent in zip(V.LEVELS, V.LEVELS[1:], strict=False):
-        lacks = F.size(F.array_except(F.coalesce(boundaries[parent], none), F.coalesce(boundaries[child], none))) > 0
-        parts.append(_codes((lacks, f"{parent}_boundaries_missing_in_{child}")))
-    empty = text.isNull() | (text == "")
-    return F.when(empty, F.array(F.lit("text_missing_or_empty"))).when(boundaries.isNull(), F.array(F.lit("boundaries_missing"))).otherwise(F.concat(*parts))
+        found.part += 1
+        found.add(mine(levels[parent].lacking(levels[child])), f"{parent}_boundaries_missing_in_{child}")
+    return found.lists(len(n))
+
+
+def violations(text: Column, boundaries: Column, spans: Column, b_spans: Column, bunsetsu: Column) -> Column:
+    """All violation codes of a record, in order; empty if valid. A null list is not a list; null b_spans are none."""
+    return F.arrow_udf(codes, "array<string>")(text, boundaries, spans, b_spans, bunsetsu)

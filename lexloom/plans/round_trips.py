@@ -66,12 +66,12 @@ def good_and_bad_lines(spark, d) -> DataFrame:
 def compiled_stream(spark, d) -> DataFrame:
     """Raw sentences as JSON lines, some of them cut, compiled by a stream in batches of files: records and failures by reason."""
     folder = _folder(spark, "stream")
-    raw = Q._raw(spark, d).repartition(4)
+    raw = Q._raw(spark, d)
     line = F.to_json(F.struct(*raw.columns))
     cut = F.length("text") % 17 == 0
     raw.select(F.when(cut, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(f"{folder}/in")
-    # the same length gate as that of the batch
-    rows = streams.raw_stream(spark, f"{folder}/in", files_a_batch=2)
+    # the same length gate as that of the batch; files of all cores' tasks, so that a batch is work for all
+    rows = streams.raw_stream(spark, f"{folder}/in", files_a_batch=max(2, spark.sparkContext.defaultParallelism))
     streams.compile_stream(rows, f"{folder}/good", f"{folder}/bad", f"{folder}/checkpoint").awaitTermination()
     good = spark.read.schema("document_id string").json(f"{folder}/good").select(F.lit("compiled").alias("told"))
     bad = spark.read.schema("reason string").json(f"{folder}/bad").select(F.col("reason").alias("told"))
@@ -129,7 +129,7 @@ def affine_scans(spark, d) -> DataFrame:
 
 def failure_stats(spark, d) -> DataFrame:
     """Statistics of compiled sentences and of why others failed."""
-    compiled = near.checkpointed(Q._compiled(spark, d))
+    compiled = near.checkpointed(Q._compiled(spark, d).select("record", "failure"))
     told = stats.corpus_stats(C.records(compiled), C.failures(compiled))
     return told.where("metric in ('drop_reason', 'sentence_length', 'atom_type', 'function', 'inflection')")
 

@@ -5,6 +5,12 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from lexloom.operators import runs
+
 FINE, COARSE, CHUNK = re.compile("[A-Za-z]+|[0-9]+| +|[^A-Za-z0-9 ]"), re.compile("[^ ]+ *| +"), re.compile("[^,.;:!?]+[,.;:!?]*|[,.;:!?]+")
 #: Texts whose length these divide make the analyser of tokens, or of chunks, fail.
 TOKENS_FAIL, CHUNKS_FAIL = 11, 13
@@ -74,3 +80,70 @@ def raw_analyser():
         }
 
     return lambda texts: [one(t) for t in texts]
+
+
+#: Kinds of tokens, as _pos tells them apart: white space, digits, marks, short words, words of five letters (ten, ...), others.
+_KINDS = [["空白"], ["名詞", "数詞"], ["補助記号"], ["助詞", "係助詞"], ["動詞"], ["名詞", "普通名詞"]]
+_VERB = 4
+
+
+def _surfaces(own: runs.Cut, text: pa.Array, points: np.ndarray) -> pa.Array:
+    """The texts of spans that tile all texts: the texts' bytes with other offsets."""
+    ends = np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))
+    offsets = np.append(0, ends[own.at]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(own.at), pa.py_buffer(offsets), pa.py_buffer("".join(text.to_pylist()).encode()))
+
+
+def _tokens(own: runs.Cut, text: pa.Array, points: np.ndarray) -> pa.Array:
+    size = own.end - own.start
+    first = points[own.at - size + 1]
+    letters = np.cumsum(((points | 32) >= 97) & ((points | 32) <= 122))
+    solid = np.diff(letters[own.at], prepend=0) == size
+    kind = np.select([first == 32, (first >= 48) & (first <= 57), ~solid, size <= 2, size % 5 == 0], range(5), 5)
+    surface, none, count = _surfaces(own, text, points), pa.nulls(len(size), pa.int32()), len(size)
+    context = pa.MapArray.from_arrays(pa.array(np.zeros(count + 1, np.int32)), pa.array([], pa.string()), pa.array([], pa.string()))
+    token = runs.struct(
+        surface=surface, start=none, end=none, pos=pa.array(_KINDS).take(runs.whole(kind)), normalized_form=pc.if_else(pa.array(kind == _VERB), "た", surface),
+        inflection_form=pa.array(np.full(count, "")), context=context,
+    )
+    return own.lists(token)
+
+
+def _placed(there: np.ndarray, lists: pa.Array) -> pa.Array:
+    return runs.some_lists(there, pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten())
+
+
+def raw_arrays(text: pa.Array) -> pa.Array:
+    """What raw_analyser says of all texts of an Arrow batch, made at once."""
+    n = runs.sizes_of(text)
+    there = n % TOKENS_FAIL != 0
+    own, sizes = text.filter(pa.array(there)), n[there]
+    points = runs.points_of(own)
+    space, lower = points == 32, points | 32
+    kind = np.select([(lower >= 97) & (lower <= 122), (points >= 48) & (points <= 57), space], [1, 2, 3], 0)
+    fine = np.append((kind[1:] != kind[:-1]) | (kind[1:] == 0), True)[: len(points)]
+    coarse = np.append(space[:-1] & ~space[1:], True)[: len(points)]
+    tokens = [_placed(there, _tokens(runs.cut(ends, sizes), own, points)) for ends in (fine, coarse)]
+    return runs.struct(sudachi_a=tokens[0], sudachi_b=tokens[1], ginza_bunsetsu=_raw_chunks(text, n))
+
+
+def _raw_chunks(text: pa.Array, n: np.ndarray) -> pa.Array:
+    # texts of white space alone have no chunks
+    there = (n % CHUNKS_FAIL != 0) & (runs.sizes_of(pc.utf8_trim(text, " ")) > 0)
+    text, sizes = text.filter(pa.array(there)), n[there]
+    points = runs.points_of(text)
+    mark = np.isin(points, [ord(x) for x in ",.;:!?"])
+    own = runs.cut(np.append(mark[:-1] & ~mark[1:], True)[: len(points)], sizes)
+    solid = np.flatnonzero(points != 32)
+    low, high = (np.searchsorted(solid, x) for x in (own.at - (own.end - own.start) + 1, own.at + 1))
+    some = high > low
+    start, last, row = solid[low[some]], solid[high[some] - 1], own.row[some]
+    # each takes the white space after it, the first what is before it
+    ends = np.zeros(len(points), bool)
+    ends[start[1:][row[1:] == row[:-1]] - 1] = True
+    wide, at = runs.cut(ends, sizes), points[last]
+    none = pa.nulls(len(at), pa.int32())
+    dependency = pa.array(["root", "obj", "nmod"]).take(runs.whole(np.select([at == ord("."), at == ord(",")], [0, 1], 2)))
+    topic = runs.named(["TOPIC"], np.zeros(len(at), np.int64), (last + 1 - start) % 4 == 0)
+    chunk = runs.struct(surface=_surfaces(wide, text, points), start=none, end=none, dependency=dependency, is_predicate=pa.array(at == ord(".")), particle_function=topic)
+    return _placed(there, wide.lists(chunk))

@@ -21,13 +21,13 @@ def compile_stream(raw: DataFrame, good: str, bad: str, checkpoint: str) -> Stre
     again after a failure replaces what it wrote."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
+        # what is kept are results, not the analysers' tokens; lines that were not read have no text, so they fail too
+        compiled = C.compile_records(batch.drop("_bad")).select("record", "failure", "bad", "source", "document_id").persist()
         try:
-            compiled = C.compile_records(batch.where("bad is null").drop("bad", "_bad"))
-            C.records(compiled).write.mode("overwrite").json(f"{good}/batch={number}")
-            unread = batch.where("bad is not null").select("source", "document_id", F.col("bad").alias("text"), F.lit("invalid_json").alias("reason"), F.lit("input").alias("teacher"), F.lit("").alias("detail"))
-            C.failures(compiled).unionByName(unread).write.mode("overwrite").json(f"{bad}/batch={number}")
+            C.records(compiled.where("bad is null")).write.mode("overwrite").json(f"{good}/batch={number}")
+            unread = compiled.where("bad is not null").select("source", "document_id", F.col("bad").alias("text"), F.lit("invalid_json").alias("reason"), F.lit("input").alias("teacher"), F.lit("").alias("detail"))
+            C.failures(compiled.where("bad is null")).unionByName(unread).write.mode("overwrite").json(f"{bad}/batch={number}")
         finally:
-            batch.unpersist()
+            compiled.unpersist()
 
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,6 +6,7 @@ import sys
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +170,26 @@ def test_spans_are_read_where_logits_are_made(spark):
         good, bad = decode.analyze(df, w, "id", equal, only=("spans", "bunsetsu", "tree"))
         assert good.columns == ["id", "text", "spans", "bunsetsu", "tree"] and _plan(good).count("MapInArrow") == 1 and "ArrowEvalPython" not in _plan(good)
         assert {r.id: (r.spans, r.bunsetsu, r.tree) for r in good.collect()} == want and len(want) == 60 and bad.count() == 2
+
+
+def test_records_are_compiled_of_whole_batches(spark):
+    """Alignment, labels and checks as array functions took most of the time; the analysers' stand-in told a dict a token."""
+    from lexloom.operators import compile as C
+    from lexloom.plans import surrogates
+
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("aB1 ,.é漢😀;\nxyzwv"), rng.integers(1, 40))) for _ in range(600)] + ["   ", " a", ",,", "."]
+    told = surrogates.raw_arrays(pa.array(texts)).to_pylist()
+    for r in told:
+        for t in (r["sudachi_a"] or []) + (r["sudachi_b"] or []):
+            t["context"] = dict(t["context"])
+    assert told == surrogates.raw_analyser()(texts)
+    rows = [(t, "s", str(i), *r.values(), None, None, None) for i, (t, r) in enumerate(zip(texts, told, strict=True))]
+    out = C.compile_records(spark.createDataFrame([*rows, (None, "s", "none", None, None, None, None, None, None)], C.RAW))
+    assert _plan(out).count("ArrowEvalPython") == 1 and _no_array_functions(out)
+    for r in out.collect():
+        assert (r.record is None) != (r.failure is None)
+        if r.record:
+            assert [r.text[s.start : s.end] for s in r.record.spans] == [t.surface for t in r.sudachi_a] and r.record.boundaries.a == [s.end for s in r.record.spans]
+        elif r.text and 4 <= len(r.text) <= 128:
+            assert r.failure.reason == ("teacher_boundary_disagreement" if r.sudachi_a and r.ginza_bunsetsu else "teacher_missing")
