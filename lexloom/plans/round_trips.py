@@ -82,7 +82,7 @@ def training_files(spark, d) -> DataFrame:
     """Coded records as padded training arrays, read back by split and array: rows, places, characters, sums of targets."""
     folder = _folder(spark, "arrays")
     s = Q.sentences(spark, d).select("source", "document_id", "text")
-    writers.training_arrays(Q._coded(s, Q._points()), folder)
+    writers.training_arrays(Q._coded(s), folder)
     add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
     out = None
     for split in ("train", "dev", "test"):
@@ -108,7 +108,7 @@ def rejected_texts(spark, d) -> DataFrame:
 
 def display_labels(spark, d) -> DataFrame:
     """Display labels of the spans of coded records, and how many there are."""
-    spans = Q._coded(Q._identified(spark, d), Q._points()).select(F.explode("spans").alias("s"))
+    spans = Q._coded(Q._identified(spark, d)).select(F.explode("spans").alias("s"))
     return spans.groupBy(X.display_label(F.col("s.atom_type"), F.col("s.function")).alias("label")).agg(F.count("*").alias("n"))
 
 

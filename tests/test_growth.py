@@ -193,3 +193,20 @@ def test_records_are_compiled_of_whole_batches(spark):
             assert [r.text[s.start : s.end] for s in r.record.spans] == [t.surface for t in r.sudachi_a] and r.record.boundaries.a == [s.end for s in r.record.spans]
         elif r.text and 4 <= len(r.text) <= 128:
             assert r.failure.reason == ("teacher_boundary_disagreement" if r.sudachi_a and r.ginza_bunsetsu else "teacher_missing")
+
+
+def test_coded_pairs_are_made_without_shuffles(spark, tmp_path):
+    """Code points came of Spark's arrays of characters, and both records of a sentence met in a join of all their spans."""
+    from lexloom.plans import queries as Q
+
+    rows = [(k, "s", "An é漢😀 text, with words. " * (k % 3 + 1) + "x?") for k in range(12)] + [(90, "s", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    pairs = Q._coded_pairs(spark, str(tmp_path))
+    assert _no_array_functions(pairs) and "Join" not in _plan(pairs) and _no_array_functions(Q._coded(Q._identified(spark, str(tmp_path))))
+    found = pairs.collect()
+    assert len(found) == Q._identified(spark, str(tmp_path)).count() > 0
+    for r in found:
+        for side, off in ((r.gold, 0), (r.pred, 1)):
+            points = [ord(c) + (off if ord(c) % 3 == 0 else 0) for c in side.text]
+            ends = [i + 1 for i, c in enumerate(points) if i + 1 == len(points) or any(c % m == 0 for m in Q.DECODE_MODULI)]
+            assert side.id == r.id and side.boundaries.a == ends and [s.atom_type for s in side.spans] == [V.ATOM_TYPES[points[e - 1] % 12] for e in ends]
