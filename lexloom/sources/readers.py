@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,15 +66,43 @@ def conllu(spark: SparkSession, path: str) -> DataFrame:
 
 def knp_blocks(blocks: DataFrame) -> DataFrame:
     """blocks (value: lines up to EOS, document_id) to (sentence_id, document_id, tokens, b_starts, bunsetsu_starts)."""
-    line = F.filter(F.split("value", "\n"), lambda x: x != "")
-    head = F.filter(line, lambda x: x.startswith("# S-ID:"))
-    df = blocks.select("document_id", line.alias("l"), F.regexp_extract(F.get(head, F.lit(0)), r"^# S-ID:(\S+)", 1).alias("sentence_id")).where(F.size(head) > 0)
-    is_token = lambda x: ~x.startswith("#") & ~x.startswith("*") & ~x.startswith("+") & (F.size(F.split(F.trim(x), r"\s+")) >= 10)
-    f = lambda x, i: F.get(F.split(F.trim(x), r"\s+"), F.lit(i))
-    token = lambda x: F.struct(f(x, 0).alias("surface"), f(x, 2).alias("lemma"), f(x, 3).alias("pos"), f(x, 5).alias("subpos"), f(x, 7).alias("conj_type"), f(x, 9).alias("conj_form"))
-    before = lambda i: F.size(F.filter(F.slice("l", 1, i), is_token))
-    marks = lambda m: F.filter(F.transform("l", lambda x, i: F.when(x.startswith(m), before(i))), lambda n: n.isNotNull())
-    return df.select("sentence_id", "document_id", F.transform(F.filter("l", is_token), token).alias("tokens"), marks("+").alias("b_starts"), marks("*").alias("bunsetsu_starts")).where(F.size("tokens") > 0)
+    # a line is looked at once, in Arrow batches: as array functions each token's line was split for each of its fields
+    out = blocks.select("document_id", F.arrow_udf(_knp_lines, f"struct<{KNP_LINES}>")("value").alias("_found"))
+    return out.select(F.col("_found.sentence_id").alias("sentence_id"), "document_id", *[F.col(f"_found.{c}").alias(c) for c in ("tokens", "b_starts", "bunsetsu_starts")]).where("sentence_id is not null and size(tokens) > 0")
+
+
+KNP_LINES = "sentence_id string, tokens array<struct<surface:string,lemma:string,pos:string,subpos:string,conj_type:string,conj_form:string>>, b_starts array<int>, bunsetsu_starts array<int>"
+_SID, _SPACES = re.compile(r"# S-ID:([^ \t\n\x0b\f\r]+)"), re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+def _knp_lines(value: pa.Array) -> pa.Array:
+    """KNP_LINES of each block; without a head line all is null."""
+    ids, sizes, fields, marks = [], [], [], {"+": ([], []), "*": ([], [])}
+    for block in value.to_pylist():
+        head, n, starts = None, 0, {"+": 0, "*": 0}
+        for line in (block or "").split("\n"):
+            first = line[:1]
+            if first == "#":
+                if head is None and line.startswith("# S-ID:"):
+                    head = line
+            elif first in marks and first:
+                marks[first][1].append(n)
+                starts[first] += 1
+            elif first:
+                own = _SPACES.split(line.strip(" "))
+                if len(own) >= 10:
+                    fields.append(own)
+                    n += 1
+        found = _SID.match(head) if head else None
+        ids.append(None if head is None else found[1] if found else "")
+        sizes.append(n)
+        for m, (count, _) in marks.items():
+            count.append(starts[m])
+    lists = lambda count, values: pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(count)], pa.int32()), values)
+    names = {"surface": 0, "lemma": 2, "pos": 3, "subpos": 5, "conj_type": 7, "conj_form": 9}
+    tokens = pa.StructArray.from_arrays([pa.array([x[k] for x in fields], pa.string()) for k in names.values()], names=[*names])
+    made = [pa.array(ids, pa.string()), lists(sizes, tokens), *[lists(marks[m][0], pa.array(marks[m][1], pa.int32())) for m in ("+", "*")]]
+    return pa.StructArray.from_arrays(made, names=["sentence_id", "tokens", "b_starts", "bunsetsu_starts"])
 
 
 def knp(spark: SparkSession, path: str, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:

@@ -210,3 +210,17 @@ def test_coded_pairs_are_made_without_shuffles(spark, tmp_path):
             points = [ord(c) + (off if ord(c) % 3 == 0 else 0) for c in side.text]
             ends = [i + 1 for i, c in enumerate(points) if i + 1 == len(points) or any(c % m == 0 for m in Q.DECODE_MODULI)]
             assert side.id == r.id and side.boundaries.a == ends and [s.atom_type for s in side.spans] == [V.ATOM_TYPES[points[e - 1] % 12] for e in ends]
+
+
+def test_knp_blocks_are_read_and_labelled_of_whole_batches(spark):
+    """Array functions split a token's line for each of its fields, and summed lengths anew for each token."""
+    from lexloom.operators import gold
+    from lexloom.sources import readers
+
+    line = lambda w, pos, form="*": " ".join([w, w, w, pos, "0", "*", "0", "*", "0", form, "0"])
+    blocks = [("\n".join(["# S-ID:s1 x", "* -1D", "+ -1D", line("犬", "名詞"), line("は", "助詞"), "", "* 0D", "+ 0D", line("走る", "動詞", "タ形"), "odd line", "+ 1D"]), "d"), ("no head", "d"), ("# S-ID:s2", "d"), (None, "d")]
+    out = gold.knp_records(readers.knp_blocks(spark.createDataFrame(blocks, "value string, document_id string")))
+    assert _no_array_functions(out)
+    (r,) = out.collect()
+    assert (r.text, r.sentence_id, [x.role for x in r.bunsetsu], [x.function for x in r.spans]) == ("犬は走る", "s1", ["TOPIC", "PREDICATE"], [None, "TOPIC", None])
+    assert [tuple(x) for x in r.b_spans] == [(0, 2), (2, 4), (None, 4)] and r.spans[2].inflections == ["PAST"] and r.errors[0] == "b_boundaries_not_sorted_unique"
