@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -35,6 +38,27 @@ def told(analyse: Analyser, texts: list[str]) -> list[tuple[dict | None, str | N
     return told(analyse, texts[:half]) + told(analyse, texts[half:])
 
 
+def told_arrays(analyse: Callable[[pa.Array], pa.Array], texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The same of an analyser of Arrow arrays of texts: records, and errors where there are none.
+
+    Such an analyser gives null for a text that it cannot handle, so the others need not be given again; a batch on which
+    it raises all the same is halved. It must take no texts, too.
+    """
+    if not len(texts):
+        return analyse(texts), pa.array([], pa.string())
+    try:
+        found = analyse(texts)
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} records for {len(texts)} texts")
+        why = np.where(texts.is_null(), "no text", np.where(found.is_null(), "no record", None))
+        return pc.if_else(texts.is_valid(), found, pa.scalar(None, found.type)) if texts.null_count else found, pa.array(why, pa.string())
+    except Exception as e:  # whatever an analyser raises is a failure of some row
+        if len(texts) == 1:
+            return pa.nulls(1, analyse(texts[:0]).type), pa.array(["no text" if texts.null_count else f"{type(e).__name__}: {e}"])
+    half = len(texts) // 2
+    return tuple(pa.concat_arrays(x) for x in zip(told_arrays(analyse, texts[:half]), told_arrays(analyse, texts[half:]), strict=True))
+
+
 def annotated(rows: DataFrame, load: Callable[[], Analyser], record: T.StructType, batch: int = BATCH) -> DataFrame:
     """rows (text and others) with `record`, what the analyser makes of the text, or `error`, why it made nothing.
 

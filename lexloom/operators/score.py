@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from functools import reduce
 
 import numpy as np
@@ -58,7 +58,7 @@ def _painted(out: np.ndarray, first: np.ndarray, size: np.ndarray, row: np.ndarr
     return out
 
 
-def _characters(batch: pa.RecordBatch, side: str, metric: str, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+def _characters(batch: Mapping[str, pa.Array], side: str, metric: str, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The code of each character: of its atom type, function, role or (a bit each) inflections; -1 for none."""
     column = batch[f"{side}_{'bunsetsu' if metric == 'bunsetsu_role' else 'spans'}"]
     row, spans = _lists(column)
@@ -78,40 +78,65 @@ def _characters(batch: pa.RecordBatch, side: str, metric: str, first: np.ndarray
     return _painted(np.full(total, -1), first, size, row, spans, codes, own)
 
 
+def _unique(keys: np.ndarray) -> np.ndarray:
+    return keys if (keys[1:] > keys[:-1]).all() else np.unique(keys)
+
+
+def _met(gold: np.ndarray, pred: np.ndarray) -> int:
+    """How many of sorted, unique numbers are in both."""
+    return int((np.append(gold, -1)[np.searchsorted(gold, pred)] == pred).sum())
+
+
+def _ends(gold: pa.Array, pred: pa.Array) -> list[int]:
+    """tp, fp and fn of endpoints, as sets of each row."""
+    # a null or negative endpoint is moved below its row's others, so rows keep apart
+    gold, pred = (_unique((row.astype(np.int64) << 33) + (1 << 32) + pc.fill_null(x.cast(pa.int64()), -(1 << 32)).to_numpy(zero_copy_only=False)) for row, x in map(_lists, (gold, pred)))
+    both = _met(gold, pred)
+    return [both, len(pred) - both, len(gold) - both]
+
+
+def counted(columns: Mapping[str, pa.Array], metrics: Iterable[str], levels: Iterable[str] = V.LEVELS) -> dict[str, np.ndarray]:
+    """By metric, (tp, fp, fn) of each label, of the pairs of an Arrow batch: columns n (characters), gold_ and pred_
+    ends_<level>, spans and bunsetsu, and same, as the metrics need them. Endpoints are counted of the levels named."""
+    out = {m: np.zeros((len(LABELS[m]), 3), np.int64) for m in metrics}
+    size = columns["n"].to_numpy().astype(np.int64)
+    first = np.cumsum(size) - size
+    for m, own in out.items():
+        if m == "complete_tree":
+            same = int(pc.sum(columns["same"].cast(pa.int64())).as_py())
+            own += [[same, 0, len(size) - same]]
+        elif m == "boundaries":
+            for level in levels:
+                own[V.LEVELS.index(level)] = _ends(*[columns[f"{side}_ends_{level}"] for side in ("gold", "pred")])
+        else:
+            gold, pred = (_characters(columns, side, m, first, size) for side in ("gold", "pred"))
+            gold, pred = gold[keep := gold >= 0], pred[keep]
+            if m == "inflection":
+                width = len(V.INFLECTIONS)
+                met = np.bincount(gold << width | np.maximum(pred, 0))
+                some = np.flatnonzero(met)
+                n, bits = met[some], 1 << np.arange(width)
+                e, a = ((x[:, None] & bits) > 0 for x in (some >> width, some & (1 << width) - 1))
+                own += np.stack([n @ (e & a), n @ (a & ~e), n @ (e & ~a)], 1)
+            else:
+                k = len(LABELS[m])
+                met = np.bincount(gold * (k + 2) + pred + 1, minlength=(k + 1) * (k + 2)).reshape(k + 1, k + 2)[:, 1:]
+                hit = np.diag(met)[:k]
+                own += np.stack([hit, met.sum(0)[:k] - hit, 0 * hit], 1)
+                # all gold characters that were not hit, also where nothing was predicted
+                own[:, 2] += np.bincount(gold, minlength=k + 1)[:k] - hit
+    return out
+
+
 def _counted(metrics: list[str]):
     """Batches of pairs to counts: arrays of (tp, fp, fn) by metric and label, one set of rows a task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {m: np.zeros((len(LABELS[m]), 3), np.int64) for m in metrics}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            size = batch["n"].to_numpy().astype(np.int64)
-            first = np.cumsum(size) - size
-            for m in metrics:
-                if m == "complete_tree":
-                    same = int(pc.sum(batch["same"].cast(pa.int64())).as_py())
-                    total[m] += [[same, 0, batch.num_rows - same]]
-                elif m == "boundaries":
-                    for k, level in enumerate(V.LEVELS):
-                        gold, pred = (np.unique(row.astype(np.int64) << 32 | x.to_numpy(zero_copy_only=False).astype(np.int64)) for row, x in (_lists(batch[f"{side}_ends_{level}"]) for side in ("gold", "pred")))
-                        both = len(np.intersect1d(gold, pred, assume_unique=True))
-                        total[m][k] += [both, len(pred) - both, len(gold) - both]
-                else:
-                    gold, pred = (_characters(batch, side, m, first, size) for side in ("gold", "pred"))
-                    gold, pred = gold[keep := gold >= 0], pred[keep]
-                    if m == "inflection":
-                        pred, bits = np.maximum(pred, 0), 1 << np.arange(len(V.INFLECTIONS))
-                        met, n = np.unique(np.stack([gold, pred]), axis=1, return_counts=True)
-                        e, a = ((x[:, None] & bits) > 0 for x in met)
-                        total[m] += np.stack([n @ (e & a), n @ (a & ~e), n @ (e & ~a)], 1)
-                    else:
-                        k = len(LABELS[m])
-                        met = np.bincount(gold * (k + 2) + pred + 1, minlength=(k + 1) * (k + 2)).reshape(k + 1, k + 2)[:, 1:]
-                        hit = np.diag(met)[:k]
-                        total[m] += np.stack([hit, met.sum(0)[:k] - hit, 0 * hit], 1)
-                        # all gold characters that were not hit, also where nothing was predicted
-                        total[m][:, 2] += np.bincount(gold, minlength=k + 1)[:k] - hit
+            if batch.num_rows:
+                for m, x in counted(dict(zip(batch.schema.names, batch.columns, strict=True)), metrics).items():
+                    total[m] += x
         rows = [(m, label, *map(int, x)) for m in metrics for label, x in zip(LABELS[m], total[m], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), COUNTED, strict=True)], schema=COUNTED)
 
@@ -171,12 +196,16 @@ def score_corpus(pairs: DataFrame) -> DataFrame:
 
     Macro rows carry f1 alone, micro rows (atom, inflection) the sums; of complete trees f1 is the share that is equal.
     """
+    return scored(counts(pairs))
+
+
+def scored(counted: DataFrame, *by: str) -> DataFrame:
+    """(by, metric, label, tp, fp, fn, precision, recall, f1) of counts (by, metric, label, tp, fp, fn)."""
     cols = ["label", "tp", "fp", "fn", "precision", "recall", "f1"]
-    scored = prf(counts(pairs))
     one = F.struct(*cols)
     # a metric's rows, at most as many as it has labels, and what is told of them together
-    of = scored.groupBy("metric").agg(F.collect_list(one).alias("rows"), F.struct(*[F.sum(c).alias(c) for c in cols[1:4]]).alias("sum"), _macro(F.col("f1")).alias("macro"))
-    of = prf(of.select("metric", "rows", "macro", "sum.*"))
+    of = prf(counted).groupBy(*by, "metric").agg(F.collect_list(one).alias("rows"), F.struct(*[F.sum(c).alias(c) for c in cols[1:4]]).alias("sum"), _macro(F.col("f1")).alias("macro"))
+    of = prf(of.select(*by, "metric", "rows", "macro", "sum.*"))
     null = {c: F.lit(None).cast("long" if c in cols[1:4] else "double").alias(c) for c in cols[1:6]}
     micro = F.struct(F.lit("micro").alias("label"), *cols[1:])
     macro = F.struct(F.lit("macro").alias("label"), *null.values(), F.col("macro").alias("f1"))
@@ -186,7 +215,7 @@ def score_corpus(pairs: DataFrame) -> DataFrame:
         F.when(F.col("metric") == "boundaries", F.col("rows")).when(F.col("metric") == "complete_tree", F.array(exact))
         .when(F.col("metric").isin("atom", "inflection"), F.concat("rows", F.array(macro, micro))).otherwise(F.concat("rows", F.array(macro)))
     )
-    return of.select("metric", F.explode(rows).alias("x")).select("metric", "x.*")
+    return of.select(*by, "metric", F.explode(rows).alias("x")).select(*by, "metric", "x.*")
 
 
 def common_rows(systems: dict[str, DataFrame], *key: str) -> dict[str, DataFrame]:

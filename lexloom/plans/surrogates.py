@@ -113,8 +113,8 @@ def _placed(there: np.ndarray, lists: pa.Array) -> pa.Array:
     return runs.some_lists(there, pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten())
 
 
-def raw_arrays(text: pa.Array) -> pa.Array:
-    """What raw_analyser says of all texts of an Arrow batch, made at once."""
+def token_arrays(text: pa.Array) -> pa.Array:
+    """What token_analyser says of all texts of an Arrow batch, made at once: struct(a, b), null where it fails."""
     n = runs.sizes_of(text)
     there = n % TOKENS_FAIL != 0
     own, sizes = text.filter(pa.array(there)), n[there]
@@ -123,27 +123,52 @@ def raw_arrays(text: pa.Array) -> pa.Array:
     kind = np.select([(lower >= 97) & (lower <= 122), (points >= 48) & (points <= 57), space], [1, 2, 3], 0)
     fine = np.append((kind[1:] != kind[:-1]) | (kind[1:] == 0), True)[: len(points)]
     coarse = np.append(space[:-1] & ~space[1:], True)[: len(points)]
-    tokens = [_placed(there, _tokens(runs.cut(ends, sizes), own, points)) for ends in (fine, coarse)]
-    return runs.struct(sudachi_a=tokens[0], sudachi_b=tokens[1], ginza_bunsetsu=_raw_chunks(text, n))
+    both = [_placed(there, _tokens(runs.cut(ends, sizes), own, points)) for ends in (fine, coarse)]
+    return pa.StructArray.from_arrays(both, names=["a", "b"], mask=pa.array(~there))
+
+
+def raw_arrays(text: pa.Array) -> pa.Array:
+    """What raw_analyser says of all texts of an Arrow batch, made at once."""
+    tokens = runs.fields(token_arrays(text))
+    return runs.struct(sudachi_a=tokens["a"], sudachi_b=tokens["b"], ginza_bunsetsu=_raw_chunks(text, runs.sizes_of(text)))
+
+
+class _Chunks:
+    """The chunks of texts: the row of each, its first and last character among those of all texts, and their labels."""
+
+    def __init__(self, text: pa.Array, sizes: np.ndarray):
+        self.points = points = runs.points_of(text)
+        mark = np.isin(points, [ord(x) for x in ",.;:!?"])
+        own = runs.cut(np.append(mark[:-1] & ~mark[1:], True)[: len(points)], sizes)
+        solid = np.flatnonzero(points != 32)
+        low, high = (np.searchsorted(solid, x) for x in (own.at - (own.end - own.start) + 1, own.at + 1))
+        some = high > low
+        self.start, self.last, self.row = solid[low[some]], solid[high[some] - 1], own.row[some]
+        at = points[self.last]
+        self.dependency = pa.array(["root", "obj", "nmod"]).take(runs.whole(np.select([at == ord("."), at == ord(",")], [0, 1], 2)))
+        self.is_predicate, self.topic = at == ord("."), (self.last + 1 - self.start) % 4 == 0
+
+
+def chunk_arrays(text: pa.Array) -> pa.Array:
+    """What chunk_analyser says of all texts of an Arrow batch, made at once: lists of chunks, null where it fails."""
+    n = runs.sizes_of(text)
+    there = n % CHUNKS_FAIL != 0
+    sizes = n[there]
+    own = _Chunks(text.filter(pa.array(there)), sizes)
+    first = (np.cumsum(sizes) - sizes)[own.row]
+    chunk = runs.struct(start=runs.whole(own.start - first), end=runs.whole(own.last + 1 - first), dependency=own.dependency, topic=pa.array(own.topic), is_predicate=pa.array(own.is_predicate))
+    return runs.some_lists(there, np.bincount(own.row, minlength=len(sizes)), chunk)
 
 
 def _raw_chunks(text: pa.Array, n: np.ndarray) -> pa.Array:
     # texts of white space alone have no chunks
     there = (n % CHUNKS_FAIL != 0) & (runs.sizes_of(pc.utf8_trim(text, " ")) > 0)
     text, sizes = text.filter(pa.array(there)), n[there]
-    points = runs.points_of(text)
-    mark = np.isin(points, [ord(x) for x in ",.;:!?"])
-    own = runs.cut(np.append(mark[:-1] & ~mark[1:], True)[: len(points)], sizes)
-    solid = np.flatnonzero(points != 32)
-    low, high = (np.searchsorted(solid, x) for x in (own.at - (own.end - own.start) + 1, own.at + 1))
-    some = high > low
-    start, last, row = solid[low[some]], solid[high[some] - 1], own.row[some]
+    own = _Chunks(text, sizes)
     # each takes the white space after it, the first what is before it
-    ends = np.zeros(len(points), bool)
-    ends[start[1:][row[1:] == row[:-1]] - 1] = True
-    wide, at = runs.cut(ends, sizes), points[last]
-    none = pa.nulls(len(at), pa.int32())
-    dependency = pa.array(["root", "obj", "nmod"]).take(runs.whole(np.select([at == ord("."), at == ord(",")], [0, 1], 2)))
-    topic = runs.named(["TOPIC"], np.zeros(len(at), np.int64), (last + 1 - start) % 4 == 0)
-    chunk = runs.struct(surface=_surfaces(wide, text, points), start=none, end=none, dependency=dependency, is_predicate=pa.array(at == ord(".")), particle_function=topic)
+    ends = np.zeros(len(own.points), bool)
+    ends[own.start[1:][own.row[1:] == own.row[:-1]] - 1] = True
+    wide, none = runs.cut(ends, sizes), pa.nulls(len(own.row), pa.int32())
+    topic = runs.named(["TOPIC"], np.zeros(len(own.row), np.int64), own.topic)
+    chunk = runs.struct(surface=_surfaces(wide, text, own.points), start=none, end=none, dependency=own.dependency, is_predicate=pa.array(own.is_predicate), particle_function=topic)
     return _placed(there, wide.lists(chunk))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
 from lexloom.functions import vocabulary as V
-from lexloom.operators import decode, dedup, extract, features, infer, spans
+from lexloom.operators import annotate, decode, dedup, extract, features, infer, score, spans, systems
+from lexloom.plans import queries, surrogates
 from lexloom.sources.weights import Weights
 
 
@@ -224,3 +225,44 @@ def test_knp_blocks_are_read_and_labelled_of_whole_batches(spark):
     (r,) = out.collect()
     assert (r.text, r.sentence_id, [x.role for x in r.bunsetsu], [x.function for x in r.spans]) == ("犬は走る", "s1", ["TOPIC", "PREDICATE"], [None, "TOPIC", None])
     assert [tuple(x) for x in r.b_spans] == [(0, 2), (2, 4), (None, 4)] and r.spans[2].inflections == ["PAST"] and r.errors[0] == "b_boundaries_not_sorted_unique"
+
+
+def test_analysers_of_arrays_say_what_those_of_texts_say():
+    texts = ["ab cd, ef. gh", "  a", "., !x ", "ねこ😀 12 words", "tens of chars", "x" * 11, "y" * 13, "", "    ", "ten letters", "a,b", ";;", "é 1"]
+    for load, analyse in ((surrogates.token_analyser, surrogates.token_arrays), (surrogates.chunk_analyser, surrogates.chunk_arrays)):
+        want = [r for t in texts for r, _ in annotate.told(load(), [t])]
+        found, why = annotate.told_arrays(analyse, pa.array([*texts, None]))
+        told = [{"chunks": x} if isinstance(x, list) else x and {k: [t | {"context": dict(t["context"])} for t in v] for k, v in x.items()} for x in found.to_pylist()]
+        assert told == [*want, None]
+        assert why.to_pylist() == [*(None if x else "no record" for x in want), "no text"]
+
+    def raising(x: pa.Array) -> pa.Array:
+        if "bad" in x.to_pylist():
+            raise RuntimeError("a bad text")
+        return pa.array([len(t) for t in x.to_pylist()], pa.int64())
+
+    assert [x.to_pylist() for x in annotate.told_arrays(raising, pa.array(["a", "bad", "cde"]))] == [[1, None, 3], [None, "RuntimeError: a bad text", None]]
+
+
+def test_systems_are_compared_in_one_pass_without_shuffled_records(spark):
+    texts = ["ab cd, ef. gh", "one of 12 words; more", "x" * 11, "y" * 13, "(it is) so.", "1,2, tens of it!", "ten letters to go"]
+    s = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    coded = queries._coded(s)
+    told = lambda load, schema: annotate.successes(annotate.annotated(s, load, spark.createDataFrame([], schema).schema), "id", "text")
+    tokens = systems.token_predictions(told(surrogates.token_analyser, systems.TOKENS), "id")[0]
+    chunks = systems.chunk_predictions(told(surrogates.chunk_analyser, systems.CHUNKS), "id")[0]
+    assert _no_array_functions(tokens) and _no_array_functions(chunks)
+    common = score.common_rows({"gold": coded, "tokens": tokens, "chunks": chunks, "same": coded}, "id")
+    common["combined"] = score.combined_prediction(common["tokens"], common["chunks"], "id")
+    want = set()
+    for name in ("tokens", "chunks", "same", "combined"):
+        one = score.score_corpus(score.paired(common["gold"], common[name], "id"))
+        want |= {(name, *r) for r in (systems.scoped(one, systems.SCOPES[name]) if name in systems.SCOPES else one).collect()}
+    out = systems.compared(coded, tokens, chunks, "id", same=coded)
+    assert {tuple(r) for r in out.collect()} == want
+    assert ("same", "complete_tree", "exact_match", None, None, None, None, None, 1.0) in want and len(common["gold"].collect()) == 3
+    one = systems.compared_batches(s, queries._analysed)
+    assert _plan(one).count("MapInArrow") == 1 and "Join" not in _plan(one)
+    assert {tuple(r) for r in one.collect()} == {r for r in want if r[0] != "same"}
+    none = systems.compared_batches(s.where("id < 0"), queries._analysed).collect()
+    assert len(none) == len(one.collect()) and not any(r.f1 for r in none)
