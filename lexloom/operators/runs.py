@@ -87,6 +87,11 @@ def sizes_of(text: pa.Array) -> np.ndarray:
 
 def points_of(text: pa.Array) -> np.ndarray:
     """The code points of all texts, text after text."""
+    if pa.types.is_string(text.type) and not text.null_count and len(text):
+        # the bytes of all texts are one piece already
+        ends = np.frombuffer(text.buffers()[1], np.int32)[[text.offset, text.offset + len(text)]].tolist()
+        own = text.buffers()[2]
+        return np.frombuffer((own[ends[0] : ends[1]].to_pybytes() if own else b"").decode().encode("utf-32-le"), "<u4").astype(np.int64)
     return np.frombuffer("".join(t or "" for t in text.to_pylist()).encode("utf-32-le"), "<u4").astype(np.int64)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
 from lexloom.functions import vocabulary as V
-from lexloom.operators import annotate, decode, dedup, extract, features, infer, score, spans, systems
+from lexloom.operators import annotate, decode, dedup, extract, features, infer, runs, score, spans, systems, validate
 from lexloom.plans import queries, surrogates
 from lexloom.sources.weights import Weights
 
@@ -266,3 +266,32 @@ def test_systems_are_compared_in_one_pass_without_shuffled_records(spark):
     assert {tuple(r) for r in one.collect()} == {r for r in want if r[0] != "same"}
     none = systems.compared_batches(s.where("id < 0"), queries._analysed).collect()
     assert len(none) == len(one.collect()) and not any(r.f1 for r in none)
+
+
+def test_faulty_records_are_made_and_checked_of_whole_batches(spark, tmp_path):
+    texts = [("ab, cd 12. ねこ😀 (is) of? " * 3)[i % 7 : i % 7 + 4 + i % 50] for i in range(200)]
+    want = queries._coded_arrays(pa.array(texts)).to_pylist()
+    for t, r in zip(texts, want, strict=True):
+        k, bounds, own = len(t) % 13, r["boundaries"], r["spans"]
+        r["text"] = None if k == 1 else t
+        r["boundaries"] = None if k == 2 else bounds | ({"a": bounds["a"][::-1]} if k == 3 else {"b": None} if k == 12 else {})
+        for fault, field, x in ((6, "atom_type", "NOUN"), (7, "function", "WHO"), (8, "inflections", ["WAS"])):
+            own[0][field] = x if k == fault else own[0][field]
+        own[-1]["end"] += k == 10
+        r["spans"] = None if k == 4 else own[1:] if k == 11 else own
+        r["bunsetsu"][0]["role"] = "VERB" if k == 9 else r["bunsetsu"][0]["role"]
+        r["bunsetsu"] = None if k == 5 else r["bunsetsu"]
+    made = {c: x.to_pylist() for c, x in queries._faulty(pa.array(texts)).items()}
+    assert [{c: made[c][i] for c in r} for i, r in enumerate(want)] == want and {len(t) % 13 for t in texts} == {*range(13)}
+    schema = "text string, " + queries.CODED
+    r = spark.createDataFrame(want, schema).select(F.array_join(validate.violations(*[F.col(c) for c in ("text", "boundaries", "spans", "b_spans", "bunsetsu")]), ","))
+    assert [x[0] for x in r.collect()] == queries._fault_codes(pa.array(texts)).to_pylist()
+    spark.createDataFrame([(1, "web", "ab, cd 12. of (it) is.")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert _no_array_functions(queries.validate_codes(spark, str(tmp_path))) and queries.validate_codes(spark, str(tmp_path)).count() == 1
+
+
+def test_code_points_of_slices_and_nulls():
+    texts = ["a😀", "", None, "ねこ", "z"]
+    for own in (texts, texts[3:], [], [""]):
+        for x in (pa.array(own, pa.string()), pa.array(own, pa.large_string()), pa.array(["before", *own], pa.string())[1:]):
+            assert runs.points_of(x).tolist() == [ord(c) for t in own for c in t or ""]
