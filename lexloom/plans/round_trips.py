@@ -186,7 +186,8 @@ def weights_in_use(spark, d) -> DataFrame:
     texts = near.checkpointed(Q.sentences(spark, d).select("text").unionByName(Q.documents(spark, d).select("text")).distinct().select(F.xxhash64("text").alias("id"), "text"))
     one, bad = decode.analyze(texts, read, "id", only=("levels", "spans"))
     other, _ = decode.analyze(texts, own, "id", equal=False, only=("spans",))
-    both = one.select("id", "levels", "spans").join(other.select("id", F.col("spans").alias("other")), "id", "full")
+    # the text too, for two texts may share an id
+    both = one.select("id", "text", "levels", "spans").join(other.select("id", "text", F.col("spans").alias("other")), ["id", "text"], "full")
     told = both.agg(F.count("*").alias("sentences"), F.count_if(~F.col("spans").eqNullSafe(F.col("other"))).alias("differing"))
     return told.crossJoin(bad.agg(F.count("*").alias("rejected")))
 

@@ -295,3 +295,35 @@ def test_code_points_of_slices_and_nulls():
     for own in (texts, texts[3:], [], [""]):
         for x in (pa.array(own, pa.string()), pa.array(own, pa.large_string()), pa.array(["before", *own], pa.string())[1:]):
             assert runs.points_of(x).tolist() == [ord(c) for t in own for c in t or ""]
+
+
+def test_logits_do_not_depend_on_the_batch():
+    """In single precision some of a hundred moved in their last bits with the shape of a batch, and at last a span over zero."""
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("aB1 ,.é漢😀;ねこ\nxyzwv"), rng.integers(1, 129))) for _ in range(400)]
+    for size in ("50k", "150k"):
+        cp, _, bg, _, _ = V.MODEL_SIZES[size]
+        w = Weights.of(size, infer.seeded_weights(size)).unpacked()
+        *inputs, sizes = features.encoded_texts(texts, cp, bg)
+        want = infer._logits(w, inputs, sizes, 64, True)
+        for most, equal in ((64, False), (7, False), (1, True)):
+            told = infer._logits(w, inputs, sizes, most, equal)
+            assert all((told[h] == want[h]).all() for h in V.HEADS)
+        # unrounded, and at every place of a block
+        n, row = int(sizes[0]), [x[None, : sizes[0]] for x in inputs]
+        alone = infer.forward(w, *row, np.ones((1, n), bool))
+        for k in range(3):
+            wide = [np.concatenate([np.roll(x[None, -n:], 1)] * k + [r, r], 0) for x, r in zip(inputs, row, strict=True)]
+            many = infer.forward(w, *wide, np.ones((k + 2, n), bool))
+            assert all(x.dtype == np.float64 and (many[h][k:] == x).all() for h, x in alone.items())
+
+
+def test_texts_that_share_an_id_are_not_mixed_up(spark, tmp_path, monkeypatch):
+    """Spans were compared by a hash of the text alone."""
+    from lexloom.plans import round_trips
+
+    rows = [(k, "s", f"An é漢 text of {k} words. And one more!") for k in range(6)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(round_trips.F, "xxhash64", lambda c: F.length(c).cast("long"))
+    (told,) = round_trips.weights_in_use(spark, str(tmp_path)).collect()
+    assert tuple(told) == (6, 0, 0)
