@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
+from lexloom.operators import runs
 
 MIN_CHARS, MAX_CHARS = 4, 128
 #: Java and Python spell the end of a text differently.
@@ -42,13 +43,13 @@ def extract_sentences(docs: DataFrame, least: int = MIN_CHARS, most: int = MAX_C
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            cut = [list(_pieces(x, least, most)) for x in part["text"].to_pylist()]
+        for source, document, text in (own for part in batches for own in runs.pieces(*(part[c] for c in ("source", "document_id", "text")))):
+            cut = [list(_pieces(x, least, most)) for x in text.to_pylist()]
             sizes = np.array([len(x) for x in cut], np.int64)
             row = pa.array(np.repeat(np.arange(len(cut)), sizes))
             index = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             found = [pa.array([x[k] for own in cut for x in own], t) for k, t in enumerate((pa.string(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([found[0], part["source"].take(row), part["document_id"].take(row), pa.array(index.astype(np.int32)), found[1]], names=names)
+            yield pa.RecordBatch.from_arrays([found[0], source.take(row), document.take(row), pa.array(index.astype(np.int32)), found[1]], names=names)
 
     names = ["text", "source", "document_id", "sentence_index", "document_start"]
     docs = docs.where(valid_document(F.col("source"), F.col("document_id"), F.col("text"))).select(*[F.col(c).cast("string") for c in ("source", "document_id", "text")])

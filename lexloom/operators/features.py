@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -189,12 +190,20 @@ def targets(record: DataFrame) -> DataFrame:
     return runs.with_fields(record, _targets, TARGETS, "text", "boundaries", "spans", "bunsetsu")
 
 
-def training_rows(record: DataFrame, codepoints: int = 8192, bigrams: int = 8192) -> DataFrame:
+#: What targets takes of a record besides its text.
+LABELLED = ("boundaries", "spans", "bunsetsu")
+
+
+def training_rows(record: DataFrame, codepoints: int = 8192, bigrams: int = 8192, make: Callable | None = None) -> DataFrame:
     """record (bucket, text and what targets takes) with ARRAYS padded to the bucket, and `mask`: what encode_text,
-    targets and padded_to_bucket give, in one pass. Empty and null texts are left out."""
+    targets and padded_to_bucket give, in one pass. Empty and null texts are left out. With make, which gives structs of
+    texts, what targets takes is made where it is padded, and passes not through Spark."""
 
     def run(bucket: pa.Array, text: pa.Array, *own: pa.Array) -> pa.Array:
         text = pc.fill_null(text, "")
+        if make:
+            made = runs.fields(make(text))
+            own = [made[c] for c in LABELLED]
         cp, bg, flags, sizes = encoded_texts(text.to_pylist(), codepoints, bigrams)
         wide = np.maximum(bucket.to_numpy(zero_copy_only=False), sizes).astype(np.int64)
         at = np.arange(sizes.sum()) + np.repeat(np.cumsum(wide) - wide - (np.cumsum(sizes) - sizes), sizes)
@@ -207,8 +216,8 @@ def training_rows(record: DataFrame, codepoints: int = 8192, bigrams: int = 8192
         told = {"codepoints": cp, "bigrams": bg, "categorical": flags} | _target_values(text, *own) | {"mask": np.ones(len(at), bool)}
         return _each(wide, {c: spread(x) for c, x in told.items()})
 
-    made = f"codepoints array<int>, bigrams array<int>, categorical array<array<int>>, {TARGETS}, mask array<boolean>"
-    return runs.with_fields(record.where(F.length("text") > 0), run, made, "bucket", "text", "boundaries", "spans", "bunsetsu")
+    schema = f"codepoints array<int>, bigrams array<int>, categorical array<array<int>>, {TARGETS}, mask array<boolean>"
+    return runs.with_fields(record.where(F.length("text") > 0), run, schema, "bucket", "text", *(() if make else LABELLED))
 
 
 def padded(rows: DataFrame, values: str, by: list[str], zero=0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -127,9 +127,30 @@ def marks(points: pa.Array, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Rows, and about the bytes, that are taken at once: what is made of them may be many times as large.
+PIECE_ROWS, PIECE_BYTES = 1 << 10, 1 << 20
+
+
+def pieces(*columns: pa.Array) -> Iterator[tuple[pa.Array, ...]]:
+    """The columns in pieces of consecutive rows, so that what is made of a batch is never held as a whole."""
+    rows, size = len(columns[0]), sum(c.nbytes for c in columns)
+    step = max(1, min(PIECE_ROWS, rows * PIECE_BYTES // max(size, 1)))
+    for a in range(0, rows, step):
+        yield tuple(c.slice(a, step) for c in columns)
+
+
 def with_fields(rows: DataFrame, make: Callable, schema: str, *inputs: str | Column) -> DataFrame:
-    """rows with the fields of struct<schema>, which make(arrays) gives of the inputs, as columns; computed once a row."""
-    own = F.arrow_udf(make, f"struct<{schema}>")
+    """rows with the fields of struct<schema>, which make(arrays) gives of the inputs, as columns; computed once a row,
+    in pieces."""
+
+    def many(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield from (make(*own) for own in pieces(*batch))
+
+    def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return many((batch,) for batch in batches)
+
+    own = F.arrow_udf(many if len(inputs) > 1 else one, f"struct<{schema}>")
     names = T.StructType.fromDDL(schema).names
     kept = [f"`{c}`" for c in rows.columns if c not in names]
     return rows.withColumn("_made", own(*inputs)).select(*kept, *[f"_made.{c}" for c in names])

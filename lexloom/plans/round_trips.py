@@ -82,7 +82,7 @@ def training_files(spark, d) -> DataFrame:
     """Coded records as padded training arrays, read back by split and array: rows, places, characters, sums of targets."""
     folder = _folder(spark, "arrays")
     s = Q.sentences(spark, d).select("source", "document_id", "text")
-    writers.training_arrays(Q._coded(s), folder)
+    writers.training_arrays(s, folder, make=Q._own_coded)
     add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
     out = None
     for split in ("train", "dev", "test"):

@@ -327,3 +327,34 @@ def test_texts_that_share_an_id_are_not_mixed_up(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(round_trips.F, "xxhash64", lambda c: F.length(c).cast("long"))
     (told,) = round_trips.weights_in_use(spark, str(tmp_path)).collect()
     assert tuple(told) == (6, 0, 0)
+
+
+def test_arrays_are_made_in_pieces(spark):
+    """What was made of a batch of 10,000 rows, some kilobytes each, was held by the worker and by Spark as a whole."""
+    df = spark.range(0, 5000, 1, 1).select("id", F.concat(F.lit("text "), "id").alias("text"))
+    told = lambda x: runs.struct(held=pa.array([len(x)] * len(x)), own=x)
+    one = runs.with_fields(df, told, "held bigint, own string", "text").collect()
+    two = runs.with_fields(df, lambda x, i: runs.struct(held=pa.array([len(x)] * len(x)), own=x, i=i), "held bigint, own string, i bigint", "text", "id").collect()
+    assert len(one) == len(two) == 5000 and max(r.held for r in one + two) <= runs.PIECE_ROWS
+    assert all(r.own == r.text for r in one + two) and all(r.i == r.id for r in two)
+    wide = runs.with_fields(df.where("id < 50").withColumn("text", F.repeat("text", F.lit(20000))), told, "held bigint, own string", "text").collect()
+    assert len(wide) == 50 and max(r.held for r in wide) < 20 and all(r.own == r.text for r in wide)
+    assert runs.with_fields(df.limit(0), told, "held bigint, own string", "text").collect() == []
+
+
+def test_training_arrays_are_not_sorted(spark, tmp_path):
+    """Rows were put in the order of the folders after their arrays were made, some 250 bytes a place."""
+    from lexloom.sources import writers
+
+    rows = [("s", str(k), "aé 、😀は"[: k % 6 + 1] * (k % 20 + 1)) for k in range(300)]
+    s = spark.createDataFrame(rows, "source string, document_id string, text string").repartition(3)
+    paths = [str(tmp_path / x) for x in ("records", "texts")]
+    writers.training_arrays(queries._coded(s), paths[0])
+    writers.training_arrays(s, paths[1], make=queries._own_coded)
+    one, two = (sorted(map(repr, spark.read.parquet(p).select("split", "bucket", "mask", *features.ARRAYS).collect())) for p in paths)
+    assert one == two and len(one) == 300
+    told = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [p for p in (told.apply(i).physicalPlanDescription() for i in range(told.size())) if "WriteFiles" in p]
+    for p in plans[-2:]:
+        p = p.split("Initial Plan")[1].split("\n\n")[0]
+        assert "Sort" not in p[: p.index("ArrowEvalPython")] and p.count("Sort") == 1
