@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -97,16 +99,19 @@ def _read(text: pa.Array, logits: dict[str, tuple[np.ndarray, np.ndarray]], size
     return flat | {"tree": sentence.lists(nodes)}
 
 
-def decoded(rows: DataFrame) -> DataFrame:
-    """rows (text and a flat array of logits a head, null where a head is not there) with what the logits say.
+def decoded(rows: DataFrame, make: Callable | None = None) -> DataFrame:
+    """rows (text and a flat array of logits a head, null where a head is not there) with what the logits say. With make,
+    which gives structs of logits by head of texts, these are read where they are made, and pass not through Spark.
 
     levels (nested endpoints), spans (A with atom_type, function of particles, inflections of inflected types), b_spans,
     bunsetsu (with role), clauses, sentences, tree (sentences of clauses of bunsetsu of B of A) and root: SENTENCE if
     there is one sentence, else DOCUMENT. Without a head labels are OTHER, null, none and UNKNOWN. Arrow batches are
     decoded as a whole, for array functions of Spark copy a text's logits for each span.
     """
-    own = [F.col(head).cast("array<double>") for head in V.HEADS]
-    out = runs.with_fields(rows, _decoded, DECODED, "text", *own)
+    if make:
+        out = runs.with_fields(rows, lambda text: _decoded(text, *map(runs.fields(make(text)).get, V.HEADS)), DECODED, "text")
+    else:
+        out = runs.with_fields(rows, _decoded, DECODED, "text", *[F.col(head).cast("array<double>") for head in V.HEADS])
     return out.withColumn("root", F.when(F.size("sentences") == 1, "SENTENCE").otherwise("DOCUMENT"))
 
 

@@ -154,7 +154,7 @@ def _numbers(labels: list[str], values: pa.Array, of: np.ndarray, none: str) ->
     return at[of]
 
 
-def _target_values(text: pa.Array, boundaries: pa.Array, spans: pa.Array, bunsetsu: pa.Array) -> dict[str, np.ndarray]:
+def target_values(text: pa.Array, boundaries: pa.Array, spans: pa.Array, bunsetsu: pa.Array) -> dict[str, np.ndarray]:
     """The targets of all characters, text after text."""
     sizes = runs.sizes_of(text)
     bounds = runs.fields(boundaries)
@@ -181,7 +181,7 @@ def _each(sizes: np.ndarray, values: dict[str, np.ndarray]) -> pa.Array:
 
 
 def _targets(text: pa.Array, *record: pa.Array) -> pa.Array:
-    return _each(runs.sizes_of(text), _target_values(text, *record))
+    return _each(runs.sizes_of(text), target_values(text, *record))
 
 
 def targets(record: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def training_rows(record: DataFrame, codepoints: int = 8192, bigrams: int = 8192
             out[at] = x
             return out
 
-        told = {"codepoints": cp, "bigrams": bg, "categorical": flags} | _target_values(text, *own) | {"mask": np.ones(len(at), bool)}
+        told = {"codepoints": cp, "bigrams": bg, "categorical": flags} | target_values(text, *own) | {"mask": np.ones(len(at), bool)}
         return _each(wide, {c: spread(x) for c, x in told.items()})
 
     schema = f"codepoints array<int>, bigrams array<int>, categorical array<array<int>>, {TARGETS}, mask array<boolean>"

@@ -358,3 +358,31 @@ def test_training_arrays_are_not_sorted(spark, tmp_path):
     for p in plans[-2:]:
         p = p.split("Initial Plan")[1].split("\n\n")[0]
         assert "Sort" not in p[: p.index("ArrowEvalPython")] and p.count("Sort") == 1
+
+
+def test_losses_are_taken_where_logits_are_made(spark, tmp_path):
+    """Logits and targets, some 500 bytes a character, went through Spark in batches of 10,000 texts."""
+    rows = [("a" if k % 3 else None, "".join("aB1 ,.é漢😀ねこ"[(k + i * i) % 11] for i in range(1 + k % 90))) for k in range(3000)]
+    df = spark.createDataFrame([*rows, ("b", ""), ("b", None)], "split string, text string").repartition(2)
+    held = tmp_path / "held"
+    held.mkdir()
+
+    def make(text: pa.Array):
+        (held / f"{len(text)}").touch()
+        return queries._loss_arrays(text)
+
+    out = infer.loss_table(df, "split", make=make)
+    assert _plan(out).count("MapInArrow") == 1 and "ArrowEvalPython" not in _plan(out)
+    there = df.where("length(text) > 0")
+    coded = runs.with_fields(there, queries._other_coded, queries.CODED, "text")
+    given = runs.with_fields(features.targets(coded), queries._logit_arrays, ", ".join(f"{h} array<double>" for h in V.HEADS), "text")
+    want = {(r.split, r.head): r for r in infer.loss_table(given, "split").collect()}
+    told = {(r.split, r.head): r for r in out.collect()}
+    assert {k for k in told if k[0] != "b"} == set(want) and len(want) == 12
+    assert all(told[k].characters == r.characters and abs(told[k].loss - r.loss) < 1e-12 for k, r in want.items())
+    assert all(told["b", h].characters == 0 and told["b", h].loss == 0 for h in V.HEADS)
+    assert max(int(p.name) for p in held.iterdir()) <= runs.PIECE_ROWS
+    one, two = (sorted(x.select("text", "spans", "tree", "root").where("length(text) < 9").collect()) for x in (decode.decoded(there, queries._logit_arrays), decode.decoded(given)))
+    assert one == two and len(one) > 100
+    spark.createDataFrame([(k, "s", f"text {k}") for k in range(9)], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert "Scan ExistingRDD" not in _plan(queries.model_loss(spark, str(tmp_path)))
