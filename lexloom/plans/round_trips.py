@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
 from lexloom.operators import compile as C
-from lexloom.operators import decode, extract, features, infer, near, stats
+from lexloom.operators import decode, extract, features, infer, near, runs, stats
 from lexloom.plans import queries as Q
 from lexloom.sources import readers, weights, writers
 from lexloom.streaming import compile_stream as streams
@@ -83,15 +83,26 @@ def training_files(spark, d) -> DataFrame:
     folder = _folder(spark, "arrays")
     s = Q.sentences(spark, d).select("source", "document_id", "text")
     writers.training_arrays(s, folder, make=Q._own_coded)
-    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+    arrays = ["atom_targets", "role_targets", "boundary_targets"]
     out = None
     for split in ("train", "dev", "test"):
-        rows = readers.training_arrays(spark, folder, split, "atom_targets", "role_targets", "boundary_targets")
-        own = rows.select(F.lit(split).alias("split"), "bucket", add(F.col("mask")).alias("chars"), add(F.col("atom_targets")).alias("atoms"), add(F.col("role_targets")).alias("roles"), add(F.flatten("boundary_targets")).alias("ends"))
+        rows = readers.training_arrays(spark, folder, split, *arrays)
+        own = runs.with_fields(rows, _sums, "chars long, atoms long, roles long, ends long", "mask", *arrays).select(F.lit(split).alias("split"), "bucket", "chars", "atoms", "roles", "ends")
         out = own if out is None else out.unionByName(own)
     return out.groupBy("split", "bucket").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("chars", "atoms", "roles", "ends")])
 
 
+def _sums(*columns: pa.Array) -> pa.Array:
+    """The sums of a training row's arrays."""
+
+    def total(x: pa.Array) -> np.ndarray:
+        row, values = runs.elements(x)
+        own = total(values) if pa.types.is_list(values.type) else runs.ints(values, 0)
+        return np.bincount(row, own, len(x)).astype(np.int64)
+
+    return runs.struct(**dict(zip(("chars", "atoms", "roles", "ends"), map(pa.array, map(total, columns)), strict=True)))
+
+
 def invalid_documents(spark, d) -> DataFrame:
     """Documents of which every tenth has no text and every tenth an empty one: those that cannot be extracted."""
     k = F.col("doc_id") % 10
